@@ -28,6 +28,8 @@ class ColumnSpec:
     kind: str
     type: str
     sources: tuple[tuple[str, str], ...] = field(default=())
+    # Every value seen has the column's own type, so none needs to be re-read.
+    uniform: bool = False
 
     @property
     def spark_type(self) -> str:
@@ -44,53 +46,74 @@ def _rank_of(value: Column, members: Iterable[tuple[int, str]]) -> Column:
 
 
 def observed_keys(df: DataFrame) -> DataFrame:
-    """Rows (metric, is_dimension, key, first): every key with its earliest type.
+    """Rows (metric, is_dimension, key, first, uniform): every key with its earliest type.
 
     ``first`` packs (microsecond, type rank) into one number, so the minimum is
     a hash aggregate with map-side combine; only distinct keys are shuffled.
+    ``uniform`` says that the key has one type and no value beyond its range.
     """
+    largest = F.lit("9223372036854775807").cast("decimal(20,0)")
 
     def pairs(name: str, members: list[tuple[int, str]]) -> Column:
-        return F.transform(
-            F.map_entries(name),
-            lambda e: F.struct(e["key"].alias("key"), _rank_of(e["value"], members).alias("rank")),
-        )
+        def pair(e: Column) -> Column:
+            over = e["value"]["Number"] > largest if name == "dimensions" else F.lit(False)
+            return F.struct(
+                e["key"].alias("key"),
+                _rank_of(e["value"], members).alias("rank"),
+                F.coalesce(over, F.lit(False)).alias("over"),
+            )
+
+        return F.transform(F.map_entries(name), pair)
 
     entries = F.concat(pairs("dimensions", _DIMENSIONS), pairs("measurements", _MEASUREMENTS))
     micros = F.unix_micros(nanos_to_ts("unix_nanos"))
+    uniform = (F.min("e.rank") == F.max("e.rank")) & ~F.max("e.over")
     return (
         df.select("metric", micros.alias("micros"), F.explode(entries).alias("e"))
         .where("e.rank is not null")
         .groupBy("metric", (F.col("e.rank") < len(_DIMENSIONS)).alias("is_dimension"), "e.key")
-        .agg(F.min(F.col("micros") * len(COLUMN_TYPES) + F.col("e.rank")).alias("first"))
+        .agg(
+            F.min(F.col("micros") * len(COLUMN_TYPES) + F.col("e.rank")).alias("first"),
+            uniform.alias("uniform"),
+        )
     )
 
 
 def discover_schema(df: DataFrame) -> DataFrame:
-    """Rows (table, column, kind, type, sources) for every column the datums carry.
+    """Rows (table, column, kind, type, sources, uniform) for every column the datums carry.
 
     The earliest datum settles a column's type, a dimension ahead of a
     measurement. Keys that clean to the same name share a column; ``sources``
     lists them, dimensions first, then by raw key. Names are cleaned here, on
     the few distinct keys, and not once per datum.
     """
-    rank = F.pmod(F.min("first"), F.lit(len(COLUMN_TYPES))).cast("int")
+    n = F.lit(len(COLUMN_TYPES))
     kinds = F.array(*[F.lit(kind) for kind, _, _ in COLUMN_TYPES])
     types = F.array(*[F.lit(t) for _, _, t in COLUMN_TYPES])
+
+    def type_of(first: Column) -> Column:
+        return F.get(types, F.pmod(first, n).cast("int"))
+
     source = F.struct(
         F.when(F.col("is_dimension"), F.lit("dimension")).otherwise(F.lit("measurement")).alias("kind"),
         F.col("key").alias("key"),
     )
+    one_type = F.size(F.collect_set(type_of(F.col("first")))) == 1
     return (
         observed_keys(df)
         .groupBy(clean_id("metric").alias("table"), clean_column("key").alias("column"))
-        .agg(rank.alias("rank"), F.array_sort(F.collect_set(source)).alias("sources"))
+        .agg(
+            F.min("first").alias("first"),
+            F.array_sort(F.collect_set(source)).alias("sources"),
+            (one_type & F.min("uniform")).alias("uniform"),
+        )
         .select(
             "table",
             "column",
-            F.get(kinds, F.col("rank")).alias("kind"),
-            F.get(types, F.col("rank")).alias("type"),
+            F.get(kinds, F.pmod("first", n).cast("int")).alias("kind"),
+            type_of(F.col("first")).alias("type"),
             "sources",
+            "uniform",
         )
     )
 
@@ -106,7 +129,7 @@ def collect_schema(rows: DataFrame) -> dict[str, list[ColumnSpec]]:
     for r in rows.toLocalIterator():
         sources = tuple((s["kind"], s["key"]) for s in r["sources"])
         tables.setdefault(r["table"], []).append(
-            ColumnSpec(r["column"], r["kind"], r["type"], sources)
+            ColumnSpec(r["column"], r["kind"], r["type"], sources, r["uniform"])
         )
     for table, columns in tables.items():
         if len(columns) > MAX_COLUMNS:
@@ -203,13 +226,25 @@ def measurement_col(name: str, type_name: str = "double", col: str = "measuremen
     return _typed(F.element_at(col, F.lit(name)), "measurement", type_name)[0]
 
 
-def _column(spec: ColumnSpec) -> tuple[Column, Column]:
-    values, conflicts = [], F.lit(False)
+def _own_member(value: Column, kind: str, type_name: str) -> Column | None:
+    for source_kind, member, member_type in COLUMN_TYPES:
+        if source_kind == kind and member_type == type_name:
+            return _read_as(value[member], member, type_name)
+    return None
+
+
+def _column(spec: ColumnSpec) -> tuple[Column, Column | None]:
+    """(value, whether some source of it could not be read; None where that cannot be)."""
+    values, conflicts = [], None
     for kind, key in spec.sources:
         source = "dimensions" if kind == "dimension" else "measurements"
-        value, unread = _typed(F.element_at(source, F.lit(key)), kind, spec.type)
-        values.append(value)
-        conflicts = conflicts | unread
+        value = F.element_at(source, F.lit(key))
+        if spec.uniform:
+            values.append(_own_member(value, kind, spec.type))
+            continue
+        reading, unread = _typed(value, kind, spec.type)
+        values.append(reading)
+        conflicts = unread if conflicts is None else conflicts | unread
     return F.coalesce(*values), conflicts
 
 
@@ -223,7 +258,8 @@ def project(df: DataFrame, columns: Sequence[ColumnSpec], keep: Sequence[str] =
     for spec in columns:
         value, unread = _column(spec)
         selected.append(value.cast(spec.spark_type).alias(spec.name))
-        conflicts.append(F.when(unread, F.lit(spec.name)))
+        if unread is not None:
+            conflicts.append(F.when(unread, F.lit(spec.name)))
     found = F.array_compact(F.array(*conflicts)) if conflicts else F.array().cast("array<string>")
     return df.select(
         *keep, nanos_to_ts("unix_nanos").alias("time"), *selected, found.alias("__conflicts")
