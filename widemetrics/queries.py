@@ -7,6 +7,7 @@ engine can state the same result.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,6 +108,11 @@ def event_datums(events: DataFrame) -> DataFrame:
     )
 
 
+def event_log(events: DataFrame) -> DataFrame:
+    """All events as one metric."""
+    return event_datums(events).withColumn("metric", F.lit("Event-Log"))
+
+
 def order_datums(orders: DataFrame) -> DataFrame:
     return orders.select(
         F.lit("Orders-Placed").alias("metric"),
@@ -583,3 +589,621 @@ def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "ts", "value")
     lo = panels.latest(events, "ts") - F.expr("interval 3 days")
     return panels.time_range(events, lo, time="ts")
+
+
+# Aggregations
+
+
+LINE_KEYS = ["l_returnflag", "l_linestatus"]
+
+
+@query(
+    "statset_accumulate",
+    """select l_returnflag, l_linestatus, min(l_extendedprice) as low, max(l_extendedprice) as high,
+              round(sum(l_extendedprice), 2) as total, count(l_extendedprice) as n from lineitem group by 1, 2""",
+)
+def statset_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    sets = lines.groupBy(*LINE_KEYS).agg(statset.accumulate("l_extendedprice").alias("s"))
+    return sets.select(
+        *LINE_KEYS,
+        F.col("s.minimum").alias("low"),
+        F.col("s.maximum").alias("high"),
+        F.round("s.samplesum", 2).alias("total"),
+        F.col("s.samplecount").alias("n"),
+    )
+
+
+def daily_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistic sets of event values per (event_type, day), to merge further."""
+    events = table(spark, sf_dir, "events")
+    return events.groupBy("event_type", time_bucket("1 day", "ts").alias("day")).agg(
+        statset.accumulate("value").alias("s")
+    )
+
+
+@query(
+    "statset_merge",
+    """select event_type, min(value) as low, max(value) as high, round(sum(value), 4) as total, count(*) as n
+       from events group by 1""",
+)
+def statset_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = daily_sets(spark, sf_dir).groupBy("event_type").agg(statset.merge("s").alias("s"))
+    return merged.select(
+        "event_type",
+        F.col("s.minimum").alias("low"),
+        F.col("s.maximum").alias("high"),
+        F.round("s.samplesum", 4).alias("total"),
+        F.col("s.samplecount").alias("n"),
+    )
+
+
+def _merged_by_type(spark: SparkSession, sf_dir: str, agg: Column) -> DataFrame:
+    return daily_sets(spark, sf_dir).groupBy("event_type").agg(agg.alias("result"))
+
+
+@query("statset_min", "select event_type, min(value) as result from events group by 1")
+def statset_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged_by_type(spark, sf_dir, statset.min_agg("s"))
+
+
+@query("statset_max", "select event_type, max(value) as result from events group by 1")
+def statset_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged_by_type(spark, sf_dir, statset.max_agg("s"))
+
+
+@query("statset_sum", "select event_type, round(sum(value), 4) as result from events group by 1")
+def statset_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged_by_type(spark, sf_dir, F.round(statset.sum_agg("s"), 4))
+
+
+@query("statset_count", "select event_type, cast(count(*) as double) as result from events group by 1")
+def statset_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged_by_type(spark, sf_dir, statset.count_agg("s"))
+
+
+@query("statset_avg", "select event_type, round(avg(value), 6) as result from events group by 1")
+def statset_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged_by_type(spark, sf_dir, F.round(statset.avg_agg("s"), 6))
+
+
+@query(
+    "seh_accumulate",
+    f"""select l_returnflag, l_linestatus, {sql_bucket('l_extendedprice')} as bucket, count(*) as count
+        from lineitem group by 1, 2, 3""",
+)
+def seh_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    found = histograms.accumulate(lines, LINE_KEYS, "l_extendedprice", "h")
+    return histograms.buckets(found, "h", LINE_KEYS)
+
+
+@query(
+    "seh_merge",
+    f"select event_type, {sql_bucket('value')} as bucket, count(*) as count from events group by 1, 2",
+)
+def seh_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("day", time_bucket("1 day", "ts"))
+    daily = histograms.accumulate(events, ["event_type", "day"], "value", "h")
+    return histograms.buckets(histograms.merge(daily, ["event_type"], "h", "h"), "h", ["event_type"])
+
+
+# Cells 2**-12 of a value's magnitude wide, then centroids on the arcsine scale.
+SQL_CENTROIDS = """
+    with c as (select event_type as g,
+                      floor(value * pow(2, 12 - floor(log2(abs(value))))) * pow(2, floor(log2(abs(value))) - 12) as cell,
+                      count(*) as w, sum(value) as total from events group by 1, 2),
+         r as (select g, w, total, sum(w) over (partition by g order by cell rows unbounded preceding) as upto,
+                      sum(w) over (partition by g) as n from c),
+         k as (select g, w, total, cast(floor(100 / pi() * (asin(least(1.0::double, greatest(-1.0::double,
+                      2 * ((upto - w / 2) / n) - 1))) + pi() / 2)) as bigint) as kb from r),
+         d as (select g, kb, sum(total) / sum(w) as mean, cast(sum(w) as bigint) as weight from k group by 1, 2)
+"""
+
+
+@query(
+    "tdigest_accumulate",
+    f"{SQL_CENTROIDS} select g as event_type, round(mean, 6) as mean, weight from d",
+)
+def tdigest_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = digests.accumulate(table(spark, sf_dir, "events"), ["event_type"], "value", "d")
+    return found.select("event_type", F.inline("d.centroids")).withColumn("mean", F.round("mean", 6))
+
+
+def _sql_quantile(q: float, name: str) -> str:
+    """Line between the centroid middles on both sides of the rank."""
+    return f"""(select min_by(case when p.target <= p.middle then
+                     p.left_mean + (p.mean - p.left_mean) *
+                     (case when p.middle <= p.left_rank then 1 else (p.target - p.left_rank) / (p.middle - p.left_rank) end)
+                     end, p.middle)
+               from (select m.*, {q} * m.n as target from m where m.g = t.g) p where p.target <= p.middle) as {name}"""
+
+
+@query(
+    "tdigest_quantile",
+    f"""{SQL_CENTROIDS},
+        a as (select g, mean, weight, sum(weight) over (partition by g order by mean rows unbounded preceding) as upto,
+                     sum(weight) over (partition by g) as n from d),
+        b as (select g, mean, n, upto - weight / 2 as middle from a),
+        e as (select event_type as g, min(value) as lo, max(value) as hi from events group by 1),
+        f as (select b.g, mean, n, middle from b union all select b.g, any_value(hi), any_value(n), any_value(n) from b join e on b.g = e.g group by 1),
+        m as (select f.g, mean, n, middle, coalesce(lag(mean) over (partition by f.g order by middle), lo) as left_mean,
+                     coalesce(lag(middle) over (partition by f.g order by middle), 0) as left_rank
+              from f join e on f.g = e.g),
+        t as (select distinct g from d),
+        z as (select g, {_sql_quantile(0.5, 'p50')}, {_sql_quantile(0.9, 'p90')}, {_sql_quantile(0.99, 'p99')} from t)
+        select g as event_type, round(p50, 6) as p50, round(p90, 6) as p90, round(p99, 6) as p99 from z""",
+)
+def tdigest_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = digests.accumulate(table(spark, sf_dir, "events"), ["event_type"], "value", "d")
+    return found.select(
+        "event_type",
+        F.round(digest.quantile("d", 0.5), 6).alias("p50"),
+        F.round(digest.quantile("d", 0.9), 6).alias("p90"),
+        F.round(digest.quantile("d", 0.99), 6).alias("p99"),
+    )
+
+
+@query(
+    "tdigest_merge",
+    """select event_type, count(*) as n, min(value) as low, max(value) as high, true as p50_close,
+              true as p90_close, true as p99_close from events group by 1""",
+)
+def tdigest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily digests merged; each estimate's true rank is checked on all rows."""
+    events = table(spark, sf_dir, "events")
+    daily = events.withColumn("day", time_bucket("1 day", "ts"))
+    daily = digests.accumulate(daily, ["event_type", "day"], "value", "d")
+    merged = digests.merge(daily, ["event_type"], "d", "d")
+    marks = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    estimates = merged.select(
+        "event_type",
+        F.col("d.count").alias("n"),
+        F.col("d.min").alias("low"),
+        F.col("d.max").alias("high"),
+        *[digest.quantile("d", q).alias(name) for name, q in marks.items()],
+    )
+    # Only the estimates are joined on, one row to an event type.
+    joined = events.select("event_type", "value").join(estimates, "event_type")
+    below = [F.sum((F.col("value") <= F.col(m)).cast("bigint")).alias(f"{m}_below") for m in marks]
+    ranks = joined.groupBy("event_type", "n", "low", "high").agg(*below)
+    return ranks.select(
+        "event_type",
+        "n",
+        "low",
+        "high",
+        *[
+            (F.abs(F.col(f"{m}_below") / F.col("n") - q) < 0.02).alias(f"{m}_close")
+            for m, q in marks.items()
+        ],
+    )
+
+
+# Moving frames
+
+SLOT_SECONDS = 4 * 3600
+FRAME_SLOTS = 3
+
+SQL_SLOTS = """s as (select event_type, time_bucket(interval '4 hours', ts) as slot, value from events),
+               own as (select distinct event_type, slot from s)"""
+SQL_FRAME = """own join s on s.event_type = own.event_type
+               and s.slot <= own.slot and s.slot > own.slot - interval 12 hours"""
+
+
+@query(
+    "seh_moving",
+    f"""with {SQL_SLOTS} select own.event_type, own.slot, {sql_bucket('value')} as bucket, count(*) as count
+        from {SQL_FRAME} group by 1, 2, 3""",
+)
+def seh_moving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    hourly = histograms.accumulate(
+        events.withColumn("hour", time_bucket("1 hour", "ts")), ["event_type", "hour"], "value", "h"
+    )
+    found = histograms.moving(hourly, ["event_type"], "hour", "h", SLOT_SECONDS, FRAME_SLOTS, name="h")
+    return histograms.buckets(
+        found.withColumn("slot", ntz("slot")), "h", ["event_type", "slot"]
+    )
+
+
+@query(
+    "statset_moving",
+    f"""with {SQL_SLOTS} select own.event_type, own.slot, min(value) as low, max(value) as high,
+        round(sum(value), 4) as total, count(*) as n from {SQL_FRAME} group by 1, 2""",
+)
+def statset_moving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    found = statsets.moving(
+        events, ["event_type"], "ts", "value", SLOT_SECONDS, FRAME_SLOTS, values=True, name="s"
+    )
+    return found.select(
+        "event_type",
+        ntz("slot").alias("slot"),
+        F.col("s.minimum").alias("low"),
+        F.col("s.maximum").alias("high"),
+        F.round("s.samplesum", 4).alias("total"),
+        F.col("s.samplecount").alias("n"),
+    )
+
+
+# Dashboard queries
+
+
+@query(
+    "time_bucket",
+    """select time_bucket(interval '7 days', ts) as week, time_bucket(interval '15 minutes', ts) as quarter,
+              count(*) as n from events group by 1, 2""",
+)
+def time_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Two buckets of one frame: each is its own projection.
+    events = table(spark, sf_dir, "events").select(time_bucket("1 week", "ts").alias("week"), "ts")
+    events = events.select("week", time_bucket("15 minutes", "ts").alias("quarter"))
+    return events.groupBy("week", "quarter").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "top_k",
+    "select event_id, user_id, value from events order by value desc, event_id limit 10",
+)
+def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    return panels.top_k(events, "value", 10, ["event_id"])
+
+
+@query(
+    "topk_semi_join",
+    """with recent as (select * from events where ts > (select max(ts) from events) - interval 3 day),
+            top as (select user_id from recent order by value desc, event_id limit 10)
+       select ts, user_id, value from recent where user_id in (select user_id from top) order by ts""",
+)
+def topk_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+    lo = panels.latest(events, "ts") - F.expr("interval 3 days")
+    recent = panels.time_range(events, lo, time="ts")
+    rows = panels.in_top_k(recent, recent, "user_id", "value", 10, ["event_id"])
+    return rows.select("ts", "user_id", "value").orderBy("ts")
+
+
+@query(
+    "hist_panel",
+    f"""select time_bucket(interval '4 hours', ts) as time, event_type, {sql_bucket('value')} as bucket,
+               count(*) as count from events group by 1, 2, 3""",
+)
+def hist_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return panels.hist_panel(events, "4 hours", "value", ["event_type"], time="ts")
+
+
+# Reshaping, tables and sinks
+
+EVENT_COLUMNS = [
+    ColumnSpec("event_type", "dimension", "string", (("dimension", "event_type"),), True),
+    ColumnSpec("user_id", "dimension", "bigint", (("dimension", "user_id"),)),
+    ColumnSpec("k", "measurement", "bigint", (("measurement", "k"),), True),
+    ColumnSpec("value", "measurement", "double", (("measurement", "value"),), True),
+]
+
+
+def read_events(store: MetricStore, lo=None, hi=None) -> DataFrame:
+    rows = store.read("Event-Log", lo, hi)
+    return rows.select(ntz("time").alias("time"), "event_type", "user_id", "k", "value")
+
+
+def both_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = event_datums(table(spark, sf_dir, "events"))
+    return events.unionByName(order_datums(table(spark, sf_dir, "orders")))
+
+
+SQL_EVENT_ROWS = f"select ts as time, event_type, user_id, {SQL_K} as k, value from events"
+
+
+@query(
+    "route_by_metric",
+    """select event_type as "table", ts as time, user_id as who, value as reading from events
+       union all select 'orders_placed', o_orderdate, o_custkey, o_totalprice from orders""",
+)
+def route_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = both_metrics(spark, sf_dir)
+    schemas = wide.collect_schema(wide.discover_schema(rows))
+    out = None
+    for name, part in wide.split_metrics(rows, sorted(schemas)).items():
+        wide_rows = wide.widen(part, schemas[name])
+        who, reading = ("customer", "total") if name == "orders_placed" else ("user_id", "value")
+        rows_out = wide_rows.select(
+            F.lit(name).alias("table"),
+            ntz("time").alias("time"),
+            F.col(who).alias("who"),
+            F.col(reading).alias("reading"),
+        )
+        out = rows_out if out is None else out.unionByName(rows_out)
+    return out
+
+
+@query("widen", f"select ts as time, event_type, user_id, {SQL_K} as k, value from events")
+def widen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = wide.widen(event_datums(table(spark, sf_dir, "events")), EVENT_COLUMNS)
+    return rows.withColumn("time", ntz("time"))
+
+
+@query(
+    "schema_heal",
+    """with t as (select distinct event_type as "table" from events)
+       select "table", 'event_type' as "column", 'dimension' as kind, 'string' as type from t
+       union all select "table", 'user_id', 'dimension', 'bigint' from t
+       union all select "table", 'value', 'measurement', 'double' from t
+       union all select "table", 'k', 'measurement', 'bigint' from t""",
+)
+def schema_heal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables first, a column next, and a changed type that must not take."""
+    store = MetricStore(spark, shared_dir(spark, "schema-heal"))
+    rows = event_datums(table(spark, sf_dir, "events"))
+    first = rows.withColumn("measurements", F.map_filter("measurements", lambda key, _: key != "k"))
+    k = F.element_at("measurements", F.lit("k"))["I64"]
+    changed = rows.withColumn(
+        "measurements", as_map(value=mea(I64=F.lit(1).cast("bigint")), k=mea(I64=k))
+    )
+    for batch in (first, changed):
+        store.heal(wide.collect_schema(wide.discover_schema(batch)))
+    listed = [
+        (name, c.name, c.kind, c.type) for name, columns in store.schemas().items() for c in columns
+    ]
+    return spark.createDataFrame(listed, "table string, column string, kind string, type string")
+
+
+@query(
+    "type_conflict_rejects",
+    f"""select event_type as metric, epoch_us(ts) * 1000 as unix_nanos, 'code' as conflict,
+               'x' || cast(user_id as varchar) as text from events where {SQL_K} % 10 = 3""",
+)
+def type_conflict_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    code = F.when(
+        k_of_props() % 10 == 3, dim(String=F.concat(F.lit("x"), F.col("user_id").cast("string")))
+    ).otherwise(dim(Number=F.col("user_id")))
+    rows = events.select(
+        F.col("event_type").alias("metric"),
+        nanos("ts").cast("decimal(20,0)").alias("unix_nanos"),
+        as_map(code=code).alias("dimensions"),
+        as_map(value=mea(F64=F.col("value"))).alias("measurements"),
+    )
+    columns = [
+        ColumnSpec("code", "dimension", "bigint", (("dimension", "code"),)),
+        ColumnSpec("value", "measurement", "double", (("measurement", "value"),)),
+    ]
+    return wide.rejects(rows, columns).select(
+        "metric",
+        F.col("unix_nanos").cast("bigint").alias("unix_nanos"),
+        F.explode("conflicts").alias("conflict"),
+        dimension_col("code").alias("text"),
+    )
+
+
+@query(
+    "chunked_write",
+    f"""select * from ({SQL_EVENT_ROWS}) where time > (select min(ts) from events) + interval 5 day
+        and time <= (select min(ts) from events) + interval 20 day""",
+)
+def chunked_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two metrics loaded together, one read back for a range of time."""
+    events = table(spark, sf_dir, "events")
+    other = event_datums(events.where("event_type = 'error'")).select(
+        F.lit("Failures").alias("metric"),
+        "unix_nanos",
+        "dimensions",
+        as_map(failed=mea(I32=F.lit(1))).alias("measurements"),
+    )
+    store = MetricStore(spark, shared_dir(spark, "chunked-write"))
+    store.write(event_log(events).unionByName(other))
+    first = events.agg(F.min("ts").cast("timestamp").alias("t"))
+    lo, hi = first.select(
+        F.unix_micros(F.col("t") + F.expr("interval 5 days")),
+        F.unix_micros(F.col("t") + F.expr("interval 20 days")),
+    ).first()
+    return read_events(store, moment(lo), moment(hi))
+
+
+def moment(micros: int) -> datetime:
+    return datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=micros)
+
+
+@query(
+    "csv_rows",
+    rf"""select strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || lpad(cast((epoch_us(ts) % 1000000) * 1000 as varchar), 9, '0') || 'Z' as time,
+                event_type, cast(user_id as varchar) as user_id, cast({SQL_K} as varchar) as k,
+                regexp_replace(cast(value as varchar), '\.0$', '') as value from events""",
+)
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_datums(table(spark, sf_dir, "events"))
+    folder = shared_dir(spark, "csv-rows")
+    delimited.write_csv(rows, EVENT_COLUMNS, folder)
+    names = ["time", *[c.name for c in EVENT_COLUMNS]]
+    return spark.read.schema(", ".join(f"{n} string" for n in names)).csv(folder, quote='"', escape='"')
+
+
+SQL_GAUGES = f"""select event_type || '_value' as name, epoch_us(ts) * 1000 as time_unix_nano, '1' as unit,
+                        cast(null as bigint) as as_int, value as as_double from events
+                 union all select event_type || '_k', epoch_us(ts) * 1000, '1', {SQL_K}, null from events"""
+
+
+def gauge_points(metrics: DataFrame) -> DataFrame:
+    points = metrics.select("name", "unit", F.explode("gauge.data_points").alias("p"))
+    return points.select(
+        "name",
+        "unit",
+        F.col("p.time_unix_nano").cast("bigint").alias("time_unix_nano"),
+        "p.as_int",
+        "p.as_double",
+    )
+
+
+@query("otlp_gauge", SQL_GAUGES)
+def otlp_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gauge_points(otlp.to_otlp(event_datums(table(spark, sf_dir, "events"))))
+
+
+@query(
+    "otlp_attributes",
+    """select 'value' as kind, user_id as n, ts as time, 'user_id' as key, cast(null as varchar) as string_value, user_id as int_value from events
+       union all select 'value', user_id, ts, 'event_type', event_type, null from events""",
+)
+def otlp_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_datums(table(spark, sf_dir, "events")).select(
+        F.lit("value").alias("kind"),
+        dimension_col("user_id", "bigint").alias("n"),
+        ntz(nanos_to_ts("unix_nanos")).alias("time"),
+        F.explode(otlp.attributes("dimensions")).alias("a"),
+    )
+    return rows.select("kind", "n", "time", "a.key", "a.value.string_value", "a.value.int_value")
+
+
+@query(
+    "otlp_summary",
+    """with d as (select event_type, time_bucket(interval '1 day', ts) as day, min(value) as lo, max(value) as hi,
+                         round(sum(value), 4) as total, count(*) as n from events group by 1, 2)
+       select event_type || '_daily' as name, day as time, 0::double as quantile, lo as value, total, n from d
+       union all select event_type || '_daily', day, 1::double, hi, total, n from d""",
+)
+def otlp_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = daily_sets(spark, sf_dir).select(
+        F.col("event_type").alias("metric"),
+        nanos("day").cast("decimal(20,0)").alias("unix_nanos"),
+        as_map(event_type=dim(String=F.col("event_type"))).alias("dimensions"),
+        as_map(daily=mea(StatisticSet=F.col("s"))).alias("measurements"),
+    )
+    points = otlp.to_otlp(rows).select("name", F.explode("summary.data_points").alias("p"))
+    return points.select(
+        "name",
+        ntz(nanos_to_ts("p.time_unix_nano")).alias("time"),
+        F.round("p.sum", 4).alias("total"),
+        F.col("p.count").cast("bigint").alias("n"),
+        F.inline("p.quantile_values"),
+    )
+
+
+@query(
+    "otlp_histogram",
+    f"""with c as (select event_type, time_bucket(interval '1 day', ts) as day, cast(ceil({sql_bucket('cast(' + SQL_K + ' as double)')}) as bigint) as b,
+                   count(*) as n from events group by 1, 2, 3)
+        select event_type || '_sizes' as name, day as time, cast(sum(n) as bigint) as n, cast(sum(b * n) as double) as approximate_sum,
+               count(*) as bounds, count(*) + 1 as counts, cast(max(b) as double) as last_bound from c group by 1, 2""",
+)
+def otlp_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(
+        "event_type", time_bucket("1 day", "ts").alias("day"), k_of_props().alias("k")
+    )
+    daily = histograms.accumulate(events, ["event_type", "day"], "k", "h")
+    whole = F.transform_keys("h", lambda bound, _: bound.cast("bigint"))
+    rows = daily.select(
+        F.col("event_type").alias("metric"),
+        nanos("day").cast("decimal(20,0)").alias("unix_nanos"),
+        as_map(event_type=dim(String=F.col("event_type"))).alias("dimensions"),
+        as_map(sizes=mea(Histogram=whole)).alias("measurements"),
+    )
+    points = otlp.to_otlp(rows).select("name", F.explode("histogram.data_points").alias("p"))
+    bounds = F.col("p.explicit_bounds")
+    return points.select(
+        "name",
+        ntz(nanos_to_ts("p.time_unix_nano")).alias("time"),
+        F.col("p.count").cast("bigint").alias("n"),
+        F.col("p.sum").alias("approximate_sum"),
+        F.size(bounds).cast("bigint").alias("bounds"),
+        F.size("p.bucket_counts").cast("bigint").alias("counts"),
+        F.element_at(bounds, -1).alias("last_bound"),
+    )
+
+
+@query("otlp_request", SQL_GAUGES)
+def otlp_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metrics = otlp.to_otlp(event_datums(table(spark, sf_dir, "events")))
+    return gauge_points(otlp.request_metrics(otlp.otlp_request(metrics, 1000)))
+
+
+@query(
+    "retention",
+    f"""select * from ({SQL_EVENT_ROWS}) where time_bucket(interval '4 hours', time) + interval 4 hours >
+        (select max(ts) from events) - interval 7 day""",
+)
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    store = MetricStore(spark, shared_dir(spark, "retention"))
+    store.write(event_log(events))
+    now = events.agg(F.unix_micros(F.max("ts").cast("timestamp"))).first()[0]
+    store.apply_retention(moment(now), 7 * 24 * 3600)
+    return read_events(store)
+
+
+@query("compaction", SQL_EVENT_ROWS)
+def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last two days folded; the rows must be the same ones."""
+    events = table(spark, sf_dir, "events")
+    store = MetricStore(spark, shared_dir(spark, "compaction"))
+    store.write(event_log(events))
+    now = events.agg(F.unix_micros(F.max("ts").cast("timestamp"))).first()[0]
+    for days_back in (0, 1):
+        store.compact("Event-Log", moment(now - days_back * 86_400_000_000), quiet=True)
+    return read_events(store)
+
+
+# Streaming
+
+
+@query("stream_wide", SQL_EVENT_ROWS)
+def stream_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "stream-wide")
+    stream = event_log(events_stream(spark, sf_dir))
+    run = pipelines.stream_wide(stream, f"{folder}/tables", f"{folder}/progress", trigger=None)
+    run.awaitTermination()
+    return read_events(MetricStore(spark, f"{folder}/tables"))
+
+
+@query("stream_otlp", SQL_GAUGES)
+def stream_otlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "stream-otlp")
+    stream = event_datums(events_stream(spark, sf_dir))
+    run = pipelines.stream_otlp(stream, f"{folder}/out", f"{folder}/progress", trigger=None)
+    run.awaitTermination()
+    return gauge_points(otlp.request_metrics(spark.read.schema(otlp.REQUEST_DDL).json(f"{folder}/out")))
+
+
+SQL_CLOSED = """time_bucket(interval '4 hours', ts) + interval 4 hours <=
+                (select max(ts) from events) - interval 10 minute"""
+
+
+def _finished(rows: DataFrame, folder: str) -> DataFrame:
+    """Run a stream through all its input in append mode; what it wrote."""
+    writer = rows.writeStream.format("parquet").outputMode("append")
+    run = writer.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+    run.start(f"{folder}/out").awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
+@query(
+    "stream_rollup",
+    f"""select time_bucket(interval '4 hours', ts) as time, event_type, min(value) as low, max(value) as high,
+               round(sum(value), 4) as total, count(*) as n from events where {SQL_CLOSED} group by 1, 2""",
+)
+def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pipelines.rollup_statistics(
+        events_stream(spark, sf_dir), "ts", "4 hours", "10 minutes", ["event_type"], "value", "s"
+    )
+    return _finished(rows, shared_dir(spark, "stream-rollup")).select(
+        ntz("time").alias("time"),
+        "event_type",
+        F.col("s.minimum").alias("low"),
+        F.col("s.maximum").alias("high"),
+        F.round("s.samplesum", 4).alias("total"),
+        F.col("s.samplecount").alias("n"),
+    )
+
+
+@query(
+    "stream_rollup_histogram",
+    f"""select time_bucket(interval '4 hours', ts) as time, event_type, {sql_bucket('value')} as bucket,
+               count(*) as count from events where {SQL_CLOSED} group by 1, 2, 3""",
+)
+def stream_rollup_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pipelines.rollup_histograms(
+        events_stream(spark, sf_dir), "ts", "4 hours", "10 minutes", ["event_type"], "value", "h"
+    )
+    found = _finished(rows, shared_dir(spark, "stream-histogram"))
+    return histograms.buckets(found.withColumn("time", ntz("time")), "h", ["time", "event_type"])

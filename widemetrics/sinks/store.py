@@ -134,10 +134,10 @@ class MetricStore:
     ) -> int:
         """Load datums into their tables, one batch; gives the batch's number.
 
-        ``stage`` first writes the datums once, split by table and chunk: the
-        input is decoded once, a lost executor costs no second decoding, and
-        every table then reads its own part alone. A micro-batch is small
-        enough to be kept in memory and on disk instead.
+        ``stage`` first writes the datums once, split by table: the input is
+        decoded once, a lost executor costs no second decoding, and every table
+        then reads its own part alone. A micro-batch is small enough to be kept
+        in memory and on disk instead.
         """
         if on_conflict not in ("quarantine", "drop_batch"):
             raise ValueError(f"unknown conflict policy: {on_conflict}")
@@ -153,13 +153,12 @@ class MetricStore:
         )
         folder = self._path("staging", uuid.uuid4().hex)
         if stage:
-            balanced = placed.hint("rebalance", "table", "chunk")
-            balanced.write.partitionBy("table", "chunk").parquet(folder)
+            placed.hint("rebalance", "table").write.partitionBy("table").parquet(folder)
             source = self.spark.read.schema(placed.schema).parquet(folder)
         else:
             source = placed.persist()
         try:
-            self._load(source, batch_id, on_conflict, balanced=stage)
+            self._load(source, batch_id, on_conflict)
         finally:
             if stage:
                 Folder(self.spark, folder).delete()
@@ -167,7 +166,7 @@ class MetricStore:
                 source.unpersist()
         return batch_id
 
-    def _load(self, source: DataFrame, batch_id: int, on_conflict: str, balanced: bool) -> None:
+    def _load(self, source: DataFrame, batch_id: int, on_conflict: str) -> None:
         found = wide.collect_schema(wide.discover_schema(source))
         healed = self.heal(found)
         # Tables with the same columns from the same keys share one job.
@@ -178,7 +177,7 @@ class MetricStore:
         def load(item: tuple[tuple[ColumnSpec, ...], list[str]]) -> None:
             columns, tables = item
             rows = source.where(F.col("table").isin(*tables))
-            self._load_group(rows, columns, batch_id, on_conflict, balanced)
+            self._load_group(rows, columns, batch_id, on_conflict)
 
         with ThreadPoolExecutor(max_workers=self.parallel_writes) as pool:
             list(pool.map(load, groups.items()))
@@ -189,7 +188,6 @@ class MetricStore:
         columns: Sequence[ColumnSpec],
         batch_id: int,
         on_conflict: str,
-        balanced: bool,
     ) -> None:
         rows = wide.widen(source, columns, "quarantine", ["table", "chunk"])
         rejected = []
@@ -203,9 +201,10 @@ class MetricStore:
                     "conflicts", F.array().cast("array<string>")
                 )
             self._write(rejects, "rejects", ["batch_id", "table", "chunk"], batch_id)
-        if not balanced:
-            rows = rows.hint("rebalance", "table", "chunk")
-        self._write(rows, "fine", ["table", "batch_id", "chunk"], batch_id)
+        # Rebalancing splits a chunk that holds too much and joins small ones,
+        # so a busy table keeps no single task waiting.
+        balanced = rows.hint("rebalance", "table", "chunk")
+        self._write(balanced, "fine", ["table", "batch_id", "chunk"], batch_id)
 
     def _write(self, rows: DataFrame, name: str, parts: list[str], batch_id: int) -> None:
         (
