@@ -65,9 +65,10 @@ def test_large_numbers_and_unset_values(spark):
 def test_envelopes_hold_every_metric_in_pieces(spark, tmp_path):
     metrics = otlp.to_otlp(frame(spark, *[datum("m", i, None, {"v": {"I64": i}}) for i in range(25)]).coalesce(2))
     requests = otlp.otlp_request(metrics, max_metrics=4)
-    sizes = [len(r["resource_metrics"][0]["instrumentation_library_metrics"][0]["metrics"]) for r in requests.collect()]
+    parsed = otlp.parse_requests(requests)
+    sizes = [len(r["resource_metrics"][0]["instrumentation_library_metrics"][0]["metrics"]) for r in parsed.collect()]
     assert max(sizes) <= 4 and sum(sizes) == 25
-    values = otlp.request_metrics(requests).select(F.explode("gauge.data_points").alias("p")).select("p.as_int")
+    values = otlp.request_metrics(parsed).select(F.explode("gauge.data_points").alias("p")).select("p.as_int")
     assert sorted(r[0] for r in values.collect()) == list(range(25))
     otlp.write_otlp(requests, str(tmp_path / "o"))
     lines = [json.loads(x) for p in (tmp_path / "o").glob("part-*") for x in p.read_text().splitlines()]

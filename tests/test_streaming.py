@@ -64,7 +64,7 @@ def test_both_consumers_see_every_datum(spark, inbox):
     for run in pipelines.fan_out(stream(spark, inbox), f"{folder}/t", f"{folder}/o", f"{folder}/c", None):
         run.awaitTermination(60)
     assert read(spark, f"{folder}/t") == list(range(7))
-    requests = spark.read.schema(otlp.REQUEST_DDL).json(f"{folder}/o")
+    requests = otlp.read_otlp(spark, f"{folder}/o")
     points = otlp.request_metrics(requests).select(F.explode("gauge.data_points").alias("p")).select("p.as_int")
     assert sorted(r[0] for r in points.collect()) == list(range(7))
 

@@ -78,14 +78,14 @@ def count(col: Column | str) -> Column:
 
 def from_pairs(pairs: Column) -> Column:
     """A histogram with its bounds in order, from an array of (bucket, count)."""
-    return F.map_from_entries(F.array_sort(pairs))
+    return F.map_from_entries(F.sort_array(pairs))
 
 
 def to_json(col: Column | str, bounds: str = "bigint") -> Column:
     """A JSON object with the bounds as keys, in order."""
     from widemetrics.functions.text import plain_number
 
-    entries = F.array_sort(F.map_entries(_col(col)))
+    entries = F.sort_array(F.map_entries(_col(col)))
 
     def member(e: Column) -> Column:
         key = plain_number(e["key"]) if bounds == "double" else e["key"].cast("string")

@@ -32,7 +32,9 @@ def time_bucket(width: str, ts: Column | str) -> Column:
 def slot_number(ts: Column | str, seconds: int) -> Column:
     """Index of the fixed-width slot that holds ``ts``, counted from the epoch."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("bigint")
+    micros, width = F.unix_micros(ts.cast("timestamp")), F.lit(seconds * 1_000_000)
+    # Whole-number arithmetic; a quotient of doubles could round up to the next slot.
+    return F.call_function("div", micros - F.pmod(micros, width), width)
 
 
 def slot_start(slot: Column | str, seconds: int) -> Column:

@@ -98,7 +98,7 @@ def fold(rows: DataFrame, keys: Sequence[str], name: str, max_buckets: int = MAX
             F.coalesce(F.sum("total"), F.lit(0.0)).alias("sum"),
             F.min("low").alias("min"),
             F.max("high").alias("max"),
-            F.array_sort(F.collect_list(centroid)).alias("centroids"),
+            F.sort_array(F.collect_list(centroid)).alias("centroids"),
         ).alias(name)
     )
 

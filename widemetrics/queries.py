@@ -1115,7 +1115,8 @@ def otlp_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("otlp_request", SQL_GAUGES)
 def otlp_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = otlp.to_otlp(event_datums(table(spark, sf_dir, "events")))
-    return gauge_points(otlp.request_metrics(otlp.otlp_request(metrics, 1000)))
+    requests = otlp.parse_requests(otlp.otlp_request(metrics, 1000))
+    return gauge_points(otlp.request_metrics(requests))
 
 
 @query(
@@ -1162,7 +1163,7 @@ def stream_otlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = event_datums(events_stream(spark, sf_dir))
     run = pipelines.stream_otlp(stream, f"{folder}/out", f"{folder}/progress", trigger=None)
     run.awaitTermination()
-    return gauge_points(otlp.request_metrics(spark.read.schema(otlp.REQUEST_DDL).json(f"{folder}/out")))
+    return gauge_points(otlp.request_metrics(otlp.read_otlp(spark, f"{folder}/out")))
 
 
 SQL_CLOSED = """time_bucket(interval '4 hours', ts) + interval 4 hours <=

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from widemetrics.functions import digest
+from widemetrics.schema import MEASUREMENT_FIELDS
 from widemetrics.sources.datums import wrap_u64
 
 ATTRIBUTES_DDL = (
@@ -48,7 +51,7 @@ LIBRARY_NAME = "widemetrics"
 
 def attributes(dimensions: Column | str) -> Column:
     """Dimensions as a key-value list in key order; unset ones are left out."""
-    entries = F.array_sort(F.map_entries(dimensions))
+    entries = F.sort_array(F.map_entries(dimensions))
     given = F.filter(
         entries,
         lambda e: e["value"]["String"].isNotNull()
@@ -126,7 +129,7 @@ def _summary(m: Column) -> Column:
 
 def _histogram(m: Column, strict: bool) -> Column:
     h = m["Histogram"]
-    entries = F.array_sort(F.map_entries(h))
+    entries = F.sort_array(F.map_entries(h))
     counts = F.transform(entries, lambda e: e["value"])
     zero = F.lit(0).cast("decimal(20,0)")
     total = F.aggregate(counts, zero, lambda acc, n: (acc + unsigned(n)).cast("decimal(20,0)"))
@@ -159,14 +162,21 @@ def to_otlp(df: DataFrame, strict: bool = True, description: str = DESCRIPTION)
     Each metric is named after its datum and measurement. ``strict`` gives
     histograms the extra overflow count the format asks for. No shuffle.
     """
-    each = df.select(
+    # Attributes are made before the explode: once a datum, not once a measurement.
+    given = df.select(
         "metric",
         F.col("unix_nanos").alias("time_unix_nano"),
         attributes("dimensions").alias("attributes"),
-        F.explode("measurements").alias("key", "m"),
+        "measurements",
+    )
+    each = given.select(
+        "metric", "time_unix_nano", "attributes", F.explode("measurements").alias("key", "m")
     )
     m = F.col("m")
-    shaped = each.select(
+    is_set = F.lit(False)
+    for member in MEASUREMENT_FIELDS:
+        is_set = is_set | m[member].isNotNull()
+    return each.where(is_set).select(
         F.concat_ws("_", "metric", "key").alias("name"),
         F.lit(description).alias("description"),
         F.lit(UNIT).alias("unit"),
@@ -174,52 +184,39 @@ def to_otlp(df: DataFrame, strict: bool = True, description: str = DESCRIPTION)
         _summary(m).alias("summary"),
         _histogram(m, strict).alias("histogram"),
     )
-    return shaped.where("gauge is not null or summary is not null or histogram is not null")
 
 
 def otlp_request(
     metrics: DataFrame, max_metrics: int = 5000, library: str = LIBRARY_NAME
 ) -> DataFrame:
-    """Envelopes of at most ``max_metrics`` metrics each, one per row.
+    """JSON envelopes of at most ``max_metrics`` metrics each: one column, ``request``.
 
-    Each Arrow batch becomes the list inside its envelope as it stands, so
-    nothing is shuffled and no row holds a whole batch of datums.
+    Every metric is rendered by Spark; a task then only joins the texts of its
+    Arrow batches. Nothing is shuffled and no row holds a whole batch of datums.
     """
-    ddl = REQUEST_DDL
-    version = LIBRARY_VERSION
+    opening = (
+        '{"resource_metrics":[{"schema_url":"","instrumentation_library_metrics":['
+        f'{{"instrumentation_library":{{"name":{json.dumps(library)},"version":"{LIBRARY_VERSION}"}},'
+        '"schema_url":"","metrics":['
+    )
+    closing = "]}]}]}"
 
     def envelopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(item: pa.Array) -> pa.ListArray:
-            return pa.ListArray.from_arrays(pa.array([0, len(item)], pa.int32()), item)
-
-        def text(value: str) -> pa.Array:
-            return pa.array([value], pa.string())
-
         for batch in batches:
-            for start in range(0, batch.num_rows, max_metrics):
-                rows = batch.slice(start, max_metrics)
-                # Rebuilt without the slice's offset.
-                rows = pa.RecordBatch.from_struct_array(
-                    pa.concat_arrays([rows.to_struct_array()])
-                )
-                of_library = pa.StructArray.from_arrays(
-                    [
-                        pa.StructArray.from_arrays([text(library), text(version)], ["name", "version"]),
-                        text(""),
-                        one(rows.to_struct_array()),
-                    ],
-                    ["instrumentation_library", "schema_url", "metrics"],
-                )
-                of_resource = pa.StructArray.from_arrays(
-                    [text(""), one(of_library)], ["schema_url", "instrumentation_library_metrics"]
-                )
-                yield pa.RecordBatch.from_arrays([one(of_resource)], ["resource_metrics"])
-
-    return metrics.mapInArrow(envelopes, ddl)
+            if not batch.num_rows:
+                continue
+            edges = [*range(0, batch.num_rows, max_metrics), batch.num_rows]
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), batch.column(0))
+            joined = pc.binary_join(lists, ",")
+            whole = pc.binary_join_element_wise(opening, joined, closing, "")
+            yield pa.RecordBatch.from_arrays([whole], ["request"])
+
+    texts = metrics.select(F.to_json(F.struct("*")).alias("metric"))
+    return texts.mapInArrow(envelopes, "request string")
 
 
 def request_metrics(requests: DataFrame) -> DataFrame:
-    """The metrics inside envelopes, one per row."""
+    """The metrics inside envelopes (as read by read_otlp), one per row."""
     return (
         requests.select(F.explode("resource_metrics").alias("r"))
         .select(F.explode("r.instrumentation_library_metrics").alias("l"))
@@ -227,6 +224,16 @@ def request_metrics(requests: DataFrame) -> DataFrame:
     )
 
 
+def parse_requests(requests: DataFrame) -> DataFrame:
+    """Envelopes in JSON as nested columns."""
+    return requests.select(F.inline(F.array(F.from_json("request", REQUEST_DDL))))
+
+
 def write_otlp(requests: DataFrame, path: str) -> None:
     """Envelopes as JSON files, one envelope to a line."""
-    requests.write.mode("append").json(path)
+    requests.write.mode("append").text(path)
+
+
+def read_otlp(spark: SparkSession, path: str) -> DataFrame:
+    """Envelopes from JSON files as nested columns."""
+    return spark.read.schema(REQUEST_DDL).json(path)

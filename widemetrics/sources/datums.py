@@ -96,14 +96,13 @@ def _measurement(value: Column) -> Column:
     )
 
 
-def _datum(wire: str) -> list[Column]:
-    """The canonical columns from a struct of wire ones."""
-    at = (lambda f: F.col(f"{wire}.{f}")) if wire else F.col
-    measurements = F.transform_values(at("measurements"), lambda _, m: _measurement(m["value"]))
+def _datum() -> list[Column]:
+    """The canonical columns from wire ones."""
+    measurements = F.transform_values("measurements", lambda _, m: _measurement(m["value"]))
     return [
-        at("metric").alias("metric"),
-        at("unix_nanos").alias("unix_nanos"),
-        _dimensions(at("dimensions")).alias("dimensions"),
+        F.col("metric"),
+        F.col("unix_nanos"),
+        _dimensions(F.col("dimensions")).alias("dimensions"),
         measurements.alias("measurements"),
     ]
 
@@ -116,11 +115,18 @@ def parse_datums(df: DataFrame, col: str = "value", keep: tuple[str, ...] = ())
     """
     schema = WIRE_DATUM + ", malformed string"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"}
-    parsed = df.select(*keep, F.from_json(col, schema, options).alias("d"))
-    missing = F.when(F.col("d.metric").isNull() | F.col("d.unix_nanos").isNull(), F.lit("{}"))
-    return parsed.select(
-        *keep, *_datum("d"), F.coalesce(F.col("d.malformed"), missing).alias("malformed")
-    )
+    parsed = df.select(*keep, _decoded(F.from_json(col, schema, options)))
+    missing = F.when(F.col("metric").isNull() | F.col("unix_nanos").isNull(), F.lit("{}"))
+    return parsed.select(*keep, *_datum(), F.coalesce("malformed", missing).alias("malformed"))
+
+
+def _decoded(struct: Column) -> Column:
+    """The fields of a decoded struct as columns, by way of a generator.
+
+    A filter on plain fields would be pushed below the projection that decodes
+    them, with a copy of the decoding; it does not pass a generator.
+    """
+    return F.inline(F.array(struct))
 
 
 def read_datums_json(spark: SparkSession, path: str) -> DataFrame:
@@ -183,10 +189,10 @@ def with_prefix(df: DataFrame, prefix: str) -> DataFrame:
 def read_requests(df: DataFrame) -> DataFrame:
     """Datums of a frame of requests in wire form, batch or streaming."""
     each = df.select("shared_dimensions", F.inline("metrics"))
-    plain = each.select(_dimensions(F.col("shared_dimensions")).alias("__shared"), *_datum(""))
+    plain = each.select(_dimensions(F.col("shared_dimensions")).alias("__shared"), *_datum())
     return with_shared_dimensions(plain, F.col("__shared")).drop("__shared")
 
 
 def parse_requests(df: DataFrame, col: str = "value") -> DataFrame:
     """Datums of a frame that holds one JSON request per row."""
-    return read_requests(df.select(F.from_json(col, WIRE_REQUEST).alias("r")).select("r.*"))
+    return read_requests(df.select(_decoded(F.from_json(col, WIRE_REQUEST))))

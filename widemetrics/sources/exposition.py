@@ -14,19 +14,22 @@ from pyspark.sql import functions as F
 
 from widemetrics.functions.bind import let
 from widemetrics.functions.text import parse_float
-from widemetrics.schema import DIMENSION_DDL, HISTOGRAM_DDL, MEASUREMENT_DDL, MEASUREMENT_FIELDS
+from widemetrics.schema import DIMENSION_DDL, MEASUREMENT_DDL, MEASUREMENT_FIELDS
 from widemetrics.sources.datums import table_prefix
 
 # Family kinds; each sample of a scalar family is one datum.
 SCALAR_KINDS = ("gauge", "counter", "untyped", "summary")
 
-_TYPE_LINE = r"^# TYPE (\w+) (\w+)$"
-_QUOTED = r'"(?:[^"\\]|\\.)*"'
-_LABEL = r'(\w+)="((?:[^"\\]|\\.)*)"'
-_BRACES = rf"\{{(?:[^\"}}]|{_QUOTED})*\}}"
-_SAMPLE_VALUE = rf"^\w+(?:{_BRACES})? *([^ ]*)"
+_TYPE_LINE = r"^# TYPE (\w+) (\w+)(?:\n|$)"
+# Possessive throughout: a line is read once, without going back.
+_INSIDE = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+_LABEL = rf'\b(\w++)="({_INSIDE})"'
+_BRACES = rf'\{{(?:[^"}}]++|"{_INSIDE}")*+\}}'
+_SAMPLE_VALUE = rf"^\w++(?:{_BRACES})? *+([^ ]*+)"
 I64_MAX = 9223372036854775807
 
+_SERIES_DDL = "array<struct<labels:array<struct<key:string,value:string>>,bound:bigint,cum:decimal(20,0)>>"
+
 
 def read_scrapes(spark: SparkSession, path: str) -> DataFrame:
     """Landed bodies, one file each: (scrape_id, scraped_at, body)."""
@@ -41,39 +44,36 @@ def read_scrapes(spark: SparkSession, path: str) -> DataFrame:
 def families(df: DataFrame, keep: tuple[str, ...] = ("scrape_id", "scraped_at")) -> DataFrame:
     """Rows (keep.., family, kind, lines): the lines below each TYPE line."""
     body = F.regexp_replace("body", "\r\n", "\n")
-    pieces = F.split(body, r"(?m)(?=^# TYPE \w+ \w+$)")
-    lines = F.split("piece", "\n")
-    head = F.get("all_lines", F.lit(0))
+    piece = F.col("piece")
+    lines = F.split(piece, "\n")
     return (
-        df.select(*keep, F.explode(pieces).alias("piece"))
-        .select(*keep, lines.alias("all_lines"))
-        .where(head.rlike(_TYPE_LINE))
+        df.select(*keep, F.explode(F.split(body, r"(?m)(?=^# TYPE \w+ \w+$)")).alias("piece"))
+        .where(piece.rlike(_TYPE_LINE))
         .select(
             *keep,
-            F.regexp_extract(head, _TYPE_LINE, 1).alias("family"),
-            F.regexp_extract(head, _TYPE_LINE, 2).alias("kind"),
-            F.slice("all_lines", 2, F.greatest(F.size("all_lines"), F.lit(1))).alias("lines"),
+            F.regexp_extract(piece, _TYPE_LINE, 1).alias("family"),
+            F.regexp_extract(piece, _TYPE_LINE, 2).alias("kind"),
+            F.slice(lines, 2, F.size(lines)).alias("lines"),
         )
     )
 
 
-def label_map(line: Column) -> Column:
-    """Labels of a sample; escapes stay as written, the last of equal names wins."""
-    found = F.struct(
-        F.regexp_extract_all(line, F.lit(_LABEL), F.lit(1)).alias("names"),
-        F.regexp_extract_all(line, F.lit(_LABEL), F.lit(2)).alias("texts"),
-    )
+def _names(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(_LABEL), F.lit(1))
 
-    def build(x: Column) -> Column:
-        names, texts = x["names"], x["texts"]
-        pairs = F.arrays_zip(names.alias("k"), texts.alias("v"))
-        last = F.filter(
-            pairs, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["k"])
-        )
-        repeated = F.size(F.array_distinct(names)) < F.size(names)
-        return F.when(repeated, F.map_from_entries(last)).otherwise(F.map_from_arrays(names, texts))
 
-    return let(found, build)
+def _texts(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(_LABEL), F.lit(2))
+
+
+def label_map(names: Column, texts: Column) -> Column:
+    """Labels of a sample; escapes stay as written, the last of equal names wins."""
+    pairs = F.arrays_zip(names.alias("k"), texts.alias("v"))
+    last = F.filter(
+        pairs, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["k"])
+    )
+    repeated = F.size(F.array_distinct(names)) < F.size(names)
+    return F.when(repeated, F.map_from_entries(last)).otherwise(F.map_from_arrays(names, texts))
 
 
 def _string_dimensions(labels: Column) -> Column:
@@ -96,13 +96,16 @@ def _value_measurement() -> Column:
 
 def _bound(le: Column) -> Column:
     """Whole upper bound of an ``le`` label; infinity is the largest BIGINT."""
-    value = parse_float(le)
-    return (
-        F.when(F.isnan(value), F.lit(None))
-        .when(value >= F.lit(float(I64_MAX)), F.lit(I64_MAX))
-        .otherwise(F.ceil(value))
-        .cast("bigint")
-    )
+
+    def whole(value: Column) -> Column:
+        return (
+            F.when(F.isnan(value), F.lit(None))
+            .when(value >= F.lit(float(I64_MAX)), F.lit(I64_MAX))
+            .otherwise(F.ceil(value))
+            .cast("bigint")
+        )
+
+    return let(parse_float(le), whole)
 
 
 def samples(
@@ -123,7 +126,7 @@ def samples(
     """
     kinds = (*SCALAR_KINDS, "histogram")
     rows = pieces.where(F.col("kind").isin(*kinds)).select(
-        *keep, "family", _scalar_run().alias("run"), F.array_sort(_bucket_entries()).alias("e")
+        *keep, "family", _scalar_run().alias("run"), F.sort_array(_bucket_entries()).alias("e")
     )
     # Sorted by (labels, bound, cum): the last of equal (labels, bound) stays.
     e = F.col("e")
@@ -144,12 +147,36 @@ def samples(
     series = F.transform(
         starts, lambda s, j: F.slice(e, s + 1, F.coalesce(F.get(starts, j + 1), F.size(e)) - s)
     )
-    each = F.concat(F.transform("run", _scalar_datum), F.transform(series, _series_datum))
+    no_line = F.lit(None).cast("string").alias("line")
+    no_series = F.lit(None).cast(_SERIES_DDL).alias("d")
+    each = F.concat(
+        F.transform("run", lambda line: F.struct(line.alias("line"), no_series)),
+        F.transform(series, lambda d: F.struct(no_line, d.alias("d"))),
+    )
+    # What follows works on single lines, in generated code.
     out = rows.select(*keep, "family", F.explode(each).alias("x")).select(*keep, "family", "x.*")
-    filled = F.when(
-        F.col("bad_line").isNotNull(), F.coalesce("value", F.lit(bad_value).cast("double"))
-    ).otherwise(F.col("value"))
-    return out.withColumn("value", filled)
+    line, d = F.col("line"), F.col("d")
+    out = out.select(
+        *keep,
+        "family",
+        "line",
+        "d",
+        _names(line).alias("names"),
+        _texts(line).alias("texts"),
+        parse_float(F.regexp_extract(line, _SAMPLE_VALUE, 1)).alias("number"),
+    )
+    is_bad = line.isNotNull() & F.col("number").isNull()
+    of_series = F.map_from_entries(F.get(d, F.lit(0))["labels"])
+    return out.select(
+        *keep,
+        "family",
+        F.when(line.isNotNull(), label_map(F.col("names"), F.col("texts")))
+        .otherwise(of_series)
+        .alias("labels"),
+        F.when(is_bad, F.lit(bad_value).cast("double")).otherwise(F.col("number")).alias("value"),
+        F.when(d.isNotNull(), _plain_histogram(d)).alias("histogram"),
+        F.when(is_bad, line).alias("bad_line"),
+    )
 
 
 def _scalar_run() -> Column:
@@ -164,16 +191,6 @@ def _scalar_run() -> Column:
     return F.when(F.col("kind").isin(*SCALAR_KINDS), run).otherwise(F.array().cast("array<string>"))
 
 
-def _scalar_datum(line: Column) -> Column:
-    number = parse_float(F.regexp_extract(line, _SAMPLE_VALUE, 1))
-    return F.struct(
-        label_map(line).alias("labels"),
-        number.alias("value"),
-        F.lit(None).cast(HISTOGRAM_DDL).alias("histogram"),
-        F.when(number.isNull(), line).alias("bad_line"),
-    )
-
-
 def _bucket_entries() -> Column:
     """(labels but le, whole bound, cumulative count) of a histogram family's lines."""
     bucket_line = F.concat(F.col("family"), F.lit("_bucket{"))
@@ -183,9 +200,12 @@ def _bucket_entries() -> Column:
     def entry(line: Column) -> Column:
         count = F.regexp_extract(line, _SAMPLE_VALUE, 1).try_cast("decimal(20,0)")
         return let(
-            label_map(line),
+            let(
+                F.struct(_names(line).alias("names"), _texts(line).alias("texts")),
+                lambda x: label_map(x["names"], x["texts"]),
+            ),
             lambda labels: F.struct(
-                F.array_sort(F.map_entries(F.map_filter(labels, lambda k, _: k != "le"))).alias(
+                F.sort_array(F.map_entries(F.map_filter(labels, lambda k, _: k != "le"))).alias(
                     "labels"
                 ),
                 _bound(F.element_at(labels, F.lit("le"))).alias("bound"),
@@ -198,17 +218,12 @@ def _bucket_entries() -> Column:
     )
 
 
-def _series_datum(d: Column) -> Column:
+def _plain_histogram(d: Column) -> Column:
     def plain(x: Column, i: Column) -> Column:
         below = F.coalesce(F.get(d, i - 1)["cum"], F.lit(0).cast("decimal(20,0)"))
         return F.struct(x["bound"].alias("bound"), (x["cum"] - below).try_cast("bigint").alias("n"))
 
-    return F.struct(
-        F.map_from_entries(F.get(d, F.lit(0))["labels"]).alias("labels"),
-        F.lit(None).cast("double").alias("value"),
-        F.map_from_entries(F.transform(d, plain)).cast(HISTOGRAM_DDL).alias("histogram"),
-        F.lit(None).cast("string").alias("bad_line"),
-    )
+    return F.map_from_entries(F.transform(d, plain))
 
 
 def decode_prometheus(df: DataFrame, prefix: str = "", bad_value: float | None = None) -> DataFrame:

@@ -55,7 +55,7 @@ def stream_otlp(
     """Each micro-batch becomes envelopes in JSON files."""
     requests = otlp_request(to_otlp(datums), max_metrics)
     writer = (
-        requests.writeStream.format("json")
+        requests.writeStream.format("text")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
