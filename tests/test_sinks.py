@@ -45,6 +45,12 @@ def test_sample_as_otlp(spark):
     assert {r["unit"] for r in got.values()} == {"1"}
 
 
+def test_metrics_have_the_envelope_schema(spark):
+    metrics = otlp.to_otlp(frame(spark, DATUM))
+    declared = spark.createDataFrame([], otlp.METRIC_DDL)
+    assert metrics.schema.simpleString() == declared.schema.simpleString()
+
+
 def test_loose_histograms_have_as_many_counts_as_bounds(spark):
     point = by_name(otlp.to_otlp(frame(spark, DATUM), strict=False))["mm_a_histogram"]["histogram"]["data_points"][0]
     assert point["bucket_counts"] == [2, 4, 6]

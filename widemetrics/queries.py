@@ -18,11 +18,12 @@ from widemetrics.functions.timefn import nanos_to_ts, time_bucket
 from widemetrics.operators import digests, histograms, statsets, wide
 from widemetrics.operators.wide import ColumnSpec, dimension_col, measurement_col
 from widemetrics.plans import panels
-from widemetrics.schema import DIMENSION_DDL, DIMENSION_FIELDS, MEASUREMENT_DDL, MEASUREMENT_FIELDS
 from widemetrics.session import shared_dir
 from widemetrics.sinks import delimited, otlp
 from widemetrics.sinks.store import MetricStore
 from widemetrics.sources import datums, exposition
+from widemetrics.sources.datums import dimension as dim
+from widemetrics.sources.datums import measurement as mea
 from widemetrics.streaming import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,19 +65,6 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
 
 
-def oneof(ddl: str, members: list[str], **given: Column) -> Column:
-    fields = [given.get(m, F.lit(None)).alias(m) for m in members]
-    return F.struct(*fields).cast(ddl)
-
-
-def dim(**given: Column) -> Column:
-    return oneof(DIMENSION_DDL, DIMENSION_FIELDS, **given)
-
-
-def mea(**given: Column) -> Column:
-    return oneof(MEASUREMENT_DDL, MEASUREMENT_FIELDS, **given)
-
-
 def as_map(**entries: Column) -> Column:
     parts: list[Column] = []
     for name, value in entries.items():
@@ -96,15 +84,27 @@ def k_of_props() -> Column:
     return F.get_json_object("props", "$.k").cast("bigint")
 
 
+def as_datums(
+    df: DataFrame, metric: Column, ts: str, dimensions: Column, measurements: Column, *keep: str
+) -> DataFrame:
+    """Rows as datums; the generator keeps filters from copying the maps' construction."""
+    datum = F.struct(
+        metric.alias("metric"),
+        nanos(ts).cast("decimal(20,0)").alias("unix_nanos"),
+        dimensions.alias("dimensions"),
+        measurements.alias("measurements"),
+    )
+    return df.select(*keep, F.inline(F.array(datum)))
+
+
 def event_datums(events: DataFrame) -> DataFrame:
     """metric = event_type; dimensions user_id, event_type; measurements value, k."""
-    return events.select(
-        F.col("event_type").alias("metric"),
-        nanos("ts").cast("decimal(20,0)").alias("unix_nanos"),
-        as_map(
-            user_id=dim(Number=F.col("user_id")), event_type=dim(String=F.col("event_type"))
-        ).alias("dimensions"),
-        as_map(value=mea(F64=F.col("value")), k=mea(I64=k_of_props())).alias("measurements"),
+    return as_datums(
+        events,
+        F.col("event_type"),
+        "ts",
+        as_map(user_id=dim(Number=F.col("user_id")), event_type=dim(String=F.col("event_type"))),
+        as_map(value=mea(F64=F.col("value")), k=mea(I64=k_of_props())),
     )
 
 
@@ -114,13 +114,12 @@ def event_log(events: DataFrame) -> DataFrame:
 
 
 def order_datums(orders: DataFrame) -> DataFrame:
-    return orders.select(
-        F.lit("Orders-Placed").alias("metric"),
-        nanos("o_orderdate").cast("decimal(20,0)").alias("unix_nanos"),
-        as_map(
-            customer=dim(Number=F.col("o_custkey")), status=dim(String=F.col("o_orderstatus"))
-        ).alias("dimensions"),
-        as_map(total=mea(F64=F.col("o_totalprice"))).alias("measurements"),
+    return as_datums(
+        orders,
+        F.lit("Orders-Placed"),
+        "o_orderdate",
+        as_map(customer=dim(Number=F.col("o_custkey")), status=dim(String=F.col("o_orderstatus"))),
+        as_map(total=mea(F64=F.col("o_totalprice"))),
     )
 
 
@@ -435,21 +434,19 @@ def measurement_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shifting_datums(events: DataFrame) -> DataFrame:
     """Datums whose measurement changes type, with keys that need cleaning."""
     odd = F.col("event_id") % 2 == 1
-    return events.select(
-        F.concat(F.lit("Svc."), F.col("event_type")).alias("metric"),
-        nanos("ts").cast("decimal(20,0)").alias("unix_nanos"),
-        F.create_map(
-            F.lit("User-Id"), dim(Number=F.col("user_id")),
-            F.lit("time"), dim(String=F.col("event_type")),
-            F.lit("unset"), dim(),
-        ).alias("dimensions"),
-        F.create_map(
-            F.lit("reading"),
-            F.when(odd, mea(I64=k_of_props())).otherwise(mea(F64=F.col("value"))),
-            F.lit("Reading"), mea(F32=F.col("value").cast("float")),
-            F.lit("k"), mea(I32=k_of_props().cast("int")),
-        ).alias("measurements"),
-    )
+    reading = F.when(odd, mea(I64=k_of_props())).otherwise(mea(F64=F.col("value")))
+    dimensions = {
+        "User-Id": dim(Number=F.col("user_id")),
+        "time": dim(String=F.col("event_type")),
+        "unset": dim(),
+    }
+    measurements = {
+        "reading": reading,
+        "Reading": mea(F32=F.col("value").cast("float")),
+        "k": mea(I32=k_of_props().cast("int")),
+    }
+    metric = F.concat(F.lit("Svc."), F.col("event_type"))
+    return as_datums(events, metric, "ts", as_map(**dimensions), as_map(**measurements))
 
 
 @query(
@@ -960,11 +957,8 @@ def type_conflict_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(
         k_of_props() % 10 == 3, dim(String=F.concat(F.lit("x"), F.col("user_id").cast("string")))
     ).otherwise(dim(Number=F.col("user_id")))
-    rows = events.select(
-        F.col("event_type").alias("metric"),
-        nanos("ts").cast("decimal(20,0)").alias("unix_nanos"),
-        as_map(code=code).alias("dimensions"),
-        as_map(value=mea(F64=F.col("value"))).alias("measurements"),
+    rows = as_datums(
+        events, F.col("event_type"), "ts", as_map(code=code), as_map(value=mea(F64=F.col("value")))
     )
     columns = [
         ColumnSpec("code", "dimension", "bigint", (("dimension", "code"),)),

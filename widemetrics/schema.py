@@ -11,11 +11,24 @@ TDIGEST_DDL = (
 )
 
 # One field per member of the wire oneof; at most one of them is not null.
-DIMENSION_DDL = "struct<String:string,Number:decimal(20,0),Boolean:boolean>"
-MEASUREMENT_DDL = (
-    "struct<I64:bigint,I32:int,F64:double,F32:float,"
-    f"StatisticSet:{STATSET_DDL},Histogram:{HISTOGRAM_DDL},Tdigest:{TDIGEST_DDL}>"
-)
+DIMENSION_MEMBERS = {"String": "string", "Number": "decimal(20,0)", "Boolean": "boolean"}
+MEASUREMENT_MEMBERS = {
+    "I64": "bigint",
+    "I32": "int",
+    "F64": "double",
+    "F32": "float",
+    "StatisticSet": STATSET_DDL,
+    "Histogram": HISTOGRAM_DDL,
+    "Tdigest": TDIGEST_DDL,
+}
+
+
+def _struct_ddl(members: dict[str, str]) -> str:
+    return "struct<" + ",".join(f"{name}:{ddl}" for name, ddl in members.items()) + ">"
+
+
+DIMENSION_DDL = _struct_ddl(DIMENSION_MEMBERS)
+MEASUREMENT_DDL = _struct_ddl(MEASUREMENT_MEMBERS)
 
 # unix_nanos is an unsigned 64-bit number on the wire.
 DATUM_DDL = (
@@ -39,8 +52,6 @@ COLUMN_TYPES = [
     ("measurement", "Histogram", "histogram"),
     ("measurement", "Tdigest", "tdigest"),
 ]
-DIMENSION_FIELDS = [field for kind, field, _ in COLUMN_TYPES if kind == "dimension"]
-MEASUREMENT_FIELDS = [field for kind, field, _ in COLUMN_TYPES if kind == "measurement"]
 
 SPARK_TYPES = {
     "string": "string",

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from widemetrics.functions import digest
-from widemetrics.schema import MEASUREMENT_FIELDS
+from widemetrics.schema import MEASUREMENT_MEMBERS
 from widemetrics.sources.datums import wrap_u64
 
 ATTRIBUTES_DDL = (
@@ -58,7 +58,7 @@ def attributes(dimensions: Column | str) -> Column:
         | e["value"]["Number"].isNotNull()
         | e["value"]["Boolean"].isNotNull(),
     )
-    pairs = F.transform(
+    return F.transform(
         given,
         lambda e: F.struct(
             e["key"].alias("key"),
@@ -69,16 +69,15 @@ def attributes(dimensions: Column | str) -> Column:
             ).alias("value"),
         ),
     )
-    return pairs.cast(ATTRIBUTES_DDL)
 
 
-def _points(given: Column, ddl: str, *fields: Column) -> Column:
+def _points(given: Column, *fields: Column) -> Column:
     common = [
         F.col("attributes"),
         F.lit(0).cast("decimal(20,0)").alias("start_time_unix_nano"),
         F.col("time_unix_nano"),
     ]
-    return F.when(given, F.array(F.struct(*common, *fields)).cast(f"array<{ddl}>"))
+    return F.when(given, F.array(F.struct(*common, *fields)))
 
 
 def _quantiles(pairs: Sequence[tuple[float, Column]]) -> Column:
@@ -100,7 +99,6 @@ def _gauge(m: Column) -> Column:
     real = F.coalesce(m["F64"], m["F32"].cast("double"))
     points = _points(
         whole.isNotNull() | real.isNotNull(),
-        NUMBER_POINT_DDL,
         whole.alias("as_int"),
         real.alias("as_double"),
     )
@@ -111,14 +109,12 @@ def _summary(m: Column) -> Column:
     s, t = m["StatisticSet"], m["Tdigest"]
     of_set = _points(
         s.isNotNull(),
-        SUMMARY_POINT_DDL,
         unsigned(s["samplecount"]).alias("count"),
         s["samplesum"].alias("sum"),
         _quantiles([(0.0, s["minimum"]), (1.0, s["maximum"])]).alias("quantile_values"),
     )
     of_digest = _points(
         t.isNotNull(),
-        SUMMARY_POINT_DDL,
         unsigned(t["count"]).alias("count"),
         t["sum"].alias("sum"),
         _quantiles([(q, digest.quantile(t, q)) for q in DIGEST_QUANTILES]).alias("quantile_values"),
@@ -144,7 +140,6 @@ def _histogram(m: Column, strict: bool) -> Column:
         counts = F.concat(counts, F.array(F.lit(0).cast("bigint")))
     points = _points(
         h.isNotNull(),
-        HISTOGRAM_POINT_DDL,
         total.alias("count"),
         approximate.alias("sum"),
         counts.alias("bucket_counts"),
@@ -174,7 +169,7 @@ def to_otlp(df: DataFrame, strict: bool = True, description: str = DESCRIPTION)
     )
     m = F.col("m")
     is_set = F.lit(False)
-    for member in MEASUREMENT_FIELDS:
+    for member in MEASUREMENT_MEMBERS:
         is_set = is_set | m[member].isNotNull()
     return each.where(is_set).select(
         F.concat_ws("_", "metric", "key").alias("name"),

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from widemetrics.schema import DIMENSION_DDL, DIMENSION_FIELDS, STATSET_DDL
+from widemetrics.schema import DIMENSION_DDL, DIMENSION_MEMBERS, MEASUREMENT_MEMBERS, STATSET_DDL
 
 # As sent: every oneof sits in a "value" wrapper, map keys are strings and
 # unsigned numbers need twenty digits.
@@ -146,19 +146,32 @@ def overlay(dimensions: Column, shared: Column) -> Column:
     return F.when(F.size(shared) > 0, F.map_concat(own, shared)).otherwise(dimensions)
 
 
+def dimension(**given: Column) -> Column:
+    """A dimension with one member set, e.g. ``dimension(String=col)``."""
+    return _oneof(DIMENSION_MEMBERS, given)
+
+
+def measurement(**given: Column) -> Column:
+    """A measurement with one member set, e.g. ``measurement(F64=col)``."""
+    return _oneof(MEASUREMENT_MEMBERS, given)
+
+
+def _oneof(members: Mapping[str, str], given: Mapping[str, Column]) -> Column:
+    unknown = set(given) - set(members)
+    if unknown:
+        raise ValueError(f"no such member: {sorted(unknown)}")
+    return F.struct(
+        *[given.get(name, F.lit(None)).cast(ddl).alias(name) for name, ddl in members.items()]
+    )
+
+
 def dimension_map(values: Mapping[str, str | int | bool]) -> Column:
     """A literal map of dimensions from plain Python values."""
     parts: list[Column] = []
     for name, value in values.items():
         member = {str: "String", int: "Number", bool: "Boolean"}[type(value)]
-        fields = [
-            F.lit(value if field == member else None).cast(
-                {"String": "string", "Number": "decimal(20,0)", "Boolean": "boolean"}[field]
-            ).alias(field)
-            for field in DIMENSION_FIELDS
-        ]
-        parts += [F.lit(name), F.struct(*fields)]
-    return F.create_map(*parts).cast(f"map<string,{DIMENSION_DDL}>")
+        parts += [F.lit(name), dimension(**{member: F.lit(value)})]
+    return F.create_map(*parts) if parts else F.create_map().cast(f"map<string,{DIMENSION_DDL}>")
 
 
 def dimensions_from_json(text: str) -> dict[str, str | int | bool]:

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from widemetrics.functions.bind import let
 from widemetrics.functions.text import parse_float
-from widemetrics.schema import DIMENSION_DDL, MEASUREMENT_DDL, MEASUREMENT_FIELDS
-from widemetrics.sources.datums import table_prefix
+from widemetrics.sources.datums import dimension, measurement, table_prefix
 
 # Family kinds; each sample of a scalar family is one datum.
 SCALAR_KINDS = ("gauge", "counter", "untyped", "summary")
@@ -76,24 +75,6 @@ def label_map(names: Column, texts: Column) -> Column:
     return F.when(repeated, F.map_from_entries(last)).otherwise(F.map_from_arrays(names, texts))
 
 
-def _string_dimensions(labels: Column) -> Column:
-    value = F.transform_values(
-        labels,
-        lambda _, v: F.struct(
-            v.alias("String"),
-            F.lit(None).cast("decimal(20,0)").alias("Number"),
-            F.lit(None).cast("boolean").alias("Boolean"),
-        ),
-    )
-    return value.cast(f"map<string,{DIMENSION_DDL}>")
-
-
-def _value_measurement() -> Column:
-    given = {"F64": F.col("value"), "Histogram": F.col("histogram")}
-    fields = [given.get(name, F.lit(None)).alias(name) for name in MEASUREMENT_FIELDS]
-    return F.create_map(F.lit("value"), F.struct(*fields)).cast(f"map<string,{MEASUREMENT_DDL}>")
-
-
 def _bound(le: Column) -> Column:
     """Whole upper bound of an ``le`` label; infinity is the largest BIGINT."""
 
@@ -233,10 +214,13 @@ def decode_prometheus(df: DataFrame, prefix: str = "", bad_value: float | None =
     also has ``malformed``: the line, where its number did not parse.
     """
     nanos = (F.unix_micros(F.col("scraped_at").cast("timestamp")) * 1000).cast("decimal(20,0)")
+    value = F.when(
+        F.col("histogram").isNotNull(), measurement(Histogram=F.col("histogram"))
+    ).otherwise(measurement(F64=F.col("value")))
     return samples(families(df), bad_value).select(
         F.concat(F.lit(table_prefix(prefix)), F.col("family")).alias("metric"),
         nanos.alias("unix_nanos"),
-        _string_dimensions(F.col("labels")).alias("dimensions"),
-        _value_measurement().alias("measurements"),
+        F.transform_values("labels", lambda _, v: dimension(String=v)).alias("dimensions"),
+        F.create_map(F.lit("value"), value).alias("measurements"),
         F.col("bad_line").alias("malformed"),
     )
