@@ -45,15 +45,15 @@ def to_text(col: Column | str) -> Column:
     )
 
 
-def quantile(col: Column | str, q: float) -> Column:
+def quantile(col: Column | str, q: float | Column) -> Column:
     """Estimate the q-quantile by straight lines between centroid middles.
 
     The line starts at the digest's minimum and ends at its maximum.
     """
-    if not 0.0 <= q <= 1.0:
+    if not isinstance(q, Column) and not 0.0 <= q <= 1.0:
         raise ValueError("q must lie between 0 and 1")
     col = _col(col)
-    target = F.lit(q) * col["count"]
+    target = (q if isinstance(q, Column) else F.lit(q)) * col["count"]
     number = "cast(null as double)"
     start = F.struct(
         F.lit(0).cast("bigint").alias("seen"),

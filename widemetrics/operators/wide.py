@@ -53,29 +53,44 @@ def observed_keys(df: DataFrame) -> DataFrame:
     ``uniform`` says that the key has one type and no value beyond its range.
     """
     largest = F.lit("9223372036854775807").cast("decimal(20,0)")
-
-    def pairs(name: str, members: list[tuple[int, str]]) -> Column:
-        def pair(e: Column) -> Column:
-            over = e["value"]["Number"] > largest if name == "dimensions" else F.lit(False)
-            return F.struct(
-                e["key"].alias("key"),
-                _rank_of(e["value"], members).alias("rank"),
-                F.coalesce(over, F.lit(False)).alias("over"),
-            )
-
-        return F.transform(F.map_entries(name), pair)
-
-    entries = F.concat(pairs("dimensions", _DIMENSIONS), pairs("measurements", _MEASUREMENTS))
-    micros = F.unix_micros(nanos_to_ts("unix_nanos"))
-    uniform = (F.min("e.rank") == F.max("e.rank")) & ~F.max("e.over")
+    none = F.array().cast("array<string>")
+    keys = F.concat(
+        F.coalesce(F.map_keys("dimensions"), none), F.coalesce(F.map_keys("measurements"), none)
+    )
+    # Values are then taken by position: all of this is generated code, where
+    # an array of (key, type) pairs would be built by an interpreted lambda.
+    each = df.select(
+        "metric",
+        F.unix_micros(nanos_to_ts("unix_nanos")).alias("micros"),
+        "dimensions",
+        "measurements",
+        F.posexplode(keys).alias("pos", "key"),
+    )
+    split = F.coalesce(F.size("dimensions"), F.lit(0))
+    is_dimension = F.col("pos") < split
+    dimension = F.get(F.map_values("dimensions"), F.col("pos"))
+    measurement = F.get(F.map_values("measurements"), F.col("pos") - split)
+    ranked = each.select(
+        "metric",
+        "micros",
+        "key",
+        is_dimension.alias("is_dimension"),
+        F.when(is_dimension, _rank_of(dimension, _DIMENSIONS))
+        .otherwise(_rank_of(measurement, _MEASUREMENTS))
+        .alias("rank"),
+        F.coalesce(is_dimension & (dimension["Number"] > largest), F.lit(False)).alias("over"),
+    )
+    rank = F.col("rank")
+    uniform = (F.min(rank) == F.max(rank)) & ~F.max("over")
+    # Unset values have no rank; aggregates skip them, and a key with no other
+    # value goes away afterwards, so the ranks are not worked out twice.
     return (
-        df.select("metric", micros.alias("micros"), F.explode(entries).alias("e"))
-        .where("e.rank is not null")
-        .groupBy("metric", (F.col("e.rank") < len(_DIMENSIONS)).alias("is_dimension"), "e.key")
+        ranked.groupBy("metric", "is_dimension", "key")
         .agg(
-            F.min(F.col("micros") * len(COLUMN_TYPES) + F.col("e.rank")).alias("first"),
+            F.min(F.col("micros") * len(COLUMN_TYPES) + rank).alias("first"),
             uniform.alias("uniform"),
         )
+        .where(F.col("first").isNotNull())
     )
 
 

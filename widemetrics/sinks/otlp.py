@@ -71,19 +71,17 @@ def attributes(dimensions: Column | str) -> Column:
     )
 
 
-def _points(given: Column, *fields: Column) -> Column:
+def _points(*fields: Column) -> Column:
     common = [
         F.col("attributes"),
         F.lit(0).cast("decimal(20,0)").alias("start_time_unix_nano"),
         F.col("time_unix_nano"),
     ]
-    return F.when(given, F.array(F.struct(*common, *fields)))
+    return F.array(F.struct(*common, *fields)).alias("data_points")
 
 
-def _quantiles(pairs: Sequence[tuple[float, Column]]) -> Column:
-    return F.array(
-        *[F.struct(F.lit(q).alias("quantile"), v.alias("value")) for q, v in pairs]
-    )
+def _at_quantile(q: Column, value: Column) -> Column:
+    return F.struct(q.alias("quantile"), value.alias("value"))
 
 
 def unsigned(col: Column) -> Column:
@@ -97,30 +95,25 @@ def unsigned(col: Column) -> Column:
 def _gauge(m: Column) -> Column:
     whole = F.coalesce(m["I64"], m["I32"].cast("bigint"))
     real = F.coalesce(m["F64"], m["F32"].cast("double"))
-    points = _points(
-        whole.isNotNull() | real.isNotNull(),
-        whole.alias("as_int"),
-        real.alias("as_double"),
-    )
-    return F.when(points.isNotNull(), F.struct(points.alias("data_points")))
+    points = _points(whole.alias("as_int"), real.alias("as_double"))
+    return F.when(whole.isNotNull() | real.isNotNull(), F.struct(points))
 
 
 def _summary(m: Column) -> Column:
     s, t = m["StatisticSet"], m["Tdigest"]
-    of_set = _points(
-        s.isNotNull(),
-        unsigned(s["samplecount"]).alias("count"),
-        s["samplesum"].alias("sum"),
-        _quantiles([(0.0, s["minimum"]), (1.0, s["maximum"])]).alias("quantile_values"),
+    of_digest = F.transform(
+        F.array(*[F.lit(q) for q in DIGEST_QUANTILES]),
+        lambda q: _at_quantile(q, digest.quantile(t, q)),
     )
-    of_digest = _points(
-        t.isNotNull(),
-        unsigned(t["count"]).alias("count"),
-        t["sum"].alias("sum"),
-        _quantiles([(q, digest.quantile(t, q)) for q in DIGEST_QUANTILES]).alias("quantile_values"),
+    of_set = F.array(
+        _at_quantile(F.lit(0.0), s["minimum"]), _at_quantile(F.lit(1.0), s["maximum"])
     )
-    points = F.coalesce(of_set, of_digest)
-    return F.when(points.isNotNull(), F.struct(points.alias("data_points")))
+    points = _points(
+        unsigned(F.coalesce(s["samplecount"], t["count"])).alias("count"),
+        F.coalesce(s["samplesum"], t["sum"]).alias("sum"),
+        F.when(s.isNotNull(), of_set).otherwise(of_digest).alias("quantile_values"),
+    )
+    return F.when(s.isNotNull() | t.isNotNull(), F.struct(points))
 
 
 def _histogram(m: Column, strict: bool) -> Column:
@@ -139,7 +132,6 @@ def _histogram(m: Column, strict: bool) -> Column:
         # One count more than bounds: nothing lies above the last bound.
         counts = F.concat(counts, F.array(F.lit(0).cast("bigint")))
     points = _points(
-        h.isNotNull(),
         total.alias("count"),
         approximate.alias("sum"),
         counts.alias("bucket_counts"),
@@ -147,7 +139,7 @@ def _histogram(m: Column, strict: bool) -> Column:
     )
     return F.when(
         h.isNotNull(),
-        F.struct(F.lit(DELTA_TEMPORALITY).alias("aggregation_temporality"), points.alias("data_points")),
+        F.struct(F.lit(DELTA_TEMPORALITY).alias("aggregation_temporality"), points),
     )
 
 
