@@ -688,7 +688,8 @@ def seh_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Cells 2**-12 of a value's magnitude wide, then centroids on the arcsine scale.
 SQL_CENTROIDS = """
     with c as (select event_type as g,
-                      floor(value * pow(2, 12 - floor(log2(abs(value))))) * pow(2, floor(log2(abs(value))) - 12) as cell,
+                      case when value = 0 then 0 else floor(value * pow(2, 12 - floor(log2(abs(value))))) *
+                           pow(2, floor(log2(abs(value))) - 12) end as cell,
                       count(*) as w, sum(value) as total from events group by 1, 2),
          r as (select g, w, total, sum(w) over (partition by g order by cell rows unbounded preceding) as upto,
                       sum(w) over (partition by g) as n from c),
