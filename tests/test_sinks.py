@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from samples import DATUM, datum, frame
 
 from widemetrics.operators import wide
+from widemetrics.plans import panels
 from widemetrics.session import shared_dir
 from widemetrics.sinks import otlp
 from widemetrics.sinks.store import MetricStore, write_metrics
@@ -124,6 +125,18 @@ def test_time_bounds_prune_chunks(spark):
     assert "PushedFilters: [" in plan and "GreaterThan(time" in plan
 
 
+def test_time_range_on_a_frame_with_its_chunks(spark):
+    s = store(spark)
+    s.write(hourly(spark, range(72)))
+    rows = s.read("m", layout=True)
+    lo = F.lit("2024-01-02 05:00:00").cast("timestamp")
+    hi = F.lit("2024-01-02 08:00:00").cast("timestamp")
+    found = panels.time_range(rows, lo, hi)
+    assert values(found) == [30, 31, 32]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "chunk" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_columns_heal_and_types_stay(spark):
     s = store(spark)
     s.write(hourly(spark, [0]))

@@ -26,10 +26,11 @@ def test_sample_datum(spark):
 
 
 def test_what_is_no_datum_is_kept_as_text(spark):
-    rows = spark.createDataFrame([(DATUM,), ("nope",), ('{"metric":"m"}',)], "value string")
+    texts = [DATUM, "nope", '{"metric":"m"}', "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "value string")
     good, bad = datums.split_malformed(datums.parse_datums(rows))
     assert good.count() == 1
-    assert sorted(r[0] for r in bad.collect()) == ["nope", "{}"]
+    assert sorted(r[0] for r in bad.collect()) == ["", "", "nope", '{"metric":"m"}']
 
 
 def test_datum_files(spark, tmp_path):
@@ -38,6 +39,24 @@ def test_datum_files(spark, tmp_path):
     assert sorted(r["metric"] for r in good.collect()) == ["mm", "x"]
 
 
+def test_datum_files_over_several_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(json.loads(DATUM), indent=2))
+    (tmp_path / "b.json").write_text("[" + datum("x", 1) + ",\n" + datum("y", 2) + "]")
+    (tmp_path / "c.json").write_text('{"metric":"z"}')
+    good, bad = datums.split_malformed(datums.read_datums_json(spark, str(tmp_path), multiline=True))
+    assert sorted(r["metric"] for r in good.collect()) == ["mm", "x", "y"]
+    assert [r[0] for r in bad.collect()] == ['{"metric":"z"}']
+
+
+def test_decoding_happens_once(spark):
+    rows = spark.createDataFrame([(DATUM,)], "value string")
+    good, _ = datums.split_malformed(datums.parse_datums(rows))
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1
+    requests = datums.parse_requests(rows)._jdf.queryExecution().executedPlan().toString()
+    assert requests.count("from_json") == 1
+
+
 def test_unsigned_counts_wrap(spark):
     text = datum(meas={"s": {"StatisticSet": {"minimum": 0, "maximum": 0, "samplesum": 0, "samplecount": 2**64 - 1}}})
     assert frame(spark, text).first()["measurements"]["s"]["StatisticSet"]["samplecount"] == -1

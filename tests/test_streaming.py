@@ -9,7 +9,7 @@ from widemetrics.operators import histograms
 from widemetrics.session import shared_dir
 from widemetrics.sinks import otlp
 from widemetrics.sinks.store import MetricStore
-from widemetrics.sources.datums import parse_datums
+from widemetrics.sources.datums import parse_datums, parse_requests
 from widemetrics.streaming import pipelines
 
 START = 1704067200 * 10**9
@@ -69,6 +69,16 @@ def test_both_consumers_see_every_datum(spark, inbox):
     assert sorted(r[0] for r in points.collect()) == list(range(7))
 
 
+def test_stream_of_requests(spark, inbox):
+    folder = shared_dir(spark, "s")
+    shared = '{"shared_dimensions":{"az":{"value":{"String":"z1"}}},"metrics":[%s,%s]}'
+    drop(inbox, "a", shared % (one(1), one(2)))
+    datums = parse_requests(spark.readStream.text(str(inbox)))
+    pipelines.stream_wide(datums, f"{folder}/t", f"{folder}/c", None).awaitTermination(60)
+    rows = MetricStore(spark, f"{folder}/t").read("m").collect()
+    assert sorted((r["az"], r["v"]) for r in rows) == [("z1", 1), ("z1", 2)]
+
+
 def test_paced_trigger(spark, inbox):
     folder = shared_dir(spark, "s")
     drop(inbox, "a", one(1))

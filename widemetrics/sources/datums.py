@@ -107,17 +107,24 @@ def _datum() -> list[Column]:
     ]
 
 
+_PARSE_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"}
+
+
 def parse_datums(df: DataFrame, col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Decode one JSON datum per row.
 
     The text of a row that is not a datum lands in ``malformed``; its other
     columns are empty. Nothing is dropped.
     """
-    schema = WIRE_DATUM + ", malformed string"
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"}
-    parsed = df.select(*keep, _decoded(F.from_json(col, schema, options)))
-    missing = F.when(F.col("metric").isNull() | F.col("unix_nanos").isNull(), F.lit("{}"))
-    return parsed.select(*keep, *_datum(), F.coalesce("malformed", missing).alias("malformed"))
+    wire = F.from_json(col, WIRE_DATUM + ", malformed string", _PARSE_OPTIONS)
+    parsed = df.select(*keep, F.col(col).alias("__text"), _decoded(wire))
+    return _canonical(parsed, F.col("__text"), keep)
+
+
+def _canonical(parsed: DataFrame, text: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    unnamed = F.col("metric").isNull() | F.col("unix_nanos").isNull()
+    malformed = F.coalesce("malformed", F.when(unnamed, F.coalesce(text, F.lit(""))))
+    return parsed.select(*keep, *_datum(), malformed.alias("malformed"))
 
 
 def _decoded(struct: Column) -> Column:
@@ -129,9 +136,13 @@ def _decoded(struct: Column) -> Column:
     return F.inline(F.array(struct))
 
 
-def read_datums_json(spark: SparkSession, path: str) -> DataFrame:
-    """Files of JSON datums, one to a line."""
-    return parse_datums(spark.read.text(path))
+def read_datums_json(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Files of JSON datums, one to a line, or one (or an array of them) to a file."""
+    if not multiline:
+        return parse_datums(spark.read.text(path))
+    reader = spark.read.schema(WIRE_DATUM + ", malformed string").options(**_PARSE_OPTIONS)
+    given = F.to_json(F.struct("metric", "unix_nanos", "dimensions", "measurements"))
+    return _canonical(reader.json(path, multiLine=True), given)
 
 
 def split_malformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
