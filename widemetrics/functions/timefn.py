@@ -11,7 +11,13 @@ from widemetrics.schema import FINE_CHUNK_SECONDS
 def nanos_to_ts(nanos: Column | str) -> Column:
     """Nanoseconds since the epoch to a microsecond TIMESTAMP, rounded half up."""
     nanos = F.col(nanos) if isinstance(nanos, str) else nanos
-    return F.timestamp_micros(F.call_function("div", nanos + F.lit(500), F.lit(1000)))
+
+    def micros(n: Column) -> Column:
+        up = F.when(n % F.lit(1000) >= F.lit(500), F.lit(1)).otherwise(F.lit(0))
+        return F.call_function("div", n, F.lit(1000)) + up
+
+    # Times before the year 2262 fit a BIGINT and need no decimal arithmetic.
+    return F.timestamp_micros(F.coalesce(micros(nanos.try_cast("bigint")), micros(nanos)))
 
 
 def ts_to_nanos(ts: Column | str) -> Column:

@@ -59,13 +59,13 @@ def observed_keys(df: DataFrame) -> DataFrame:
     )
     # Values are then taken by position: all of this is generated code, where
     # an array of (key, type) pairs would be built by an interpreted lambda.
-    each = df.select(
+    timed = df.select(
         "metric",
         F.unix_micros(nanos_to_ts("unix_nanos")).alias("micros"),
         "dimensions",
         "measurements",
-        F.posexplode(keys).alias("pos", "key"),
     )
+    each = timed.select("*", F.posexplode(keys).alias("pos", "key"))
     split = F.coalesce(F.size("dimensions"), F.lit(0))
     is_dimension = F.col("pos") < split
     dimension = F.get(F.map_values("dimensions"), F.col("pos"))
