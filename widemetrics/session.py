@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -26,13 +29,17 @@ def local_session(cores: str = "*", app: str = "widemetrics", **conf: str) -> Sp
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder under the one the cluster names in spark.checkpoint.dir.
 
-    Only a local master may fall back to a folder of this machine.
+    A local session without that setting gets a folder of its own, named in
+    the setting from then on and removed when Python ends; any other master
+    must name one that every executor reaches.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="widemetrics-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
