@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from widemetrics.llm import mixing, pii, sharding
+from widemetrics.llm import langid, mixing, packing, pii, sharding
 from widemetrics.llm.common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,29 @@ EXAMPLE_KEY = b"an example key, not a secret"
 ALPHA = 0.5
 
 
+#: The file of token ids that op4 counts with; a path, so that a cluster can name its own.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def crc_part(parts: int) -> Column:
+    """crc32 of doc_id as text, modulo parts; 0 without a doc_id."""
+    named = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return F.coalesce(F.pmod(named, F.lit(parts)), F.lit(0))
+
+
+def op1_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_part(3) == 1
+    model = langid.fit(docs, learn=~held_out)
+    return langid.identified(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
+
+
 def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), alpha=ALPHA, seed=7)
     return mixed.select("doc_id", "source", "text", "copy", "n_copies", "shuffle_key")
@@ -54,6 +77,19 @@ from copies
 """
 
 
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        F.col("example_tokens").alias("doc_tokens"),
+        "sequence_id",
+        "offset",
+    )
+
+
 def op8_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shuffled_shards(table(spark, sf_dir, "documents"), shards=40, seed=11)
     return placed.select(
@@ -73,7 +109,9 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: dict[str, Query] = {
+    "op1_centroid_language": op1_centroid_language,
     "op3_poisson_mixing": op3_poisson_mixing,
+    "op4_vector_packing": op4_vector_packing,
     "op8_two_pass_shuffle": op8_two_pass_shuffle,
     "op10_feistel_pseudonyms": op10_feistel_pseudonyms,
 }
