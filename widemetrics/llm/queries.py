@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from widemetrics.llm import langid, mixing, packing, pii, sharding
+from widemetrics.llm import dedup, langid, mixing, packing, pii, sharding
 from widemetrics.llm.common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,30 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_golomb_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = dedup.exact_groups(table(spark, sf_dir, "documents"))
+    return groups.select(
+        F.col("id").alias("doc_id"),
+        "keep_id",
+        "group_size",
+        "kept",
+        F.lower(F.hex("sha")).alias("text_sha256"),
+    )
+
+
+OP5_SQL = """
+with normal as (
+  select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') as t
+  from documents
+)
+select doc_id, max(doc_id) over (partition by t) as keep_id,
+  count(*) over (partition by t) as group_size,
+  doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
+from normal
+"""
+
+
 def op8_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shuffled_shards(table(spark, sf_dir, "documents"), shards=40, seed=11)
     return placed.select(
@@ -112,11 +136,15 @@ _QUERIES: dict[str, Query] = {
     "op1_centroid_language": op1_centroid_language,
     "op3_poisson_mixing": op3_poisson_mixing,
     "op4_vector_packing": op4_vector_packing,
+    "op5_golomb_dedup": op5_golomb_dedup,
     "op8_two_pass_shuffle": op8_two_pass_shuffle,
     "op10_feistel_pseudonyms": op10_feistel_pseudonyms,
 }
 
-_ORACLES: dict[str, str] = {"op3_poisson_mixing": OP3_SQL}
+_ORACLES: dict[str, str] = {
+    "op3_poisson_mixing": OP3_SQL,
+    "op5_golomb_dedup": OP5_SQL,
+}
 
 
 def queries() -> dict[str, Query]:
