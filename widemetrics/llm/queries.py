@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from widemetrics.llm import dedup, langid, mixing, packing, pii, sharding
+from widemetrics.llm import dedup, langid, mixing, packing, pii, sharding, topk
 from widemetrics.llm.common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +127,29 @@ def op8_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP9_SQL = """
+with finite as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id,
+    list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+  from finite q join finite c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+    and len(q.v) = len(c.v)
+), ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank
+  from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+
 def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), EXAMPLE_KEY)
     return out.select("doc_id", "text", F.size("pii_spans").cast("bigint").alias("n_replaced"), "pii_spans")
@@ -138,12 +161,14 @@ _QUERIES: dict[str, Query] = {
     "op4_vector_packing": op4_vector_packing,
     "op5_golomb_dedup": op5_golomb_dedup,
     "op8_two_pass_shuffle": op8_two_pass_shuffle,
+    "op9_dual_tree": op9_dual_tree,
     "op10_feistel_pseudonyms": op10_feistel_pseudonyms,
 }
 
 _ORACLES: dict[str, str] = {
     "op3_poisson_mixing": OP3_SQL,
     "op5_golomb_dedup": OP5_SQL,
+    "op9_dual_tree": OP9_SQL,
 }
 
 
