@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from widemetrics.llm import dedup, langid, mixing, packing, pii, sharding, topk
+from widemetrics.llm import dedup, langid, mixing, packing, pii, quality, sharding, topk
 from widemetrics.llm.common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,16 @@ def op1_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
 
 
+def op2_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_part(5) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), learn=~held_out)
+    scored = quality.scored(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
+    score = F.col("quality_score")
+    return scored.select(
+        "doc_id", "held_out", score.alias("score"), (score >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), alpha=ALPHA, seed=7)
     return mixed.select("doc_id", "source", "text", "copy", "n_copies", "shuffle_key")
@@ -157,6 +167,7 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES: dict[str, Query] = {
     "op1_centroid_language": op1_centroid_language,
+    "op2_passage_quality": op2_passage_quality,
     "op3_poisson_mixing": op3_poisson_mixing,
     "op4_vector_packing": op4_vector_packing,
     "op5_golomb_dedup": op5_golomb_dedup,
