@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from widemetrics.llm import dedup, langid, mixing, packing, pii, quality, sharding, topk
+from widemetrics.llm import dedup, langid, mixing, packing, pii, quality, repeats, sharding, topk
 from widemetrics.llm.common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,41 @@ from normal
 """
 
 
+def op6_doubling_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeated_words(table(spark, sf_dir, "documents"), length=50)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP6_SQL = """
+with split as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),
+    lambda w: w <> '') as w
+  from documents
+), runs as (
+  select doc_id, unnest(range(1, len(w) - 48)) as i, w from split where len(w) >= 50
+), windows as (
+  select doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) as h from runs
+), firsts as (
+  select h, min(doc_id) as first from windows group by h
+), gone as (
+  select distinct doc_id, unnest(range(i, i + 50)) as place
+  from windows join firsts using (h) where first < doc_id
+), words as (
+  select doc_id, unnest(w) as word, generate_subscripts(w, 1) as place from split
+), marked as (
+  select w.*, g.place is not null as out from words w
+  left join gone g on w.doc_id = g.doc_id and w.place = g.place
+), counted as (
+  select doc_id, count(*) as n_words, count_if(out)::bigint as n_removed,
+    string_agg(case when not out then word end, ' ' order by place) as kept
+  from marked group by doc_id
+)
+select s.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed,
+  sha256(coalesce(kept, '')) as kept_sha256
+from split s left join counted c on s.doc_id = c.doc_id
+"""
+
+
 def op8_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shuffled_shards(table(spark, sf_dir, "documents"), shards=40, seed=11)
     return placed.select(
@@ -171,6 +206,7 @@ _QUERIES: dict[str, Query] = {
     "op3_poisson_mixing": op3_poisson_mixing,
     "op4_vector_packing": op4_vector_packing,
     "op5_golomb_dedup": op5_golomb_dedup,
+    "op6_doubling_repeats": op6_doubling_repeats,
     "op8_two_pass_shuffle": op8_two_pass_shuffle,
     "op9_dual_tree": op9_dual_tree,
     "op10_feistel_pseudonyms": op10_feistel_pseudonyms,
@@ -179,6 +215,7 @@ _QUERIES: dict[str, Query] = {
 _ORACLES: dict[str, str] = {
     "op3_poisson_mixing": OP3_SQL,
     "op5_golomb_dedup": OP5_SQL,
+    "op6_doubling_repeats": OP6_SQL,
     "op9_dual_tree": OP9_SQL,
 }
 
