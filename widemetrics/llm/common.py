@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from widemetrics.session import shared_dir
+from widemetrics.session import Folder, shared_dir
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -78,3 +78,9 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 def binary(values: list[np.ndarray]) -> pa.Array:
     return pa.array([np.ascontiguousarray(v).tobytes() for v in values], pa.binary())
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the scratch table that saved() gave, once all that came of it is saved as well."""
+    for path in {os.path.dirname(f) for f in df.inputFiles()}:
+        Folder(df.sparkSession, path).delete()

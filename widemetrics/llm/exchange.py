@@ -70,7 +70,8 @@ def _answered(received: pa.Table, bitmaps: list[np.ndarray]) -> pa.Table:
     )
 
 
-def _lists(received: pa.Table) -> list[np.ndarray]:
+def lists(received: pa.Table) -> list[np.ndarray]:
+    """The hashes of each message."""
     return [
         golomb.decoded(*m) for m in zip(*(received.column(c).to_pylist() for c in ("n", "k", "code")))
     ]
@@ -78,15 +79,15 @@ def _lists(received: pa.Table) -> list[np.ndarray]:
 
 def occurs_elsewhere(received: pa.Table) -> pa.Table:
     """For each hash a block sent: whether another block sent it too."""
-    lists = _lists(received)
-    seen, times = np.unique(np.concatenate(lists), return_counts=True)
-    return _answered(received, [times[np.searchsorted(seen, own)] > 1 for own in lists])
+    sent = lists(received)
+    seen, times = np.unique(np.concatenate(sent), return_counts=True)
+    return _answered(received, [times[np.searchsorted(seen, own)] > 1 for own in sent])
 
 
 def smaller_elsewhere(received: pa.Table) -> pa.Table:
     """For each hash a block sent: whether another block has it with a smaller id."""
-    lists = _lists(received)
-    hashes = np.concatenate(lists)
+    sent = lists(received)
+    hashes = np.concatenate(sent)
     checks = np.frombuffer(b"".join(received.column("checks").to_pylist()), "<u4")
     ids = np.frombuffer(b"".join(received.column("ids").to_pylist()), "<i8")
     order = np.lexsort((ids, checks, hashes))
@@ -96,7 +97,7 @@ def smaller_elsewhere(received: pa.Table) -> pa.Table:
     least = ids[order][np.flatnonzero(first)][np.cumsum(first) - 1]
     smaller = np.empty(len(h), bool)
     smaller[order] = least < ids[order]
-    return _answered(received, np.split(smaller, np.cumsum([len(x) for x in lists])[:-1]))
+    return _answered(received, np.split(smaller, np.cumsum([len(x) for x in sent])[:-1]))
 
 
 def bits_of(hashes: np.ndarray, answers: pa.Table, bits: int, level: int = 0) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from widemetrics.llm import dedup, langid, mixing, packing, pii, quality, repeats, sharding, topk
+from widemetrics.llm import dedup, jaccard, langid, mixing, packing, pii, quality, repeats, sharding, topk
 from widemetrics.llm.common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,6 +159,11 @@ from split s left join counted c on s.doc_id = c.doc_id
 """
 
 
+def op7_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op8_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shuffled_shards(table(spark, sf_dir, "documents"), shards=40, seed=11)
     return placed.select(
@@ -207,6 +212,7 @@ _QUERIES: dict[str, Query] = {
     "op4_vector_packing": op4_vector_packing,
     "op5_golomb_dedup": op5_golomb_dedup,
     "op6_doubling_repeats": op6_doubling_repeats,
+    "op7_prefix_tree_join": op7_prefix_tree_join,
     "op8_two_pass_shuffle": op8_two_pass_shuffle,
     "op9_dual_tree": op9_dual_tree,
     "op10_feistel_pseudonyms": op10_feistel_pseudonyms,

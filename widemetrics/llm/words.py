@@ -144,3 +144,23 @@ def least_in(values: np.ndarray, width: int) -> np.ndarray:
         at = lesser(at[: len(at) - span], at[span:])
         span *= 2
     return lesser(at[:n], at[width - span : width - span + n])
+
+
+def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """For each text the sorted hashes of its distinct runs of n words; a text of fewer words
+    has them all as one, and one without words nothing."""
+    hashes, offsets = hashed(texts)
+    runs = windows(hashes, n)
+    counts = np.diff(offsets)
+    out = []
+    for begin, count in zip(offsets[:-1].tolist(), counts.tolist()):
+        if count >= n:
+            own = np.sort(runs[begin : begin + count - n + 1])
+            new = np.ones(len(own), bool)
+            new[1:] = own[1:] != own[:-1]
+            out.append(own[new])
+        elif count:
+            out.append(windows(hashes[begin : begin + count], count, salt=count))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
