@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from widemetrics.llm.common import free_name, partitions
+from widemetrics.llm.common import free_name, partitions, saved
 
 #: Up to so many sources their rates are sent to every task; beyond, they are joined.
 BROADCAST_SOURCES = 10_000
@@ -41,14 +41,12 @@ def target_rates(
         for name, weight in weights.items():
             named = F.col("source").eqNullSafe(F.lit(name))
             target = F.when(named & (F.col("size") > 0), F.lit(float(weight))).otherwise(target)
-    parts = sizes.withColumn("target", F.coalesce(target, F.lit(0.0)))
-    total = parts.agg(
-        F.sum("size").cast("double").alias("all_size"), F.sum("target").alias("all_target")
-    )
-    # One row against the sources, not a pairing of rows.
-    rated = parts.join(F.broadcast(total))
-    rate = F.col("target") / F.col("all_target") * F.col("all_size") / F.col("size")
-    return rated.select(
+    # A row for each source; the documents are read once for them.
+    parts = saved(sizes.withColumn("target", F.coalesce(target, F.lit(0.0))), "source-sizes")
+    total = parts.agg(F.sum("size").alias("size"), F.sum("target").alias("target")).first()
+    all_size, all_target = float(total["size"] or 0), float(total["target"] or 0)
+    rate = F.col("target") / F.lit(all_target) * F.lit(all_size) / F.col("size")
+    return parts.select(
         "source", "size", F.when(F.col("size") > 0, rate).otherwise(1.0).alias("rate")
     )
 
