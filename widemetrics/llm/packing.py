@@ -15,10 +15,10 @@ from widemetrics.llm.common import fields, free_name
 from widemetrics.llm.tokens import encoder
 
 #: Tokens waiting for a place in a task before bins are filled from them.
-POOL_TOKENS = 1 << 20
+POOL_TOKENS = 1 << 18
 
 #: Rows tokenized at once, and pieces held back until they make a batch.
-ENCODED_ROWS = 250
+ENCODED_ROWS = 500
 FLUSHED_PIECES = 2000
 
 

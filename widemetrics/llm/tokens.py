@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Cached words in a Python worker, about 200 bytes each; a full cache starts anew.
-CACHED_WORDS = 1_200_000
+CACHED_WORDS = 1_800_000
+
+#: Characters encoded at a time.
+CHUNK = 1 << 21
 
 # Fixed value: how the vocabulary's own rules cut lower-case Latin-1 text into pieces.
 _PIECES = regex.compile(r"\p{L}+|\p{N}|'s|'t|'re|'ve|'m|'ll|'d|[^\s\p{L}\p{N}]+")
@@ -93,29 +99,55 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        parts, owner, held = [], [], 0
+        for i, text in enumerate(texts):
+            for part in _parts(text):
+                parts.append(part)
+                owner.append(i)
+                held += len(part)
+                if held >= CHUNK:
+                    self._encode_into(out, parts, owner)
+                    parts, owner, held = [], [], 0
+        self._encode_into(out, parts, owner)
+        return [o[0] if len(o) == 1 else np.concatenate(o) for o in out]
+
+    def _encode_into(self, out: list[list[np.ndarray]], parts: list[str], owner: list[int]) -> None:
+        latin = [_latin(t) and "<|" not in t for t in parts]
         for cut in (True, False):
-            own = [i for i, t in enumerate(texts) if (_latin(t) and "<|" not in t) == cut]
-            if not own:
-                continue
-            if len(self._slots) > CACHED_WORDS:
-                self._clear()
-            # One cache serves both, as a lower-case word has the same ids either way.
-            split = [
-                (texts[i].lower() if cut else texts[i]).replace("\n", " ").split(" ") for i in own
-            ]
-            words = list(chain.from_iterable(split))
-            slots = np.fromiter(map(self._slots.get, words, repeat(-1)), np.int64, len(words))
-            unknown = np.flatnonzero(slots < 0).tolist()
-            if unknown:
-                self._learn(list(dict.fromkeys([words[i] for i in unknown])), cut)
-                slots[unknown] = [self._slots[words[i]] for i in unknown]
-            flat, lengths = self._gather(slots)
-            ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-            cuts = ends[np.cumsum([len(w) for w in split])]
-            for i, ids in zip(own, np.split(flat, cuts[:-1])):
-                out[i] = ids
-        return out
+            own = [i for i, x in enumerate(latin) if x == cut]
+            if own:
+                lowered = [parts[i].lower() if cut else parts[i] for i in own]
+                for i, ids in zip(own, self._encode_all(lowered, cut)):
+                    out[owner[i]].append(ids)
+
+    def _encode_all(self, texts: list[str], cut: bool) -> list[np.ndarray]:
+        if len(self._slots) > CACHED_WORDS:
+            self._clear()
+        split = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        # One cache serves both kinds, as a lower-case word has the same ids either way.
+        words = coded.dictionary.to_pylist()
+        slots = np.fromiter(map(self._slots.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(slots < 0).tolist()
+        if unknown:
+            self._learn([words[i] for i in unknown], cut)
+            slots[unknown] = [self._slots[words[i]] for i in unknown]
+        flat, lengths = self._gather(slots[coded.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        return np.split(flat, ends[split.offsets.to_numpy()[1:-1]])
+
+
+def _parts(text: str) -> Iterator[str]:
+    """The text, cut at blanks if it is very long."""
+    at = 0
+    while len(text) - at > CHUNK:
+        blank = text.find(" ", at + CHUNK)
+        if blank < 0:
+            break
+        yield text[at:blank]
+        at = blank
+    yield text[at:]
 
 
 def _latin(text: str) -> bool:
