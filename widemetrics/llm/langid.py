@@ -217,14 +217,15 @@ def fit(
     bounds = np.zeros(64)
     if langs:
         seen = sampled.select("dims", "tf").mapInArrow(similarities, "bin bigint, best double")
-        least = seen.groupBy("bin").agg(
-            F.count("*").alias("n"), F.percentile_approx("best", 0.01, 10_000).alias("low")
-        )
-        set_by = {r["bin"]: r["low"] for r in least.collect() if r["n"] >= LEAST_IN_BIN}
+        low = F.percentile_approx("best", 0.01, 10_000).alias("low")
+        least = seen.rollup("bin").agg(F.count("*").alias("n"), low).collect()
+        set_by = {r["bin"]: r["low"] for r in least if r["bin"] is not None and r["n"] >= LEAST_IN_BIN}
+        overall = next(r["low"] for r in least if r["bin"] is None)
         for b in range(64):
-            # Longer texts are more alike; a bin too small takes the next shorter one's bound.
-            shorter = [x for x in set_by if x <= b]
-            bounds[b] = REJECT_BELOW * set_by[max(shorter)] if shorter else 0.0
+            # A bin with too few takes the bound of the nearest that has enough, or of all; the
+            # cosine of a shorter text is less, about as the root of its n-grams.
+            near = min(set_by, key=lambda x: (abs(x - b), x), default=int(np.log2(DIMS)))
+            bounds[b] = REJECT_BELOW * set_by.get(near, overall) * 2 ** (min(0, b - near) / 2)
     return Model(langs, centroids, idf, bounds)
 
 

@@ -63,14 +63,16 @@ def _slices(text: str) -> Iterator[str]:
 
 def _described(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A row for each passage, and how many each text has."""
-    raw = [np.frombuffer((t + " ").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    # One blank ends each text with words, so that none runs into the next.
+    bare = [t.strip() for t in texts]
+    ended = [t + " " if t else "" for t in bare]
+    raw = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in ended]
     codes = np.concatenate(raw)
     kinds = _kinds()[codes]
     blank = (kinds == _SPACE) | (kinds == _LINE)
     begins = ~blank
     begins[1:] &= blank[:-1]
     text_ends = np.cumsum([len(r) for r in raw])
-    # A blank ends each text, so no word runs into the next one.
     starts = np.flatnonzero(begins)
     text_of_word = np.searchsorted(text_ends, starts, "right")
     words = np.bincount(text_of_word, minlength=len(texts))
@@ -84,11 +86,9 @@ def _described(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         out[:, 0] = 1
         return out, passages
-    # From the first word on, each character belongs to the passage of the last word begun.
-    lead = starts[0]
-    spans = np.diff(np.append(starts, len(codes)))
-    passage = np.repeat(passage_of_word, spans)
-    kind, code = kinds[lead:], codes[lead:]
+    # Each character belongs to the passage of the last word begun.
+    passage = np.repeat(passage_of_word, np.diff(np.append(starts, len(codes))))
+    kind, code = kinds, codes
     by_kind = np.bincount(passage * 8 + kind, minlength=n * 8).reshape(n, 8).astype(np.float32)
     chars = np.maximum(1, by_kind.sum(axis=1))
     count = np.maximum(1, np.bincount(passage_of_word, minlength=n)).astype(np.float32)
@@ -102,19 +102,21 @@ def _described(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     mixed = (code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed[blank[lead:]] = 0
-    word = np.add.reduceat(mixed, starts - lead)
+    mixed[blank] = 0
+    word = np.add.reduceat(mixed, starts)
     same = np.zeros(len(word), bool)
     same[1:] = (word[1:] == word[:-1]) & (passage_of_word[1:] == passage_of_word[:-1])
     out[:, 12] = np.bincount(passage_of_word, same, minlength=n) / count
     keyed = (passage_of_word.astype(np.uint64) << np.uint64(40)) | (word >> np.uint64(24))
     distinct = np.unique(keyed) >> np.uint64(40)
     out[:, 13] = np.bincount(distinct.astype(np.int64), minlength=n) / count
-    alone = np.add.reduceat((kind == _LOWER) | (kind == _UPPER), starts - lead) == 0
+    alone = np.add.reduceat((kind == _LOWER) | (kind == _UPPER), starts) == 0
     out[:, 14] = np.bincount(passage_of_word, alone, minlength=n) / count
-    out[:, 15] = np.log1p(count) / np.log1p(PASSAGE_WORDS)
+    out[:, 15] = np.log1p(np.bincount(passage_of_word, minlength=n)) / np.log1p(PASSAGE_WORDS)
     pairs = ((code[:-1] * np.uint32(0x85EBCA6B)) ^ (code[1:] * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F)
-    bins = passage[:-1] * HASHED + (pairs >> np.uint32(26)).astype(np.int64)
+    within = np.ones(len(code) - 1, bool)
+    within[text_ends[(text_ends > 0) & (text_ends < len(code))] - 1] = False
+    bins = passage[:-1][within] * HASHED + (pairs[within] >> np.uint32(26)).astype(np.int64)
     hashed = np.bincount(bins, minlength=n * HASHED).reshape(n, HASHED)
     out[:, STATS:] = np.sqrt(hashed / chars[:, None])
     return out, passages
