@@ -6,6 +6,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,10 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 #: Rows of an Arrow batch: documents are long, so fewer than Spark's 10,000.
 BATCH_ROWS = 1000
 
+#: A block of rows ends at so many rows, or bytes of what it holds.
+BLOCK_ROWS = 1 << 13
+BLOCK_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, with the session set up for Arrow batches of documents."""
@@ -84,3 +89,19 @@ def discard(df: DataFrame) -> None:
     """Delete the scratch table that saved() gave, once all that came of it is saved as well."""
     for path in {os.path.dirname(f) for f in df.inputFiles()}:
         Folder(df.sparkSession, path).delete()
+
+
+class Blocks:
+    """Numbers for blocks of rows of one task."""
+
+    def __init__(self) -> None:
+        self._number = TaskContext.get().partitionId() << 33
+        self._rows = self._bytes = 0
+
+    def of(self, size: int) -> int:
+        if self._rows and (self._rows >= BLOCK_ROWS or self._bytes + size > BLOCK_BYTES):
+            self._number += 1
+            self._rows = self._bytes = 0
+        self._rows += 1
+        self._bytes += size
+        return self._number

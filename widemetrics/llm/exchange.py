@@ -100,6 +100,59 @@ def smaller_elsewhere(received: pa.Table) -> pa.Table:
     return _answered(received, np.split(smaller, np.cumsum([len(x) for x in sent])[:-1]))
 
 
+def totals(received: pa.Table) -> pa.Table:
+    """For each hash a block sent: in how many rows of all blocks it is, 65535 or more as that.
+
+    checks holds how many rows of the block have it, of 32 bits each.
+    """
+    sent = lists(received)
+    times = np.frombuffer(b"".join(received.column("checks").to_pylist()), "<u4").astype(np.int64)
+    hashes = np.concatenate(sent)
+    order = np.argsort(hashes, kind="stable")
+    first = np.ones(len(order), bool)
+    first[1:] = hashes[order][1:] != hashes[order][:-1]
+    sums = np.add.reduceat(times[order], np.flatnonzero(first))
+    each = np.empty(len(order), np.int64)
+    each[order] = sums[np.cumsum(first) - 1]
+    cut = np.split(np.minimum(each, 65535).astype("<u2"), np.cumsum([len(x) for x in sent])[:-1])
+    return pa.table(
+        {
+            **{c: received.column(c) for c in ("owner", "block", "level")},
+            "bitmap": pa.array([c.tobytes() for c in cut], pa.binary()),
+        }
+    )
+
+
+def ties(received: pa.Table) -> pa.Table:
+    """Those who sent one hash are tied to the least id among them: (a, b)."""
+    hashes = np.concatenate(lists(received))
+    ids = np.frombuffer(b"".join(received.column("ids").to_pylist()), "<i8")
+    return tied(hashes, ids)[0]
+
+
+def tied(hashes: np.ndarray, ids: np.ndarray) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Distinct pairs of an id and the least id with the same hash, the distinct hashes, and the
+    least id of each."""
+    order = np.lexsort((ids, hashes))
+    h, ids = hashes[order], ids[order]
+    first = np.ones(len(h), bool)
+    first[1:] = h[1:] != h[:-1]
+    least = ids[first]
+    own = least[np.cumsum(first) - 1]
+    pairs = np.unique(np.stack([ids, own], axis=1)[ids != own], axis=0)
+    table = pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+    return table, h[first], least
+
+
+def numbers_of(hashes: np.ndarray, answers: pa.Table, bits: int) -> np.ndarray:
+    """The owners' totals for the hashes that a block sent, in their order."""
+    told = dict(zip(answers.column("owner").to_pylist(), answers.column("bitmap").to_pylist()))
+    out = np.zeros(len(hashes), np.int64)
+    for owner, own in by_owner(hashes, bits):
+        out[own] = np.frombuffer(told[owner], "<u2")
+    return out
+
+
 def bits_of(hashes: np.ndarray, answers: pa.Table, bits: int, level: int = 0) -> np.ndarray:
     """The owners' answers for the hashes that a block sent, in their order."""
     told = {

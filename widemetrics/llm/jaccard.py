@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,104 +11,95 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from widemetrics.llm import exchange, trie, words
-from widemetrics.llm.common import discard, partitions, row_key, saved
+from widemetrics.llm import exchange, golomb, trie, words
+from widemetrics.llm.common import Blocks, discard, free_name, partitions, row_key, saved
 from widemetrics.llm.components import components
 from widemetrics.llm.dedup import normal
 
-#: Parts of a set that stay over when all differences fall into parts of their own.
-SPARE = 2
+#: N-grams of a block of documents, and documents in it, at most.
+BLOCK_MEMBERS = 1 << 21
+BLOCK_DOCS = (1 << 16) - 1
 
-#: Signatures that a task gathers before it sends them.
-BLOCK = 1 << 19
-
-#: Sets, and members of them, that one task puts into a tree; larger families are cut
-#: into blocks, and each pair of blocks is joined.
+#: Sets, and members of them, that one task puts into a tree, about; larger families are
+#: cut into blocks, and each pair of blocks is joined.
 TREE_SETS = 512
 TREE_MEMBERS = 1 << 20
 
 
-@lru_cache(maxsize=8)
-def size_classes(percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower ends of classes of set sizes, and into how many parts a set is cut for each.
-
-    Two sets alike enough lie in one class or in two that are next to each
-    other. Their differences number k at most, by the sizes of the class of the
-    larger one; of k + SPARE parts, SPARE at least are then free of any. 0
-    parts: only equal sets can be alike.
-    """
-    low = [1]
-    while low[-1] <= most:
-        low.append(-(-low[-1] * 100 // percent))
-        if low[-1] == low[-2]:
-            low[-1] += 1
-    low.append(-(-low[-1] * 100 // percent) + 1)
-    parts = []
-    for high in low[1:]:
-        differences = (100 - percent) * 2 * (high - 1) // (100 + percent)
-        parts.append(differences + SPARE if differences else 0)
-    return np.array(low[:-1]), np.array(parts)
-
-
-def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
-    """For each set hashes of its parts, such that sets alike enough share one at least.
-
-    A set is cut by a hash of its members, once into the parts of its own size
-    class and once into those of the next, where it meets larger sets. A part
-    without members counts only if the set has SPARE or more such parts; with
-    fewer, some part free of differences has members.
-    """
-    sizes = np.array([len(s) for s in sets])
-    low, parts_of = size_classes(percent, 1 << max(1, int(sizes.max(initial=1)).bit_length()))
-    own = np.searchsorted(low, sizes, "right") - 1
-    out: list[list[np.ndarray]] = [[] for _ in sets]
-    members = np.concatenate(sets or [np.empty(0, np.uint64)])
-    spread = words.mixed(members ^ np.uint64(0x2545F4914F6CDD1D))
-    text = np.repeat(np.arange(len(sets)), sizes)
-    for step in (0, 1):
-        at = own + step
-        parts = np.where(sizes > 0, parts_of[np.minimum(at, len(parts_of) - 1)], 0)
-        if not parts.any():
-            continue
-        base = np.cumsum(parts) - parts
-        used = parts[text] > 0
-        cell = words.mixed(spread[used] + at[text[used]].astype(np.uint64)) >> np.uint64(32)
-        cell = base[text[used]] + (
-            (cell * parts[text[used]].astype(np.uint64)) >> np.uint64(32)
-        ).astype(np.int64)
-        total = int(parts.sum())
-        sums = np.zeros(total, np.uint64)
-        np.add.at(sums, cell, spread[used])
-        filled = np.bincount(cell, minlength=total)
-        number = np.arange(total) - np.repeat(base, parts)
-        named = (np.repeat(at, parts).astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64)
-        marks = words.mixed(sums + words.mixed(named) * np.uint64(0x9E3779B97F4A7C15))
-        empty = np.add.reduceat(
-            np.append((filled == 0).astype(np.int64), 0), np.minimum(base, total)
-        )
-        empty = np.where(parts > 0, empty, 0)
-        for i in np.flatnonzero(parts):
-            part = slice(base[i], base[i] + parts[i])
-            kept = marks[part] if empty[i] >= SPARE else marks[part][filled[part] > 0]
-            out[i].append(kept)
-    return [np.concatenate(o) if o else np.empty(0, np.uint64) for o in out]
-
-
-def _first64(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
-
-
-def _families(received: pa.Table) -> pa.Table:
-    """Sets that share a signature are tied to the least of them."""
-    hashes = np.concatenate(exchange.lists(received))
-    ids = np.frombuffer(b"".join(received.column("ids").to_pylist()), "<i8")
-    order = np.lexsort((ids, hashes))
-    h, ids = hashes[order], ids[order]
-    first = np.ones(len(h), bool)
-    first[1:] = h[1:] != h[:-1]
-    least = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
-    tied = np.unique(np.stack([ids, least], axis=1)[ids != least], axis=0)
-    return pa.table({"a": pa.array(tied[:, 0], pa.int64()), "b": pa.array(tied[:, 1], pa.int64())})
+def _sets_of(texts: list[str | None], n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The sets of some texts at a time, and where these begin."""
+    batch: list[bytes] = []
+    held, first = 0, 0
+    for i, t in enumerate(texts):
+        batch.append(normal(t))
+        held += len(batch[-1])
+        if held >= words.CHUNK or i + 1 == len(texts):
+            yield first, words.shingle_sets(batch, n)
+            batch, held, first = [], 0, i + 1
+
+
+def _union(schema: pa.Schema, count: int, **columns) -> pa.RecordBatch:
+    """Rows with the given columns, all others null."""
+    out = [columns[f.name] if f.name in columns else pa.nulls(count, f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(out, schema=schema)
+
+
+class _Shortened:
+    """A block's n-grams cut to fewer bits, with the document that alone has each in the block."""
+
+    #: Stands for more than one document.
+    MANY = BLOCK_DOCS
+
+    def __init__(self, hash_bits: int, owner_bits: int):
+        self._shift, self._owner_shift = np.uint64(64 - hash_bits), hash_bits - owner_bits
+        self.clear()
+
+    def clear(self) -> None:
+        self._held: list[np.ndarray] = []
+        self.members = 0
+
+    def add(self, place: int, members: np.ndarray) -> None:
+        self._held.append((members >> self._shift) << np.uint64(16) | np.uint64(place))
+        self.members += len(members)
+
+    def messages(self, block: int) -> Iterator[tuple]:
+        """(owner, block, n, k, code, places) with distinct cut n-grams and their documents."""
+        if not self.members:
+            return
+        both = np.sort(np.concatenate(self._held))
+        values = both >> np.uint64(16)
+        first = np.ones(len(values), bool)
+        first[1:] = values[1:] != values[:-1]
+        begins = np.flatnonzero(first)
+        places = (both[begins] & np.uint64(0xFFFF)).astype("<u2")
+        places[np.diff(np.append(begins, len(values))) > 1] = self.MANY
+        values = values[begins]
+        owners = (values >> np.uint64(self._owner_shift)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(owners, prepend=-1))
+        for begin, end in zip(cuts, np.append(cuts[1:], len(values))):
+            k, code = golomb.encoded(values[begin:end])
+            yield int(owners[begin]), block, int(end - begin), k, code, places[begin:end].tobytes()
+
+
+def _alone(received: pa.Table) -> pa.Table:
+    """How many of a document's n-grams no other document has, by block and document."""
+    sent = exchange.lists(received)
+    values = np.concatenate(sent)
+    places = np.frombuffer(b"".join(received.column("places").to_pylist()), "<u2")
+    source = np.repeat(np.arange(len(sent)), [len(x) for x in sent])
+    order = np.argsort(values, kind="stable")
+    v = values[order]
+    single = np.ones(len(v), bool)
+    single[1:] &= v[1:] != v[:-1]
+    single[:-1] &= v[:-1] != v[1:]
+    own = order[single]
+    own = own[places[own] != _Shortened.MANY]
+    counts = [
+        np.bincount(places[part]).astype("<u4").tobytes()
+        for part in np.split(own[np.argsort(source[own], kind="stable")],
+                             np.cumsum(np.bincount(source[own], minlength=len(sent)))[:-1])
+    ]
+    return pa.table({"block": received.column("block"), "counts": pa.array(counts, pa.binary())})
 
 
 def near_duplicates(
@@ -126,14 +116,16 @@ def near_duplicates(
     key; a component of null keys alone has a null id. Equal rows are linked
     like any others.
 
-    Equal sets are one class and compared once. Each class is cut into so many
-    parts by hash that two sets alike enough must agree in one; a class is sent
-    to the owner of each part's hash, and classes that meet there belong to a
-    family. That loses no link and joins few sets that are not alike. The texts
-    of families are read once more, and each family's sets are stored in a
-    prefix tree, the most frequent n-grams first, and all searched at once.
-    Families of more than TREE_SETS sets are cut into blocks by hash and joined
-    block by block. Hashes of n-grams have 64 bits, those of sets 128.
+    First blocks of documents send the owners of ranges of hashes their n-grams,
+    cut to some forty bits; the owners count how many of each document's are its
+    own alone. A document with more of those than the similarity leaves room for
+    has no partner. The texts of the others are read once more. Their n-grams
+    are counted exactly, and all sets ordered alike, from rare to frequent: two
+    sets alike enough share one of their first (100 - percent) % members.
+    Documents that do belong to a family. Each family's sets, equal ones once,
+    are stored in a prefix tree and all searched at once; families of more than
+    TREE_SETS are cut into blocks by hash and joined block by block. No link is
+    lost on the way. Hashes of n-grams have 64 bits, those of sets 128.
     """
     spark = docs.sparkSession
     id_type = dict(docs.dtypes)[key]
@@ -141,168 +133,206 @@ def near_duplicates(
     read = docs.select(
         F.col(key).alias("id"), row_key(key, text).alias("row_key"), F.col(text).cast("string").alias("text")
     )
-    # Owners by the bytes of text: about a signature for every 20.
+    # At most one n-gram for every second byte; in prose one for about six.
     volume = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = exchange.owner_bits(volume // 20, n_partitions)
-
-    def sets_of(texts: list[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
-        """Sets of some texts at a time, and where the texts begin."""
-        batch: list[bytes] = []
-        held, first = 0, 0
-        for i, t in enumerate(texts):
-            batch.append(normal(t))
-            held += len(batch[-1])
-            if held >= words.CHUNK or i + 1 == len(texts):
-                yield first, words.shingle_sets(batch, n)
-                batch, held, first = [], 0, i + 1
+    bits = exchange.owner_bits(volume // 6, n_partitions)
+    hash_bits = min(48, max(bits + 1, (volume // 6).bit_length() + 13))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of two kinds: one for each document, and the messages of blocks of them."""
+        """A row for each document, and the messages of blocks of them."""
         block = TaskContext.get().partitionId() << 33
-        marks: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
-        known: set[bytes] = set()
-        held = 0
+        cut, known, schema = _Shortened(hash_bits, bits), {}, None
 
         def send() -> Iterator[pa.RecordBatch]:
-            nonlocal block, held
-            if held:
-                all_marks, all_ids = np.concatenate(marks), np.concatenate(ids)
-                order = np.lexsort((all_ids, all_marks))
-                all_marks, all_ids = all_marks[order], all_ids[order]
-                new = np.ones(len(order), bool)
-                new[1:] = all_marks[1:] != all_marks[:-1]
-                least = all_ids[np.flatnonzero(new)]
-                own = least[np.cumsum(new) - 1]
-                tied = np.unique(np.stack([all_ids, own], axis=1)[all_ids != own], axis=0)
-                sent = exchange.messages(block, all_marks[new], bits, 0, None, least)
-                for rows in sent.to_batches(max_chunksize=256):
-                    yield _record(messages=rows)
-                if len(tied):
-                    yield _record(ties=tied)
-            marks.clear()
-            ids.clear()
+            for m in cut.messages(block):
+                columns = dict(zip(("owner", "block", "m", "k", "code", "places"), ([x] for x in m)))
+                arrays = {c: pa.array(v, schema.field(c).type) for c, v in columns.items()}
+                yield _union(schema, 1, **arrays)
+            cut.clear()
             known.clear()
-            block, held = block + 1, 0
-
-        def _record(docs: tuple | None = None, messages: pa.RecordBatch | None = None,
-                    ties: np.ndarray | None = None) -> pa.RecordBatch:
-            if docs:
-                count = len(docs[1])
-                kind, held_columns = 0, dict(zip(("id", "row_key", "n", "set_key"), docs))
-            elif messages is not None:
-                count = messages.num_rows
-                kind, held_columns = 1, {f"m_{f}": messages.column(f) for f in messages.schema.names}
-            else:
-                count = len(ties)
-                kind, held_columns = 2, {"a": pa.array(ties[:, 0]), "b": pa.array(ties[:, 1])}
-            columns = [pa.array([kind] * count, pa.int32())]
-            columns += [held_columns.get(f.name, None) for f in list(described)[1:]]
-            columns = [pa.nulls(count, f.type) if c is None else c for c, f in zip(columns, described)]
-            return pa.RecordBatch.from_arrays(columns, schema=described)
-
-        described = None
+
         for batch in batches:
-            if described is None:
-                described = pa.schema([("kind", pa.int32()), ("id", batch.column("id").type), *_DESCRIBED])
-            for first, sets in sets_of(batch.column("text").to_pylist()):
-                digests = [
-                    hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets
-                ]
+            schema = schema or pa.schema([("id", batch.column("id").type), *_DESCRIBED])
+            for first, sets in _sets_of(batch.column("text").to_pylist(), n):
+                digests, at, where = [], [], []
+                for own in sets:
+                    digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
+                    if digest and digest not in known:
+                        if known and (
+                            cut.members + len(own) > BLOCK_MEMBERS or len(known) >= BLOCK_DOCS
+                        ):
+                            yield from send()
+                            block += 1
+                        known[digest] = len(known)
+                        cut.add(known[digest], own)
+                    digests.append(digest)
+                    where.append(block)
+                    at.append(known[digest] if digest else None)
                 part = slice(first, first + len(sets))
-                yield _record(
-                    docs=(
-                        batch.column("id")[part],
-                        batch.column("row_key")[part],
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(digests, pa.binary()),
-                    )
+                yield _union(
+                    schema,
+                    len(sets),
+                    id=batch.column("id")[part],
+                    row_key=batch.column("row_key")[part],
+                    n=pa.array([len(s) for s in sets], pa.int64()),
+                    set_key=pa.array(digests, pa.binary()),
+                    block=pa.array(where, pa.int64()),
+                    place=pa.array(at, pa.int64()),
                 )
-                fresh = []
-                for i, d in enumerate(digests):
-                    if d is not None and d not in known:
-                        known.add(d)
-                        fresh.append(i)
-                for i, own in zip(fresh, signatures([sets[i] for i in fresh], percent)):
-                    marks.append(own)
-                    ids.append(np.full(len(own), _first64(digests[i]), np.int64))
-                    held += len(own)
-                if held >= BLOCK:
-                    yield from send()
         yield from send()
 
-    names = ", ".join(f"m_{part}" for part in exchange.MESSAGE.split(", "))
-    both = saved(
+    described = saved(
         read.mapInArrow(
             describe,
-            f"kind int, id {id_type}, row_key bigint, n bigint, set_key binary, {names}, a bigint, b bigint",
+            f"id {id_type}, row_key bigint, n bigint, set_key binary, block bigint, place bigint, "
+            "owner bigint, m bigint, k bigint, code binary, places binary",
         ),
         "jaccard-described",
     )
-    rows = both.filter("kind = 0").select("id", "row_key", "n", "set_key")
-    sent = both.filter("kind = 1").select(
-        *[F.col(f"m_{c}").alias(c) for c in ("owner", "n", "k", "code", "ids")]
+    sent = described.filter("owner is not null")
+    counts = (
+        sent.select("owner", "block", F.col("m").alias("n"), "k", "code", "places")
+        .groupBy("owner")
+        .applyInArrow(_alone, "block bigint, counts binary")
     )
-    ties = saved(
-        sent.groupBy("owner").applyInArrow(_families, "a bigint, b bigint")
-        .unionByName(both.filter("kind = 2").select("a", "b"))
-        .distinct(),
-        "jaccard-ties",
-    )
-    families = components(ties)
 
-    rows = saved(rows, "jaccard-rows")
-    discard(both)
+    def partners_possible(rows: pa.Table, told: pa.Table) -> pa.Table:
+        size, place = rows.column("n").to_numpy(), rows.column("place").to_pylist()
+        alone = np.zeros(BLOCK_DOCS + 1, np.int64)
+        for c in told.column("counts").to_pylist():
+            c = np.frombuffer(c, "<u4")
+            alone[: len(c)] += c
+        own = np.array([0 if p is None else alone[p] for p in place], np.int64)
+        possible = (size > 0) & (100 * (size - own) >= percent * size)
+        return rows.drop_columns(["block", "place"]).append_column("possible", pa.array(possible))
+
+    asked = described.filter("owner is null").select("id", "row_key", "n", "set_key", "block", "place")
+    rows = saved(
+        asked.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
+            partners_possible,
+            f"id {id_type}, row_key bigint, n bigint, set_key binary, possible boolean",
+        ),
+        "jaccard-rows",
+    )
+    discard(described)
     classes = saved(
         rows.filter("n > 0").groupBy("set_key", "n")
-        .agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min("row_key").alias("row_key"))
+        .agg(
+            F.min("id").alias("least"), F.count("*").alias("copies"),
+            F.min("row_key").alias("row_key"), F.max("possible").alias("possible"),
+        )
         .withColumn("class", F.monotonically_increasing_id()),
         "jaccard-classes",
     )
-    named = classes.withColumn("node", _little_endian("set_key"))
-    members = saved(
-        named.join(families, "node").select("class", "copies", "n", "row_key", F.col("root").alias("family")),
-        "jaccard-members",
-    )
-    sizes = members.groupBy("family").agg(
-        F.greatest(F.ceil(F.count("*") / TREE_SETS), F.ceil(F.sum("n") / TREE_MEMBERS)).cast("int").alias("blocks")
-    )
-    placed = members.join(sizes, "family").withColumn(
-        "block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    )
-    wanted = saved(placed.select("row_key", "class", "copies", "family", "blocks", "block"), "jaccard-wanted")
 
+    # The sets of those that may have partners.
     def sets_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks()
         for batch in batches:
-            kept = ["family", "blocks", "block", "class", "copies"]
-            for first, sets in sets_of(batch.column("text").to_pylist()):
+            for first, sets in _sets_of(batch.column("text").to_pylist(), n):
                 part = slice(first, first + len(sets))
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c)[part] for c in kept], pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=[*kept, "members"],
+                    [
+                        batch.column("class")[part],
+                        pa.array([blocks.of(s.nbytes) for s in sets], pa.int64()),
+                        pa.array([s.tobytes() for s in sets], pa.binary()),
+                    ],
+                    names=["class", "block", "members"],
                 )
 
-    texts = read.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["class"])
-    texts = texts.select("text", "family", "blocks", "block", "class", "copies")
-    sets = texts.mapInArrow(
-        sets_again, "family bigint, blocks int, block int, class bigint, copies bigint, members binary"
+    texts = read.select("row_key", "text").join(
+        classes.filter("possible").select("row_key", "class").hint("merge"), "row_key"
+    )
+    # Rows equal in key and text have one row_key.
+    texts = texts.dropDuplicates(["class", "row_key"]).select("class", "text")
+    held = saved(texts.mapInArrow(sets_again, "class bigint, block bigint, members binary"), "jaccard-sets")
+    total = held.agg(F.sum(F.octet_length("members"))).first()[0] or 0
+    own_bits = exchange.owner_bits(total // 8, n_partitions)
+
+    def members_of(group: pa.Table) -> list[np.ndarray]:
+        return [np.frombuffer(m, "<u8") for m in group.column("members").to_pylist()]
+
+    def count(group: pa.Table) -> pa.Table:
+        found, times = np.unique(np.concatenate(members_of(group)), return_counts=True)
+        return exchange.messages(group.column("block")[0].as_py(), found, own_bits, 0, times)
+
+    def first_members(group: pa.Table, told: pa.Table) -> pa.Table:
+        """What a block sends for its sets' rarest members, as far as others have them too."""
+        if not group.num_rows:
+            return exchange.messages(0, np.empty(0, np.uint64), own_bits)
+        sets, ids = members_of(group), group.column("class").to_numpy()
+        found = np.unique(np.concatenate(sets))
+        held_by = exchange.numbers_of(found, told, own_bits)
+        hashes, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for own, who in zip(sets, ids):
+            times = held_by[np.searchsorted(found, own)]
+            many = len(own) - -(-percent * len(own) // 100) + 1
+            rare = np.lexsort((own, times))[:many]
+            rare = rare[times[rare] > 1]
+            hashes.append(own[rare])
+            owners.append(np.full(len(rare), who, np.int64))
+        pairs, distinct, least = exchange.tied(np.concatenate(hashes), np.concatenate(owners))
+        block = group.column("block")[0].as_py()
+        out = exchange.messages(block, distinct, own_bits, 0, None, least)
+        # Ties within the block go along as messages of one id to another, owned by nobody.
+        own_ties = {
+            "owner": pa.array([-1] * bool(len(pairs)), pa.int64()),
+            "block": pa.array([block] * bool(len(pairs)), pa.int64()),
+            "level": pa.array([1] * bool(len(pairs)), pa.int32()),
+            "n": pa.array([len(pairs)] * bool(len(pairs)), pa.int64()),
+            "k": pa.array([0] * bool(len(pairs)), pa.int64()),
+            "code": pa.array([pairs.column("a").to_numpy().tobytes()] * bool(len(pairs)), pa.binary()),
+            "checks": pa.array([b""] * bool(len(pairs)), pa.binary()),
+            "ids": pa.array([pairs.column("b").to_numpy().tobytes()] * bool(len(pairs)), pa.binary()),
+        }
+        return pa.concat_tables([out, pa.table(own_ties, schema=out.schema)])
+
+    def families_of(received: pa.Table) -> pa.Table:
+        if received.column("owner")[0].as_py() >= 0:
+            return exchange.ties(received)
+        a, b = (np.frombuffer(b"".join(received.column(c).to_pylist()), "<i8") for c in ("code", "ids"))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    by_block = held.groupBy("block")
+    counted = (
+        by_block.applyInArrow(count, exchange.MESSAGE)
+        .groupBy("owner").applyInArrow(exchange.totals, exchange.ANSWER)
+    )
+    meet = by_block.cogroup(counted.groupBy("block")).applyInArrow(first_members, exchange.MESSAGE)
+    # Ties within blocks are spread, not owned together.
+    meet = meet.withColumn(
+        "turn", F.when(F.col("owner") < 0, F.pmod("block", F.lit(n_partitions))).otherwise(0)
+    )
+    pairs = saved(
+        meet.groupBy("owner", "turn").applyInArrow(families_of, "a bigint, b bigint").distinct(),
+        "jaccard-ties",
+    )
+    families = components(pairs).select(F.col("node").alias("class"), F.col("root").alias("family"))
+    members = saved(
+        classes.select("class", "copies", "n").join(families, "class"), "jaccard-members"
+    )
+    sizes = members.groupBy("family").agg(
+        F.greatest(F.ceil(F.count("*") / TREE_SETS), F.ceil(F.sum("n") / TREE_MEMBERS)).cast("int").alias("blocks")
+    )
+    placed = members.join(sizes, "family").select(
+        "class", "copies", "family", "blocks", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("part")
     )
     pair = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")),
-    )
-    paired = sets.withColumn("pair", F.explode(pair)).select(
-        "family", "pair.i", "pair.j", "block", "class", "copies", "members"
+        lambda other: F.struct(F.least("part", other).alias("i"), F.greatest("part", other).alias("j")),
     )
+    paired = (
+        held.select("class", "members").join(placed.hint("merge"), "class")
+        .withColumn("pair", F.explode(pair))
+        .select("family", "pair.i", "pair.j", "part", "class", "copies", "members")
+    )
 
     def join(group: pa.Table) -> pa.Table:
-        found = [np.frombuffer(m, "<u8") for m in group.column("members").to_pylist()]
-        block = group.column("block").to_numpy()
+        found, part = members_of(group), group.column("part").to_numpy()
         ids, copies = group.column("class").to_numpy(), group.column("copies").to_numpy()
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        left = np.flatnonzero(block == i)
-        right = left if i == j else np.flatnonzero(block == j)
-        pairs = trie.links([found[x] for x in left], None if i == j else [found[x] for x in right], percent)
+        left = np.flatnonzero(part == i)
+        right = left if i == j else np.flatnonzero(part == j)
         links = np.zeros(len(ids), np.int64)
         root = np.arange(len(ids))
 
@@ -312,13 +342,14 @@ def near_duplicates(
                 x = root[x]
             return x
 
-        for x, y in pairs:
+        for x, y in trie.links(
+            [found[x] for x in left], None if i == j else [found[x] for x in right], percent
+        ):
             a, b = int(left[x]), int(right[y])
             links[a] += copies[b]
             links[b] += copies[a]
             a, b = top(a), top(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
+            root[max(a, b)] = min(a, b)
         linked = np.flatnonzero(links)
         return pa.table(
             {
@@ -333,16 +364,15 @@ def near_duplicates(
         "jaccard-links",
     )
     joined = components(linked.select(F.col("class").alias("a"), F.col("other").alias("b")))
-    counted = linked.groupBy("class").agg(F.sum("links").alias("links"))
+    number = linked.groupBy("class").agg(F.sum("links").alias("links"))
     reached = classes.join(joined.withColumnRenamed("node", "class"), "class", "left").join(
-        counted, "class", "left"
+        number, "class", "left"
     )
     reached = reached.withColumn("root", F.coalesce("root", "class"))
     leasts = reached.groupBy("root").agg(F.min("least").alias("component"))
     links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
     by_set = reached.join(leasts, "root").select("set_key", "component", links)
-    result = rows.join(by_set, "set_key", "left")
-    return result.select(
+    return rows.join(by_set, "set_key", "left").select(
         F.col("id").alias(key),
         "row_key",
         F.col("n").alias("n_shingles"),
@@ -352,13 +382,6 @@ def near_duplicates(
     )
 
 
-def _little_endian(column: str):
-    """The first 64 bits of a binary column as the number that _first64 gives."""
-    first = F.hex(F.substring(F.col(column), 1, 8))
-    turned = F.concat(*[F.substring(first, 2 * i + 1, 2) for i in reversed(range(8))])
-    return F.conv(turned, 16, -10).cast("bigint")
-
-
 def one_of_each(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that are their component's least key, with docs' columns.
 
@@ -370,28 +393,24 @@ def one_of_each(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_
     best = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("row_key")))
     kept = found.filter(~alone).groupBy("component_id").agg(best.alias("best")).select("best.row_key")
     # Rows without links stay as they are; of the others, those that are not kept go.
+    mark = free_name(docs, "row_key")
     odd = saved(
-        found.filter(~alone).select("row_key").distinct()
+        found.filter(~alone).groupBy("row_key").agg(F.count("*").alias("times"))
         .join(kept.withColumn("stays", F.lit(True)), "row_key", "left"),
         "jaccard-odd",
     )
-    marked = docs.withColumn("__row_key__", row_key(key, text))
-    odd = odd.withColumnRenamed("row_key", "__row_key__")
-    kept_rows = marked.join(odd.filter("stays is null"), "__row_key__", "left_anti")
-    repeated = found.groupBy("row_key").count().filter("count > 1").join(
-        kept, "row_key", "left_semi"
-    ).select(F.col("row_key").alias("__row_key__"))
-    repeated = saved(repeated, "jaccard-repeated")
+    odd = odd.filter("stays is null or times > 1").withColumnRenamed("row_key", mark)
+    marked = docs.withColumn(mark, row_key(key, text))
+    rest = marked.join(odd.hint("merge"), mark, "left_anti").drop(mark)
+    repeated = odd.filter("stays").select(mark)
     if repeated.isEmpty():
-        return kept_rows.drop("__row_key__")
-    once = marked.join(repeated, "__row_key__", "left_semi").dropDuplicates(["__row_key__"])
-    rest = kept_rows.join(repeated, "__row_key__", "left_anti")
-    return rest.unionByName(once).drop("__row_key__")
+        return rest
+    once = marked.join(repeated.hint("merge"), mark, "left_semi").dropDuplicates([mark])
+    return rest.unionByName(once.drop(mark))
 
 
 _DESCRIBED = [
-    ("row_key", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()),
-    ("m_owner", pa.int64()), ("m_block", pa.int64()), ("m_level", pa.int32()), ("m_n", pa.int64()),
-    ("m_k", pa.int64()), ("m_code", pa.binary()), ("m_checks", pa.binary()), ("m_ids", pa.binary()),
-    ("a", pa.int64()), ("b", pa.int64()),
+    ("row_key", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("block", pa.int64()),
+    ("place", pa.int64()), ("owner", pa.int64()), ("m", pa.int64()), ("k", pa.int64()),
+    ("code", pa.binary()), ("places", pa.binary()),
 ]

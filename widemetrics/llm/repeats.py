@@ -7,16 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from widemetrics.llm import exchange, words
-from widemetrics.llm.common import partitions, row_key, saved
-
-#: A block ends at so many rows or bytes of what it holds.
-BLOCK_ROWS = 1 << 13
-BLOCK_BYTES = 8 << 20
+from widemetrics.llm.common import Blocks, partitions, row_key, saved
 
 #: The second, independent hash of a window.
 _CHECK = 0x5851F42D4C957F2D
@@ -24,22 +19,6 @@ _CHECK = 0x5851F42D4C957F2D
 _CANDIDATE, _REPEATED = 0, 1
 
 
-class _Blocks:
-    """Numbers for blocks of rows of one task."""
-
-    def __init__(self) -> None:
-        self._number = TaskContext.get().partitionId() << 33
-        self._rows = self._bytes = 0
-
-    def of(self, size: int) -> int:
-        if self._rows and (self._rows >= BLOCK_ROWS or self._bytes + size > BLOCK_BYTES):
-            self._number += 1
-            self._rows = self._bytes = 0
-        self._rows += 1
-        self._bytes += size
-        return self._number
-
-
 def levels(length: int) -> list[int]:
     """The window lengths: from about a quarter of length on, each at most twice the one before."""
     out = [length]
@@ -141,7 +120,7 @@ def repeated_words(
     )
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = _Blocks()
+        blocks = Blocks()
         for batch in batches:
             data = _utf8(batch.column("text").to_pylist())
             for part in _batches(data):
@@ -204,7 +183,7 @@ def repeated_words(
 
     # Half the length, in the windows that are left of the rows that are left.
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = _Blocks()
+        blocks = Blocks()
         for batch in batches:
             data = _utf8(batch.column("text").to_pylist())
             known = _matrix(batch.column("hashes"))
@@ -225,7 +204,7 @@ def repeated_words(
                     names=["id", "row_key", "block", "text", "hashes"],
                 )
 
-    joined = read.join(candidates.dropDuplicates(["row_key"]), "row_key")
+    joined = read.join(candidates.dropDuplicates(["row_key"]).hint("merge"), "row_key")
     # Rows equal in key and text fare alike: one of them is worked on.
     joined = joined.dropDuplicates(["row_key"]).select("id", "row_key", "text", "hashes")
     held = saved(
