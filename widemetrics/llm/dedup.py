@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from widemetrics.llm import golomb
-from widemetrics.llm.common import partitions, row_key, saved
+from widemetrics.llm.common import free_name, partitions, row_key, saved
 
 #: Rows whose fingerprints one message table holds: a power of two.
 BLOCK_BITS = 18
@@ -167,7 +167,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     )
     # Copies are counted by their bytes; the sum of the bytes' hash names the group further on.
     verified = (
-        again.join(shared, "fp", "left_semi")
+        again.join(shared.hint("merge"), "fp", "left_semi")
         .groupBy("fp", "bytes")
         .agg(F.count("*").alias("group_size"))
         .select("fp", F.unhex(F.sha2("bytes", 256)).alias("sha"), "group_size")
@@ -203,13 +203,12 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     keys = groups.groupBy("row_key").agg(
         F.max("kept").alias("kept"), F.count("*").alias("times")
     )
-    odd = saved(keys.filter("not kept or times > 1"), "dedup-odd").withColumnRenamed(
-        "row_key", "__row_key__"
-    )
-    named = docs.withColumn("__row_key__", row_key(key, text))
-    rest = named.join(odd, "__row_key__", "left_anti").drop("__row_key__")
-    repeated = odd.filter("kept").select("__row_key__")
+    mark = free_name(docs, "row_key")
+    odd = saved(keys.filter("not kept or times > 1"), "dedup-odd").withColumnRenamed("row_key", mark)
+    named = docs.withColumn(mark, row_key(key, text))
+    rest = named.join(odd.hint("merge"), mark, "left_anti").drop(mark)
+    repeated = odd.filter("kept").select(mark)
     if repeated.isEmpty():
         return rest
-    once = named.join(repeated, "__row_key__", "left_semi").dropDuplicates(["__row_key__"])
-    return rest.unionByName(once.drop("__row_key__"))
+    once = named.join(repeated.hint("merge"), mark, "left_semi").dropDuplicates([mark])
+    return rest.unionByName(once.drop(mark))
