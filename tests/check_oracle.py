@@ -31,10 +31,10 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=df.columns)
 
 
-def compare(spark, con, name: str, sf_dir: str) -> str:
-    """Empty where equal, else what differs."""
-    got = registered.queries()[name](spark, sf_dir).toPandas()
-    want = con.execute(registered.oracle_sql()[name]).df()
+def compare(spark, con, name: str, sf_dir: str, source=registered) -> str:
+    """Empty where equal, else what differs; source has queries() and oracle_sql()."""
+    got = source.queries()[name](spark, sf_dir).toPandas()
+    want = con.execute(source.oracle_sql()[name]).df()
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(got.columns)} and {sorted(want.columns)}"
     if len(got) != len(want):

@@ -25,11 +25,12 @@ def values(spark, items, ddl, expr):
         ("ÀB__c!!", "àb__c_"),
         ("already_clean", "already_clean"),
         ("日本 語", "日本_語"),
+        ("Ⓐ-x", "ⓐ_x"),
     ],
 )
-def test_clean_id_and_its_python_twin(spark, raw, want):
+def test_clean_id_of_a_column_and_of_a_name(spark, raw, want):
     assert values(spark, [raw], "string", clean_id) == [want]
-    assert clean_name(raw) == want
+    assert clean_name(spark, raw) == want
 
 
 def test_reserved_columns_move_aside(spark):

@@ -11,7 +11,8 @@ from widemetrics.operators import wide
 from widemetrics.plans import panels
 from widemetrics.session import shared_dir
 from widemetrics.sinks import otlp
-from widemetrics.sinks.store import MetricStore, write_metrics
+from widemetrics.sinks.store import MetricStore, daily_copy, write_metrics
+from widemetrics.sources.datums import parse_datums
 
 DAY = 86400 * 10**9
 HOUR = 3600 * 10**9
@@ -106,8 +107,8 @@ def values(df, name="v"):
 
 def test_write_and_read_back(spark):
     s = store(spark)
-    assert s.write(hourly(spark, range(10))) == 0
-    assert s.write(hourly(spark, range(10, 12))) == 1
+    first = s.write(hourly(spark, range(10)))
+    assert s.write(hourly(spark, range(10, 12))) != first
     assert values(s.read("M")) == list(range(12))
     lo = datetime(2024, 1, 1, 2)
     assert values(s.read("m", lo, lo + timedelta(hours=4))) == [3, 4, 5, 6]
@@ -119,10 +120,12 @@ def test_write_and_read_back(spark):
 def test_time_bounds_prune_chunks(spark):
     s = store(spark)
     s.write(hourly(spark, range(48)))
-    plan = s.read("m", datetime(2024, 1, 2))._jdf.queryExecution().executedPlan().toString()
-    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
-    assert "chunk" in filters
+    rows = s.read("m", datetime(2024, 1, 2))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "GreaterThan(time" in plan
+    # Only the chunks in question are listed at all.
+    chunks = {p.split("chunk=")[1].split("/")[0] for p in rows.inputFiles()}
+    assert len(chunks) == 6 and min(map(int, chunks)) == START // 10**9 + 24 * 3600
 
 
 def test_time_range_on_a_frame_with_its_chunks(spark):
@@ -154,7 +157,7 @@ def test_healing_twice_changes_nothing(spark):
     s = store(spark)
     found = wide.collect_schema(wide.discover_schema(hourly(spark, [0])))
     assert s.heal(found) == s.heal(found)
-    assert len(s._log("registry", "table string")) == 2
+    assert len(s._registry()) == 3
 
 
 def test_drop_batch(spark):
@@ -164,86 +167,83 @@ def test_drop_batch(spark):
     other = hourly(spark, [2], metric="other")
     s.write(mixed.unionByName(other), on_conflict="drop_batch")
     assert values(s.read("m")) == [0] and values(s.read("other")) == [2]
-    assert s.rejects().count() == 2
+    assert sorted((r["reason"], r["conflicts"]) for r in s.rejects().collect()) == [("companion", []), ("conflict", ["v"])]
     with pytest.raises(ValueError):
         s.write(other, on_conflict="null")
 
 
 def test_a_batch_written_again_replaces_itself(spark):
     s = store(spark)
-    for stage in (True, False):
-        s.write(hourly(spark, range(5)), batch_id=3, stage=stage)
+    for _ in range(2):
+        s.write(hourly(spark, range(5)), writer="w", batch=3)
     assert values(s.read("m")) == list(range(5))
+    s.write(hourly(spark, range(2)), writer="v", batch=3)
+    assert values(s.read("m")) == [0, 0, 1, 1, 2, 3, 4]
 
 
-def test_metrics_with_their_own_columns(spark):
+def test_datums_without_values_are_rows(spark):
     s = store(spark)
-    a, b = hourly(spark, [0, 1]), frame(spark, datum("B-b", START, {"z": {"Boolean": True}}))
-    same = hourly(spark, [4], metric="a2")
-    s.write(a.unionByName(b).unionByName(same))
-    assert values(s.read("m")) == [0, 1] and values(s.read("a2")) == [4]
-    assert s.read("B-b").first()["z"] is True
+    s.write(frame(spark, datum("new", START), datum("m", START, None, {"v": {"I64": 1}})))
+    s.write(frame(spark, datum("m", START + HOUR), datum("m", START, {"unset": {}})))
+    assert s.read("new").count() == 1 and s.read("new").columns == ["time"]
+    assert values(s.read("m")) == [1, None, None]
+    assert s.rejects().count() == 0
 
 
-def test_compaction_keeps_every_row(spark):
+def test_every_stray_datum_is_among_the_rejects(spark):
     s = store(spark)
-    s.write(hourly(spark, range(0, 30)))
-    s.write(hourly(spark, [3, 3, 5]))
-    before = values(s.read("m"))
-    assert s.compact("m", datetime(2024, 1, 1), quiet=True)
-    assert values(s.read("m")) == before
-    assert len(s._partitions("packed")) == 1
-    assert all(chunk >= 1704067200 + 86400 for _, _, _, chunk in s._partitions("fine"))
-    assert not s.compact("m", datetime(2024, 1, 1), quiet=True)
-    # Late rows for a compacted day stay visible, and fold in the next time.
-    s.write(hourly(spark, [7]))
-    assert values(s.read("m")) == sorted(before + [7])
-    assert s.compact("m", datetime(2024, 1, 1), quiet=True)
-    assert values(s.read("m")) == sorted(before + [7])
-    lo = datetime(2024, 1, 1, 20)
-    assert values(s.read("m", lo, lo + timedelta(hours=3))) == [21, 22, 23]
-    hours = [r["time"] for r in s.read("m", datetime(2023, 12, 31), datetime(2024, 1, 1, 23)).collect()]
-    assert len(hours) == 24 + 3 + 1
-
-
-def test_compaction_leaves_the_newest_batch(spark):
+    texts = ["{", datum("", START), datum("m", START, None, {"v": {"I64": 1}}),
+             '{"metric":"m","dimensions":{},"measurements":{}}', '{"unix_nanos":1}', None]
+    rows = parse_datums(spark.createDataFrame([(t,) for t in texts], "value string"))
+    s.write(rows)
+    untimed = rows.where("metric = 'm' and unix_nanos is not null").select(
+        "metric", F.lit(None).cast("decimal(20,0)").alias("unix_nanos"), "dimensions", "measurements")
+    s.write(untimed)
+    assert values(s.read("m")) == [1]
+    reasons = sorted((r["reason"], r["malformed"] is None) for r in s.rejects().collect())
+    assert reasons == [("malformed", False)] * 4 + [("unnamed", True), ("untimed", True)]
+
+
+def test_rejects_of_batches_add_up(spark):
     s = store(spark)
     s.write(hourly(spark, [0]))
-    assert not s.compact("m", datetime(2024, 1, 1))
-    s.write(hourly(spark, [1]))
-    assert s.compact("m", datetime(2024, 1, 1))
-    assert [b for _, _, b, _ in s._partitions("fine")] == [1]
-    assert values(s.read("m")) == [0, 1]
+    for _ in range(2):
+        s.write(frame(spark, datum("m", START, None, {"v": {"F64": 0.5}})))
+    assert s.rejects().count() == 2 and values(s.read("m")) == [0]
 
 
-def test_folded_rows_do_not_count_twice_before_cleaning(spark):
+def test_a_table_of_2000_columns_and_its_neighbour(spark):
     s = store(spark)
-    s.write(hourly(spark, range(6)))
-    s.compact("m", datetime(2024, 1, 1), quiet=True, clean=False)
-    assert len(s._partitions("fine")) == 2
-    assert values(s.read("m")) == list(range(6))
+    many = datum("many", START, None, {f"c{i}": {"I64": i} for i in range(2000)})
+    s.write(frame(spark, many, datum("m", START, None, {"v": {"I64": 1}})))
+    assert len(s.read("many").columns) == 2001 and values(s.read("m")) == [1]
+    assert s.read("many").first()["c1999"] == 1999
+
 
+def test_daily_copy_keeps_every_row_in_order(spark):
+    s, folder = store(spark), shared_dir(spark, "days")
+    s.write(hourly(spark, range(60)))
+    daily_copy(s.read("m"), folder)
+    rows = spark.read.parquet(folder)
+    assert values(rows) == list(range(60)) and rows.select("day").distinct().count() == 3
 
-def test_an_unrecorded_compaction_is_not_seen(spark):
+
+def test_metrics_with_their_own_columns(spark):
     s = store(spark)
-    s.write(hourly(spark, range(6)))
-    recorded, s._append = s._append, lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
-    with pytest.raises(RuntimeError):
-        s.compact("m", datetime(2024, 1, 1), quiet=True)
-    s._append = recorded
-    assert values(s.read("m")) == list(range(6))
-    assert s.compact("m", datetime(2024, 1, 1), quiet=True)
-    assert values(s.read("m")) == list(range(6))
+    a, b = hourly(spark, [0, 1]), frame(spark, datum("B-b", START, {"z": {"Boolean": True}}))
+    same = hourly(spark, [4], metric="a2")
+    s.write(a.unionByName(b).unionByName(same))
+    assert values(s.read("m")) == [0, 1] and values(s.read("a2")) == [4]
+    assert s.read("B-b").first()["z"] is True
 
 
 def test_retention_goes_by_chunk_end(spark):
     s = store(spark)
     s.write(hourly(spark, range(0, 72)))
-    s.compact("m", datetime(2024, 1, 1), quiet=True)
     now = datetime(2024, 1, 4, tzinfo=timezone.utc)
-    # 24 h back: the packed day and day two go, day three stays.
+    # 24 h back: days one and two go, day three stays.
     gone = s.apply_retention(now, 24 * 3600)
-    assert len(gone) == 1 + 6
+    assert len(gone) == 12
     assert values(s.read("m")) == list(range(48, 72))
     assert s.apply_retention(now, 24 * 3600) == []
 

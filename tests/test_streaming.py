@@ -2,11 +2,11 @@
 
 import pytest
 from pyspark.sql import functions as F
-from samples import datum
+from samples import datum, frame
 
 from widemetrics.functions import statset
 from widemetrics.operators import histograms
-from widemetrics.session import shared_dir
+from widemetrics.session import Folder, shared_dir
 from widemetrics.sinks import otlp
 from widemetrics.sinks.store import MetricStore
 from widemetrics.sources.datums import parse_datums, parse_requests
@@ -50,12 +50,56 @@ def test_stream_restarts_where_it_stopped_and_heals(spark, inbox):
 
 
 def test_a_replayed_batch_is_not_doubled(spark, inbox):
+    folder = shared_dir(spark, "s")
+    drop(inbox, "a", one(1), one(2))
+    pipelines.stream_wide(stream(spark, inbox), f"{folder}/t", f"{folder}/c", None).awaitTermination(60)
+    # The batch was written, but its commit was lost.
+    for commit in Folder(spark, f"{folder}/c/commits").glob("*"):
+        Folder(spark, commit).delete()
+    pipelines.stream_wide(stream(spark, inbox), f"{folder}/t", f"{folder}/c", None).awaitTermination(60)
+    assert read(spark, f"{folder}/t") == [1, 2]
+
+
+def test_another_checkpoint_and_other_writers_add(spark, inbox):
     folder = shared_dir(spark, "s")
     drop(inbox, "a", one(1), one(2))
     for checkpoint in ("c1", "c2"):
         run = pipelines.stream_wide(stream(spark, inbox), f"{folder}/t", f"{folder}/{checkpoint}", None)
         run.awaitTermination(60)
-    assert read(spark, f"{folder}/t") == [1, 2]
+    MetricStore(spark, f"{folder}/t").write(frame(spark, one(7)))
+    assert read(spark, f"{folder}/t") == [1, 1, 2, 2, 7]
+
+
+def test_malformed_rows_of_a_stream_are_kept(spark, inbox):
+    folder = shared_dir(spark, "s")
+    drop(inbox, "a", one(1), "not json")
+    whole = parse_datums(spark.readStream.text(str(inbox)))
+    pipelines.stream_wide(whole, f"{folder}/t", f"{folder}/c", None).awaitTermination(60)
+    store = MetricStore(spark, f"{folder}/t")
+    assert read(spark, f"{folder}/t") == [1]
+    assert [(r["reason"], r["malformed"]) for r in store.rejects().collect()] == [("malformed", "not json")]
+
+
+def test_rollup_parts_of_batches_out_of_order_equal_batch(spark, inbox):
+    folder = shared_dir(spark, "s")
+    stamps = [f'{{"t":"2024-01-01T{h:02d}:{m:02d}:00Z","g":"a","v":{h + m / 10}}}' for h in range(8) for m in (0, 7, 59)]
+    for i in (3, 0, 2, 1):
+        drop(inbox, f"{'abcd'[(i * 3) % 4]}.json", *stamps[i * 6 : i * 6 + 6])
+    rows = spark.readStream.schema("t timestamp, g string, v double").option("maxFilesPerTrigger", 1).json(str(inbox))
+
+    def sets(batch):
+        return pipelines.statistics_of(batch, "t", "3 hours", ["g"], "v", "s")
+
+    for _ in range(2):
+        run = pipelines.stream_rollup(rows, sets, f"{folder}/out", f"{folder}/c", None)
+        run.awaitTermination(60)
+    got = pipelines.merged_statistics(spark.read.parquet(f"{folder}/out"), ["g"], "s")
+    batch = spark.read.schema("t timestamp, g string, v double").json(str(inbox))
+    key = lambda r: r["time"]
+    assert len(Folder(spark, f"{folder}/out").glob("writer=*/batch=*")) == 4
+    for a, b in zip(sorted(got.collect(), key=key), sorted(sets(batch).collect(), key=key), strict=True):
+        assert (a["time"], a["s"]["samplecount"], a["s"]["minimum"], a["s"]["maximum"]) == (
+            b["time"], b["s"]["samplecount"], b["s"]["minimum"], b["s"]["maximum"])
 
 
 def test_both_consumers_see_every_datum(spark, inbox):

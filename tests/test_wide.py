@@ -133,11 +133,18 @@ def test_discovery_is_a_hash_aggregate(spark):
     assert "SortAggregate" not in text and "partial_min" in text
 
 
-def test_too_many_columns(spark):
-    rows = [("t", f"c{i}", "dimension", "string", [("dimension", f"c{i}")], True) for i in range(wide.MAX_COLUMNS + 1)]
-    ddl = "table string, column string, kind string, type string, sources array<struct<kind:string,key:string>>, uniform boolean"
-    with pytest.raises(ValueError, match="columns"):
-        wide.collect_schema(spark.createDataFrame(rows, ddl))
+def test_tables_without_values_are_found(spark):
+    df = frame(spark, datum("a", 1), datum("b", 1, None, {"x": {"I64": 1}}), datum("c", 1, {"unset": {}}))
+    found = wide.collect_schema(wide.discover_tables(df))
+    assert {t: [c.name for c in columns] for t, columns in found.items()} == {"a": [], "b": ["x"], "c": []}
+    assert wide.discover_schema(df).count() == 1
+
+
+def test_each_set_of_columns_is_one_frame(spark):
+    df = frame(spark, *[datum(m, 1, None, {k: {"I64": 1}}) for m, k in (("a", "x"), ("b", "x"), ("c", "y"))])
+    parts = wide.widen_each(df)
+    assert sorted(tables for tables, _ in parts) == [["a", "b"], ["c"]]
+    assert sorted(r["table"] for _, rows in parts for r in rows.collect()) == ["a", "b", "c"]
 
 
 def test_a_wide_table_of_many_columns_plans(spark):

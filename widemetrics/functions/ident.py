@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from widemetrics.schema import RESERVED_COLUMNS
@@ -24,14 +22,6 @@ def clean_column(col: Column | str) -> Column:
     return F.when(cleaned.isin(*RESERVED_COLUMNS), F.concat(cleaned, F.lit("_"))).otherwise(cleaned)
 
 
-def clean_name(name: str) -> str:
-    """clean_id for a Python string, e.g. to find a metric's table."""
-    out: list[str] = []
-    for ch in name.lower():
-        category = unicodedata.category(ch)
-        word = category[0] in "LM" or category in ("Nd", "Nl", "Pc") or ch in "‌‍"
-        if word:
-            out.append(ch)
-        elif not out or out[-1] is not None:
-            out.append(None)
-    return "".join("_" if ch is None else ch for ch in out)
+def clean_name(spark: SparkSession, name: str) -> str:
+    """What clean_id makes of a name, e.g. to find a metric's table."""
+    return spark.range(1).select(clean_id(F.lit(name))).first()[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from widemetrics.schema import FINE_CHUNK_SECONDS
+from widemetrics.schema import CHUNK_SECONDS
 
 
 def nanos_to_ts(nanos: Column | str) -> Column:
@@ -48,7 +48,7 @@ def slot_start(slot: Column | str, seconds: int) -> Column:
     return F.timestamp_micros(slot * F.lit(seconds * 1_000_000))
 
 
-def chunk_of(ts: Column | str, seconds: int = FINE_CHUNK_SECONDS) -> Column:
+def chunk_of(ts: Column | str, seconds: int = CHUNK_SECONDS) -> Column:
     """Partition value of a row: start of its chunk in epoch seconds.
 
     A number, because partition folders spell timestamps in the session zone.

@@ -7,12 +7,12 @@ maps are put together from those counts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from widemetrics.functions import seh
+from widemetrics.functions import seh, statset
 from widemetrics.functions.timefn import slot_number, slot_start
 
 _N = "__n"
@@ -51,6 +51,47 @@ def accumulate(
     return fold(bucket_counts(df, keys, col, **bucket_options), keys, name)
 
 
+def accumulate_many(
+    df: DataFrame,
+    keys: Sequence[str],
+    histograms: Mapping[str, str],
+    statistics: Mapping[str, str],
+    **bucket_options: str,
+) -> DataFrame:
+    """Several histograms and statistic sets per key, by name of result and column, in one pass.
+
+    Each row gives one entry for each column. Entries are combined per (keys,
+    column, bucket) before the one shuffle of raw rows; a statistic set is
+    merged from the sets of its column's buckets.
+    """
+    columns = list(dict.fromkeys([*histograms.values(), *statistics.values()]))
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("__column"),
+                F.col(c).cast("double").alias("__value"),
+                (
+                    seh.bucket(c, **bucket_options) if c in histograms.values() else F.lit(None)
+                ).cast("double").alias(_BUCKET),
+            )
+            for i, c in enumerate(columns)
+        ]
+    )
+    each = df.select(*keys, F.inline(entries))
+    parts = each.groupBy(*keys, "__column", _BUCKET).agg(
+        F.count("__value").alias(_N), statset.accumulate("__value").alias("__set")
+    )
+    results = []
+    for name, c in histograms.items():
+        own = (F.col("__column") == columns.index(c)) & F.col(_BUCKET).isNotNull()
+        pairs = F.collect_list(F.when(own, F.struct(_BUCKET, _N)))
+        results.append(seh.from_pairs(pairs).alias(name))
+    for name, c in statistics.items():
+        own = F.when(F.col("__column") == columns.index(c), F.col("__set"))
+        results.append(statset.merge(own).alias(name))
+    return parts.groupBy(*keys).agg(*results)
+
+
 def merge(df: DataFrame, keys: Sequence[str], col: str, name: str = "histogram") -> DataFrame:
     """Histograms to one histogram per key."""
     return fold(merged_counts(df, keys, col), keys, name)
@@ -86,6 +127,7 @@ def moving(
     values: bool = False,
     name: str = "histogram",
     slot_name: str = "slot",
+    **bucket_options: str,
 ) -> DataFrame:
     """A histogram over a moving frame: the slot and the ``frame_slots - 1`` before it.
 
@@ -97,7 +139,7 @@ def moving(
     """
     source = df.withColumn(_SLOT, slot_number(time, slot_seconds))
     counts = (
-        bucket_counts(source, [*keys, _SLOT], col)
+        bucket_counts(source, [*keys, _SLOT], col, **bucket_options)
         if values
         else merged_counts(source, [*keys, _SLOT], col)
     )

@@ -14,8 +14,6 @@ from widemetrics.functions.text import parse_boolean, parse_float, plain_number
 from widemetrics.functions.timefn import nanos_to_ts
 from widemetrics.schema import COLUMN_TYPES, SPARK_TYPES
 
-MAX_COLUMNS = 1600
-
 _DIMENSIONS = [(rank, f) for rank, (kind, f, _) in enumerate(COLUMN_TYPES) if kind == "dimension"]
 _MEASUREMENTS = [(rank, f) for rank, (kind, f, _) in enumerate(COLUMN_TYPES) if kind == "measurement"]
 
@@ -51,6 +49,8 @@ def observed_keys(df: DataFrame) -> DataFrame:
     ``first`` packs (microsecond, type rank) into one number, so the minimum is
     a hash aggregate with map-side combine; only distinct keys are shuffled.
     ``uniform`` says that the key has one type and no value beyond its range.
+    ``first`` is NULL for a key that never has a value, and the key itself for a
+    metric's datums without any, so that every metric has a row.
     """
     largest = F.lit("9223372036854775807").cast("decimal(20,0)")
     none = F.array().cast("array<string>")
@@ -65,7 +65,7 @@ def observed_keys(df: DataFrame) -> DataFrame:
         "dimensions",
         "measurements",
     )
-    each = timed.select("*", F.posexplode(keys).alias("pos", "key"))
+    each = timed.select("*", F.posexplode_outer(keys).alias("pos", "key"))
     split = F.coalesce(F.size("dimensions"), F.lit(0))
     is_dimension = F.col("pos") < split
     dimension = F.get(F.map_values("dimensions"), F.col("pos"))
@@ -82,20 +82,20 @@ def observed_keys(df: DataFrame) -> DataFrame:
     )
     rank = F.col("rank")
     uniform = (F.min(rank) == F.max(rank)) & ~F.max("over")
-    # Unset values have no rank; aggregates skip them, and a key with no other
-    # value goes away afterwards, so the ranks are not worked out twice.
-    return (
-        ranked.groupBy("metric", "is_dimension", "key")
-        .agg(
-            F.min(F.col("micros") * len(COLUMN_TYPES) + rank).alias("first"),
-            uniform.alias("uniform"),
-        )
-        .where(F.col("first").isNotNull())
+    # Unset values have no rank and aggregates skip them.
+    return ranked.groupBy("metric", "is_dimension", "key").agg(
+        F.min(F.col("micros") * len(COLUMN_TYPES) + rank).alias("first"),
+        uniform.alias("uniform"),
     )
 
 
 def discover_schema(df: DataFrame) -> DataFrame:
-    """Rows (table, column, kind, type, sources, uniform) for every column the datums carry.
+    """Rows (table, column, kind, type, sources, uniform) for every column the datums carry."""
+    return discover_tables(df).where(F.col("column").isNotNull())
+
+
+def discover_tables(df: DataFrame) -> DataFrame:
+    """discover_schema, and a row without a column for each table that has datums without values.
 
     The earliest datum settles a column's type, a dimension ahead of a
     measurement. Keys that clean to the same name share a column; ``sources``
@@ -114,9 +114,10 @@ def discover_schema(df: DataFrame) -> DataFrame:
         F.col("key").alias("key"),
     )
     one_type = F.size(F.collect_set(type_of(F.col("first")))) == 1
+    column = F.when(F.col("first").isNotNull(), clean_column("key"))
     return (
         observed_keys(df)
-        .groupBy(clean_id("metric").alias("table"), clean_column("key").alias("column"))
+        .groupBy(clean_id("metric").alias("table"), column.alias("column"))
         .agg(
             F.min("first").alias("first"),
             F.array_sort(F.collect_set(source)).alias("sources"),
@@ -139,18 +140,14 @@ def column_order(columns: Iterable[ColumnSpec]) -> list[ColumnSpec]:
 
 
 def collect_schema(rows: DataFrame) -> dict[str, list[ColumnSpec]]:
-    """Discovered rows as column lists per table. Only key names reach the driver."""
+    """Discovered rows as column lists per table, empty ones too. Only key names reach the driver."""
     tables: dict[str, list[ColumnSpec]] = {}
     for r in rows.toLocalIterator():
-        sources = tuple((s["kind"], s["key"]) for s in r["sources"])
-        tables.setdefault(r["table"], []).append(
-            ColumnSpec(r["column"], r["kind"], r["type"], sources, r["uniform"])
-        )
-    for table, columns in tables.items():
-        if len(columns) > MAX_COLUMNS:
-            raise ValueError(f"{table} has {len(columns)} columns, more than {MAX_COLUMNS}")
-        tables[table] = column_order(columns)
-    return tables
+        columns = tables.setdefault(r["table"], [])
+        if r["column"] is not None:
+            sources = tuple((s["kind"], s["key"]) for s in r["sources"])
+            columns.append(ColumnSpec(r["column"], r["kind"], r["type"], sources, r["uniform"]))
+    return {table: column_order(columns) for table, columns in tables.items()}
 
 
 def _member_text(value: Column, member: str) -> Column:
@@ -166,6 +163,14 @@ def value_text(value: Column, kind: str) -> Column:
     return F.coalesce(*[_member_text(value[name], name) for _, name in members])
 
 
+def own_text(value: Column, kind: str, type_name: str) -> Column:
+    """Text of the member that a column's type belongs to."""
+    for source_kind, member, member_type in COLUMN_TYPES:
+        if source_kind == kind and member_type == type_name:
+            return _member_text(value[member], member)
+    return value_text(value, kind)
+
+
 def _whole(value: Column, type_name: str) -> Column:
     """A float as an integer, where it is one."""
     return F.when(value == F.floor(value), value.try_cast(type_name))
@@ -314,6 +319,20 @@ def rejects(df: DataFrame, columns: Sequence[ColumnSpec], keep: Sequence[str] =
     )
 
 
+def widen_each(df: DataFrame) -> list[tuple[list[str], DataFrame]]:
+    """The wide rows of all tables, as one frame for each set of columns: (tables, rows with
+    the table's name first). Tables with the same columns from the same keys share a frame, so
+    the input is read once for each set of columns and not once a table."""
+    groups: dict[tuple[ColumnSpec, ...], list[str]] = {}
+    for table, columns in collect_schema(discover_tables(df)).items():
+        groups.setdefault(tuple(columns), []).append(table)
+    named = df.withColumn("table", clean_id("metric"))
+    return [
+        (tables, widen(named.where(F.col("table").isin(*tables)), columns, keep=["table"]))
+        for columns, tables in groups.items()
+    ]
+
+
 def split_metrics(df: DataFrame, tables: Sequence[str]) -> dict[str, DataFrame]:
     """One frame of datums per table name."""
     named = df.withColumn("table", clean_id("metric"))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from widemetrics.functions.timefn import time_bucket
 from widemetrics.operators import histograms
-from widemetrics.schema import PACKED_CHUNK_SECONDS
-
-BROADCAST_ROWS = 100_000
+from widemetrics.schema import CHUNK_SECONDS
 
 
 def time_range(
@@ -19,15 +17,14 @@ def time_range(
 ) -> DataFrame:
     """Rows with ``lo < time``, and ``time <= hi`` where given.
 
-    A frame that still has its chunk column is also pruned by that; a
-    compacted chunk may start a day before the rows it holds.
+    A frame that still has its chunk column is also pruned by that.
     """
     out = df.where(F.col(time) > lo)
     if hi is not None:
         out = out.where(F.col(time) <= hi)
     if chunk in df.columns:
         seconds = lambda moment: F.unix_seconds(moment.cast("timestamp"))
-        out = out.where(F.col(chunk) > seconds(lo) - PACKED_CHUNK_SECONDS)
+        out = out.where(F.col(chunk) > seconds(lo) - CHUNK_SECONDS)
         if hi is not None:
             out = out.where(F.col(chunk) <= seconds(hi))
     return out
@@ -52,10 +49,7 @@ def in_top_k(
     rows: DataFrame, ranked: DataFrame, key: str, by: str, k: int, tiebreak: Sequence[str] = ()
 ) -> DataFrame:
     """Rows whose key is among those of the k largest ``by`` in ``ranked``."""
-    top = top_k(ranked, by, k, tiebreak).select(key)
-    # At most k rows; beyond the bound the join is left to the planner.
-    side = F.broadcast(top) if k <= BROADCAST_ROWS else top
-    return rows.join(side, key, "left_semi")
+    return rows.join(top_k(ranked, by, k, tiebreak).select(key), key, "left_semi")
 
 
 def hist_panel(
@@ -66,16 +60,21 @@ def hist_panel(
     time: str = "time",
     merged: bool = False,
     ordered: bool = True,
+    **bucket_options: str,
 ) -> DataFrame:
     """Rows (time, keys.., bucket, count) per time bucket.
 
     Same as unfolding the histogram of each time bucket, but the histograms
     are never put together: the counts are the result. ``merged`` says that
-    ``col`` holds histograms and not numbers.
+    ``col`` holds histograms and not numbers; options are those of seh.bucket.
     """
     source = df.withColumn("__time", time_bucket(width, time))
-    build = histograms.merged_counts if merged else histograms.bucket_counts
-    counts = build(source, ["__time", *keys], col).where("__bucket is not null")
+    by = ["__time", *keys]
+    counts = (
+        histograms.merged_counts(source, by, col)
+        if merged
+        else histograms.bucket_counts(source, by, col, **bucket_options)
+    ).where("__bucket is not null")
     out = counts.select(
         F.col("__time").alias("time"),
         *keys,
@@ -83,3 +82,18 @@ def hist_panel(
         F.col("__n").alias("count"),
     )
     return out.orderBy("time", *keys, "bucket") if ordered else out
+
+
+def multi_panel(
+    df: DataFrame,
+    width: str,
+    histogram: Mapping[str, str],
+    statistics: Mapping[str, str],
+    keys: Sequence[str] = (),
+    time: str = "time",
+    **bucket_options: str,
+) -> DataFrame:
+    """Rows (time, keys.., histograms and statistic sets by name) per time bucket, in one pass."""
+    source = df.withColumn("__time", time_bucket(width, time))
+    out = histograms.accumulate_many(source, ["__time", *keys], histogram, statistics, **bucket_options)
+    return out.withColumnRenamed("__time", "time")

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from widemetrics.functions import digest, seh, statset
 from widemetrics.functions.ident import clean_id
+from widemetrics.functions.sqlnames import register_functions
 from widemetrics.functions.timefn import nanos_to_ts, time_bucket
 from widemetrics.operators import digests, histograms, statsets, wide
 from widemetrics.operators.wide import ColumnSpec, dimension_col, measurement_col
 from widemetrics.plans import panels
 from widemetrics.session import shared_dir
 from widemetrics.sinks import delimited, otlp
-from widemetrics.sinks.store import MetricStore
+from widemetrics.sinks.store import MetricStore, daily_copy
 from widemetrics.sources import datums, exposition
 from widemetrics.sources.datums import dimension as dim
 from widemetrics.sources.datums import measurement as mea
@@ -453,16 +454,16 @@ def shifting_datums(events: DataFrame) -> DataFrame:
     "schema_discovery",
     """with f as (select event_type, arg_min(event_id, ts) as event_id from events group by 1),
        t as (select 'svc_' || event_type as "table", event_id from f)
-       select "table", 'user_id' as "column", 'dimension' as kind, 'bigint' as type, cast(1 as bigint) as sources from t
-       union all select "table", 'time_', 'dimension', 'string', 1 from t
-       union all select "table", 'k', 'measurement', 'int', 1 from t
-       union all select "table", 'reading', 'measurement', case when event_id % 2 = 1 then 'bigint' else 'double' end, 2 from t""",
+       select "table", 'user_id' as "column", 'dimension' as kind, 'bigint' as type, 'dimension:User-Id' as sources from t
+       union all select "table", 'time_', 'dimension', 'string', 'dimension:time' from t
+       union all select "table", 'k', 'measurement', 'int', 'measurement:k' from t
+       union all select "table", 'reading', 'measurement', case when event_id % 2 = 1 then 'bigint' else 'double' end,
+                        'measurement:Reading,measurement:reading' from t""",
 )
 def schema_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wide.discover_schema(shifting_datums(table(spark, sf_dir, "events")))
-    return found.select(
-        "table", "column", "kind", "type", F.size("sources").cast("bigint").alias("sources")
-    )
+    sources = F.transform("sources", lambda s: F.concat(s["kind"], F.lit(":"), s["key"]))
+    return found.select("table", "column", "kind", "type", F.array_join(sources, ",").alias("sources"))
 
 
 @query(
@@ -503,13 +504,16 @@ def seh_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, low, high): histograms of events with k below 50 and of the others."""
+    """(user_id, low, high, total): histograms of events with k below 50, of the others, of all."""
     events = table(spark, sf_dir, "events").withColumn("k", k_of_props())
-    low = histograms.accumulate(events.where("k < 50"), ["user_id"], "value", "low")
-    high = histograms.accumulate(events.where("k >= 50"), ["user_id"], "value", "high")
-    empty = F.create_map().cast("map<double,bigint>")
-    return low.join(high, "user_id", "full").select(
-        "user_id", F.coalesce("low", empty).alias("low"), F.coalesce("high", empty).alias("high")
+    events = events.select(
+        "user_id",
+        "value",
+        F.when(F.col("k") < 50, F.col("value")).alias("below"),
+        F.when(F.col("k") >= 50, F.col("value")).alias("above"),
+    )
+    return histograms.accumulate_many(
+        events, ["user_id"], {"low": "below", "high": "above", "total": "value"}, {}
     )
 
 
@@ -528,14 +532,8 @@ def hist_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
         where {SQL_K} >= 50 group by 1, 2""",
 )
 def hist_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    total = histograms.accumulate(events, ["user_id"], "value", "total")
-    low = histograms.accumulate(events.where(k_of_props() < 50), ["user_id"], "value", "low")
-    empty = F.create_map().cast("map<double,bigint>")
-    rest = seh.subtract("total", F.coalesce("low", empty))
-    return histograms.buckets(
-        total.join(low, "user_id", "left").select("user_id", rest.alias("h")), "h", ["user_id"]
-    )
+    rest = halves(spark, sf_dir).select("user_id", seh.subtract("total", "low").alias("h"))
+    return histograms.buckets(rest, "h", ["user_id"])
 
 
 @query(
@@ -744,37 +742,46 @@ def tdigest_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "tdigest_merge",
-    """select event_type, count(*) as n, min(value) as low, max(value) as high, true as p50_close,
-              true as p90_close, true as p99_close from events group by 1""",
+    """with q as (select event_type, count(*) as n, min(value) as low, max(value) as high,
+                      quantile_cont(value, 0.5) as a, quantile_cont(value, 0.9) as b, quantile_cont(value, 0.99) as c
+               from events group by 1),
+            r as (select event_type, value, row_number() over (partition by event_type order by value) as rank from events),
+            near as (select q.event_type, m.name, min(abs(r.rank - m.share * q.n)) <= 0.02 * any_value(q.n) as close
+                     from q, (values ('p50', 0.5), ('p90', 0.9), ('p99', 0.99)) m(name, share), r
+                     where r.event_type = q.event_type group by 1, 2)
+       select q.event_type, n, low, high, bool_and(close) as close from q join near using (event_type) group by all""",
 )
 def tdigest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily digests merged; each estimate's true rank is checked on all rows."""
+    """Daily digests merged; each estimate's rank is checked against counts of equal values."""
     events = table(spark, sf_dir, "events")
     daily = events.withColumn("day", time_bucket("1 day", "ts"))
     daily = digests.accumulate(daily, ["event_type", "day"], "value", "d")
     merged = digests.merge(daily, ["event_type"], "d", "d")
-    marks = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    marks = [0.5, 0.9, 0.99]
     estimates = merged.select(
         "event_type",
         F.col("d.count").alias("n"),
         F.col("d.min").alias("low"),
         F.col("d.max").alias("high"),
-        *[digest.quantile("d", q).alias(name) for name, q in marks.items()],
+        F.array(*[digest.quantile("d", q) for q in marks]).alias("at"),
     )
-    # Only the estimates are joined on, one row to an event type.
-    joined = events.select("event_type", "value").join(estimates, "event_type")
-    below = [F.sum((F.col("value") <= F.col(m)).cast("bigint")).alias(f"{m}_below") for m in marks]
-    ranks = joined.groupBy("event_type", "n", "low", "high").agg(*below)
-    return ranks.select(
-        "event_type",
-        "n",
-        "low",
-        "high",
-        *[
-            (F.abs(F.col(f"{m}_below") / F.col("n") - q) < 0.02).alias(f"{m}_close")
-            for m, q in marks.items()
-        ],
+    # Counts in cells of a 64th of a power of two meet the estimates, not raw rows.
+    cell = F.floor(F.log2("value") * 64).alias("cell")
+    cells = events.groupBy("event_type", cell).agg(
+        F.count("*").alias("m"), F.min("value").alias("least"), F.max("value").alias("most")
     )
+    joined = cells.join(estimates, "event_type")
+    below = [F.sum(F.when(F.col("most") <= F.col("at")[i], F.col("m")).otherwise(0)) for i in range(3)]
+    upto = [F.sum(F.when(F.col("least") <= F.col("at")[i], F.col("m")).otherwise(0)) for i in range(3)]
+    ranks = joined.groupBy("event_type", "n", "low", "high").agg(
+        F.array(*below).alias("below"), F.array(*upto).alias("upto")
+    )
+    # The true rank lies between the two.
+    close = [
+        (F.col("below")[i] / F.col("n") - q < 0.02) & (q - F.col("upto")[i] / F.col("n") < 0.02)
+        for i, q in enumerate(marks)
+    ]
+    return ranks.select("event_type", "n", "low", "high", (close[0] & close[1] & close[2]).alias("close"))
 
 
 # Moving frames
@@ -901,17 +908,11 @@ SQL_EVENT_ROWS = f"select ts as time, event_type, user_id, {SQL_K} as k, value f
        union all select 'orders_placed', o_orderdate, o_custkey, o_totalprice from orders""",
 )
 def route_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = both_metrics(spark, sf_dir)
-    schemas = wide.collect_schema(wide.discover_schema(rows))
     out = None
-    for name, part in wide.split_metrics(rows, sorted(schemas)).items():
-        wide_rows = wide.widen(part, schemas[name])
-        who, reading = ("customer", "total") if name == "orders_placed" else ("user_id", "value")
-        rows_out = wide_rows.select(
-            F.lit(name).alias("table"),
-            ntz("time").alias("time"),
-            F.col(who).alias("who"),
-            F.col(reading).alias("reading"),
+    for tables, rows in wide.widen_each(both_metrics(spark, sf_dir)):
+        who, reading = ("customer", "total") if "orders_placed" in tables else ("user_id", "value")
+        rows_out = rows.select(
+            "table", ntz("time").alias("time"), F.col(who).alias("who"), F.col(reading).alias("reading")
         )
         out = rows_out if out is None else out.unionByName(rows_out)
     return out
@@ -925,33 +926,45 @@ def widen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "schema_heal",
-    """with t as (select distinct event_type as "table" from events)
-       select "table", 'event_type' as "column", 'dimension' as kind, 'string' as type from t
-       union all select "table", 'user_id', 'dimension', 'bigint' from t
-       union all select "table", 'value', 'measurement', 'double' from t
-       union all select "table", 'k', 'measurement', 'bigint' from t""",
+    f"""with t as (select event_type as "table", ts as time, user_id, value, {SQL_K} as k from events)
+       select "table", time, 1 as batch, user_id, value, cast(null as bigint) as k from t
+       union all select "table", time, 2, user_id, 1.0::double, k from t""",
 )
 def schema_heal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables first, a column next, and a changed type that must not take."""
+    """Tables first; then a column more, missing before, and a changed type that does not take."""
     store = MetricStore(spark, shared_dir(spark, "schema-heal"))
     rows = event_datums(table(spark, sf_dir, "events"))
-    first = rows.withColumn("measurements", F.map_filter("measurements", lambda key, _: key != "k"))
-    k = F.element_at("measurements", F.lit("k"))["I64"]
-    changed = rows.withColumn(
-        "measurements", as_map(value=mea(I64=F.lit(1).cast("bigint")), k=mea(I64=k))
-    )
-    for batch in (first, changed):
-        store.heal(wide.collect_schema(wide.discover_schema(batch)))
-    listed = [
-        (name, c.name, c.kind, c.type) for name, columns in store.schemas().items() for c in columns
+    batch = [
+        F.map_concat("dimensions", as_map(batch=dim(Number=F.lit(n)))).alias("dimensions") for n in (1, 2)
     ]
-    return spark.createDataFrame(listed, "table string, column string, kind string, type string")
+    first = rows.select(
+        "metric", "unix_nanos", batch[0],
+        F.map_filter("measurements", lambda key, _: key != "k").alias("measurements"),
+    )
+    k = F.element_at("measurements", F.lit("k"))["I64"]
+    changed = rows.select(
+        "metric", "unix_nanos", batch[1],
+        as_map(value=mea(I64=F.lit(1).cast("bigint")), k=mea(I64=k)).alias("measurements"),
+    )
+    for part in (first, changed):
+        store.write(part)
+    out = None
+    for name in sorted(store.schemas()):
+        read = store.read(name).select(
+            F.lit(name).alias("table"), ntz("time").alias("time"),
+            F.col("batch_").cast("int").alias("batch"), "user_id", "value", "k",
+        )
+        out = read if out is None else out.unionByName(read)
+    return out
 
 
 @query(
     "type_conflict_rejects",
     f"""select event_type as metric, epoch_us(ts) * 1000 as unix_nanos, 'code' as conflict,
-               'x' || cast(user_id as varchar) as text from events where {SQL_K} % 10 = 3""",
+               'x' || cast(user_id as varchar) as text, cast(null as bigint) as code, cast(null as double) as value
+        from events where {SQL_K} % 10 = 3
+        union all select event_type, epoch_us(ts) * 1000, null, null, user_id, value
+        from events where {SQL_K} % 10 <> 3""",
 )
 def type_conflict_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
@@ -965,21 +978,32 @@ def type_conflict_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
         ColumnSpec("code", "dimension", "bigint", (("dimension", "code"),)),
         ColumnSpec("value", "measurement", "double", (("measurement", "value"),)),
     ]
-    return wide.rejects(rows, columns).select(
+    nanos_out = F.col("unix_nanos").cast("bigint").alias("unix_nanos")
+    rejected = wide.rejects(rows, columns).select(
         "metric",
-        F.col("unix_nanos").cast("bigint").alias("unix_nanos"),
+        nanos_out,
         F.explode("conflicts").alias("conflict"),
         dimension_col("code").alias("text"),
+        F.lit(None).cast("bigint").alias("code"),
+        F.lit(None).cast("double").alias("value"),
+    )
+    none = F.lit(None).cast("string")
+    kept = wide.widen(rows, columns, keep=["metric", "unix_nanos"]).select(
+        "metric", nanos_out, none.alias("conflict"), none.alias("text"), "code", "value"
     )
+    return rejected.unionByName(kept)
 
 
 @query(
     "chunked_write",
-    f"""select * from ({SQL_EVENT_ROWS}) where time > (select min(ts) from events) + interval 5 day
-        and time <= (select min(ts) from events) + interval 20 day""",
+    f"""with r as ({SQL_EVENT_ROWS})
+        select 'all' as part, * from r
+        union all select 'range', * from r where time > (select min(ts) from events) + interval 5 day
+            and time <= (select min(ts) from events) + interval 20 day
+        union all select 'failures', time, event_type, user_id, null, 1.0::double from r where event_type = 'error'""",
 )
 def chunked_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two metrics loaded together, one read back for a range of time."""
+    """Two metrics loaded together; both read back whole, and one for a range of time."""
     events = table(spark, sf_dir, "events")
     other = event_datums(events.where("event_type = 'error'")).select(
         F.lit("Failures").alias("metric"),
@@ -994,7 +1018,62 @@ def chunked_write(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.unix_micros(F.col("t") + F.expr("interval 5 days")),
         F.unix_micros(F.col("t") + F.expr("interval 20 days")),
     ).first()
-    return read_events(store, moment(lo), moment(hi))
+    failures = store.read("Failures").select(
+        ntz("time").alias("time"), "event_type", "user_id", F.lit(None).cast("bigint").alias("k"),
+        F.col("failed").cast("double").alias("value"),
+    )
+    parts = {"all": read_events(store), "range": read_events(store, moment(lo), moment(hi)), "failures": failures}
+    out = None
+    for name, rows in parts.items():
+        rows = rows.select(F.lit(name).alias("part"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(
+    "store_accounts_for_all",
+    f"""with e as (select *, {SQL_K} as k from events)
+        select event_type as "table", case when k % 10 = 3 and event_id % 5 > 1 then 'conflict' else 'stored' end as outcome,
+               count(*) as n from e where event_id % 5 > 0 group by all
+        union all select '', case event_id % 3 when 0 then 'malformed' when 1 then 'unnamed' else 'untimed' end, count(*)
+               from e where event_id % 5 = 0 group by all""",
+)
+def store_accounts_for_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datums without keys, names, times or readable text, and with other types, among plain
+    ones: each is in a table or among the rejects."""
+    events = table(spark, sf_dir, "events")
+    fault = F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 3)
+    bare = F.col("event_id") % 5 == 1
+    code = F.when(
+        k_of_props() % 10 == 3, dim(String=F.concat(F.lit("x"), F.col("user_id").cast("string")))
+    ).otherwise(dim(Number=F.col("user_id")))
+    # The first datum of all settles the column's type.
+    early = F.lit(0).cast("decimal(20,0)")
+    rows = events.select(
+        F.when(F.coalesce(fault, F.lit(9)) == 1, "").otherwise(F.col("event_type")).alias("metric"),
+        F.when(F.coalesce(fault, F.lit(9)) != 2, nanos("ts").cast("decimal(20,0)")).alias("unix_nanos"),
+        F.when(~bare, as_map(code=code)).alias("dimensions"),
+        F.when(~bare, as_map(value=mea(F64=F.col("value")))).alias("measurements"),
+        F.when(fault == 0, "{").alias("malformed"),
+    )
+    folder = shared_dir(spark, "accounts")
+    store = MetricStore(spark, folder)
+    kinds = events.select("event_type").distinct()
+    settled = kinds.select(
+        F.col("event_type").alias("metric"), early.alias("unix_nanos"),
+        as_map(code=dim(Number=F.lit(1).cast("decimal(20,0)"))).alias("dimensions"),
+        F.lit(None).cast(rows.schema["measurements"].dataType).alias("measurements"),
+    )
+    store.write(settled)
+    store.write(rows)
+    out = store.rejects().select(
+        F.when(F.col("reason") == "conflict", F.col("table")).otherwise("").alias("table"),
+        F.col("reason").alias("outcome"),
+    )
+    for name in sorted(store.schemas()):
+        stored = store.read(name).where(F.unix_micros("time") > 0)
+        out = out.unionByName(stored.select(F.lit(name).alias("table"), F.lit("stored").alias("outcome")))
+    return out.groupBy("table", "outcome").agg(F.count("*").alias("n"))
 
 
 def moment(micros: int) -> datetime:
@@ -1078,9 +1157,14 @@ def otlp_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "otlp_histogram",
     f"""with c as (select event_type, time_bucket(interval '1 day', ts) as day, cast(ceil({sql_bucket('cast(' + SQL_K + ' as double)')}) as bigint) as b,
-                   count(*) as n from events group by 1, 2, 3)
-        select event_type || '_sizes' as name, day as time, cast(sum(n) as bigint) as n, cast(sum(b * n) as double) as approximate_sum,
-               count(*) as bounds, count(*) + 1 as counts, cast(max(b) as double) as last_bound from c group by 1, 2""",
+                   count(*) as n from events group by 1, 2, 3),
+            t as (select event_type, day, cast(sum(n) as bigint) as n, cast(sum(b * n) as double) as total, count(*) as bounds
+                  from c group by 1, 2),
+            r as (select event_type, day, cast(b as double) as bound, n,
+                         row_number() over (partition by event_type, day order by b) as i from c
+                  union all select event_type, day, null, 0, bounds + 1 from t)
+        select r.event_type || '_sizes' as name, r.day as time, t.n, t.total as approximate_sum, cast(i - 1 as int) as place,
+               bound, r.n as bucket_count from r join t on r.event_type = t.event_type and r.day = t.day""",
 )
 def otlp_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
@@ -1095,15 +1179,15 @@ def otlp_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_map(sizes=mea(Histogram=whole)).alias("measurements"),
     )
     points = otlp.to_otlp(rows).select("name", F.explode("histogram.data_points").alias("p"))
-    bounds = F.col("p.explicit_bounds")
-    return points.select(
+    each = points.select("name", "p", F.posexplode("p.bucket_counts").alias("place", "bucket_count"))
+    return each.select(
         "name",
         ntz(nanos_to_ts("p.time_unix_nano")).alias("time"),
         F.col("p.count").cast("bigint").alias("n"),
         F.col("p.sum").alias("approximate_sum"),
-        F.size(bounds).cast("bigint").alias("bounds"),
-        F.size("p.bucket_counts").cast("bigint").alias("counts"),
-        F.element_at(bounds, -1).alias("last_bound"),
+        "place",
+        F.get("p.explicit_bounds", F.col("place")).alias("bound"),
+        F.col("bucket_count").cast("bigint").alias("bucket_count"),
     )
 
 
@@ -1130,14 +1214,13 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("compaction", SQL_EVENT_ROWS)
 def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last two days folded; the rows must be the same ones."""
-    events = table(spark, sf_dir, "events")
-    store = MetricStore(spark, shared_dir(spark, "compaction"))
-    store.write(event_log(events))
-    now = events.agg(F.unix_micros(F.max("ts").cast("timestamp"))).first()[0]
-    for days_back in (0, 1):
-        store.compact("Event-Log", moment(now - days_back * 86_400_000_000), quiet=True)
-    return read_events(store)
+    """All rows of a table copied into a folder a day, newest first."""
+    folder = shared_dir(spark, "compaction")
+    store = MetricStore(spark, f"{folder}/store")
+    store.write(event_log(table(spark, sf_dir, "events")))
+    daily_copy(store.read("Event-Log"), f"{folder}/days")
+    rows = spark.read.parquet(f"{folder}/days")
+    return rows.select(ntz("time").alias("time"), "event_type", "user_id", "k", "value")
 
 
 # Streaming
@@ -1161,28 +1244,31 @@ def stream_otlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gauge_points(otlp.request_metrics(otlp.read_otlp(spark, f"{folder}/out")))
 
 
-SQL_CLOSED = """time_bucket(interval '4 hours', ts) + interval 4 hours <=
-                (select max(ts) from events) - interval 10 minute"""
-
-
-def _finished(rows: DataFrame, folder: str) -> DataFrame:
-    """Run a stream through all its input in append mode; what it wrote."""
-    writer = rows.writeStream.format("parquet").outputMode("append")
-    run = writer.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
-    run.start(f"{folder}/out").awaitTermination()
-    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/out")
+def quarters(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The events as a stream of four micro-batches, each a span of time, in no order of time."""
+    events = table(spark, sf_dir, "events")
+    events.repartitionByRange(4, "ts").write.parquet(f"{folder}/in")
+    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    return reader.option("latestFirst", "true").parquet(f"{folder}/in")
 
 
 @query(
     "stream_rollup",
-    f"""select time_bucket(interval '4 hours', ts) as time, event_type, min(value) as low, max(value) as high,
-               round(sum(value), 4) as total, count(*) as n from events where {SQL_CLOSED} group by 1, 2""",
+    """select time_bucket(interval '4 hours', ts) as time, event_type, min(value) as low, max(value) as high,
+              round(sum(value), 4) as total, count(*) as n from events group by 1, 2""",
 )
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pipelines.rollup_statistics(
-        events_stream(spark, sf_dir), "ts", "4 hours", "10 minutes", ["event_type"], "value", "s"
+    folder = shared_dir(spark, "stream-rollup")
+
+    def sets(batch: DataFrame) -> DataFrame:
+        return pipelines.statistics_of(batch, "ts", "4 hours", ["event_type"], "value", "s")
+
+    run = pipelines.stream_rollup(
+        quarters(spark, sf_dir, folder), sets, f"{folder}/out", f"{folder}/progress", trigger=None
     )
-    return _finished(rows, shared_dir(spark, "stream-rollup")).select(
+    run.awaitTermination()
+    found = pipelines.merged_statistics(spark.read.parquet(f"{folder}/out"), ["event_type"], "s")
+    return found.select(
         ntz("time").alias("time"),
         "event_type",
         F.col("s.minimum").alias("low"),
@@ -1195,11 +1281,128 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_rollup_histogram",
     f"""select time_bucket(interval '4 hours', ts) as time, event_type, {sql_bucket('value')} as bucket,
-               count(*) as count from events where {SQL_CLOSED} group by 1, 2, 3""",
+               count(*) as count from events group by 1, 2, 3""",
 )
 def stream_rollup_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pipelines.rollup_histograms(
-        events_stream(spark, sf_dir), "ts", "4 hours", "10 minutes", ["event_type"], "value", "h"
+    folder = shared_dir(spark, "stream-histogram")
+
+    def maps(batch: DataFrame) -> DataFrame:
+        return pipelines.histograms_of(batch, "ts", "4 hours", ["event_type"], "value", "h")
+
+    run = pipelines.stream_rollup(
+        quarters(spark, sf_dir, folder), maps, f"{folder}/out", f"{folder}/progress", trigger=None
     )
-    found = _finished(rows, shared_dir(spark, "stream-histogram"))
+    run.awaitTermination()
+    found = pipelines.merged_histograms(spark.read.parquet(f"{folder}/out"), ["event_type"], "h")
     return histograms.buckets(found.withColumn("time", ntz("time")), "h", ["time", "event_type"])
+
+
+@query(
+    "fan_out",
+    f"""select 'table' as sink, event_type as name, ts as time, value from events
+        union all select 'otlp', event_type || '_value', ts, value from events""",
+)
+def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stream into tables and into envelopes."""
+    folder = shared_dir(spark, "fan-out")
+    stream = event_datums(events_stream(spark, sf_dir))
+    for run in pipelines.fan_out(stream, f"{folder}/tables", f"{folder}/otlp", f"{folder}/progress", None):
+        run.awaitTermination()
+    points = gauge_points(otlp.request_metrics(otlp.read_otlp(spark, f"{folder}/otlp")))
+    out = points.where("as_double is not null").select(
+        F.lit("otlp").alias("sink"), "name", ntz(nanos_to_ts("time_unix_nano")).alias("time"),
+        F.col("as_double").alias("value"),
+    )
+    store = MetricStore(spark, f"{folder}/tables")
+    for name in sorted(store.schemas()):
+        rows = store.read(name).select(
+            F.lit("table").alias("sink"), F.lit(name).alias("name"), ntz("time").alias("time"), "value"
+        )
+        out = out.unionByName(rows)
+    return out
+
+
+# Panels in one pass, and as SQL
+
+
+@query(
+    "multi_panel",
+    f"""with e as (select time_bucket(interval '4 hours', ts) as time, event_type, value, cast({SQL_K} as double) as k from events),
+            s as (select time, event_type, min(value) as low, max(k) as most, count(*) as n from e group by 1, 2),
+            b as (select time, event_type, 'value' as measure, {sql_bucket('value')} as bucket, count(*) as count from e group by all
+                  union all select time, event_type, 'k', {sql_bucket('k')}, count(*) from e group by all)
+       select b.*, low, most, n from b join s using (time, event_type)""",
+)
+def multi_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("k", k_of_props().cast("double"))
+    found = panels.multi_panel(
+        events, "4 hours", {"value_h": "value", "k_h": "k"}, {"value_s": "value", "k_s": "k"}, ["event_type"], "ts"
+    )
+    maps = F.map_from_arrays(F.array(F.lit("value"), F.lit("k")), F.array("value_h", "k_h"))
+    each = found.select(
+        ntz("time").alias("time"), "event_type", F.explode(maps).alias("measure", "h"),
+        F.col("value_s.minimum").alias("low"), F.col("k_s.maximum").alias("most"),
+        F.col("value_s.samplecount").alias("n"),
+    )
+    return histograms.buckets(each, "h", ["time", "event_type", "measure", "low", "most", "n"])
+
+
+@query(
+    "sql_hist_panel",
+    f"""select time_bucket(interval '4 hours', ts) as time, {sql_bucket('value')} as bucket, count(*) as count
+        from events group by 1, 2""",
+)
+def sql_hist_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram panel in SQL alone, by the functions a session can register."""
+    register_functions(spark)
+    events = table(spark, sf_dir, "events")
+    return spark.sql(
+        """
+        with counts as (
+          select window(ts, '4 hours').start as time, seh_bucket(value) as bound, count(*) as n
+          from {events} group by 1, 2
+        ), panel as (
+          select time, map_from_entries(collect_list(struct(bound, n))) as h from counts group by time
+        )
+        select cast(time as timestamp_ntz) as time, b.bucket, b.count from panel, lateral buckets(h) b
+        """,
+        events=events,
+    )
+
+
+@query(
+    "sql_statistic_sets",
+    """select event_type, min(value) as low, max(value) as high, round(sum(value), 4) as total,
+              count(*)::double as n, round(avg(value), 6) as mean from events group by 1""",
+)
+def sql_statistic_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_functions(spark)
+    return spark.sql(
+        """
+        with sets as (
+          select event_type, statistic_set(min(value), max(value), sum(value), count(value)) as s
+          from {events} group by event_type
+        )
+        select event_type, statistic_set_min(s) as low, statistic_set_max(s) as high,
+          round(statistic_set_sum(s), 4) as total, statistic_set_count(s) as n,
+          round(statistic_set_avg(s), 6) as mean
+        from sets
+        """,
+        events=table(spark, sf_dir, "events"),
+    )
+
+
+@query(
+    "sql_topk_semi_join",
+    """select event_id, user_id, value from events where user_id in
+         (select user_id from (select user_id, max(value) as top from events group by 1 order by top desc, user_id limit 10))""",
+)
+def sql_topk_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(
+        """
+        select event_id, user_id, value from {events} where user_id in (
+          select user_id from (
+            select user_id, max(value) as top from {events} group by 1 order by top desc, user_id limit 10))
+        """,
+        events=table(spark, sf_dir, "events"),
+    )

@@ -66,8 +66,7 @@ SPARK_TYPES = {
 }
 
 # Column names the storage layout needs for itself.
-RESERVED_COLUMNS = ("time", "chunk", "batch_id", "table", "gen")
+RESERVED_COLUMNS = ("time", "chunk", "table", "writer", "batch")
 
-FINE_CHUNK_SECONDS = 4 * 3600
-PACKED_CHUNK_SECONDS = 24 * 3600
+CHUNK_SECONDS = 4 * 3600
 DEFAULT_RETENTION_SECONDS = 7 * 24 * 3600

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from widemetrics.operators.wide import ColumnSpec, value_text
+from widemetrics.operators.wide import ColumnSpec, own_text, value_text
 
 
 def rfc3339(nanos: Column | str) -> Column:
@@ -28,13 +28,11 @@ def csv_rows(df: DataFrame, columns: Sequence[ColumnSpec]) -> DataFrame:
     """Datums as text columns (time, dimensions, measurements); missing is NULL."""
     cells = []
     for spec in columns:
-        texts = [
-            value_text(
-                F.element_at("dimensions" if kind == "dimension" else "measurements", F.lit(key)),
-                kind,
-            )
-            for kind, key in spec.sources
-        ]
+        texts = []
+        for kind, key in spec.sources:
+            value = F.element_at("dimensions" if kind == "dimension" else "measurements", F.lit(key))
+            # A column of one type needs the text of that member alone.
+            texts.append(own_text(value, kind, spec.type) if spec.uniform else value_text(value, kind))
         cells.append(F.coalesce(*texts).alias(spec.name))
     return df.select(rfc3339("unix_nanos").alias("time"), *cells)
 

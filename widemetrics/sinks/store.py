@@ -2,45 +2,44 @@
 
 Folders below the root:
 
-    registry/                                   appended schema rows (JSON)
-    packs/                                      appended compaction records (JSON)
-    fine/table=T/batch_id=B/chunk=C/            four-hour chunks, one set per batch
-    packed/table=T/gen=G/chunk=D/               compacted days
-    rejects/batch_id=B/                         datums that did not fit their column
-    staging/                                    a batch while it is being loaded
-
-``chunk`` is the chunk's start in epoch seconds. Writing a batch again, after
-a failure, overwrites that batch's own folders and nothing else. One writer
-per root is assumed.
+    registry/                                         appended schema rows (JSON)
+    data/table=T/chunk=C/writer=W/batch=B/            rows, newest first in each file
+    rejects/writer=W/batch=B/                         datums that went into no table
+    staging/                                          a batch while it is being loaded
+
+``chunk`` is the start of four hours in epoch seconds; it lies above the
+batches, so a read with bounds lists the folders of its chunks and no others.
+Every batch belongs to a writer: a stream is one for as long as it has its
+checkpoint, and each other write is one of its own. Writing a batch again
+overwrites that batch's folders and nothing else, and writers cannot meet.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from widemetrics.functions.ident import clean_id, clean_name
 from widemetrics.functions.timefn import chunk_of, nanos_to_ts
 from widemetrics.operators import wide
 from widemetrics.operators.wide import ColumnSpec
-from widemetrics.schema import (
-    DEFAULT_RETENTION_SECONDS,
-    FINE_CHUNK_SECONDS,
-    PACKED_CHUNK_SECONDS,
-)
+from widemetrics.schema import CHUNK_SECONDS, DATUM_DDL, DEFAULT_RETENTION_SECONDS
 from widemetrics.session import Folder
 
 REGISTRY_DDL = (
     "table string, column string, kind string, type string, "
     "sources array<struct<kind:string,key:string>>, version bigint"
 )
-PACKS_DDL = "table string, day bigint, gen bigint, upto bigint"
+
+#: A datum as it came, the text of one that could not be read, and why it is here.
+REJECTS_DDL = f"table string, {DATUM_DDL}, malformed string, conflicts array<string>, reason string"
 
 
 def epoch_seconds(moment: datetime | int) -> int:
@@ -55,43 +54,47 @@ def epoch_seconds(moment: datetime | int) -> int:
 class MetricStore:
     """Wide metric tables under one root folder."""
 
-    def __init__(self, spark: SparkSession, root: str, parallel_writes: int = 4):
+    def __init__(self, spark: SparkSession, root: str, parallel_jobs: int = 4):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.parallel_writes = parallel_writes
+        self.parallel_jobs = parallel_jobs
 
     def _path(self, *parts: str) -> str:
         return "/".join([self.root, *parts])
 
-    def _log(self, name: str, ddl: str) -> list:
-        """Rows of one of the small append-only logs."""
-        path = self._path(name)
-        if not Folder(self.spark, path).exists():
-            return []
-        return self.spark.read.schema(ddl).json(path).collect()
-
-    def _append(self, name: str, ddl: str, rows: list[tuple]) -> None:
-        frame = self.spark.createDataFrame(rows, ddl).coalesce(1)
-        frame.write.mode("append").json(self._path(name))
+    def _each(self, work: Callable, items: Iterable) -> None:
+        with ThreadPoolExecutor(max_workers=self.parallel_jobs) as pool:
+            list(pool.map(work, items))
 
     # Schema registry
 
-    def schemas(self) -> dict[str, list[ColumnSpec]]:
-        """Columns of every table. The first entry for a column fixes its type."""
-        merged: dict[tuple[str, str], ColumnSpec] = {}
-        for r in sorted(self._log("registry", REGISTRY_DDL), key=lambda r: r["version"]):
+    def _registry(self) -> list:
+        path = self._path("registry")
+        if not Folder(self.spark, path).exists():
+            return []
+        rows = self.spark.read.schema(REGISTRY_DDL).json(path).collect()
+        return sorted(rows, key=lambda r: r["version"])
+
+    @staticmethod
+    def _merged(registry: list) -> dict[str, list[ColumnSpec]]:
+        merged: dict[str, dict[str, ColumnSpec]] = {}
+        for r in registry:
+            columns = merged.setdefault(r["table"], {})
+            if r["column"] is None:
+                continue
             sources = tuple((s["kind"], s["key"]) for s in r["sources"])
-            held = merged.get((r["table"], r["column"]))
+            held = columns.get(r["column"])
             if held is None:
                 held = ColumnSpec(r["column"], r["kind"], r["type"], sources)
             else:
                 both = tuple(sorted({*held.sources, *sources}))
                 held = ColumnSpec(held.name, held.kind, held.type, both)
-            merged[r["table"], r["column"]] = held
-        tables: dict[str, list[ColumnSpec]] = {}
-        for (table, _), spec in merged.items():
-            tables.setdefault(table, []).append(spec)
-        return {t: wide.column_order(c) for t, c in tables.items()}
+            columns[r["column"]] = held
+        return {t: wide.column_order(c.values()) for t, c in merged.items()}
+
+    def schemas(self) -> dict[str, list[ColumnSpec]]:
+        """Columns of every table. The first entry for a column fixes its type."""
+        return self._merged(self._registry())
 
     def heal(self, found: dict[str, list[ColumnSpec]]) -> dict[str, list[ColumnSpec]]:
         """Register missing tables, columns and source keys; give each table's columns.
@@ -99,9 +102,12 @@ class MetricStore:
         Of the columns given, only those found are returned, with the types the
         registry holds for them. Doing it twice changes nothing.
         """
-        known = {t: {c.name: c for c in cols} for t, cols in self.schemas().items()}
+        registry = self._registry()
+        known = {t: {c.name: c for c in cols} for t, cols in self._merged(registry).items()}
         news, healed = [], {}
         for table, columns in found.items():
+            if table not in known:
+                news.append((table, None, None, None, []))
             held = known.get(table, {})
             resolved = []
             for spec in columns:
@@ -114,107 +120,128 @@ class MetricStore:
                 resolved.append(spec)
             healed[table] = wide.column_order(resolved)
         if news:
-            version = max((r["version"] for r in self._log("registry", REGISTRY_DDL)), default=0) + 1
-            self._append("registry", REGISTRY_DDL, [(*n, version) for n in news])
+            version = max((r["version"] for r in registry), default=0) + 1
+            frame = self.spark.createDataFrame([(*n, version) for n in news], REGISTRY_DDL)
+            frame.coalesce(1).write.mode("append").json(self._path("registry"))
         return healed
 
     # Writing
 
-    def _next_batch(self) -> int:
-        found = Folder(self.spark, self._path("fine")).glob("table=*/batch_id=*")
-        ids = [int(m.group(1)) for m in (re.search(r"batch_id=(\d+)", p) for p in found) if m]
-        return max(ids, default=-1) + 1
-
     def write(
         self,
         datums: DataFrame,
-        batch_id: int | None = None,
+        writer: str | None = None,
+        batch: int = 0,
         on_conflict: str = "quarantine",
-        stage: bool = True,
-    ) -> int:
-        """Load datums into their tables, one batch; gives the batch's number.
-
-        ``stage`` first writes the datums once, split by table: the input is
-        decoded once, a lost executor costs no second decoding, and every table
-        then reads its own part alone. A micro-batch is small enough to be kept
-        in memory and on disk instead.
+    ) -> str:
+        """Load datums into their tables; gives the writer's name.
+
+        Every row ends up in a table or among the rejects. A datum without any
+        value is a row with the time alone. Rejected, with the reason, are
+        datums without a name, without a time, and those whose text could not
+        be read (a ``malformed`` column, as parse_datums gives, is heeded);
+        also rows with a value that does not read as its column's type
+        (``conflict``), or with ``drop_batch`` all rows of such a table (the
+        others being ``companion``).
+
+        The columns are found in a first pass over the keys. If tables differ
+        in their columns, the datums are then split by table into a staging
+        folder, so that the input is decoded once more and not once a table.
         """
         if on_conflict not in ("quarantine", "drop_batch"):
             raise ValueError(f"unknown conflict policy: {on_conflict}")
-        if batch_id is None:
-            batch_id = self._next_batch()
+        writer = writer or uuid.uuid4().hex
+        text = F.col("malformed") if "malformed" in datums.columns else F.lit(None).cast("string")
+        table = clean_id("metric")
+        reason = (
+            F.when(text.isNotNull(), "malformed")
+            .when(table.isNull() | (table == ""), "unnamed")
+            .when(F.col("unix_nanos").isNull(), "untimed")
+        )
         placed = datums.select(
-            clean_id("metric").alias("table"),
+            table.alias("table"),
             chunk_of(nanos_to_ts("unix_nanos")).alias("chunk"),
             "metric",
             "unix_nanos",
             "dimensions",
             "measurements",
+            text.alias("malformed"),
+            reason.alias("reason"),
         )
-        folder = self._path("staging", uuid.uuid4().hex)
-        if stage:
-            placed.hint("rebalance", "table").write.partitionBy("table").parquet(folder)
-            source = self.spark.read.schema(placed.schema).parquet(folder)
-        else:
-            source = placed.persist()
-        try:
-            self._load(source, batch_id, on_conflict)
-        finally:
-            if stage:
-                Folder(self.spark, folder).delete()
-            else:
-                source.unpersist()
-        return batch_id
-
-    def _load(self, source: DataFrame, batch_id: int, on_conflict: str) -> None:
-        found = wide.collect_schema(wide.discover_schema(source))
-        healed = self.heal(found)
+        none = F.array().cast("array<string>").alias("conflicts")
+        stray = placed.where("reason is not null").select("*", none)
+        self._reject(stray, writer, batch, "stray")
+        loadable = placed.where("reason is null").drop("malformed", "reason")
+        healed = self.heal(wide.collect_schema(wide.discover_tables(loadable)))
         # Tables with the same columns from the same keys share one job.
         groups: dict[tuple[ColumnSpec, ...], list[str]] = {}
-        for table, columns in healed.items():
-            groups.setdefault(tuple(columns), []).append(table)
+        for name, columns in healed.items():
+            groups.setdefault(tuple(columns), []).append(name)
+        folder = self._path("staging", uuid.uuid4().hex)
+        source = loadable
+        if len(groups) > 1:
+            loadable.hint("rebalance", "table").write.partitionBy("table").parquet(folder)
+            source = self.spark.read.schema(loadable.schema).parquet(folder)
 
-        def load(item: tuple[tuple[ColumnSpec, ...], list[str]]) -> None:
-            columns, tables = item
-            rows = source.where(F.col("table").isin(*tables))
-            self._load_group(rows, columns, batch_id, on_conflict)
+        def load(item: tuple[int, tuple[tuple[ColumnSpec, ...], list[str]]]) -> None:
+            number, (columns, tables) = item
+            rows = source.where(F.col("table").isin(*tables)) if len(groups) > 1 else source
+            self._load_group(rows, columns, writer, batch, on_conflict, f"group{number}")
 
-        with ThreadPoolExecutor(max_workers=self.parallel_writes) as pool:
-            list(pool.map(load, groups.items()))
+        try:
+            self._each(load, enumerate(groups.items()))
+        finally:
+            Folder(self.spark, folder).delete()
+        return writer
 
     def _load_group(
         self,
         source: DataFrame,
         columns: Sequence[ColumnSpec],
-        batch_id: int,
+        writer: str,
+        batch: int,
         on_conflict: str,
+        group: str,
     ) -> None:
-        rows = wide.widen(source, columns, "quarantine", ["table", "chunk"])
-        rejected = []
+        carried = ["table", "chunk"]
+        rows = wide.project(source, columns, carried)
         if not all(c.uniform for c in columns):
-            rejects = wide.rejects(source, columns, ["table", "chunk"])
-            rejected = [r["table"] for r in rejects.select("table").distinct().toLocalIterator()]
-        if rejected:
-            if on_conflict == "drop_batch":
-                rows = rows.where(~F.col("table").isin(*rejected))
-                rejects = source.where(F.col("table").isin(*rejected)).withColumn(
-                    "conflicts", F.array().cast("array<string>")
-                )
-            self._write(rejects, "rejects", ["batch_id", "table", "chunk"], batch_id)
+            rejects = wide.rejects(source, columns, carried).withColumn("reason", F.lit("conflict"))
+            if on_conflict == "quarantine":
+                self._reject(rejects, writer, batch, group)
+            else:
+                # Names of tables, of this group alone.
+                bad = [r["table"] for r in rejects.select("table").distinct().toLocalIterator()]
+                if bad:
+                    whole = wide.project(
+                        source.where(F.col("table").isin(*bad)),
+                        columns,
+                        [*carried, "metric", "unix_nanos", "dimensions", "measurements"],
+                    ).withColumnRenamed("__conflicts", "conflicts")
+                    reason = F.when(F.size("conflicts") > 0, "conflict").otherwise("companion")
+                    self._reject(whole.withColumn("reason", reason), writer, batch, group)
+                    rows = rows.where(~F.col("table").isin(*bad))
+            rows = rows.where(F.size("__conflicts") == 0)
         # Rebalancing splits a chunk that holds too much and joins small ones,
         # so a busy table keeps no single task waiting.
-        balanced = rows.hint("rebalance", "table", "chunk")
-        self._write(balanced, "fine", ["table", "batch_id", "chunk"], batch_id)
-
-    def _write(self, rows: DataFrame, name: str, parts: list[str], batch_id: int) -> None:
         (
-            rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            rows.drop("__conflicts")
+            .withColumns({"writer": F.lit(writer), "batch": F.lit(batch).cast("bigint")})
+            .hint("rebalance", "table", "chunk")
+            .sortWithinPartitions("table", "chunk", "writer", "batch", F.col("time").desc())
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*parts)
-            .parquet(self._path(name))
+            .partitionBy("table", "chunk", "writer", "batch")
+            .parquet(self._path("data"))
         )
 
+    def _reject(self, rows: DataFrame, writer: str, batch: int, part: str) -> None:
+        """Rejects of one part of a batch; writing the part again replaces them."""
+        names = self._schema(REJECTS_DDL).names
+        given = [F.col(n) if n in rows.columns else F.lit(None).cast("string").alias(n) for n in names]
+        folder = self._path("rejects", f"writer={writer}", f"batch={batch}", f"part={part}")
+        rows.select(*given).write.mode("overwrite").parquet(folder)
+
     # Reading
 
     def read(
@@ -226,134 +253,74 @@ class MetricStore:
     ) -> DataFrame:
         """A metric's wide table, with ``lo < time <= hi`` where those are given.
 
-        The bounds also prune chunks. ``layout`` keeps the chunk column.
+        Chunks out of bounds are not even listed. ``layout`` keeps the chunk column.
         """
-        table = clean_name(metric)
+        table = clean_name(self.spark, metric)
         columns = self.schemas().get(table)
         if columns is None:
             raise KeyError(f"no table {table}")
-        rows = self._rows(table, columns)
+        body = "time timestamp" + "".join(f", `{c.name}` {c.spark_type}" for c in columns)
+        low = None if lo is None else epoch_seconds(lo) - CHUNK_SECONDS
+        high = None if hi is None else epoch_seconds(hi)
+        paths = [
+            path
+            for path, _, chunk in self._chunks(table)
+            if (low is None or chunk > low) and (high is None or chunk <= high)
+        ]
+        schema = f"{body}, chunk bigint, writer string, batch bigint"
+        if paths:
+            base = self._path("data", f"table={table}")
+            rows = self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
+        else:
+            rows = self.spark.createDataFrame([], schema)
         if lo is not None:
-            # A compacted chunk may start a day before the rows it holds.
-            rows = rows.where(F.col("chunk") > epoch_seconds(lo) - PACKED_CHUNK_SECONDS)
             rows = rows.where(F.col("time") > _moment(lo))
         if hi is not None:
-            rows = rows.where(F.col("chunk") <= epoch_seconds(hi))
             rows = rows.where(F.col("time") <= _moment(hi))
-        return rows if layout else rows.drop("chunk")
+        return rows.select("time", *[c.name for c in columns], *["chunk"] * layout)
+
+    def _schema(self, ddl: str) -> StructType:
+        return self.spark.createDataFrame([], ddl).schema
 
     def rejects(self) -> DataFrame:
-        """Datums that did not fit, as they came."""
-        return self.spark.read.parquet(self._path("rejects"))
-
-    def _packs(self, table: str) -> dict[int, tuple[int, int]]:
-        """Day -> (generation, last batch folded), the latest for each day."""
-        latest: dict[int, tuple[int, int]] = {}
-        for r in self._log("packs", PACKS_DDL):
-            if r["table"] == table:
-                latest[r["day"]] = max(latest.get(r["day"], (-1, -1)), (r["gen"], r["upto"]))
-        return latest
-
-    def _rows(
-        self, table: str, columns: Sequence[ColumnSpec], day: int | None = None, upto: int | None = None
-    ) -> DataFrame:
-        """Live rows (time, columns.., chunk): fine ones not yet folded, and packed ones."""
-        body = "time timestamp" + "".join(f", `{c.name}` {c.spark_type}" for c in columns)
-        names = ["time", *[c.name for c in columns], "chunk"]
-        packs = self._packs(table)
-        frames = []
-        fine = self._path("fine", f"table={table}")
-        if Folder(self.spark, fine).exists():
-            rows = self.spark.read.schema(f"{body}, batch_id bigint, chunk bigint").parquet(fine)
-            if day is not None:
-                rows = rows.where(_in_day(day))
-            if upto is not None:
-                rows = rows.where(F.col("batch_id") <= upto)
-            for packed_day, (_, folded) in packs.items():
-                rows = rows.where(~(_in_day(packed_day) & (F.col("batch_id") <= folded)))
-            frames.append(rows.select(*names))
-        live = {d: g for d, (g, _) in packs.items() if day is None or d == day}
-        packed = self._path("packed", f"table={table}")
-        if live and Folder(self.spark, packed).exists():
-            chosen = F.lit(False)
-            for packed_day, gen in live.items():
-                chosen = chosen | ((F.col("chunk") == packed_day) & (F.col("gen") == gen))
-            rows = self.spark.read.schema(f"{body}, gen bigint, chunk bigint").parquet(packed)
-            frames.append(rows.where(chosen).select(*names))
-        if not frames:
-            return self.spark.createDataFrame([], f"{body}, chunk bigint")
-        out = frames[0]
-        for frame in frames[1:]:
-            out = out.unionByName(frame)
-        return out
+        """Datums that went into no table, as they came, with the reason."""
+        path = self._path("rejects")
+        schema = self._schema(f"{REJECTS_DDL}, writer string, batch bigint, part string")
+        if not Folder(self.spark, path).exists():
+            return self.spark.createDataFrame([], schema).drop("part")
+        return self.spark.read.schema(schema).parquet(path).drop("part")
 
     # Maintenance
 
-    def _partitions(self, kind: str, table: str = "*") -> list[tuple[str, str, int, int]]:
-        """(path, table, batch or generation, chunk) of every partition folder."""
-        level = "batch_id" if kind == "fine" else "gen"
-        pattern = re.compile(rf"table=([^/]*)/{level}=(\d+)/chunk=(-?\d+)$")
-        found = Folder(self.spark, self._path(kind)).glob(f"table={table}/{level}=*/chunk=*")
+    def _chunks(self, table: str = "*") -> list[tuple[str, str, int]]:
+        """(path, table, chunk) of every chunk's folder; nothing below is listed."""
+        pattern = re.compile(r"table=([^/]*)/chunk=(-?\d+)$")
+        found = Folder(self.spark, self._path("data")).glob(f"table={table}/chunk=*")
         matches = [(p, pattern.search(p)) for p in found]
-        return [(p, m.group(1), int(m.group(2)), int(m.group(3))) for p, m in matches if m]
+        return [(p, m.group(1), int(m.group(2))) for p, m in matches if m]
 
     def apply_retention(
         self, now: datetime | int, keep_seconds: int = DEFAULT_RETENTION_SECONDS
     ) -> list[str]:
         """Delete chunks that end at or before ``now - keep``; gives their folders."""
         limit = epoch_seconds(now) - keep_seconds
-        gone = []
-        for kind, width in (("fine", FINE_CHUNK_SECONDS), ("packed", PACKED_CHUNK_SECONDS)):
-            for path, _, _, chunk in self._partitions(kind):
-                if chunk + width <= limit:
-                    Folder(self.spark, path).delete()
-                    gone.append(path)
+        gone = [path for path, _, chunk in self._chunks() if chunk + CHUNK_SECONDS <= limit]
+        self._each(lambda path: Folder(self.spark, path).delete(), gone)
         return gone
 
-    def compact(self, metric: str, day: datetime | int, quiet: bool = False, clean: bool = True) -> bool:
-        """Fold a day's fine chunks into one, ordered by time, latest first.
-
-        The newest batch may still be in writing and is left out, unless
-        ``quiet`` says that no writer is at work. Rows go to a new folder; the
-        record appended after that makes readers switch over. ``clean`` then
-        deletes what was folded. Rows that come for that day later stay fine
-        until it is compacted again.
-        """
-        table = clean_name(metric)
-        start = epoch_seconds(day) // PACKED_CHUNK_SECONDS * PACKED_CHUNK_SECONDS
-        parts = self._partitions("fine", table)
-        upto = max((b for _, _, b, _ in parts), default=-1) - (0 if quiet else 1)
-        folded = self._packs(table).get(start, (-1, -1))
-        of_day = [
-            (p, b) for p, _, b, c in parts if start <= c < start + PACKED_CHUNK_SECONDS and b <= upto
-        ]
-        if not any(b > folded[1] for _, b in of_day):
-            return False
-        gen = folded[0] + 1
-        rows = self._rows(table, self.schemas()[table], day=start, upto=upto)
-        # Ranges of time give each file a narrow span to skip by; the second
-        # column lets rows of one instant go to several tasks.
-        newest = F.col("time").desc()
-        (
-            rows.withColumn("gen", F.lit(gen).cast("bigint"))
-            .withColumn("chunk", F.lit(start).cast("bigint"))
-            .repartitionByRange(newest, F.rand(7))
-            .sortWithinPartitions(newest)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("gen", "chunk")
-            .parquet(self._path("packed", f"table={table}"))
-        )
-        self._append("packs", PACKS_DDL, [(table, start, gen, upto)])
-        if clean:
-            stale = [p for p, _, g, c in self._partitions("packed", table) if c == start and g < gen]
-            for path in [p for p, _ in of_day] + stale:
-                Folder(self.spark, path).delete()
-        return True
-
 
-def _in_day(start: int) -> Column:
-    return (F.col("chunk") >= start) & (F.col("chunk") < start + PACKED_CHUNK_SECONDS)
+def daily_copy(rows: DataFrame, path: str, time: str = "time") -> None:
+    """A wide table as one folder a day, newest rows first, in files of narrow spans of time."""
+    newest = F.col(time).desc()
+    (
+        rows.withColumn("day", F.to_date(time))
+        # The second column lets rows of one instant go to several tasks.
+        .repartitionByRange(newest, F.xxhash64(*rows.columns[:4]))
+        .sortWithinPartitions("day", newest)
+        .write.mode("overwrite")
+        .partitionBy("day")
+        .parquet(path)
+    )
 
 
 def _moment(value: datetime | int) -> Column:
@@ -364,6 +331,6 @@ def _moment(value: datetime | int) -> Column:
     return F.timestamp_micros(F.lit(round(value.timestamp() * 1_000_000)))
 
 
-def write_metrics(datums: DataFrame, root: str, **options) -> int:
-    """Load datums into the store at ``root`` as one batch."""
+def write_metrics(datums: DataFrame, root: str, **options) -> str:
+    """Load datums into the store at ``root``."""
     return MetricStore(datums.sparkSession, root).write(datums, **options)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from widemetrics.functions import statset
+from widemetrics.functions.timefn import time_bucket
 from widemetrics.operators import histograms
 from widemetrics.sinks.otlp import otlp_request, to_otlp
 from widemetrics.sinks.store import MetricStore
@@ -25,6 +27,12 @@ def _start(writer: DataStreamWriter, trigger: str | None) -> StreamingQuery:
     return writer.trigger(processingTime=trigger).start()
 
 
+def writer_of(spark: SparkSession, checkpoint: str) -> str:
+    """The stream's own id, which Spark keeps in its checkpoint."""
+    text = spark.read.text(f"{checkpoint}/metadata").first()[0]
+    return json.loads(text)["id"]
+
+
 def stream_wide(
     datums: DataFrame,
     root: str,
@@ -34,12 +42,14 @@ def stream_wide(
 ) -> StreamingQuery:
     """Each micro-batch heals the schema, then goes to its tables.
 
-    A batch that is replayed after a failure overwrites its own folders.
+    Batches are the checkpoint's own: one that is replayed after a failure
+    overwrites its own folders, and another checkpoint's add to the tables.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        store = MetricStore(batch.sparkSession, root)
-        store.write(batch, batch_id=batch_id, on_conflict=on_conflict, stage=False)
+        spark = batch.sparkSession
+        store = MetricStore(spark, root)
+        store.write(batch, writer_of(spark, checkpoint), batch_id, on_conflict)
 
     writer = datums.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return _start(writer, trigger)
@@ -74,6 +84,62 @@ def fan_out(
     ]
 
 
+def stream_rollup(
+    stream: DataFrame,
+    build: Callable[[DataFrame], DataFrame],
+    path: str,
+    checkpoint: str,
+    trigger: str | None = WIDE_TRIGGER,
+) -> StreamingQuery:
+    """Rollups kept current however late rows come: each micro-batch adds its own part.
+
+    ``build`` makes mergeable values of a batch, such as statistic sets or
+    histograms by window and key. They are written as the batch's part, and a
+    reader merges the parts (merged_statistics, merged_histograms). So no
+    window has to be closed, no row is too late, no state is kept, and a batch
+    that is replayed overwrites its part.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        writer = writer_of(batch.sparkSession, checkpoint)
+        build(batch).write.mode("overwrite").parquet(f"{path}/writer={writer}/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return _start(writer, trigger)
+
+
+def statistics_of(
+    rows: DataFrame, time: str, width: str, keys: Sequence[str], col: str, name: str = "statistics"
+) -> DataFrame:
+    """Statistic sets by window of time and keys."""
+    grouped = rows.groupBy(time_bucket(width, time).alias("time"), *keys)
+    return grouped.agg(statset.accumulate(col).alias(name))
+
+
+def merged_statistics(parts: DataFrame, keys: Sequence[str], name: str = "statistics") -> DataFrame:
+    return parts.groupBy("time", *keys).agg(statset.merge(name).alias(name))
+
+
+def histograms_of(
+    rows: DataFrame,
+    time: str,
+    width: str,
+    keys: Sequence[str],
+    col: str,
+    name: str = "histogram",
+    **options: str,
+) -> DataFrame:
+    """Histograms by window of time and keys; options as for histograms.accumulate."""
+    timed = rows.withColumn("__time", time_bucket(width, time))
+    return histograms.accumulate(timed, ["__time", *keys], col, name, **options).withColumnRenamed(
+        "__time", "time"
+    )
+
+
+def merged_histograms(parts: DataFrame, keys: Sequence[str], name: str = "histogram") -> DataFrame:
+    return histograms.merge(parts, ["time", *keys], name, name)
+
+
 def rollup_statistics(
     stream: DataFrame,
     time: str,
@@ -83,9 +149,10 @@ def rollup_statistics(
     col: str,
     name: str = "statistics",
 ) -> DataFrame:
-    """Tumbling statistic sets, kept current; write with update or append mode.
+    """Tumbling statistic sets as one streaming query; write with update or append mode.
 
-    The delay bounds the state: rows later than that are left out.
+    The delay bounds the state: rows later than that are left out. Where late
+    rows must count, use stream_rollup.
     """
     marked = stream.withColumn("__time", F.col(time).cast("timestamp")).withWatermark("__time", delay)
     grouped = marked.groupBy(F.window("__time", width).alias("w"), *keys)
@@ -102,14 +169,16 @@ def rollup_histograms(
     keys: Sequence[str],
     col: str,
     name: str = "histogram",
+    **options: str,
 ) -> DataFrame:
-    """Tumbling histograms; write with append mode.
+    """Tumbling histograms as one streaming query; write with append mode.
 
     Counts per bucket are the first aggregation, the histograms a second one
     that sees only those counts. A window comes out once the watermark has
-    passed its end.
+    passed its end; rows later than the delay are left out (see stream_rollup).
     """
     marked = stream.withColumn("__time", F.col(time).cast("timestamp")).withWatermark("__time", delay)
-    counts = histograms.bucket_counts(marked, [F.window("__time", width).alias("w"), *keys], col)
+    window = F.window("__time", width).alias("w")
+    counts = histograms.bucket_counts(marked, [window, *keys], col, **options)
     folded = histograms.fold(counts, ["w", *keys], name)
     return folded.select(F.col("w.start").alias("time"), *keys, name)
