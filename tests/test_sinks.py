@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
-from samples import DATUM, datum, frame
+from samples import DATUM, MOMENT, datum, frame
 
 from widemetrics.operators import wide
 from widemetrics.plans import panels
@@ -25,24 +25,23 @@ def by_name(df):
 
 def test_sample_as_otlp(spark):
     got = by_name(otlp.to_otlp(frame(spark, DATUM)))
-    assert sorted(got) == sorted("mm_" + n for n in (
-        "an_int_measurement", "a_long_measurement", "a_float_measurement", "a_double_measurement",
-        "a_statistic_set", "a_histogram", "a_tdigest"))
-    point = got["mm_an_int_measurement"]["gauge"]["data_points"][0]
-    assert point["as_int"] == 42 and point["as_double"] is None and point["time_unix_nano"] == 1642367609000000000
+    assert sorted(got) == sorted(
+        "Depot_" + n for n in ("forklifts", "parcels", "load", "weight", "wait", "sizes", "trip"))
+    point = got["Depot_forklifts"]["gauge"]["data_points"][0]
+    assert point["as_int"] == 3 and point["as_double"] is None and point["time_unix_nano"] == MOMENT
+    assert got["Depot_load"]["gauge"]["data_points"][0]["as_double"] == 0.25
     assert [(a["key"], *a["value"]) for a in point["attributes"]] == [
-        ("a_boolean_dimension", None, None, True),
-        ("a_string_dimension", "asdf", None, None),
-        ("an_integer_dimension", None, 16, None)]
-    summary = got["mm_a_statistic_set"]["summary"]["data_points"][0]
-    assert (summary["count"], summary["sum"]) == (6, 8.0)
-    assert [tuple(q) for q in summary["quantile_values"]] == [(0.0, 1.0), (1.0, 2.0)]
-    histogram = got["mm_a_histogram"]["histogram"]
+        ("cooled", None, None, False), ("depot", "north", None, None), ("pallets", None, 9, None)]
+    summary = got["Depot_wait"]["summary"]["data_points"][0]
+    assert (summary["count"], summary["sum"]) == (12, 30.0)
+    assert [tuple(q) for q in summary["quantile_values"]] == [(0.0, 0.5), (1.0, 7.0)]
+    histogram = got["Depot_sizes"]["histogram"]
     assert histogram["aggregation_temporality"] == 1
     point = histogram["data_points"][0]
-    assert (point["count"], point["sum"]) == (12, 44.0)
-    assert point["explicit_bounds"] == [1.0, 3.0, 5.0] and point["bucket_counts"] == [2, 4, 6, 0]
-    digest = got["mm_a_tdigest"]["summary"]["data_points"][0]
+    # 10 * 5 + 20 * 1 + 45 * 2
+    assert (point["count"], point["sum"]) == (8, 160.0)
+    assert point["explicit_bounds"] == [10.0, 20.0, 45.0] and point["bucket_counts"] == [5, 1, 2, 0]
+    digest = got["Depot_trip"]["summary"]["data_points"][0]
     assert [q["quantile"] for q in digest["quantile_values"]] == [0.0, 0.5, 0.9, 0.99, 1.0]
     assert {r["unit"] for r in got.values()} == {"1"}
 
@@ -54,8 +53,8 @@ def test_metrics_have_the_envelope_schema(spark):
 
 
 def test_loose_histograms_have_as_many_counts_as_bounds(spark):
-    point = by_name(otlp.to_otlp(frame(spark, DATUM), strict=False))["mm_a_histogram"]["histogram"]["data_points"][0]
-    assert point["bucket_counts"] == [2, 4, 6]
+    point = by_name(otlp.to_otlp(frame(spark, DATUM), strict=False))["Depot_sizes"]["histogram"]["data_points"][0]
+    assert point["bucket_counts"] == [5, 1, 2]
 
 
 def test_large_numbers_and_unset_values(spark):

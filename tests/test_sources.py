@@ -7,7 +7,7 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
-from samples import DATUM, HISTOGRAM_SCRAPE, datum, frame
+from samples import DATUM, HISTOGRAM_SCRAPE, MOMENT, datum, frame
 
 from widemetrics.operators.wide import dimension_col, measurement_col
 from widemetrics.sources import datums, exposition
@@ -15,14 +15,16 @@ from widemetrics.sources import datums, exposition
 
 def test_sample_datum(spark):
     row = frame(spark, DATUM).first()
-    assert (row["metric"], row["unix_nanos"]) == ("mm", Decimal("1642367609000000000"))
-    assert row["dimensions"]["an_integer_dimension"]["Number"] == 16
+    assert (row["metric"], row["unix_nanos"]) == ("Depot", Decimal(MOMENT))
+    d = row["dimensions"]
+    assert (d["depot"]["String"], d["pallets"]["Number"], d["cooled"]["Boolean"]) == ("north", 9, False)
     m = row["measurements"]
-    assert m["an_int_measurement"]["I32"] == 42 and m["a_long_measurement"]["I64"] == 42
-    assert tuple(m["a_statistic_set"]["StatisticSet"]) == (1.0, 2.0, 8.0, 6)
-    assert m["a_histogram"]["Histogram"] == {1: 2, 3: 4, 5: 6}
-    assert m["a_tdigest"]["Tdigest"]["max_buckets"] == 100
-    assert [tuple(c) for c in m["a_tdigest"]["Tdigest"]["centroids"]] == [(1.0, 41), (1.3, 1)]
+    assert m["forklifts"]["I32"] == 3 and m["parcels"]["I64"] == 70_000
+    assert m["load"]["F32"] == 0.25 and m["weight"]["F64"] == 812.5
+    assert tuple(m["wait"]["StatisticSet"]) == (0.5, 7.0, 30.0, 12)
+    assert m["sizes"]["Histogram"] == {10: 5, 20: 1, 45: 2}
+    assert m["trip"]["Tdigest"]["max_buckets"] == 100
+    assert [tuple(c) for c in m["trip"]["Tdigest"]["centroids"]] == [(2.5, 17), (7.33, 3)]
 
 
 def test_what_is_no_datum_is_kept_as_text(spark):
@@ -36,7 +38,7 @@ def test_what_is_no_datum_is_kept_as_text(spark):
 def test_datum_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(DATUM + "\n" + datum("x", 1) + "\n")
     good, _ = datums.split_malformed(datums.read_datums_json(spark, str(tmp_path)))
-    assert sorted(r["metric"] for r in good.collect()) == ["mm", "x"]
+    assert sorted(r["metric"] for r in good.collect()) == ["Depot", "x"]
 
 
 def test_datum_files_over_several_lines(spark, tmp_path):
@@ -44,7 +46,7 @@ def test_datum_files_over_several_lines(spark, tmp_path):
     (tmp_path / "b.json").write_text("[" + datum("x", 1) + ",\n" + datum("y", 2) + "]")
     (tmp_path / "c.json").write_text('{"metric":"z"}')
     good, bad = datums.split_malformed(datums.read_datums_json(spark, str(tmp_path), multiline=True))
-    assert sorted(r["metric"] for r in good.collect()) == ["mm", "x", "y"]
+    assert sorted(r["metric"] for r in good.collect()) == ["Depot", "x", "y"]
     assert [r[0] for r in bad.collect()] == ['{"metric":"z"}']
 
 
@@ -110,7 +112,7 @@ def decoded(spark, body, **options):
 
 def test_histogram_sample(spark):
     assert decoded(spark, HISTOGRAM_SCRAPE) == [
-        ("http_request_duration_seconds", {}, {1: 133988, 9223372036854775807: 10332})
+        ("truck_stop_minutes", {}, {1: 4, 3: 0, 5: 6, 15: 15, 9223372036854775807: 6})
     ]
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
-from samples import DATUM, datum, frame
+from samples import DATUM, DIMENSIONS, MEASUREMENTS, MOMENT, datum, frame
 
 from widemetrics.operators import wide
 from widemetrics.operators.wide import ColumnSpec, dimension_col, measurement_col
@@ -15,15 +15,13 @@ def schema_of(df):
 
 def test_sample_widens_in_column_order(spark):
     df = frame(spark, DATUM)
-    rows = wide.widen(df, schema_of(df)["mm"])
+    rows = wide.widen(df, schema_of(df)["depot"])
     assert rows.columns == [
-        "time", "a_boolean_dimension", "a_string_dimension", "an_integer_dimension",
-        "a_double_measurement", "a_float_measurement", "a_histogram", "a_long_measurement",
-        "a_statistic_set", "a_tdigest", "an_int_measurement"]
-    assert dict(rows.dtypes)["an_int_measurement"] == "int"
-    assert dict(rows.dtypes)["a_float_measurement"] == "float"
+        "time", "cooled", "depot", "pallets",
+        "forklifts", "load", "parcels", "sizes", "trip", "wait", "weight"]
+    assert dict(rows.dtypes)["forklifts"] == "int" and dict(rows.dtypes)["load"] == "float"
     row = rows.first()
-    assert row["a_histogram"] == {1: 2, 3: 4, 5: 6} and row["an_integer_dimension"] == 16
+    assert row["sizes"] == {10: 5, 20: 1, 45: 2} and row["pallets"] == 9 and row["cooled"] is False
 
 
 def test_earliest_value_fixes_the_type(spark):
@@ -113,12 +111,12 @@ def test_dimensions_read_as_another_type(spark, value, type_name, want):
     [
         ({"F64": 3.0}, "int", 3),
         ({"F64": 3.5}, "bigint", None),
-        ({"F32": 42.42}, "double", 42.42),
+        ({"F32": 6.1}, "double", 6.1),
         ({"I64": 2**40}, "int", None),
         ({"I32": 5}, "bigint", 5),
         ({"F64": 1e7}, "string", "10000000"),
-        ({"Histogram": {"buckets": {"3": 4, "1": 2}}}, "string", '{"1":2,"3":4}'),
-        ({"StatisticSet": {"minimum": 1, "maximum": 2, "samplesum": 8, "samplecount": 6}}, "string", "(1,2,8,6)"),
+        ({"Histogram": {"buckets": {"30": 8, "10": 5}}}, "string", '{"10":5,"30":8}'),
+        ({"StatisticSet": {"minimum": 0.5, "maximum": 7, "samplesum": 30, "samplecount": 12}}, "string", "(0.5,7,30,12)"),
         ({"Histogram": {"buckets": {"3": 4}}}, "double", None),
     ],
 )
@@ -155,15 +153,17 @@ def test_a_wide_table_of_many_columns_plans(spark):
 
 
 def test_csv(spark, tmp_path):
-    df = frame(spark, DATUM.replace("asdf", 'a \\"q\\", b'), datum("mm", 1642367609123456789))
-    columns = schema_of(df)["mm"]
+    dims = {**DIMENSIONS, "depot": {"String": 'a "q", b'}}
+    df = frame(spark, datum("Depot", MOMENT, dims, MEASUREMENTS), datum("Depot", MOMENT + 123456789))
+    columns = schema_of(df)["depot"]
     delimited.write_csv(df.coalesce(1), columns, str(tmp_path / "out"))
     (part,) = (tmp_path / "out").glob("part-*")
     first, second = part.read_text().splitlines()
     assert first == (
-        '2022-01-16T21:13:29Z,true,"a ""q"", b",16,42.42,42.42,"{""1"":2,""3"":4,""5"":6}",42,"(1,2,8,6)",'
-        '"(version:1,max_buckets:100,count:42,sum:42.3,min:1,max:1.3,centroids:[(mean:1,weight:41),(mean:1.3,weight:1)])",42')
-    assert second == "2022-01-16T21:13:29.123456789Z" + "," * 10
+        '2023-11-14T22:13:20Z,false,"a ""q"", b",9,3,0.25,70000,"{""10"":5,""20"":1,""45"":2}",'
+        '"(version:1,max_buckets:100,count:20,sum:64.5,min:2,max:9.5,centroids:[(mean:2.5,weight:17),(mean:7.33,weight:3)])",'
+        '"(0.5,7,30,12)",812.5')
+    assert second == "2023-11-14T22:13:20.123456789Z" + "," * 10
 
 
 def test_split_metrics(spark):
