@@ -24,7 +24,7 @@ ROUNDS = 12
 
 #: A document goes if its similarity is below this part of what the least
 #: similar hundredth of the learned documents of its length has.
-REJECT_BELOW = 0.5
+REJECT_BELOW = 0.35
 
 #: Bins of learned documents fewer than this set no bound of their own.
 LEAST_IN_BIN = 20
