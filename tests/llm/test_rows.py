@@ -245,6 +245,11 @@ def test_values_that_only_look_alike_stay():
         assert pii.replace_all(text, KEY) == (text, [])
 
 
+def test_a_valid_number_after_one_that_is_not():
+    new, found = pii.replace_all("item 12 4012 8888 8888 1881 sold", KEY)
+    assert [k for k, *_ in found] == ["card"] and new.startswith("item 12 4") and "4012" not in new
+
+
 def test_dates_of_one_day_stay_linked():
     def day(text):
         return pii.replace_all(text, KEY)[0]

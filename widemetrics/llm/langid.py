@@ -19,6 +19,9 @@ DIMS = 1 << 13
 #: At most so many documents of each language are learned from.
 SAMPLE_PER_LANG = 1000
 
+#: Up to so many languages their sampling rates are sent to every task; beyond, they are joined.
+BROADCAST_LANGS = 10_000
+
 CENTROIDS = 4
 ROUNDS = 12
 
@@ -153,7 +156,11 @@ def fit(
     totals = known.groupBy("lang").count()
     # Somewhat more than is needed by hash, then exactly the bound by rank.
     part = F.least(F.lit(1.0), F.lit(1.3 * per_lang + 50) / F.col("count")).alias("part")
-    drawn = known.join(F.broadcast(totals.select("lang", part)), "lang").filter("lot <= part")
+    parts = totals.select("lang", part)
+    listed = parts.limit(BROADCAST_LANGS + 1).collect()
+    if len(listed) <= BROADCAST_LANGS:
+        parts = F.broadcast(spark.createDataFrame(listed, parts.schema))
+    drawn = known.join(parts, "lang").filter("lot <= part")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -241,7 +241,8 @@ def replace_all(
                 None,
             )
             if other is None:
-                at = m.end()
+                # A shorter one may begin further on in it.
+                at = m.start() + 1
                 continue
             kind, m, new = other
         else:
