@@ -134,6 +134,12 @@ def discover_tables(df: DataFrame) -> DataFrame:
     )
 
 
+def collisions(discovered: DataFrame) -> DataFrame:
+    """Rows (table, column, keys): columns that several raw keys were cleaned to."""
+    shared = discovered.where(F.size("sources") > 1)
+    return shared.select("table", "column", F.size("sources").cast("bigint").alias("keys"))
+
+
 def column_order(columns: Iterable[ColumnSpec]) -> list[ColumnSpec]:
     """Dimensions by name, then measurements by name."""
     return sorted(columns, key=lambda c: (c.kind, c.name))

@@ -466,6 +466,14 @@ def schema_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("table", "column", "kind", "type", F.array_join(sources, ",").alias("sources"))
 
 
+@query(
+    "key_collisions",
+    """select distinct 'svc_' || event_type as "table", 'reading' as "column", cast(2 as bigint) as keys from events""",
+)
+def key_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide.collisions(wide.discover_schema(shifting_datums(table(spark, sf_dir, "events"))))
+
+
 @query(
     "statset_scalars",
     """select event_type, user_id, round(avg(value), 6) as average, min(value) as low, max(value) as high,
@@ -926,14 +934,14 @@ def widen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "schema_heal",
-    f"""with t as (select event_type as "table", ts as time, user_id, value, {SQL_K} as k from events)
+    f"""with t as (select 'event_log' as "table", ts as time, user_id, value, {SQL_K} as k from events)
        select "table", time, 1 as batch, user_id, value, cast(null as bigint) as k from t
        union all select "table", time, 2, user_id, 1.0::double, k from t""",
 )
 def schema_heal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables first; then a column more, missing before, and a changed type that does not take."""
+    """A table first; then a column more, missing before, and a changed type that does not take."""
     store = MetricStore(spark, shared_dir(spark, "schema-heal"))
-    rows = event_datums(table(spark, sf_dir, "events"))
+    rows = event_log(table(spark, sf_dir, "events"))
     batch = [
         F.map_concat("dimensions", as_map(batch=dim(Number=F.lit(n)))).alias("dimensions") for n in (1, 2)
     ]
@@ -1299,13 +1307,13 @@ def stream_rollup_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fan_out",
-    f"""select 'table' as sink, event_type as name, ts as time, value from events
-        union all select 'otlp', event_type || '_value', ts, value from events""",
+    f"""select 'table' as sink, 'event_log' as name, ts as time, value from events
+        union all select 'otlp', 'Event-Log_value', ts, value from events""",
 )
 def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stream into tables and into envelopes."""
     folder = shared_dir(spark, "fan-out")
-    stream = event_datums(events_stream(spark, sf_dir))
+    stream = event_log(events_stream(spark, sf_dir))
     for run in pipelines.fan_out(stream, f"{folder}/tables", f"{folder}/otlp", f"{folder}/progress", None):
         run.awaitTermination()
     points = gauge_points(otlp.request_metrics(otlp.read_otlp(spark, f"{folder}/otlp")))
