@@ -18,7 +18,7 @@ from widemetrics.llm.tokens import encoder
 POOL_TOKENS = 1 << 18
 
 #: Rows tokenized at once, and pieces held back until they make a batch.
-ENCODED_ROWS = 500
+ENCODED_ROWS = 1000
 FLUSHED_PIECES = 2000
 
 

@@ -6,15 +6,17 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 # A word is a longest run of bytes other than these.
 _BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 #: Bytes hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 
 _STEP = 0x9E3779B97F4A7C15
+_OTHER_STEP = 0xD1342543DE82EF95
 _BACK = pow(_STEP, -1, 1 << 64)
 
 
@@ -66,6 +68,29 @@ def _hash_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mixed(np.add.reduceat(values, first)), starts
 
 
+def string_hashes(strings: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each string's bytes."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset :][: len(strings) + 1]
+    offsets = offsets.astype(np.int64)
+    lengths = np.diff(offsets)
+    out = (np.zeros(len(strings), np.uint64), np.zeros(len(strings), np.uint64))
+    if not lengths.sum():
+        return out
+    raw = np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    filled = np.flatnonzero(lengths)
+    begins = offsets[filled] - offsets[0]
+    place = np.arange(len(raw)) - np.repeat(begins, lengths[filled])
+    most = int(place.max()) + 1
+    for own, random, step in zip(out, _two_tables(), (_STEP, _OTHER_STEP)):
+        own[filled] = mixed(np.add.reduceat(random[raw] * _powers(step, most)[place], begins))
+    return out
+
+
+@lru_cache(maxsize=1)
+def _two_tables() -> np.ndarray:
+    return np.random.default_rng(21).integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def _pieces(text: bytes) -> list[bytes]:
     out, at = [], 0
     while len(text) - at > CHUNK:
