@@ -20,7 +20,7 @@ BATCH_ROWS = 1000
 
 #: A block of rows ends at so many rows, or bytes of what it holds.
 BLOCK_ROWS = 1 << 13
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ _MESSAGE = pa.schema(
 )
 
 #: Hashes an owner is to hold, about.
-OWNED = 1 << 19
+OWNED = 1 << 18
 
 
 def owner_bits(hashes: int, partitions: int) -> int:

@@ -17,7 +17,7 @@ from widemetrics.llm.components import components
 from widemetrics.llm.dedup import normal
 
 #: N-grams of a block of documents, and documents in it, at most.
-BLOCK_MEMBERS = 1 << 21
+BLOCK_MEMBERS = 1 << 20
 BLOCK_DOCS = (1 << 16) - 1
 
 #: Sets, and members of them, that one task puts into a tree, about; larger families are

@@ -16,7 +16,7 @@ from widemetrics.llm.common import free_name, saved
 #: Words of a passage; the last of a text (or of a slice of a long one) may be shorter.
 PASSAGE_WORDS = 64
 #: Characters worked on at a time; longer texts are cut between words.
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 #: At most so many labelled documents of each class are learned from, and
 #: passages of them in all, documents with the smallest hashes first.

@@ -9,7 +9,7 @@ import numpy as np
 RUN = 64
 
 #: Ranks times queries of one walk, at most.
-CELLS = 1 << 23
+CELLS = 1 << 21
 
 
 class Ranks:
