@@ -94,7 +94,7 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def weighted(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return unit(np.sqrt(tf) * idf)
+    return unit(tf * idf)
 
 
 def length_bin(tf: np.ndarray) -> np.ndarray:
@@ -230,7 +230,7 @@ def fit(
         overall = next(r["low"] for r in least if r["bin"] is None)
         for b in range(64):
             # A bin with too few takes the bound of the nearest that has enough, or of all; the
-            # cosine of a shorter text is less, about as the root of its n-grams.
+            # cosine of a shorter text is less, at most about as the root of its n-grams.
             near = min(set_by, key=lambda x: (abs(x - b), x), default=int(np.log2(DIMS)))
             bounds[b] = REJECT_BELOW * set_by.get(near, overall) * 2 ** (min(0, b - near) / 2)
     return Model(langs, centroids, idf, bounds)
