@@ -236,7 +236,9 @@ class MetricStore:
         )
 
     def _reject(self, rows: DataFrame, writer: str, batch: int, part: str) -> None:
-        """Rejects of one part of a batch; writing the part again replaces them."""
+        """Rejects of one part of a batch, if any; writing the part again replaces them."""
+        if rows.isEmpty():
+            return
         names = self._schema(REJECTS_DDL).names
         given = [F.col(n) if n in rows.columns else F.lit(None).cast("string").alias(n) for n in names]
         folder = self._path("rejects", f"writer={writer}", f"batch={batch}", f"part={part}")
