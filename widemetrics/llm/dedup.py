@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from widemetrics.llm.common import free_name, partitions, row_key, saved
 #: Rows whose fingerprints one message table holds: a power of two.
 BLOCK_BITS = 18
 
+#: Tasks that the copies of one text are spread over before they are counted in one.
+SALTS = 16
+
 #: Fingerprints an owner is to hold, about.
 OWNER_ROWS = 1 << 19
 
@@ -144,32 +149,39 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     ids are null, keep_id is null and one row is kept.
 
     Rows whose fingerprint is theirs alone are done. The texts of the others
-    are read once more and grouped by their bytes, combined before the shuffle,
-    so a text that a third of all rows share is sent once a task.
+    are read once more and grouped by their bytes. Equal texts of a batch are
+    counted together before the shuffle and go to one of SALTS tasks, so that a
+    text that a third of all rows share is sent once a batch, to many tasks, and
+    from those once each.
     """
     marked = _marked(docs, key, text)
     flagged = saved(suspects(marked), "dedup-suspects")
     shared = saved(flagged.filter("suspect").select("fp").distinct(), "dedup-shared")
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = TaskContext.get().partitionId()
         for batch in batches:
-            texts = [normal(t) for t in batch.column(0).to_pylist()]
+            texts = Counter(normal(t) for t in batch.column(0).to_pylist())
+            salt += 1
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([fingerprint(t) for t in texts], pa.int64()),
-                    pa.array(texts, pa.binary()),
+                    pa.array([salt % SALTS] * len(texts), pa.int32()),
+                    pa.array(texts.keys(), pa.binary()),
+                    pa.array(texts.values(), pa.int64()),
                 ],
-                names=["fp", "bytes"],
+                names=["fp", "salt", "bytes", "n"],
             )
 
     again = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(
-        bytes_of, "fp bigint, bytes binary"
+        bytes_of, "fp bigint, salt int, bytes binary, n bigint"
     )
+    salted = shared.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     # Copies are counted by their bytes; the sum of the bytes' hash names the group further on.
     verified = (
-        again.join(shared.hint("merge"), "fp", "left_semi")
+        again.join(salted.hint("merge"), ["fp", "salt"], "left_semi")
         .groupBy("fp", "bytes")
-        .agg(F.count("*").alias("group_size"))
+        .agg(F.sum("n").alias("group_size"))
         .select("fp", F.unhex(F.sha2("bytes", 256)).alias("sha"), "group_size")
     )
     keepers = flagged.filter("suspect").groupBy("fp", "sha").agg(
