@@ -39,10 +39,20 @@ def prepare(spark: SparkSession) -> None:
 
 def saved(df: DataFrame, purpose: str) -> DataFrame:
     """df as a table in the shared scratch folder: it is computed once and outlives executors."""
+    return saved_at(df, purpose)[0]
+
+
+def saved_at(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """saved(), and the folder, for discard()."""
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table, once all that came of it is saved as well."""
+    Folder(spark, path).delete()
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -85,12 +95,6 @@ def binary(values: list[np.ndarray]) -> pa.Array:
     return pa.array([np.ascontiguousarray(v).tobytes() for v in values], pa.binary())
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the scratch table that saved() gave, once all that came of it is saved as well."""
-    for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        Folder(df.sparkSession, path).delete()
-
-
 class Blocks:
     """Numbers for blocks of rows of one task."""
 

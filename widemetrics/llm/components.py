@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from widemetrics.llm.common import discard, saved
+from widemetrics.llm.common import discard, saved, saved_at
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
     to the node's edges, where a hub's rows can be split. Steps are tables in
     the scratch folder. Edges may repeat, be loops, or none.
     """
-    now = saved(
+    spark = edges.sparkSession
+    now, folder = saved_at(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .filter("a != b")
         .distinct(),
@@ -38,15 +39,15 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a != b").distinct()
         # A node and its smaller neighbours are tied to the least of them.
-        down = saved(large, "components")
+        down, between = saved_at(large, "components")
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(lowest.select("a", F.col("m").alias("b")))
-        after = saved(small.filter("a != b").distinct(), "components")
+        after, next_folder = saved_at(small.filter("a != b").distinct(), "components")
         new = _mark(after)
-        discard(down)
-        discard(now)
-        now = after
+        discard(spark, between)
+        discard(spark, folder)
+        now, folder = after, next_folder
         if new == mark:
             break
         mark = new

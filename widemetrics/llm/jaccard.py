@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from widemetrics.llm import exchange, golomb, trie, words
-from widemetrics.llm.common import Blocks, discard, free_name, partitions, row_key, saved
+from widemetrics.llm.common import Blocks, discard, free_name, partitions, row_key, saved, saved_at
 from widemetrics.llm.components import components
 from widemetrics.llm.dedup import normal
 
@@ -181,7 +181,7 @@ def near_duplicates(
                 )
         yield from send()
 
-    described = saved(
+    described, folder = saved_at(
         read.mapInArrow(
             describe,
             f"id {id_type}, row_key bigint, n bigint, set_key binary, block bigint, place bigint, "
@@ -214,7 +214,7 @@ def near_duplicates(
         ),
         "jaccard-rows",
     )
-    discard(described)
+    discard(spark, folder)
     classes = saved(
         rows.filter("n > 0").groupBy("set_key", "n")
         .agg(
