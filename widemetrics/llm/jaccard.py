@@ -82,7 +82,7 @@ class _Shortened:
 
 
 def _alone(received: pa.Table) -> pa.Table:
-    """How many of a document's n-grams no other document has, by block and document."""
+    """For each block the documents of n-grams that no other document has, one by one."""
     sent = exchange.lists(received)
     values = np.concatenate(sent)
     places = np.frombuffer(b"".join(received.column("places").to_pylist()), "<u2")
@@ -94,12 +94,30 @@ def _alone(received: pa.Table) -> pa.Table:
     single[:-1] &= v[:-1] != v[1:]
     own = order[single]
     own = own[places[own] != _Shortened.MANY]
-    counts = [
-        np.bincount(places[part]).astype("<u4").tobytes()
-        for part in np.split(own[np.argsort(source[own], kind="stable")],
-                             np.cumsum(np.bincount(source[own], minlength=len(sent)))[:-1])
-    ]
-    return pa.table({"block": received.column("block"), "counts": pa.array(counts, pa.binary())})
+    parts = np.split(
+        places[own[np.argsort(source[own], kind="stable")]],
+        np.cumsum(np.bincount(source[own], minlength=len(sent)))[:-1],
+    )
+    listed = pa.array([_steps(np.sort(part)) for part in parts], pa.binary())
+    return pa.table({"block": received.column("block"), "places": listed})
+
+
+def _steps(places: np.ndarray) -> bytes:
+    """Ascending numbers, repeated ones too, as steps of a byte; 255 goes on to the next byte."""
+    steps = np.diff(places.astype(np.int64), prepend=0)
+    ends = np.cumsum(steps // 255 + 1) - 1
+    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 255, np.uint8)
+    out[ends] = steps % 255
+    return out.tobytes()
+
+
+def _counted(codes: list[bytes], many: int) -> np.ndarray:
+    """How often each number up to many was in the lists that _steps() coded."""
+    out = np.zeros(many, np.int64)
+    for code in codes:
+        steps = np.frombuffer(code, np.uint8)
+        out += np.bincount(np.cumsum(steps, dtype=np.int64)[steps != 255], minlength=many)
+    return out
 
 
 def near_duplicates(
@@ -144,10 +162,11 @@ def near_duplicates(
         cut, known, schema = _Shortened(hash_bits, bits), {}, None
 
         def send() -> Iterator[pa.RecordBatch]:
-            for m in cut.messages(block):
-                columns = dict(zip(("owner", "block", "m", "k", "code", "places"), ([x] for x in m)))
+            sent = list(cut.messages(block))
+            if sent:
+                columns = dict(zip(("owner", "block", "m", "k", "code", "places"), zip(*sent)))
                 arrays = {c: pa.array(v, schema.field(c).type) for c, v in columns.items()}
-                yield _union(schema, 1, **arrays)
+                yield _union(schema, len(sent), **arrays)
             cut.clear()
             known.clear()
 
@@ -193,16 +212,13 @@ def near_duplicates(
     counts = (
         sent.select("owner", "block", F.col("m").alias("n"), "k", "code", "places")
         .groupBy("owner")
-        .applyInArrow(_alone, "block bigint, counts binary")
+        .applyInArrow(_alone, "block bigint, places binary")
     )
 
     def partners_possible(rows: pa.Table, told: pa.Table) -> pa.Table:
-        size, place = rows.column("n").to_numpy(), rows.column("place").to_pylist()
-        alone = np.zeros(BLOCK_DOCS + 1, np.int64)
-        for c in told.column("counts").to_pylist():
-            c = np.frombuffer(c, "<u4")
-            alone[: len(c)] += c
-        own = np.array([0 if p is None else alone[p] for p in place], np.int64)
+        size, place = rows.column("n").to_numpy(), rows.column("place").fill_null(0).to_numpy()
+        alone = _counted(told.column("places").to_pylist(), int(place.max(initial=0)) + 1)
+        own = np.where(size > 0, alone[place], 0)
         possible = (size > 0) & (100 * (size - own) >= percent * size)
         return rows.drop_columns(["block", "place"]).append_column("possible", pa.array(possible))
 
