@@ -84,6 +84,33 @@ def test_quality_of_odd_rows_and_labels(spark, odd, empty):
     assert quality.scored(empty, model).count() == 0
 
 
+def test_very_long_documents_are_thinned_and_take_none_of_the_others_along(spark, monkeypatch):
+    rng = random.Random(9)
+    ids = spark.range(60).select(F.col("id"), F.xxhash64("id", F.lit(3)).alias("lot")).orderBy("lot").collect()
+    label = {r["id"]: i % 2 for i, r in enumerate(ids)}
+    huge = {ids[0]["id"], ids[1]["id"]}
+    texts = {i: prose(rng, 64 * 500 if i in huge else 100) if y else "$$ 77 XX " * (64 * 500 if i in huge else 30)
+             for i, y in label.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    labels = spark.createDataFrame(list(label.items()), "doc_id bigint, quality int")
+    seen = []
+    kept = quality.trained
+    monkeypatch.setattr(quality, "trained", lambda rows, sizes, y, w: seen.append((sizes, y)) or kept(rows, sizes, y, w))
+    model = quality.fit(docs, labels, passages=400)
+    (sizes, y), = seen
+    assert len(y) == 60 and y.sum() == 30
+    assert all(sizes[y == c].sum() <= 200 and sizes[y == c].max() > 100 for c in (0, 1))
+    got = {r["doc_id"]: r["quality_score"] for r in quality.scored(docs, model).collect()}
+    assert min(got[i] for i in got if label[i]) > max(got[i] for i in got if not label[i])
+
+
+def test_level_and_share():
+    assert quality._level([(3, 2), (1, 1)], 100) == 100
+    assert quality._level([(2, 3), (1000, 2)], 26) == 10
+    assert quality._level([(5, 9)], 4) == 1
+    assert len(set(quality._share(1000, 37).tolist())) == 37 and quality._share(5, 5).tolist() == [0, 1, 2, 3, 4]
+
+
 def test_passages_do_not_depend_on_company():
     rng = random.Random(2)
     texts = [prose(rng, n) for n in (1, 63, 64, 65, 300)] + ["", "  ", "a"]

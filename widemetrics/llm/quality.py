@@ -18,8 +18,8 @@ PASSAGE_WORDS = 64
 #: Characters worked on at a time; longer texts are cut between words.
 SLICE = 1 << 18
 
-#: At most so many labelled documents of each class are learned from, and
-#: passages of them in all, documents with the smallest hashes first.
+#: At most so many labelled documents of each class are learned from, those with
+#: the smallest hashes, and passages of them in all: the longest are thinned to it.
 SAMPLE_PER_CLASS = 2500
 SAMPLE_PASSAGES = 60_000
 
@@ -236,6 +236,27 @@ def trained(rows: np.ndarray, sizes: np.ndarray, label: np.ndarray, weight: np.n
     return Model(mean, scale, w)
 
 
+def _level(lengths: list[tuple[int, int]], bound: int) -> int:
+    """The most passages a bag may keep so that all keep bound at most; 1 at least.
+
+    lengths are (passages, how many bags have so many)."""
+    left, bags = bound, sum(count for _, count in lengths)
+    for n, count in sorted(lengths):
+        if n * bags > left:
+            return max(1, left // bags)
+        left -= n * count
+        bags -= count
+    return bound
+
+
+def _share(n: int, most: int) -> np.ndarray:
+    """The places, in order, of the passages with the smallest hashes among n."""
+    mixed = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.sort(np.argsort(mixed, kind="stable")[:most])
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -248,6 +269,12 @@ def fit(
 ) -> Model:
     """Learn from at most per_class documents of each label, and passages of them in all.
 
+    Where a class has more than half of passages, its longest documents are
+    thinned for training, all to one number of passages, the largest that keeps
+    to the bound; those with the smallest hashes of their places stay. So no
+    document goes for the length of another, or for its own. Only if a class
+    has more documents than half of passages, those with the largest hashes go.
+
     learn says of a row of labels whether it may be learned from. A document
     labelled more than once counts as what most of its labels say, and not at
     all on a tie; null keys and labels go. The classes are weighted as often as
@@ -296,10 +323,34 @@ def fit(
         .mapInArrow(features, "y int, rank int, rows binary, n bigint"),
         "quality-bags",
     )
-    # Of a bounded sample: as many documents as keep to the bound, one at least of each class.
+    bound = max(1, passages // 2)
+    lengths: dict[int, list[tuple[int, int]]] = {0: [], 1: []}
+    for r in bags.groupBy("y", "n").count().collect():
+        lengths[r["y"]].append((r["n"], r["count"]))
+    level = {y: _level(found, bound) for y, found in lengths.items()}
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for y, rows, n in zip(*(batch.column(c).to_pylist() for c in ("y", "rows", "n"))):
+                if n > level[y]:
+                    rows = np.frombuffer(rows, "<f4").reshape(n, -1)[_share(n, level[y])].tobytes()
+                out.append((rows, min(n, level[y])))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("y"),
+                    batch.column("rank"),
+                    pa.array([o[0] for o in out], pa.binary()),
+                    pa.array([o[1] for o in out], pa.int64()),
+                ],
+                names=["y", "rank", "rows", "n"],
+            )
+
+    bags = bags.mapInArrow(thinned, bags.schema)
+    # Of a bounded sample: no thinned bag passes the bound, so the first of each class stays.
     so_far = F.sum("n").over(Window.partitionBy("y").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
     bags = bags.withColumn("before", F.coalesce(so_far, F.lit(0)))
-    bags = bags.filter(F.col("before") + F.col("n") <= passages // 2).orderBy("y", "rank")
+    bags = bags.filter(F.col("before") + F.col("n") <= bound).orderBy("y", "rank")
     found = bags.select("y", "rows", "n").collect()
     if len({r["y"] for r in found}) < 2:
         return Model(np.zeros(1), np.ones(1), None, constant)
