@@ -272,6 +272,14 @@ def test_values_that_only_look_alike_stay():
         assert pii.replace_all(text, KEY) == (text, [])
 
 
+@pytest.mark.parametrize("value", ["+1 (073) 555-8658", "+1 (578) 055-6437", "(302) 155-8032", "012-155-0123",
+                                   "0.1.2.3", "240.56.125.154", "255.255.255.255"])
+def test_unassigned_phone_numbers_and_addresses_are_replaced(value):
+    new, found = pii.replace_all(f"at {value}, so", KEY)
+    assert len(found) == 1 and value not in new
+    assert pii.replace_all(new, KEY, back=True)[0] == f"at {value}, so"
+
+
 def test_a_valid_number_after_one_that_is_not():
     new, found = pii.replace_all("item 12 4012 8888 8888 1881 sold", KEY)
     assert [k for k, *_ in found] == ["card"] and new.startswith("item 12 4") and "4012" not in new

@@ -96,7 +96,8 @@ def _card(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _north_american(digits: str) -> bool:
-    return digits[0] in "23456789" and digits[3] in "23456789"
+    """Any ten digits after the 1, whether assigned or not, unless a second 1 comes first."""
+    return digits[0] != "1"
 
 
 def _phone(text: str, key: bytes, back: bool) -> str | None:
@@ -124,15 +125,10 @@ def _ssn(text: str, key: bytes, back: bool) -> str | None:
 
 def _ip(text: str, key: bytes, back: bool) -> str | None:
     parts = [int(p) for p in text.split(".")]
-    if max(parts) > 255 or not 1 <= parts[0] <= 223 or any(
-        len(p) > 1 and p[0] == "0" for p in text.split(".")
-    ):
+    if max(parts) > 255 or any(len(p) > 1 and p[0] == "0" for p in text.split(".")):
         return None
-    value = int.from_bytes(bytes(parts), "big")
-    while True:
-        value = feistel(value, 1 << 32, key, "ip", back)
-        if 1 <= value >> 24 <= 223:
-            return ".".join(map(str, value.to_bytes(4, "big")))
+    value = feistel(int.from_bytes(bytes(parts), "big"), 1 << 32, key, "ip", back)
+    return ".".join(map(str, value.to_bytes(4, "big")))
 
 
 def _date(text: str, key: bytes, back: bool) -> str | None:
@@ -275,6 +271,10 @@ def pseudonymised(
     digits made anew; so equal values get equal pseudonyms in every document,
     different ones different pseudonyms, and back=True restores the input.
     What only looks alike, such as a number whose check digit is wrong, stays.
+    Telephone numbers and addresses count whether assigned or not; of their
+    forms there stay North American numbers whose area code begins with 1,
+    international ones with a country code that begins with 0 or fewer than 8
+    or more than 15 digits, and addresses with a part above 255 or a leading 0.
 
     Adds pii_spans, (kind, start, end) in characters of the input text; a
     clashing name gets a _ behind. A null text stays null and has no spans, an
