@@ -215,6 +215,62 @@ _RULES = {
 }
 
 
+def _ends(kind: str, text: str, start: int, end: int) -> Iterator[int]:
+    """Where shorter values of the form end that begin at start: on group bounds, longest first."""
+    for at in range(end - 1, start, -1):
+        if text[at] in " .-" and text[at - 1].isalnum() and _EACH[kind].fullmatch(text, start, at):
+            yield at
+
+
+def _beyond(text: str, start: int, end: int) -> bool:
+    """Whether a valid card number that begins after start goes on beyond end."""
+    for at in range(start + 1, end):
+        x = _EACH["card"].match(text, at)
+        if x and x.end() > end:
+            if _card(x[0], b"", False):
+                return True
+            for e in _ends("card", text, at, x.end()):
+                if e > end and _CARD_GROUPS.fullmatch(text, at, e) and _card(text[at:e], b"", False):
+                    return True
+    return False
+
+
+def _value(
+    text: str, m: re.Match, kinds: frozenset[str], key: bytes, back: bool
+) -> tuple[str, int, int, str] | None:
+    """(kind, start, end, pseudonym) of the valid value that begins where the match does.
+
+    The longest one of a kind goes first. Of shorter ones a card number has to
+    have the groups that cards are written in, or none that is valid may begin
+    further on and go beyond it: in "12 4012 8888 8888 1881" the 12 is none.
+    """
+    start = m.start()
+    for kind in [m.lastgroup, *(k for k in PATTERNS if k != m.lastgroup)]:
+        x = m if kind == m.lastgroup else _EACH[kind].match(text, start)
+        if kind not in kinds or not x:
+            continue
+        if made := _RULES[kind](x[0], key, back):
+            return kind, start, x.end(), made
+        shorter = [e for e in _ends(kind, text, start, x.end()) if _RULES[kind](text[start:e], key, back)]
+        usual = [e for e in shorter if kind != "card" or _CARD_GROUPS.fullmatch(text, start, e)]
+        if usual or shorter and not _beyond(text, start, shorter[0]):
+            end = (usual or shorter)[0]
+            return kind, start, end, _RULES[kind](text[start:end], key, back)
+    return None
+
+
+def _first(
+    text: str, at: int, kinds: frozenset[str], key: bytes, back: bool
+) -> tuple[str, int, int, str] | None:
+    """The first valid value from at on, as by _value()."""
+    while m := _FIND.search(text, at):
+        if value := _value(text, m, kinds, key, back):
+            return value
+        # Another may begin further on in it.
+        at = m.start() + 1
+    return None
+
+
 def replace_all(
     text: str, key: bytes, kinds: frozenset[str] = frozenset(PATTERNS), back: bool = False
 ) -> tuple[str, list[tuple[str, int, int]]]:
@@ -223,32 +279,30 @@ def replace_all(
     # Every form has a digit or an at sign, so most texts need no search.
     if not _MAYBE.search(text):
         return text, []
-    out, last, found, at = [], 0, [], 0
-    while m := _FIND.search(text, at):
-        new = _RULES[m.lastgroup](m[0], key, back) if m.lastgroup in kinds else None
-        if new is None:
-            # Not valid as this kind, but another form may begin at the same place.
-            other = next(
-                (
-                    (kind, x, made)
-                    for kind in kinds - {m.lastgroup}
-                    if (x := _EACH[kind].match(text, m.start())) and (made := _RULES[kind](x[0], key, back))
-                ),
-                None,
-            )
-            if other is None:
-                # A shorter one may begin further on in it.
-                at = m.start() + 1
-                continue
-            kind, m, new = other
-        else:
-            kind = m.lastgroup
-        out += [text[last : m.start()], new]
-        found.append((kind, m.start(), m.end()))
-        last = at = m.end()
+    out, last, found = [], 0, []
+    while value := _first(text, last, kinds, key, back):
+        kind, start, end, new = value
+        # A pseudonym that would be read with digits beside it is permuted again.
+        low = max(last, start - REACH)
+        before, after = text[max(0, low - 1) : start], text[end : end + REACH]
+        for _ in range(100):
+            span = kind, len(before), len(before) + len(new)
+            seen = _first(before + new + after, min(low, 1), kinds, key, back)
+            if seen and seen[:3] == span:
+                break
+            new = _RULES[kind](new, key, back)
+        out += [text[last:start], new]
+        found.append((kind, start, end))
+        last = end
     return "".join([*out, text[last:]]), found
 
 
+#: More characters than any number that check digits or a count can refuse has.
+REACH = 64
+#: How card numbers are grouped where other numbers may follow.
+_CARD_GROUPS = re.compile(
+    r"\d+|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,4}|\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}|\d{4}[ -]\d{6}[ -]\d{4,5}"
+)
 _MAYBE = re.compile(r"[0-9@]")
 _EACH = {kind: re.compile(form) for kind, form in PATTERNS.items()}
 
@@ -270,6 +324,11 @@ def pseudonymised(
     What is valid is permuted among the values of its format, with its check
     digits made anew; so equal values get equal pseudonyms in every document,
     different ones different pseudonyms, and back=True restores the input.
+    Of a form the longest valid value counts, which may end before a number or
+    word that the form would also take. Where a pseudonym and the digits beside
+    it would read as another value, which for a card number with digits beside
+    it is about one time in ten, it is permuted again, so that it can be
+    restored; only there do equal values get different ones.
     What only looks alike, such as a number whose check digit is wrong, stays.
     Telephone numbers and addresses count whether assigned or not; of their
     forms there stay North American numbers whose area code begins with 1,
