@@ -465,6 +465,33 @@ def test_top_k_of_odd_vectors(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_large_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    rng = np.random.default_rng(6)
+    vectors = [(i, rng.normal(size=8).tolist()) for i in range(200)]
+    # Single sums pass 2**63 and cancel; the scores themselves fit.
+    vectors += [(200 + i, [2.0**22 * (1 + i), *rng.normal(size=7).tolist()]) for i in range(6)]
+    vectors += [(250, [0.5, 2.0**26, -(2.0**26), *rng.normal(size=5).tolist()]),
+                (300, [0.5, 2.0**26, 2.0**26 - 1000, *rng.normal(size=5).tolist()])]
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>").repartition(4)
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, 5)
+    exact = set()
+    own = [(i, [math.floor(256 * c) for c in v]) for i, v in vectors]
+    for q, a in own:
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in own if i != q)[:5]
+            exact |= {(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in got.collect()} == exact
+
+
+@pytest.mark.parametrize("size", [2.0**20, 2.0**28, 2.0**40])
+def test_products_are_exact(size):
+    rng = np.random.default_rng(8)
+    a, b = (np.floor(size * rng.normal(size=(n, 12)) * (2.0 ** rng.integers(-9, 1, size=(n, 1)))) for n in (9, 14))
+    got = topk._product(a, b)
+    assert all(int(got[i, j]) == sum(int(x) * int(y) for x, y in zip(a[i], b[j])) for i in range(9) for j in range(14))
+
+
 def test_cover_tree_covers():
     points = np.random.default_rng(4).normal(size=(600, 6))
     root, order = covertree.grown(points)

@@ -71,7 +71,7 @@ class Best:
 
     def offer(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
         """scores of the queries (rows) with the candidates ids; a query's own id is left out."""
-        good = (scores >= self.worst[queries][:, None]) & (ids[None, :] != own[queries][:, None])
+        good = (scores.astype(np.float64) >= self.worst[queries][:, None]) & (ids[None, :] != own[queries][:, None])
         for row in np.flatnonzero(good.any(axis=1)):
             hit = np.flatnonzero(good[row])
             value = scores[row, hit]
@@ -110,7 +110,8 @@ def searched(
         radii = p.radii if p.children else np.array([p.radius])
         norms = np.linalg.norm(centres, axis=1)
         bound = centres @ q.centre + np.linalg.norm(q.centre) * radii + (norms + radii) * q.radius
-        bound += 1e-9 * (1 + np.abs(bound))
+        # Also what rounding may take where large terms cancel.
+        bound += 1e-9 * (1 + np.abs(bound)) + 1e-12 * (np.linalg.norm(q.centre) + q.radius) * (norms + radii)
         plain: list[Node] = []
         for i in np.argsort(-bound):
             if bound[i] < worst:

@@ -41,8 +41,10 @@ def quantised(vectors: DataFrame, key: str, vector: str, is_query: Column) -> Da
                 if x.null_count or not len(x):
                     continue
                 x = x.to_numpy(zero_copy_only=False)
-                if not np.isfinite(x).all() or np.abs(x).max() >= 2.0**22:
+                if not np.isfinite(x).all():
                     continue
+                if np.abs(x).max() >= 2.0**63 / SCALE:
+                    raise OverflowError(f"vector {batch.column(0)[i]}: {SCALE} x does not fit 64 bits")
                 rows.append(i)
                 dims.append(len(x))
                 out.append(np.floor(SCALE * x).astype("<i8").tobytes())
@@ -64,9 +66,23 @@ def _matrix(values: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact: in floats where no sum can pass 2**53, else in 64-bit integers."""
-    most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
-    return a @ b.T if most < 2.0**53 else a.astype(np.int64) @ b.astype(np.int64).T
+    """Exact: in floats where no sum can pass 2**53, else in 64-bit integers, and in Python's
+    for the rows where a sum could pass those."""
+    large, other = np.abs(a).max(axis=1, initial=0) * a.shape[1], np.abs(b).max(axis=1, initial=0)
+    most = large.max(initial=0) * other.max(initial=0)
+    if most < 2.0**53:
+        return a @ b.T
+    x, y = a.astype(np.int64), b.astype(np.int64)
+    if most < 2.0**62:
+        return x @ y.T
+    out = np.empty((len(a), len(b)), object)
+    fine = other * large.max(initial=0) < 2.0**62
+    out[:, fine] = x @ y[fine].T
+    few = large * other.max(initial=0) < 2.0**62
+    rest = np.flatnonzero(~fine)
+    out[np.ix_(few, rest)] = x[few] @ y[rest].T
+    out[np.ix_(~few, rest)] = x[~few].astype(object) @ y[rest].astype(object).T
+    return out
 
 
 def _pivots(rows: list, n: int) -> np.ndarray:
@@ -121,9 +137,9 @@ def top_k(
     """(query_id, rank, vec_id, score): each query's k best other rows by integer inner product.
 
     Components are floor(256 x). Vectors that are null, empty, hold a null or
-    a number that is not finite, or have no id take no part, nor do those with
-    a component of 2**22 or more, whose products would not fit; only vectors of
-    one length are compared. Ties go to the smaller vec_id. Rows that repeat an
+    a number that is not finite, or have no id take no part; only vectors of
+    one length are compared. Scores are exact; a component or a score that does
+    not fit 64 bits stops the query, as it does in SQL. Ties go to the smaller vec_id. Rows that repeat an
     id are candidates each, but not for a query of that id; queries that repeat
     id and vector are one.
 
@@ -270,7 +286,8 @@ def top_k(
             a = np.array([np.linalg.norm(c) for c in q])
             b = np.array([np.linalg.norm(c) for c in p])
             bound = dot + a * r + b * s + r * s
-            keep = bound + 1e-6 * (1 + np.abs(bound)) >= batch.column("worst").to_numpy()
+            slack = 1e-6 * (1 + np.abs(bound)) + 1e-12 * (a + s) * (b + r)
+            keep = bound + slack >= batch.column("worst").to_numpy()
             yield batch.filter(pa.array(keep)).select(["dim", "cell", "part", "group"])
 
     # Each group of the stated queries against the list of blocks, ball by ball.
