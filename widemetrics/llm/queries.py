@@ -7,8 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from widemetrics.llm import dedup, jaccard, langid, mixing, packing, pii, quality, repeats, sharding, topk
+from widemetrics.llm import (
+    archive,
+    dedup,
+    divergence,
+    jaccard,
+    langid,
+    mixing,
+    packing,
+    phrases,
+    pii,
+    quality,
+    repeats,
+    sharding,
+    topk,
+)
 from widemetrics.llm.common import table, text_of
+from widemetrics.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -205,6 +220,133 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("pii_spans").cast("bigint").alias("n_replaced"), "pii_spans")
 
 
+def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    store = archive.Archive(spark, shared_dir(spark, "archive"))
+    store.write(pages)
+    kind = pages.schema["page_id"].dataType
+    return store.index().select(
+        F.col("key").cast(kind).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+
+
+OP11_SQL = """
+with payloads as (
+  select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as digest,
+    max(page_id) over (partition by coalesce(html, '')) as first
+  from pages
+), fives as (
+  select *, list_transform(range(8), lambda i: ('0x' || substr(digest, 1 + 5 * i, 5))::bigint) as parts
+  from payloads
+)
+select page_id, strlen(payload) as payload_bytes,
+  array_to_string(list_transform(parts, lambda x: array_to_string(list_transform([15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> s) & 31) + 1, 1)), '')), '')
+    as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from fives
+"""
+
+
+def op12_phrase_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.collocations(table(spark, sf_dir, "documents"), top=2000)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+OP12_SQL = """
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+  from documents
+), split as (
+  select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') as w
+  from pieces
+), sizes as (
+  select lang, sum(len(w))::bigint as n from split group by lang
+), grams as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2),
+    lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase
+  from split, (select unnest(range(1, 5)) as k) where len(w) >= k
+), counts as (
+  select lang, k, phrase, count(*) as f from grams group by all having count(*) >= 30
+), cuts as (
+  select lang, k, phrase, f, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') as head,
+    array_to_string(string_split(phrase, ' ')[c + 1:k], ' ') as tail
+  from counts, (select unnest(range(1, 4)) as c) where c < k
+), scored as (
+  select x.*, h.f as l, t.f as r,
+    ((2000000::hugeint * x.f) // (h.f::hugeint + t.f::hugeint))::bigint as score
+  from cuts x
+  join counts h on x.lang = h.lang and x.head = h.phrase
+  join counts t on x.lang = t.lang and x.tail = t.phrase
+), best as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1
+), within as (
+  select distinct s.lang, s.phrase from counts s join counts o
+    on s.lang = o.lang and o.k > s.k and s.k > 1 and 100::hugeint * o.f >= 80::hugeint * s.f
+    and contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' ')
+), ranked as (
+  select b.*, row_number() over (partition by b.lang order by score desc, f desc, b.phrase)::int as rank
+  from best b anti join within x on b.lang = x.lang and b.phrase = x.phrase
+)
+select lang, rank, phrase, f as a, l, r, n, score from ranked join sizes using (lang) where rank <= 2000
+"""
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+with docs as (
+  select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    list_transform(regexp_extract_all(coalesce(text, ''),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda t: translate(t,
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as terms
+  from documents
+), words as (
+  select id, lang, source, unnest(terms) as term from docs
+), kept as (
+  select lang, term, count(*) as total from words group by all having count(distinct id) >= 30
+), own as (
+  select lang, source, term, count(*) as n from words semi join kept using (lang, term) group by all
+), groups as (
+  select g.lang, g.source, coalesce(size, 0) as size, coalesce(lang_size, 0) as lang_size,
+    coalesce(v, 0) as v
+  from (select distinct lang, source from docs) g
+  left join (select lang, source, sum(n) as size from own group by all) s
+    on g.lang = s.lang and g.source = s.source
+  left join (select lang, count(*) as v, sum(total) as lang_size from kept group by lang) k
+    on g.lang = k.lang
+), shares as (
+  select g.lang, g.source, k.term, coalesce(n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(n, 0) + 5)) // (size::hugeint + 5 * v) as p,
+    1 + (1000000000::hugeint * (total + 5)) // (lang_size::hugeint + 5 * v) as q
+  from groups g join kept k on g.lang = k.lang
+  left join own o on o.lang = g.lang and o.source = g.source and o.term = k.term
+), pairs as (
+  select a.lang, a.source, b.source as item, coalesce(sum(abs(x.p - y.p)), 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join shares x on x.lang = a.lang and x.source = a.source
+  left join shares y on y.lang = b.lang and y.source = b.source and y.term = x.term
+  group by all
+), items as (
+  select lang, source, 'pair' as part, item, value from pairs
+  union all
+  select lang, source, 'term', term, (p - q)::bigint from shares where n > 0 and p > q
+), ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank
+  from items
+)
+select * from ranked where part = 'pair' or rank <= 50
+"""
+
+
 _QUERIES: dict[str, Query] = {
     "op1_centroid_language": op1_centroid_language,
     "op2_passage_quality": op2_passage_quality,
@@ -216,6 +358,9 @@ _QUERIES: dict[str, Query] = {
     "op8_two_pass_shuffle": op8_two_pass_shuffle,
     "op9_dual_tree": op9_dual_tree,
     "op10_feistel_pseudonyms": op10_feistel_pseudonyms,
+    "op11_warc_archive": op11_warc_archive,
+    "op12_phrase_streams": op12_phrase_streams,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 _ORACLES: dict[str, str] = {
@@ -223,6 +368,9 @@ _ORACLES: dict[str, str] = {
     "op5_golomb_dedup": OP5_SQL,
     "op6_doubling_repeats": OP6_SQL,
     "op9_dual_tree": OP9_SQL,
+    "op11_warc_archive": OP11_SQL,
+    "op12_phrase_streams": OP12_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
 
 
