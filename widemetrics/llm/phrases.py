@@ -49,10 +49,12 @@ class _Coded:
         self.numbers[b""] = _END
         self.codes: list[int] = []
         self.context: list[int] = []
+        self.n = 0
 
     def add(self, words: list[bytes], context: list[bytes]) -> None:
         """A run of words; those of context follow, but no phrase that begins there counts."""
         self.codes.extend(map(self.numbers.__getitem__, words))
+        self.n += len(words)
         if context:
             begin = len(self.codes)
             self.codes.extend(map(self.numbers.__getitem__, context))
@@ -82,7 +84,7 @@ def runs(text: str | None, context: int) -> Iterator[tuple[list[bytes], list[byt
 
 
 def _blocks(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Documents to blocks (block, lang, words, codes, context) of numbered words."""
+    """Documents to blocks (block, lang, words, codes, context, n) of numbered words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -101,8 +103,9 @@ def _blocks(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                         pa.array([b"\n".join(own.numbers)], pa.binary()),
                         pa.array([np.array(own.codes, "<i4").tobytes()], pa.binary()),
                         pa.array([np.array(own.context, "<i4").tobytes()], pa.binary()),
+                        pa.array([own.n], pa.int64()),
                     ],
-                    names=["block", "lang", "words", "codes", "context"],
+                    names=["block", "lang", "words", "codes", "context", "n"],
                 )
             held.clear()
 
@@ -250,7 +253,7 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, lang: str, text: st
     )
     blocks = saved(
         read.mapInArrow(
-            _blocks(longest), "block bigint, lang string, words binary, codes binary, context binary"
+            _blocks(longest), "block bigint, lang string, words binary, codes binary, context binary, n bigint"
         ),
         "phrase-blocks",
     )
@@ -263,9 +266,8 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, lang: str, text: st
     found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _count(bits, longest), "lang string, phrase string, n bigint"
     )
-    every = saved(found.groupBy("lang", "phrase").agg(F.sum("n").alias("f")), "phrase-counts")
-    words = every.filter(~F.contains("phrase", F.lit(" ")))
-    return every.filter(F.col("f") >= least), words.groupBy("lang").agg(F.sum("f").alias("n"))
+    counts = found.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    return saved(counts, "phrase-counts"), blocks.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 _WALKED = (
