@@ -239,18 +239,19 @@ class Archive:
         return self._with_payload(self.headers(), "records").select("key", "uid", "payload")
 
     def _with_payload(self, headers: DataFrame, asking: str) -> DataFrame:
-        """Headers with their payloads; one that more than RECORDS_A_COPY ask for is there in
-        copies, each for so many. `asking` names the column that says how many do."""
+        """Headers with their payloads. `asking` names the column that says how many of them have
+        the same; a payload for more than RECORDS_A_COPY is there in copies, each for so many."""
+        few = headers.filter(F.col(asking) <= RECORDS_A_COPY)
+        many = headers.filter(F.col(asking) > RECORDS_A_COPY)
+        found = few.join(self.payloads().hint("merge"), "digest")
+        if many.isEmpty():
+            return found
         copies = F.floor((F.col(asking) - 1) / RECORDS_A_COPY).cast("bigint") + 1
-        several = headers.filter(F.col(asking) > RECORDS_A_COPY).groupBy("digest").agg(
-            F.max(copies).alias("copies")
-        )
-        each = F.sequence(F.lit(0).cast("bigint"), F.coalesce("copies", F.lit(1)) - 1)
-        stored = self.payloads().join(several, "digest", "left").select(
-            "digest", "payload", F.explode(each).alias("copy")
-        )
-        asked = headers.withColumn("copy", F.pmod("uid", copies))
-        return asked.join(stored.hint("merge"), ["digest", "copy"])
+        needed = many.groupBy("digest").agg(F.max(copies).alias("copies"))
+        each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy")
+        copied = self.payloads().join(needed, "digest").select("digest", "payload", each)
+        spread = many.withColumn("copy", F.pmod("uid", copies)).join(copied.hint("merge"), ["digest", "copy"])
+        return found.unionByName(spread.drop("copy"))
 
     def index(self) -> DataFrame:
         """(key, payload_bytes, payload_digest, record_type, refers_to), read from the records and
