@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,3 +89,47 @@ def quantile(col: Column | str, q: float | Column) -> Column:
 
     estimate = F.aggregate(col["centroids"], start, step, finish)
     return F.when(col["count"] > 0, estimate)
+
+
+def rank_bounds(col: Column | str, value: Column) -> Column:
+    """(lower, upper): how many of the digest's numbers are at most ``value``, for certain and
+    perhaps. For digests whose centroids carry their ranges."""
+    col = _col(col)
+
+    def weight(which: str) -> Column:
+        return F.aggregate(
+            col["centroids"],
+            F.lit(0).cast("bigint"),
+            lambda acc, c: acc + F.when(c[which] <= value, c["weight"]).otherwise(F.lit(0).cast("bigint")),
+        )
+
+    return F.struct(weight("high").alias("lower"), weight("low").alias("upper"))
+
+
+def quantile_bounds(col: Column | str, q: float | Column) -> Column:
+    """(low, high): between what numbers the one at rank ceil(q * count) lies, ranks from 1.
+
+    NULL for an empty digest. For digests whose centroids carry their ranges.
+    """
+    col = _col(col)
+    share = q if isinstance(q, Column) else F.lit(q)
+    rank = F.greatest(F.lit(1).cast("bigint"), F.ceil(share * col["count"]))
+    nothing = F.struct(F.lit(0).cast("bigint").alias("seen"), F.expr("cast(null as double)").alias("found"))
+
+    def walk(which: str, found: Callable[[Column, Column, Column], Column]) -> Column:
+        ends = F.array_sort(
+            F.transform(col["centroids"], lambda c: F.struct(c[which].alias("end"), c["weight"].alias("weight")))
+        )
+        return F.aggregate(
+            ends,
+            nothing,
+            lambda acc, c: F.struct(
+                (acc["seen"] + c["weight"]).alias("seen"), found(acc, c, acc["seen"] + c["weight"]).alias("found")
+            ),
+            lambda acc: acc["found"],
+        )
+
+    # Fewer than rank numbers can lie below the one, and rank numbers lie at or below the other.
+    low = walk("low", lambda acc, c, _: F.when(acc["seen"] < rank, c["end"]).otherwise(acc["found"]))
+    high = walk("high", lambda acc, c, upto: F.coalesce(acc["found"], F.when(upto >= rank, c["end"])))
+    return F.when(col["count"] > 0, F.struct(low.alias("low"), high.alias("high")))

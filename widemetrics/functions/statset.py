@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from widemetrics.functions.text import plain_number
 
@@ -34,6 +35,17 @@ def _average(samplesum: Column, samplecount: Column) -> Column:
     return F.when(samplecount == 0, F.lit(0.0)).otherwise(samplesum / samplecount)
 
 
+def combine(left: Column | str, right: Column | str) -> Column:
+    """Two statistic sets as one."""
+    left, right = _col(left), _col(right)
+    return _set(
+        F.least(left["minimum"], right["minimum"]),
+        F.greatest(left["maximum"], right["maximum"]),
+        left["samplesum"] + right["samplesum"],
+        left["samplecount"] + right["samplecount"],
+    )
+
+
 # Scalars over one set; NULL in, NULL out.
 
 
@@ -117,6 +129,17 @@ def merge(col: Column | str) -> Column:
     )
 
 
+def merge_over(col: Column | str, window: WindowSpec) -> Column:
+    """The sets of each row's frame as one statistic set."""
+    col = _col(col)
+    return _set(
+        F.min(col["minimum"]).over(window),
+        F.max(col["maximum"]).over(window),
+        F.sum(col["samplesum"]).over(window),
+        F.sum(col["samplecount"]).over(window),
+    )
+
+
 def min_agg(col: Column | str) -> Column:
     return F.least(F.lit(EMPTY_MINIMUM), F.min(_col(col)["minimum"]))
 

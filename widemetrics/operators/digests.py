@@ -88,21 +88,33 @@ def centroid_rows(
     )
 
 
-def fold(rows: DataFrame, keys: Sequence[str], name: str, max_buckets: int = MAX_BUCKETS) -> DataFrame:
-    """One digest per key from centroid rows."""
-    centroid = F.when(F.col("kb").isNotNull(), F.struct("mean", "weight"))
-    return rows.groupBy(*keys).agg(
-        F.struct(
-            F.lit(max_buckets).alias("max_buckets"),
-            F.coalesce(F.sum("weight"), F.lit(0)).cast("bigint").alias("count"),
-            F.coalesce(F.sum("total"), F.lit(0.0)).alias("sum"),
-            F.min("low").alias("min"),
-            F.max("high").alias("max"),
-            F.sort_array(F.collect_list(centroid)).alias("centroids"),
-        ).alias(name)
+def digest_of(own: Column, bounds: bool = False, max_buckets: int = MAX_BUCKETS) -> Column:
+    """One digest from the centroid rows where ``own`` holds; an aggregate."""
+    parts = ["mean", "weight", *["low", "high"] * bounds]
+    centroid = F.when(own & F.col("kb").isNotNull(), F.struct(*parts))
+    weight, total, low, high = (F.when(own, F.col(c)) for c in ("weight", "total", "low", "high"))
+    return F.struct(
+        F.lit(max_buckets).alias("max_buckets"),
+        F.coalesce(F.sum(weight), F.lit(0)).cast("bigint").alias("count"),
+        F.coalesce(F.sum(total), F.lit(0.0)).alias("sum"),
+        F.min(low).alias("min"),
+        F.max(high).alias("max"),
+        F.sort_array(F.collect_list(centroid)).alias("centroids"),
     )
 
 
+def fold(
+    rows: DataFrame, keys: Sequence[str], name: str, max_buckets: int = MAX_BUCKETS, bounds: bool = False
+) -> DataFrame:
+    """One digest per key from centroid rows."""
+    return rows.groupBy(*keys).agg(digest_of(F.lit(True), bounds, max_buckets).alias(name))
+
+
+def has_bounds(df: DataFrame, col: str) -> bool:
+    """Whether the centroids of a digest column carry the range of what they stand for."""
+    return "low" in df.schema[col].dataType["centroids"].dataType.elementType.names
+
+
 def points(df: DataFrame, keys: Sequence[str], col: str, invalid: str = "raise") -> DataFrame:
     """Centroid rows of a number column; NULLs are skipped, NaN and infinity raise."""
     value = F.col(col).cast("double")
@@ -117,29 +129,37 @@ def points(df: DataFrame, keys: Sequence[str], col: str, invalid: str = "raise")
 
 
 def accumulate(
-    df: DataFrame, keys: Sequence[str], col: str, name: str = "digest", invalid: str = "raise"
+    df: DataFrame,
+    keys: Sequence[str],
+    col: str,
+    name: str = "digest",
+    invalid: str = "raise",
+    bounds: bool = False,
 ) -> DataFrame:
-    """Numbers to one digest per key."""
-    return fold(points(df, keys, col, invalid), keys, name)
+    """Numbers to one digest per key.
 
+    With ``bounds`` each centroid keeps the least and the largest number it
+    stands for, through merges too. Then digest.rank_bounds and
+    digest.quantile_bounds say how far off an estimate can be at most.
+    """
+    return fold(points(df, keys, col, invalid), keys, name, bounds=bounds)
 
-def merge(df: DataFrame, keys: Sequence[str], col: str, name: str = "digest") -> DataFrame:
-    """Digests to one digest per key.
 
-    The extremes of a digest ride on its first centroid, so one explode does.
-    """
-    d = F.col(col)
-    first = F.struct(d["min"].alias("lo"), d["max"].alias("hi"))
+def ends_of(centroid: Column, at: Column, d: Column, bounds: bool) -> tuple[Column, Column]:
+    """The range of the centroid at this place of a digest. Without ranges of their own the first
+    centroid has the digest's, which keeps its extremes."""
+    if bounds:
+        return centroid["low"], centroid["high"]
+    return F.when(at == 0, d["min"]), F.when(at == 0, d["max"])
+
+
+def merge(df: DataFrame, keys: Sequence[str], col: str, name: str = "digest") -> DataFrame:
+    """Digests to one digest per key; centroids keep the ranges they have."""
+    bounds = has_bounds(df, col)
     exploded = df.select(
-        *keys, first.alias("__ends"), F.posexplode_outer(d["centroids"]).alias("__pos", "__c")
-    )
-    at_first = F.coalesce(F.col("__pos"), F.lit(0)) == 0
-    rows = centroid_rows(
-        exploded,
-        keys,
-        F.col("__c.mean"),
-        F.col("__c.weight"),
-        F.when(at_first, F.col("__ends.lo")),
-        F.when(at_first, F.col("__ends.hi")),
+        *keys, F.col(col).alias("__d"), F.posexplode_outer(F.col(col)["centroids"]).alias("__pos", "__c")
     )
-    return fold(rows, keys, name)
+    at, centroid = F.coalesce(F.col("__pos"), F.lit(0)), F.col("__c")
+    low, high = ends_of(centroid, at, F.col("__d"), bounds)
+    rows = centroid_rows(exploded, keys, centroid["mean"], centroid["weight"], low, high)
+    return fold(rows, keys, name, bounds=bounds)

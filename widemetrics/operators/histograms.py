@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from widemetrics.functions import seh, statset
@@ -18,6 +18,10 @@ from widemetrics.functions.timefn import slot_number, slot_start
 _N = "__n"
 _BUCKET = "__bucket"
 _SLOT = "__slot"
+_BLOCK = "__block"
+
+#: Slots of a block of running counts; a longer frame is a block itself.
+BLOCK_SLOTS = 1024
 
 
 def bucket_counts(
@@ -112,11 +116,6 @@ def buckets(df: DataFrame, col: str, keys: Sequence[str] = (), as_bigint: bool =
     return rows.withColumn("bucket", whole)
 
 
-def spread_forward(slot: Column, slots: int) -> Column:
-    """Every slot whose frame of ``slots`` slots, ending in itself, holds this one."""
-    return F.explode(F.sequence(slot, slot + F.lit(slots - 1)))
-
-
 def moving(
     df: DataFrame,
     keys: Sequence[str],
@@ -133,9 +132,14 @@ def moving(
 
     ``col`` holds histograms, or numbers where ``values`` is set. One row per
     (key, slot) that has input of its own, as a window over slots would give.
-    Counts are taken per (key, slot, bucket) first and only those counts are
-    sent on to the slots they also cover, so no frame is ever gathered in one
-    task and nothing needs to be taken away again.
+
+    Counts are taken per (key, slot, bucket) first. Each then enters the running
+    count of its bucket at its slot and leaves it when the frame has passed by,
+    whatever the frame's length. Running counts are kept within blocks of
+    slots, so that a key spreads over tasks and a group is bounded by its block:
+    a count goes to the block it enters in and, if another, to the one it
+    leaves in, which starts from what it brought along. Only buckets whose count
+    is not zero come out.
     """
     source = df.withColumn(_SLOT, slot_number(time, slot_seconds))
     counts = (
@@ -143,20 +147,84 @@ def moving(
         if values
         else merged_counts(source, [*keys, _SLOT], col)
     )
-    spread = counts.select(
-        *keys,
-        F.col(_SLOT).alias("__from"),
-        spread_forward(F.col(_SLOT), frame_slots).alias(_SLOT),
-        _BUCKET,
-        _N,
+    width = max(frame_slots, BLOCK_SLOTS)
+    slot, n = F.col(_SLOT), F.col(_N)
+    gone = slot + frame_slots
+    enters, leaves = slot_block(slot, width), slot_block(gone, width)
+    sent = counts.select(
+        *keys, _SLOT, _BUCKET, _N, F.explode(F.array_distinct(F.array(enters, leaves))).alias(_BLOCK)
+    ).repartition(*keys, _BLOCK)
+    block = F.col(_BLOCK)
+    nothing = F.lit(0).cast("bigint")
+    steps = F.array_compact(
+        F.array(
+            F.when(enters == block, _step(slot, n, F.lit(True), nothing)),
+            F.when(leaves == block, _step(gone, -n, F.lit(False), F.when(enters == block, nothing).otherwise(n))),
+        )
+    )
+    in_block = [*keys, _BLOCK]
+    merged = (
+        sent.select(*in_block, _BUCKET, F.inline(steps))
+        .groupBy(*in_block, "__at", _BUCKET)
+        .agg(
+            F.sum("__step").alias("__step"),
+            F.max("__own").alias("__own"),
+            F.sum("__brought").alias("__brought"),
+        )
+    )
+    # Slots with input of their own are numbered within the block; a step takes
+    # effect from the first of them at or after it.
+    of_slot = Window.partitionBy(*in_block, "__at").orderBy(F.desc("__own"))
+    numbered = merged.withColumn(
+        "__opens", (F.col("__own") & (F.row_number().over(of_slot) == 1)).cast("bigint")
+    )
+    of_block = Window.partitionBy(*in_block)
+    earlier = of_block.orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)
+    numbered = numbered.select(
+        *in_block, "__at", _BUCKET, "__step", "__own", "__brought",
+        F.coalesce(F.sum("__opens").over(earlier), nothing).alias("__from"),
+        F.sum("__opens").over(of_block).alias("__slots"),
+    )
+    of_bucket = Window.partitionBy(*in_block, _BUCKET)
+    in_order = of_bucket.orderBy("__at")
+    brought = F.sum("__brought").over(of_bucket)
+    running = numbered.select(
+        *in_block, "__at", _BUCKET, "__own", "__from",
+        F.coalesce(F.lead("__from").over(in_order), "__slots").alias("__until"),
+        (brought + F.sum("__step").over(in_order)).alias(_N),
+        F.when(F.row_number().over(in_order) == 1, brought).alias("__before"),
+    )
+    begin, end, counted = F.col("__from"), F.col("__until"), F.col(_BUCKET).isNotNull()
+    spans = F.array_compact(
+        F.array(
+            F.when(counted & (F.col("__before") != 0) & (begin > 0), _span(nothing, begin, F.col("__before"))),
+            F.when(counted & (n != 0) & (end > begin), _span(begin, end, n)).when(
+                F.col("__own"), _span(begin, begin + 1, nothing)
+            ),
+        )
     )
-    # A slot belongs to the result only if it has input of its own.
-    own = F.max(F.col("__from") == F.col(_SLOT)).alias("__own")
-    summed = spread.groupBy(*keys, _SLOT, _BUCKET).agg(F.sum(_N).cast("bigint").alias(_N), own)
-    pair = F.when(F.col(_BUCKET).isNotNull() & (F.col(_N) != 0), F.struct(_BUCKET, _N))
-    return (
-        summed.groupBy(*keys, _SLOT)
-        .agg(seh.from_pairs(F.collect_list(pair)).alias(name), F.max("__own").alias("__own"))
-        .where("__own")
-        .select(*keys, slot_start(_SLOT, slot_seconds).alias(slot_name), name)
+    at = F.when(F.col("__own"), F.struct("__from", "__at"))
+    entries = running.select(*in_block, _BUCKET, at.alias("__at"), F.inline(spans)).select(
+        *in_block, _BUCKET, _N, "__at", F.explode(F.sequence("__first", F.col("__end") - 1)).alias("__number")
     )
+    pair = F.when(F.col(_BUCKET).isNotNull() & (n != 0), F.struct(_BUCKET, _N))
+    own_slot = F.when(F.col("__at.__from") == F.col("__number"), F.col("__at.__at"))
+    folded = entries.groupBy(*in_block, "__number").agg(
+        seh.from_pairs(F.collect_list(pair)).alias(name), F.max(own_slot).alias(_SLOT)
+    )
+    return folded.select(*keys, slot_start(_SLOT, slot_seconds).alias(slot_name), name)
+
+
+def slot_block(slot: Column, width: int) -> Column:
+    """Number of the block of ``width`` slots that holds this one."""
+    return F.call_function("div", slot - F.pmod(slot, F.lit(width)), F.lit(width))
+
+
+def _step(at: Column, step: Column, own: Column, brought: Column) -> Column:
+    return F.struct(
+        at.alias("__at"), step.alias("__step"), own.alias("__own"), brought.alias("__brought")
+    )
+
+
+def _span(first: Column, end: Column, count: Column) -> Column:
+    return F.struct(first.alias("__first"), end.alias("__end"), count.alias(_N))

@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from widemetrics.functions import digest, seh, statset
 from widemetrics.functions.ident import clean_id
 from widemetrics.functions.sqlnames import register_functions
 from widemetrics.functions.timefn import nanos_to_ts, time_bucket
-from widemetrics.operators import digests, histograms, statsets, wide
+from widemetrics.operators import digests, histograms, rollups, statsets, wide
 from widemetrics.operators.wide import ColumnSpec, dimension_col, measurement_col
 from widemetrics.plans import panels
 from widemetrics.session import shared_dir
@@ -748,48 +748,106 @@ def tdigest_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MARKS = [0.5, 0.9, 0.99]
+
+# Centroids of each day as above, with the range of what they stand for, and those of all days.
+SQL_MERGED = """
+    with v as (select event_type as g, time_bucket(interval '1 day', ts) as day, value as m, 1 as w, value as lo,
+                      value as hi from events),
+         c1 as (select g, day, case when m = 0 then 0 else floor(m * pow(2, 12 - floor(log2(abs(m))))) *
+                       pow(2, floor(log2(abs(m))) - 12) end as cell, sum(w) as w, sum(m * w) as total, min(lo) as lo,
+                       max(hi) as hi from v group by 1, 2, 3),
+         r1 as (select *, sum(w) over (partition by g, day order by cell rows unbounded preceding) as upto,
+                       sum(w) over (partition by g, day) as n from c1),
+         d1 as (select g, day, cast(floor(100 / pi() * (asin(least(1.0::double, greatest(-1.0::double,
+                       2 * ((upto - w / 2) / n) - 1))) + pi() / 2)) as bigint) as kb, sum(total) / sum(w) as m,
+                       sum(w) as w, min(lo) as lo, max(hi) as hi from r1 group by 1, 2, 3),
+         c2 as (select g, case when m = 0 then 0 else floor(m * pow(2, 12 - floor(log2(abs(m))))) *
+                       pow(2, floor(log2(abs(m))) - 12) end as cell, sum(w) as w, sum(m * w) as total, min(lo) as lo,
+                       max(hi) as hi from d1 group by 1, 2),
+         r2 as (select *, sum(w) over (partition by g order by cell rows unbounded preceding) as upto,
+                       sum(w) over (partition by g) as n from c2),
+         d2 as (select g, cast(floor(100 / pi() * (asin(least(1.0::double, greatest(-1.0::double,
+                       2 * ((upto - w / 2) / n) - 1))) + pi() / 2)) as bigint) as kb, cast(sum(w) as bigint) as w,
+                       min(lo) as lo, max(hi) as hi from r2 group by 1, 2)
+"""
+
+
 @query(
     "tdigest_merge",
-    """with q as (select event_type, count(*) as n, min(value) as low, max(value) as high,
-                      quantile_cont(value, 0.5) as a, quantile_cont(value, 0.9) as b, quantile_cont(value, 0.99) as c
-               from events group by 1),
-            r as (select event_type, value, row_number() over (partition by event_type order by value) as rank from events),
-            near as (select q.event_type, m.name, min(abs(r.rank - m.share * q.n)) <= 0.02 * any_value(q.n) as close
-                     from q, (values ('p50', 0.5), ('p90', 0.9), ('p99', 0.99)) m(name, share), r
-                     where r.event_type = q.event_type group by 1, 2)
-       select q.event_type, n, low, high, bool_and(close) as close from q join near using (event_type) group by all""",
+    f"""{SQL_MERGED},
+        e as (select event_type as g, value, row_number() over (partition by event_type order by value) as rank,
+                     count(*) over (partition by event_type) as n from events),
+        t as (select g, n, share, value as exact, greatest(1, ceil(share * n)) as wanted
+              from e, (values (0.5::double), (0.9), (0.99)) s(share) where rank = greatest(1, ceil(share * n))),
+        l as (select t.g, t.share, max(x.lo) as low from t join
+                (select a.g, a.lo, coalesce(sum(b.w), 0) as under from d2 a left join d2 b on a.g = b.g and b.lo < a.lo
+                 group by all) x on x.g = t.g and x.under < t.wanted group by 1, 2),
+        h as (select t.g, t.share, min(x.hi) as high from t join
+                (select a.g, a.hi, sum(b.w) as upto from d2 a join d2 b on a.g = b.g and b.hi <= a.hi group by all) x
+                 on x.g = t.g and x.upto >= t.wanted group by 1, 2)
+        select t.g as event_type, share, n, case when exact between low and high then low end as low,
+               case when exact between low and high then high end as high,
+               cast((select sum(w) from d2 where d2.g = t.g and d2.hi <= exact) as bigint) as lower_rank,
+               cast((select sum(w) from d2 where d2.g = t.g and d2.lo <= exact) as bigint) as upper_rank
+        from t join l using (g, share) join h using (g, share)""",
 )
 def tdigest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily digests merged; each estimate's rank is checked against counts of equal values."""
+    """Daily digests merged: between what values the exact quantiles lie, and between what ranks."""
     events = table(spark, sf_dir, "events")
     daily = events.withColumn("day", time_bucket("1 day", "ts"))
-    daily = digests.accumulate(daily, ["event_type", "day"], "value", "d")
+    daily = digests.accumulate(daily, ["event_type", "day"], "value", "d", bounds=True)
     merged = digests.merge(daily, ["event_type"], "d", "d")
-    marks = [0.5, 0.9, 0.99]
-    estimates = merged.select(
-        "event_type",
-        F.col("d.count").alias("n"),
-        F.col("d.min").alias("low"),
-        F.col("d.max").alias("high"),
-        F.array(*[digest.quantile("d", q) for q in marks]).alias("at"),
+    share = F.explode(F.array(*map(F.lit, MARKS))).alias("share")
+    bounded = merged.select("event_type", "d", share).select(
+        "event_type", "d", "share", digest.quantile_bounds("d", F.col("share")).alias("at")
     )
-    # Counts in cells of a 64th of a power of two meet the estimates, not raw rows.
-    cell = F.floor(F.log2("value") * 64).alias("cell")
-    cells = events.groupBy("event_type", cell).agg(
-        F.count("*").alias("m"), F.min("value").alias("least"), F.max("value").alias("most")
+    # The exact values, to ask the digest for their ranks.
+    of_type = Window.partitionBy("event_type")
+    ranked = events.select(
+        "event_type",
+        F.col("value").alias("exact"),
+        F.row_number().over(of_type.orderBy("value")).alias("rank"),
+        F.count("*").over(of_type).alias("n"),
     )
-    joined = cells.join(estimates, "event_type")
-    below = [F.sum(F.when(F.col("most") <= F.col("at")[i], F.col("m")).otherwise(0)) for i in range(3)]
-    upto = [F.sum(F.when(F.col("least") <= F.col("at")[i], F.col("m")).otherwise(0)) for i in range(3)]
-    ranks = joined.groupBy("event_type", "n", "low", "high").agg(
-        F.array(*below).alias("below"), F.array(*upto).alias("upto")
+    exact = ranked.select("*", share).where(F.col("rank") == F.greatest(F.lit(1), F.ceil(F.col("share") * F.col("n"))))
+    ranks = digest.rank_bounds("d", F.col("exact"))
+    return bounded.join(exact, ["event_type", "share"]).select(
+        "event_type", "share", "n", "at.low", "at.high",
+        ranks["lower"].alias("lower_rank"), ranks["upper"].alias("upper_rank"),
+    )
+
+
+@query(
+    "rollup_stored",
+    f"""with b as (select event_type, time_bucket(interval '1 day', ts) as day, {sql_bucket('value')} as bucket,
+                          count(*) as count from events group by 1, 2, 3),
+             s as (select event_type, time_bucket(interval '1 day', ts) as day, min(value) as low, max(value) as high,
+                          round(sum(value), 4) as total, count(*) as n from events group by 1, 2)
+        select b.*, low, high, total, n, low as digest_low, high as digest_high, total as digest_total, n as digest_n
+        from b join s using (event_type, day)""",
+)
+def rollup_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored histogram, statistic set and digest of each hour and key, rolled up by day in one
+    scan and one shuffle of them."""
+    events = table(spark, sf_dir, "events").withColumn("hour", time_bucket("1 hour", "ts"))
+    keys = ["event_type", "hour"]
+    hourly = histograms.accumulate_many(events, keys, {"h": "value"}, {"s": "value"}).join(
+        digests.accumulate(events, keys, "value", "d", bounds=True), keys
     )
-    # The true rank lies between the two.
-    close = [
-        (F.col("below")[i] / F.col("n") - q < 0.02) & (q - F.col("upto")[i] / F.col("n") < 0.02)
-        for i, q in enumerate(marks)
-    ]
-    return ranks.select("event_type", "n", "low", "high", (close[0] & close[1] & close[2]).alias("close"))
+    folder = shared_dir(spark, "rollup-stored")
+    hourly.write.parquet(folder)
+    stored = spark.read.parquet(folder).withColumn("day", time_bucket("1 day", "hour"))
+    found = rollups.merge(stored, ["event_type", "day"])
+    return found.select(
+        "event_type", ntz("day").alias("day"), F.explode("h").alias("bucket", "count"), "s", "d"
+    ).select(
+        "event_type", "day", "bucket", "count",
+        F.col("s.minimum").alias("low"), F.col("s.maximum").alias("high"),
+        F.round("s.samplesum", 4).alias("total"), F.col("s.samplecount").alias("n"),
+        F.col("d.min").alias("digest_low"), F.col("d.max").alias("digest_high"),
+        F.round("d.sum", 4).alias("digest_total"), F.col("d.count").alias("digest_n"),
+    )
 
 
 # Moving frames
@@ -839,6 +897,48 @@ def statset_moving(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LONG_SECONDS, LONG_SLOTS = 1800, 200
+
+SQL_LONG = """s as (select event_type, time_bucket(interval '30 minutes', ts) as slot, value from events),
+              own as (select distinct event_type, slot from s)"""
+SQL_LONG_FRAME = """own join s on s.event_type = own.event_type
+                    and s.slot <= own.slot and s.slot > own.slot - interval 100 hours"""
+
+
+@query(
+    "seh_moving_long",
+    f"""with {SQL_LONG} select own.event_type, own.slot, {sql_bucket('value')} as bucket, count(*) as count
+        from {SQL_LONG_FRAME} group by 1, 2, 3""",
+)
+def seh_moving_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 200 slots."""
+    found = histograms.moving(
+        table(spark, sf_dir, "events"), ["event_type"], "ts", "value", LONG_SECONDS, LONG_SLOTS, values=True, name="h"
+    )
+    return histograms.buckets(found.withColumn("slot", ntz("slot")), "h", ["event_type", "slot"])
+
+
+@query(
+    "statset_moving_long",
+    f"""with {SQL_LONG} select own.event_type, own.slot, min(value) as low, max(value) as high,
+        round(sum(value), 4) as total, count(*) as n from {SQL_LONG_FRAME} group by 1, 2""",
+)
+def statset_moving_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 200 slots."""
+    events = table(spark, sf_dir, "events")
+    found = statsets.moving(
+        events, ["event_type"], "ts", "value", LONG_SECONDS, LONG_SLOTS, values=True, name="s"
+    )
+    return found.select(
+        "event_type",
+        ntz("slot").alias("slot"),
+        F.col("s.minimum").alias("low"),
+        F.col("s.maximum").alias("high"),
+        F.round("s.samplesum", 4).alias("total"),
+        F.col("s.samplecount").alias("n"),
+    )
+
+
 # Dashboard queries
 
 
@@ -1272,10 +1372,10 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pipelines.statistics_of(batch, "ts", "4 hours", ["event_type"], "value", "s")
 
     run = pipelines.stream_rollup(
-        quarters(spark, sf_dir, folder), sets, f"{folder}/out", f"{folder}/progress", trigger=None
+        quarters(spark, sf_dir, folder), sets, f"{folder}/out", f"{folder}/progress", None, ["event_type"], 7 * 86400
     )
     run.awaitTermination()
-    found = pipelines.merged_statistics(spark.read.parquet(f"{folder}/out"), ["event_type"], "s")
+    found = pipelines.read_rollup(spark, f"{folder}/out")
     return found.select(
         ntz("time").alias("time"),
         "event_type",
@@ -1298,10 +1398,10 @@ def stream_rollup_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pipelines.histograms_of(batch, "ts", "4 hours", ["event_type"], "value", "h")
 
     run = pipelines.stream_rollup(
-        quarters(spark, sf_dir, folder), maps, f"{folder}/out", f"{folder}/progress", trigger=None
+        quarters(spark, sf_dir, folder), maps, f"{folder}/out", f"{folder}/progress", None, ["event_type"], 7 * 86400
     )
     run.awaitTermination()
-    found = pipelines.merged_histograms(spark.read.parquet(f"{folder}/out"), ["event_type"], "h")
+    found = pipelines.read_rollup(spark, f"{folder}/out")
     return histograms.buckets(found.withColumn("time", ntz("time")), "h", ["time", "event_type"])
 
 

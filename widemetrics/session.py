@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import shutil
 import tempfile
@@ -57,6 +58,46 @@ class Folder:
     def delete(self) -> bool:
         return self._fs.delete(self._path, True)
 
+    def claim(self, name: str, text: str) -> bool:
+        """Make a file of this folder, whole and at once, unless it is there; says whether it did.
+
+        Where several try, one succeeds: on a local disk by a hard link, elsewhere by a rename,
+        which HDFS and its like refuse onto a file that exists. An object store without such a
+        rename gives no such promise.
+        """
+        hidden, final = self._child(f"_{uuid.uuid4().hex}"), self._child(name)
+        self._fs.mkdirs(self._path)
+        out = self._fs.create(hidden, True)
+        out.write(bytearray(text, "utf-8"))
+        out.close()
+        if self._fs.getUri().getScheme() == "file":
+            try:
+                os.link(hidden.toUri().getPath(), final.toUri().getPath())
+                won = True
+            except FileExistsError:
+                won = False
+        else:
+            won = not self._fs.exists(final) and self._fs.rename(hidden, final)
+        self._fs.delete(hidden, False)
+        return won
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._child(name))
+        try:
+            return str(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def names(self) -> list[str]:
+        """Of the files and folders in this one, if it is there, without hidden ones."""
+        if not self.exists():
+            return []
+        found = [str(s.getPath().getName()) for s in self._fs.listStatus(self._path)]
+        return sorted(n for n in found if not n.startswith(("_", ".")))
+
+    def _child(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(self._path, name)
+
     def glob(self, pattern: str) -> list[str]:
         """Paths below this folder that match, in no particular order."""
         target = self._jvm.org.apache.hadoop.fs.Path(self._path, pattern)

@@ -2,12 +2,14 @@
 
 Folders below the root:
 
-    registry/                                         appended schema rows (JSON)
-    data/table=T/chunk=C/writer=W/batch=B/            rows, newest first in each file
-    rejects/writer=W/batch=B/                         datums that went into no table
+    registry/N                                        version N of the schema: what it added (JSON)
+    data/outcome=row/table=T/chunk=C/writer=W/batch=B/  rows, newest first in each file
+    data/outcome=.../table=T/chunk=.../writer=W/batch=B/  datums that went into no table, by reason
     staging/                                          a batch while it is being loaded
 
-``chunk`` is the start of four hours in epoch seconds; it lies above the
+A version of the schema belongs to the writer that makes its file; one that
+comes too late reads the registry again and decides anew, so all versions
+follow from one another whoever writes. ``chunk`` is the start of four hours in epoch seconds; it lies above the
 batches, so a read with bounds lists the folders of its chunks and no others.
 Every batch belongs to a writer: a stream is one for as long as it has its
 checkpoint, and each other write is one of its own. Writing a batch again
@@ -16,6 +18,7 @@ overwrites that batch's folders and nothing else, and writers cannot meet.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Callable, Iterable, Sequence
@@ -24,7 +27,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from widemetrics.functions.ident import clean_id, clean_name
 from widemetrics.functions.timefn import chunk_of, nanos_to_ts
@@ -33,14 +36,14 @@ from widemetrics.operators.wide import ColumnSpec
 from widemetrics.schema import CHUNK_SECONDS, DATUM_DDL, DEFAULT_RETENTION_SECONDS
 from widemetrics.session import Folder
 
-REGISTRY_DDL = (
-    "table string, column string, kind string, type string, "
-    "sources array<struct<kind:string,key:string>>, version bigint"
-)
-
 #: A datum as it came, the text of one that could not be read, and why it is here.
 REJECTS_DDL = f"table string, {DATUM_DDL}, malformed string, conflicts array<string>, reason string"
 
+#: Where a reject lies among the columns of rows, which cannot have this name.
+_DATUM = "!datum"
+
+_ROW, _STRAY = "row", "stray"
+
 
 def epoch_seconds(moment: datetime | int) -> int:
     """Epoch seconds of a datetime; one without a zone is UTC."""
@@ -68,21 +71,21 @@ class MetricStore:
 
     # Schema registry
 
-    def _registry(self) -> list:
-        path = self._path("registry")
-        if not Folder(self.spark, path).exists():
-            return []
-        rows = self.spark.read.schema(REGISTRY_DDL).json(path).collect()
-        return sorted(rows, key=lambda r: r["version"])
+    def _registry(self) -> list[dict]:
+        """All entries in the order of their versions."""
+        folder = Folder(self.spark, self._path("registry"))
+        return [
+            {"version": int(v)} | json.loads(line) for v in folder.names() for line in folder.read(v).splitlines()
+        ]
 
     @staticmethod
-    def _merged(registry: list) -> dict[str, list[ColumnSpec]]:
+    def _merged(registry: list[dict]) -> dict[str, list[ColumnSpec]]:
         merged: dict[str, dict[str, ColumnSpec]] = {}
         for r in registry:
             columns = merged.setdefault(r["table"], {})
             if r["column"] is None:
                 continue
-            sources = tuple((s["kind"], s["key"]) for s in r["sources"])
+            sources = tuple(map(tuple, r["sources"]))
             held = columns.get(r["column"])
             if held is None:
                 held = ColumnSpec(r["column"], r["kind"], r["type"], sources)
@@ -102,28 +105,42 @@ class MetricStore:
         Of the columns given, only those found are returned, with the types the
         registry holds for them. Doing it twice changes nothing.
         """
-        registry = self._registry()
+        while True:
+            registry = self._registry()
+            news, healed = self._missing(registry, found)
+            if not news:
+                return healed
+            version = registry[-1]["version"] + 1 if registry else 1
+            text = "\n".join(map(json.dumps, news))
+            if Folder(self.spark, self._path("registry")).claim(f"{version:012d}", text):
+                return healed
+
+    def _missing(self, registry: list[dict], found: dict[str, list[ColumnSpec]]) -> tuple[list, dict]:
+        """Entries that the registry lacks, and each table's columns as they are with them."""
         known = {t: {c.name: c for c in cols} for t, cols in self._merged(registry).items()}
         news, healed = [], {}
+
+        def add(table: str, column: ColumnSpec | None) -> None:
+            entry = {"table": table, "column": column and column.name}
+            if column is not None:
+                entry |= {"kind": column.kind, "type": column.type, "sources": column.sources}
+            news.append(entry)
+
         for table, columns in found.items():
             if table not in known:
-                news.append((table, None, None, None, []))
+                add(table, None)
             held = known.get(table, {})
             resolved = []
             for spec in columns:
                 old = held.get(spec.name)
                 if old is None or not set(spec.sources) <= set(old.sources):
-                    news.append((table, spec.name, spec.kind, spec.type, list(spec.sources)))
+                    add(table, spec)
                 if old is not None:
                     same = spec.uniform and spec.type == old.type
                     spec = ColumnSpec(spec.name, old.kind, old.type, spec.sources, same)
                 resolved.append(spec)
             healed[table] = wide.column_order(resolved)
-        if news:
-            version = max((r["version"] for r in registry), default=0) + 1
-            frame = self.spark.createDataFrame([(*n, version) for n in news], REGISTRY_DDL)
-            frame.coalesce(1).write.mode("append").json(self._path("registry"))
-        return healed
+        return news, healed
 
     # Writing
 
@@ -144,18 +161,20 @@ class MetricStore:
         (``conflict``), or with ``drop_batch`` all rows of such a table (the
         others being ``companion``).
 
-        The columns are found in a first pass over the keys. If tables differ
-        in their columns, the datums are then split by table into a staging
-        folder, so that the input is decoded once more and not once a table.
+        The columns are found in a first pass over the keys, which also tells
+        whether there are strays. A second pass then writes rows and rejects in
+        one go, by their outcome. If tables differ in their columns, that pass
+        splits the datums by table into a staging folder, and each set of
+        columns is loaded from there; the input is decoded twice in any case.
         """
         if on_conflict not in ("quarantine", "drop_batch"):
             raise ValueError(f"unknown conflict policy: {on_conflict}")
         writer = writer or uuid.uuid4().hex
         text = F.col("malformed") if "malformed" in datums.columns else F.lit(None).cast("string")
-        table = clean_id("metric")
+        table = F.nullif(clean_id("metric"), F.lit(""))
         reason = (
             F.when(text.isNotNull(), "malformed")
-            .when(table.isNull() | (table == ""), "unnamed")
+            .when(table.isNull(), "unnamed")
             .when(F.col("unix_nanos").isNull(), "untimed")
         )
         placed = datums.select(
@@ -168,82 +187,92 @@ class MetricStore:
             text.alias("malformed"),
             reason.alias("reason"),
         )
-        none = F.array().cast("array<string>").alias("conflicts")
-        stray = placed.where("reason is not null").select("*", none)
-        self._reject(stray, writer, batch, "stray")
-        loadable = placed.where("reason is null").drop("malformed", "reason")
-        healed = self.heal(wide.collect_schema(wide.discover_tables(loadable)))
+        fine = F.col("reason").isNull()
+        # Strays show as a table without a name, and bring no keys along.
+        loadable = placed.select(
+            *[F.when(fine, F.col(c)).alias(c) for c in ("metric", "unix_nanos", "dimensions", "measurements")]
+        )
+        found = wide.collect_schema(wide.discover_tables(loadable))
+        strays = found.pop(None, None) is not None
         # Tables with the same columns from the same keys share one job.
         groups: dict[tuple[ColumnSpec, ...], list[str]] = {}
-        for name, columns in healed.items():
+        for name, columns in self.heal(found).items():
             groups.setdefault(tuple(columns), []).append(name)
+        if len(groups) < 2:
+            columns = next(iter(groups), ())
+            self._load(placed, columns, writer, batch, on_conflict, strays)
+            return writer
+
         folder = self._path("staging", uuid.uuid4().hex)
-        source = loadable
-        if len(groups) > 1:
-            loadable.hint("rebalance", "table").write.partitionBy("table").parquet(folder)
-            source = self.spark.read.schema(loadable.schema).parquet(folder)
+        staged = placed.withColumn("stray", ~fine).hint("rebalance", "stray", "table")
+        staged.write.partitionBy("stray", "table").parquet(folder)
+        schema = StructType([*placed.schema.fields, StructField("stray", BooleanType())])
+        source = self.spark.read.schema(schema).parquet(folder)
 
-        def load(item: tuple[int, tuple[tuple[ColumnSpec, ...], list[str]]]) -> None:
-            number, (columns, tables) = item
-            rows = source.where(F.col("table").isin(*tables)) if len(groups) > 1 else source
-            self._load_group(rows, columns, writer, batch, on_conflict, f"group{number}")
+        def load(item: tuple[tuple[ColumnSpec, ...], list[str] | None]) -> None:
+            columns, tables = item
+            chosen = F.col("stray") if tables is None else ~F.col("stray") & F.col("table").isin(*tables)
+            rows = source.where(chosen).drop("stray")
+            self._load(rows, columns, writer, batch, on_conflict, tables is None)
 
         try:
-            self._each(load, enumerate(groups.items()))
+            self._each(load, [*groups.items(), *[((), None)] * strays])
         finally:
             Folder(self.spark, folder).delete()
         return writer
 
-    def _load_group(
+    def _load(
         self,
         source: DataFrame,
         columns: Sequence[ColumnSpec],
         writer: str,
         batch: int,
         on_conflict: str,
-        group: str,
+        strays: bool,
     ) -> None:
-        carried = ["table", "chunk"]
-        rows = wide.project(source, columns, carried)
-        if not all(c.uniform for c in columns):
-            rejects = wide.rejects(source, columns, carried).withColumn("reason", F.lit("conflict"))
-            if on_conflict == "quarantine":
-                self._reject(rejects, writer, batch, group)
-            else:
+        """Rows and rejects of tables with these columns, in one write."""
+        carried = ["table", "metric", "unix_nanos", "dimensions", "measurements", "malformed"]
+        datum = F.struct(*carried, "reason").alias(_DATUM)
+        mixed = not all(c.uniform for c in columns)
+        keep = ["table", "chunk", *[datum] * (mixed or strays)]
+        rows = wide.project(source, columns, keep)
+        given = F.lit(_ROW)
+        if mixed or strays:
+            why = F.col(f"`{_DATUM}`.reason")
+            conflict = F.size("__conflicts") > 0
+            given = F.when(why.isNotNull(), _STRAY).when(conflict, "conflict")
+            if mixed and on_conflict == "drop_batch":
+                clash = rows.where(why.isNull() & conflict).select("table").distinct()
                 # Names of tables, of this group alone.
-                bad = [r["table"] for r in rejects.select("table").distinct().toLocalIterator()]
-                if bad:
-                    whole = wide.project(
-                        source.where(F.col("table").isin(*bad)),
-                        columns,
-                        [*carried, "metric", "unix_nanos", "dimensions", "measurements"],
-                    ).withColumnRenamed("__conflicts", "conflicts")
-                    reason = F.when(F.size("conflicts") > 0, "conflict").otherwise("companion")
-                    self._reject(whole.withColumn("reason", reason), writer, batch, group)
-                    rows = rows.where(~F.col("table").isin(*bad))
-            rows = rows.where(F.size("__conflicts") == 0)
+                bad = [r["table"] for r in clash.toLocalIterator()]
+                given = given.when(F.col("table").isin(*bad), "companion") if bad else given
+            given = given.otherwise(_ROW)
+            reason = F.when(why.isNotNull(), why).otherwise(F.col("outcome"))
+            fields = [F.col(f"`{_DATUM}`.{c}").alias(c) for c in carried]
+            reject = F.struct(*fields, F.col("__conflicts").alias("conflicts"), reason.alias("reason"))
+            rejected = F.col("outcome") != _ROW
+            rows = rows.withColumn("outcome", given).withColumns(
+                {
+                    _DATUM: F.when(rejected, reject),
+                    "chunk": F.when(~rejected, F.col("chunk")),
+                }
+            )
+        else:
+            rows = rows.withColumn("outcome", given)
+        parts = ["outcome", "table", "chunk", "writer", "batch"]
         # Rebalancing splits a chunk that holds too much and joins small ones,
         # so a busy table keeps no single task waiting.
         (
             rows.drop("__conflicts")
             .withColumns({"writer": F.lit(writer), "batch": F.lit(batch).cast("bigint")})
-            .hint("rebalance", "table", "chunk")
-            .sortWithinPartitions("table", "chunk", "writer", "batch", F.col("time").desc())
+            .hint("rebalance", "outcome", "table", "chunk")
+            .sortWithinPartitions(*parts, F.col("time").desc())
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("table", "chunk", "writer", "batch")
+            .partitionBy(*parts)
             .parquet(self._path("data"))
         )
 
-    def _reject(self, rows: DataFrame, writer: str, batch: int, part: str) -> None:
-        """Rejects of one part of a batch, if any; writing the part again replaces them."""
-        if rows.isEmpty():
-            return
-        names = self._schema(REJECTS_DDL).names
-        given = [F.col(n) if n in rows.columns else F.lit(None).cast("string").alias(n) for n in names]
-        folder = self._path("rejects", f"writer={writer}", f"batch={batch}", f"part={part}")
-        rows.select(*given).write.mode("overwrite").parquet(folder)
-
     # Reading
 
     def read(
@@ -271,7 +300,7 @@ class MetricStore:
         ]
         schema = f"{body}, chunk bigint, writer string, batch bigint"
         if paths:
-            base = self._path("data", f"table={table}")
+            base = self._path("data", f"outcome={_ROW}", f"table={table}")
             rows = self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
         else:
             rows = self.spark.createDataFrame([], schema)
@@ -286,18 +315,23 @@ class MetricStore:
 
     def rejects(self) -> DataFrame:
         """Datums that went into no table, as they came, with the reason."""
-        path = self._path("rejects")
-        schema = self._schema(f"{REJECTS_DDL}, writer string, batch bigint, part string")
-        if not Folder(self.spark, path).exists():
-            return self.spark.createDataFrame([], schema).drop("part")
-        return self.spark.read.schema(schema).parquet(path).drop("part")
+        found = Folder(self.spark, self._path("data")).glob("outcome=*")
+        paths = [p for p in found if not p.endswith(f"={_ROW}")]
+        if not paths:
+            return self.spark.createDataFrame([], f"{REJECTS_DDL}, writer string, batch bigint")
+        datum = StructType([StructField(_DATUM, self._schema(REJECTS_DDL))])
+        placed = self._schema("outcome string, table string, chunk bigint, writer string, batch bigint")
+        schema = StructType([*datum.fields, *placed.fields])
+        rows = self.spark.read.schema(schema).option("basePath", self._path("data")).parquet(*paths)
+        return rows.select(f"`{_DATUM}`.*", "writer", "batch")
 
     # Maintenance
 
     def _chunks(self, table: str = "*") -> list[tuple[str, str, int]]:
         """(path, table, chunk) of every chunk's folder; nothing below is listed."""
         pattern = re.compile(r"table=([^/]*)/chunk=(-?\d+)$")
-        found = Folder(self.spark, self._path("data")).glob(f"table={table}/chunk=*")
+        rows = Folder(self.spark, self._path("data", f"outcome={_ROW}"))
+        found = rows.glob(f"table={table}/chunk=*")
         matches = [(p, pattern.search(p)) for p in found]
         return [(p, m.group(1), int(m.group(2))) for p, m in matches if m]
 
