@@ -23,6 +23,9 @@ _BLOCK = "__block"
 #: Slots of a block of running counts; a longer frame is a block itself.
 BLOCK_SLOTS = 1024
 
+#: Frames so short are summed slot by slot.
+FEW_SLOTS = 3
+
 
 def bucket_counts(
     df: DataFrame, keys: Sequence[str | Column], col: str, **bucket_options: str
@@ -139,7 +142,8 @@ def moving(
     slots, so that a key spreads over tasks and a group is bounded by its block:
     a count goes to the block it enters in and, if another, to the one it
     leaves in, which starts from what it brought along. Only buckets whose count
-    is not zero come out.
+    is not zero come out. In a frame of FEW_SLOTS at most, a count is added to
+    each slot it covers, which needs no sort.
     """
     source = df.withColumn(_SLOT, slot_number(time, slot_seconds))
     counts = (
@@ -147,6 +151,10 @@ def moving(
         if values
         else merged_counts(source, [*keys, _SLOT], col)
     )
+    if frame_slots <= FEW_SLOTS:
+        return _spread(counts, keys, frame_slots).select(
+            *keys, slot_start(_SLOT, slot_seconds).alias(slot_name), F.col("__histogram").alias(name)
+        )
     width = max(frame_slots, BLOCK_SLOTS)
     slot, n = F.col(_SLOT), F.col(_N)
     gone = slot + frame_slots
@@ -215,6 +223,21 @@ def moving(
     return folded.select(*keys, slot_start(_SLOT, slot_seconds).alias(slot_name), name)
 
 
+def _spread(counts: DataFrame, keys: Sequence[str], frame_slots: int) -> DataFrame:
+    """Rows (keys, __slot, __histogram) by adding each count to all slots it covers."""
+    slot = F.col(_SLOT)
+    covered = F.explode(F.sequence(slot, slot + F.lit(frame_slots - 1)))
+    spread = counts.select(*keys, slot.alias("__from"), covered.alias(_SLOT), _BUCKET, _N)
+    # A slot belongs to the result only if it has input of its own.
+    own = F.max(F.col("__from") == slot).alias("__own")
+    summed = spread.groupBy(*keys, _SLOT, _BUCKET).agg(F.sum(_N).cast("bigint").alias(_N), own)
+    pair = F.when(F.col(_BUCKET).isNotNull() & (F.col(_N) != 0), F.struct(_BUCKET, _N))
+    folded = summed.groupBy(*keys, _SLOT).agg(
+        seh.from_pairs(F.collect_list(pair)).alias("__histogram"), F.max("__own").alias("__own")
+    )
+    return folded.where("__own")
+
+
 def slot_block(slot: Column, width: int) -> Column:
     """Number of the block of ``width`` slots that holds this one."""
     return F.call_function("div", slot - F.pmod(slot, F.lit(width)), F.lit(width))

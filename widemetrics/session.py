@@ -21,6 +21,8 @@ def local_session(cores: str = "*", app: str = "widemetrics", **conf: str) -> Sp
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
+        # Little data still goes to all cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -48,7 +50,7 @@ class Folder:
     """The few file operations Spark's readers and writers do not offer."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self._jvm = spark._jvm
+        self._spark, self._jvm = spark, spark._jvm
         self._path = self._jvm.org.apache.hadoop.fs.Path(path)
         self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -81,6 +83,17 @@ class Folder:
         self._fs.delete(hidden, False)
         return won
 
+    def move(self, name: str, target: str) -> None:
+        """Put a folder below this one at a place of the same file system."""
+        place = self._jvm.org.apache.hadoop.fs.Path(target)
+        self._fs.mkdirs(place.getParent())
+        self._fs.delete(place, True)
+        if not self._fs.rename(self._child(name), place):
+            raise OSError(f"could not move {name} to {target}")
+
+    def child(self, name: str) -> Folder:
+        return Folder(self._spark, str(self._child(name).toString()))
+
     def read(self, name: str) -> str:
         stream = self._fs.open(self._child(name))
         try:

@@ -6,6 +6,7 @@ Folders below the root:
     data/outcome=row/table=T/chunk=C/writer=W/batch=B/  rows, newest first in each file
     data/outcome=.../table=T/chunk=.../writer=W/batch=B/  datums that went into no table, by reason
     staging/                                          a batch while it is being loaded
+    attempts/writer=W/B                               the batch that a named writer was last at
 
 A version of the schema belongs to the writer that makes its file; one that
 comes too late reads the registry again and decides anew, so all versions
@@ -13,7 +14,7 @@ follow from one another whoever writes. ``chunk`` is the start of four hours in
 batches, so a read with bounds lists the folders of its chunks and no others.
 Every batch belongs to a writer: a stream is one for as long as it has its
 checkpoint, and each other write is one of its own. Writing a batch again
-overwrites that batch's folders and nothing else, and writers cannot meet.
+replaces that batch's folders and nothing else, and writers cannot meet.
 """
 
 from __future__ import annotations
@@ -169,7 +170,10 @@ class MetricStore:
         """
         if on_conflict not in ("quarantine", "drop_batch"):
             raise ValueError(f"unknown conflict policy: {on_conflict}")
-        writer = writer or uuid.uuid4().hex
+        if writer is None:
+            writer = uuid.uuid4().hex
+        else:
+            self._begin(writer, batch)
         text = F.col("malformed") if "malformed" in datums.columns else F.lit(None).cast("string")
         table = F.nullif(clean_id("metric"), F.lit(""))
         reason = (
@@ -260,6 +264,7 @@ class MetricStore:
         else:
             rows = rows.withColumn("outcome", given)
         parts = ["outcome", "table", "chunk", "writer", "batch"]
+        folder = self._path("staging", uuid.uuid4().hex)
         # Rebalancing splits a chunk that holds too much and joins small ones,
         # so a busy table keeps no single task waiting.
         (
@@ -267,11 +272,28 @@ class MetricStore:
             .withColumns({"writer": F.lit(writer), "batch": F.lit(batch).cast("bigint")})
             .hint("rebalance", "outcome", "table", "chunk")
             .sortWithinPartitions(*parts, F.col("time").desc())
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*parts)
-            .parquet(self._path("data"))
+            .write.partitionBy(*parts)
+            .parquet(folder)
         )
+        # Each job has a folder of its own, as several may write at a time; what
+        # it wrote takes its place then, folder by folder.
+        written = Folder(self.spark, folder)
+        leaves = written.glob("/".join(f"{p}=*" for p in parts))
+        placed = [leaf[leaf.index("/outcome=") :] for leaf in leaves]
+        self._each(lambda part: written.move(part[1:], f"{self._path('data')}{part}"), placed)
+        written.delete()
+
+    def _begin(self, writer: str, batch: int) -> None:
+        """Take away what an earlier attempt at this batch has left; the last attempt is on file."""
+        attempts = Folder(self.spark, self._path("attempts", f"writer={writer}"))
+        before, mark = attempts.names(), f"{batch:012d}"
+        if not attempts.claim(mark, ""):
+            pattern = f"outcome=*/table=*/chunk=*/writer={writer}/batch={batch}"
+            left = Folder(self.spark, self._path("data")).glob(pattern)
+            self._each(lambda path: Folder(self.spark, path).delete(), left)
+        for name in before:
+            if name != mark:
+                attempts.child(name).delete()
 
     # Reading
 
