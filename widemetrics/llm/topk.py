@@ -20,10 +20,13 @@ BLOCK = 4096
 GROUP = 256
 GROUPS = 64
 
-#: Pivots, and the vectors, smallest hashes first, that they are chosen from.
+#: Pivots that a cell is split by, and the vectors, smallest hashes first, that they are chosen from.
 PIVOTS = 256
 SAMPLE = 4096
 
+#: Levels of cells below one another; numbers of cells of so many levels fit 64 bits.
+LEVELS = 7
+
 
 def quantised(vectors: DataFrame, key: str, vector: str, is_query: Column) -> DataFrame:
     """(vec_id, dim, v, query): the vectors that take part, as little-endian 64-bit integers."""
@@ -85,9 +88,8 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pivots(rows: list, n: int) -> np.ndarray:
+def _pivots(points: np.ndarray, n: int) -> np.ndarray:
     """Points of a bounded sample, each the farthest from those before."""
-    points = np.array([np.frombuffer(r, "<i8") for r in rows], np.float64)
     chosen = [0]
     distance = np.linalg.norm(points - points[0], axis=1)
     while len(chosen) < min(n, len(points)) and distance.max() > 0:
@@ -96,35 +98,119 @@ def _pivots(rows: list, n: int) -> np.ndarray:
     return points[chosen]
 
 
-def _blocks(all_rows: DataFrame) -> DataFrame:
-    """Each vector with its block: near a pivot, of its dimension, about BLOCK rows at most."""
-    n = all_rows.count()
-    pivots: dict[int, np.ndarray] = {}
-    dims = [r["dim"] for r in all_rows.groupBy("dim").count().orderBy(F.desc("count")).limit(64).collect()]
-    for dim in dims:
-        drawn = all_rows.filter(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "v").limit(SAMPLE)
-        pivots[dim] = _pivots([r["v"] for r in drawn.select("v").collect()], min(PIVOTS, 1 + n // BLOCK))
+def _candidates(rows: DataFrame, k: int) -> DataFrame:
+    """(vec_id, dim, v, query, candidate): the queries, and apart from them the candidates.
+
+    Of equal vectors only those of the k + 1 smallest ids can be among the k
+    best of any query, and of equal rows only k, so a vector that a third of all
+    rows hold is no more work than others. A query is one, however often its row
+    is there.
+    """
+    once = rows.groupBy("dim", "v", "vec_id").agg(F.max("query").alias("query"), F.count("*").alias("times"))
+    place = F.row_number().over(Window.partitionBy("dim", "v").orderBy("vec_id"))
+    first = once.withColumn("place", place).filter(F.col("place") <= k + 1)
+    copies = F.explode(F.sequence(F.lit(1), F.least(F.col("times"), F.lit(k)).cast("int"))).alias("n")
+    candidates = first.select("vec_id", "dim", "v", F.lit(False).alias("query"), F.lit(True).alias("candidate"), copies)
+    asking = once.filter("query").select("vec_id", "dim", "v", "query", F.lit(False).alias("candidate"))
+    return candidates.drop("n").unionByName(asking)
+
+
+def _split(rows: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of cells larger than a block, each in the cell of its nearest pivot; and those
+    cells with their pivot and reach. Cells of one point only are not split."""
+    large = sizes.filter(F.col("rows") > BLOCK)
+    first = Window.partitionBy("dim", "cell").orderBy(F.xxhash64("vec_id"), "v")
+    drawn = (
+        rows.select("dim", "cell", "vec_id", "v").withColumn("at", F.row_number().over(first))
+        .filter(F.col("at") <= SAMPLE).join(large, ["dim", "cell"])
+    )
+
+    def choose(group: pa.Table) -> pa.Table:
+        n = min(PIVOTS, 1 + group.column("rows")[0].as_py() // BLOCK)
+        group = group.sort_by([("vec_id", "ascending"), ("v", "ascending")])
+        chosen = _pivots(_matrix(group.column("v")), n)
+        several = len(chosen) > 1
+        return pa.table(
+            {
+                **{c: group.column(c).slice(0, int(several)) for c in ("dim", "cell", "rows")},
+                "pivots": pa.array([chosen.tobytes()] * several, pa.binary()),
+            }
+        )
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pivots = saved(
+        drawn.groupBy("dim", "cell").applyInArrow(choose, "dim int, cell bigint, rows bigint, pivots binary"),
+        "topk-pivots",
+    )
+    # A cell may hold most vectors: it is worked on in chunks, each with the pivots.
+    chunks = F.ceil(F.col("rows") / (4 * BLOCK)).cast("bigint")
+    told = pivots.select(
+        "dim", "cell", "pivots", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk")
+    )
+    chunk = F.pmod(F.xxhash64("v", "vec_id"), chunks).alias("chunk")
+    going = rows.join(pivots.select("dim", "cell", "rows"), ["dim", "cell"]).select(*rows.columns, chunk)
+    on, names = ["dim", "cell", "chunk"], rows.columns
+
+    def nearest(own: pa.Table, known: pa.Table) -> pa.Table:
+        own = own.select(names)
+        if not own.num_rows:
+            return own
+        x = _matrix(own.column("v"))
+        p = np.frombuffer(known.column("pivots")[0].as_py(), np.float64).reshape(-1, x.shape[1])
+        near = np.argmin((p**2).sum(axis=1) - 2 * (x @ p.T), axis=1)
+        cell = own.column("cell")[0].as_py() * (PIVOTS + 1) + 1 + near
+        gap = np.linalg.norm(x - p[near], axis=1)
+        own = own.set_column(own.schema.get_field_index("cell"), "cell", pa.array(cell, pa.int64()))
+        return own.set_column(own.schema.get_field_index("gap"), "gap", pa.array(gap))
+
+    moved = saved(going.groupBy(*on).cogroup(told.groupBy(*on)).applyInArrow(nearest, rows.schema), "topk-cells")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each pivot."""
         for batch in batches:
-            dim = batch.column("dim").to_numpy()
-            cell = np.zeros(len(dim), np.int32)
-            # Vectors of a dimension that is rarer than the others known lie in cell 0.
-            for d in set(dim.tolist()) & set(pivots):
-                own = np.flatnonzero(dim == d)
-                x, p = _matrix(batch.column("v").take(pa.array(own))), pivots[d]
-                cell[own] = np.argmin((p**2).sum(axis=1) - 2 * (x @ p.T), axis=1)
+            out = []
+            for dim, cell, data in zip(*(batch.column(c).to_pylist() for c in ("dim", "cell", "pivots"))):
+                for i, p in enumerate(np.frombuffer(data, np.float64).reshape(-1, dim)):
+                    out.append((dim, cell, cell * (PIVOTS + 1) + 1 + i, p.tobytes()))
+            columns = list(zip(*out)) or [()] * 4
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"]
+                [pa.array(c, t) for c, t in zip(columns, types)], names=["dim", "parent", "cell", "middle"]
             )
 
-    schema = all_rows.withColumn("cell", F.lit(0)).schema
-    celled = all_rows.mapInArrow(nearest, schema)
-    sizes = celled.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    # A row for each cell: at most 64 dimensions of PIVOTS each, and one for each rarer one.
-    parted = celled.join(sizes, ["dim", "cell"])
+    centres = pivots.select("dim", "cell", "pivots").mapInArrow(
+        each, "dim int, parent bigint, cell bigint, middle binary"
+    )
+    reach = moved.groupBy("dim", "cell").agg(F.max("gap").alias("reach"), F.count("*").alias("rows"))
+    return moved, centres.join(reach, ["dim", "cell"])
+
+
+def _blocks(all_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with cell and part, cells): vectors in cells of near ones, level by level until a cell
+    fits a block or holds one point only; larger ones in parts of about BLOCK rows.
+
+    cells is the tree of them: parent, middle, reach, parts (0 of one that was split).
+    """
+    rows = all_rows.select("*", F.lit(0).cast("bigint").alias("cell"), F.lit(0.0).alias("gap"))
+    done: DataFrame | None = None
+    tree: DataFrame | None = None
+    for _ in range(LEVELS):
+        sizes = rows.groupBy("dim", "cell").agg(F.count("*").alias("rows"))
+        moved, cells = _split(rows, sizes)
+        cells = saved(cells, "topk-tree")
+        split = cells.select("dim", F.col("parent").alias("cell")).distinct()
+        stay = rows.join(split, ["dim", "cell"], "left_anti")
+        done = stay if done is None else done.unionByName(stay)
+        tree = cells if tree is None else tree.unionByName(cells)
+        rows = moved
+        if cells.isEmpty():
+            break
+    done = done.unionByName(rows)
+    parts = done.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    # A row for each cell; equal cells of very many parts stay in one hash range of theirs.
+    parted = done.drop("gap").join(parts, ["dim", "cell"])
     part = F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).alias("part")
-    return parted.select("vec_id", "query", "dim", "v", "cell", part)
+    cells = tree.join(parts, ["dim", "cell"], "left").fillna({"parts": 0})
+    return parted.select("vec_id", "query", "dim", "v", "candidate", "cell", part), cells
 
 
 def top_k(
@@ -143,15 +229,19 @@ def top_k(
     id are candidates each, but not for a query of that id; queries that repeat
     id and vector are one.
 
-    Vectors are put near pivots and cut into blocks, queries into groups. Each
-    group searches the blocks of its own cell first. That gives every query a
-    kth score to beat, and a block is met by a group only if the two covering
-    radii leave room for a product that reaches the worst of the group's. In a
-    task the block's cover tree is walked together with the group's.
+    Vectors are put near pivots, level by level, and cut into blocks, queries
+    into groups. Each group searches the blocks of its own cell first. That
+    gives every query a kth score to beat. Groups then walk down the tree of
+    cells and meet a cell only if the two covering radii leave room for a
+    product that reaches the worst of the group's. In a task a block's cover
+    tree is walked together with those of the groups that meet it; a block is
+    copied for every GROUPS of them and for none that it does not meet.
     """
     spark = vectors.sparkSession
-    placed = saved(_blocks(saved(quantised(vectors, key, vector, is_query), "topk-vectors")), "topk-blocks")
-    data = placed.select("dim", "cell", "part", "vec_id", "v")
+    numbers = saved(_candidates(quantised(vectors, key, vector, is_query), k), "topk-vectors")
+    placed, cells = _blocks(numbers)
+    placed, cells = saved(placed, "topk-blocks"), saved(cells, "topk-cells")
+    data = placed.filter("candidate").select("dim", "cell", "part", "vec_id", "v")
     queries = placed.filter("query").select("dim", "cell", "vec_id", "v").distinct()
 
     def pack(rows: pa.Table) -> pa.Table:
@@ -179,7 +269,7 @@ def top_k(
 
     group_type = pa.schema(
         [
-            ("dim", pa.int32()), ("cell", pa.int32()), ("share", pa.int64()), ("number", pa.int64()),
+            ("dim", pa.int32()), ("cell", pa.int64()), ("share", pa.int64()), ("number", pa.int64()),
             ("ids", pa.list_(pa.int64())), ("v", pa.binary()), ("centre", pa.binary()),
             ("radius", pa.float64()),
         ]
@@ -190,28 +280,12 @@ def top_k(
     shared = shared.withColumn("share", F.pmod(F.xxhash64("vec_id"), F.col("shares"))).drop("shares")
     grouped = shared.groupBy("dim", "cell", "share").applyInArrow(
         pack,
-        "dim int, cell int, share bigint, number bigint, ids array<bigint>, v binary, "
+        "dim int, cell bigint, share bigint, number bigint, ids array<bigint>, v binary, "
         "centre binary, radius double",
     )
     groups = saved(grouped.withColumn("group", F.monotonically_increasing_id()), "topk-groups")
 
-    def measure(rows: pa.Table) -> pa.Table:
-        x = _matrix(rows.column("v"))
-        centre = x.mean(axis=0)
-        return pa.table(
-            {
-                **{c: rows.column(c).slice(0, 1) for c in ("dim", "cell", "part")},
-                "middle": pa.array([centre.tobytes()], pa.binary()),
-                "reach": pa.array([float(np.linalg.norm(x - centre, axis=1).max())]),
-            }
-        )
-
-    blocks = saved(
-        data.groupBy("dim", "cell", "part").applyInArrow(
-            measure, "dim int, cell int, part bigint, middle binary, reach double"
-        ),
-        "topk-balls",
-    )
+    blocks = saved(data.select("dim", "cell", "part").distinct(), "topk-balls")
 
     def search(rows: pa.Table, met: pa.Table) -> pa.Table:
         found: list[tuple] = []
@@ -232,13 +306,14 @@ def top_k(
         names = ["group", "place", "query_id", "vec_id", "score"]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    slices = max(1, -(-groups.count() // GROUPS))
-    sliced = data.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-
     def met_by(pairs: DataFrame) -> DataFrame:
         """The best of each query in each block that its group is paired with."""
-        on = ["dim", "cell", "part", "slice"]
-        paired = pairs.withColumn("slice", F.pmod("group", F.lit(slices)).cast("int"))
+        block, on = ["dim", "cell", "part"], ["dim", "cell", "part", "slice"]
+        many = pairs.groupBy(*block).agg(F.ceil(F.count("*") / GROUPS).cast("int").alias("slices"))
+        slices = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+        sliced = data.join(many.select(*block, slices), block)
+        own = F.pmod(F.xxhash64("group"), F.col("slices")).cast("int").alias("slice")
+        paired = pairs.join(many, block).select(*pairs.columns, own)
         return (
             sliced.groupBy(*on)
             .cogroup(paired.groupBy(*on))
@@ -251,7 +326,7 @@ def top_k(
 
     none = F.lit(None).cast("array<bigint>")
     own_cell = groups.select("dim", "cell", "group", "ids", "v").join(
-        blocks.select("dim", "cell", "part"), ["dim", "cell"]
+        blocks, ["dim", "cell"]
     )
     first = saved(
         met_by(own_cell.select("dim", "cell", "part", "group", "ids", "v", none.alias("floor"))),
@@ -274,28 +349,8 @@ def top_k(
     known = saved(known.select("dim", "cell", "group", "ids", "v", "centre", "radius", "floor",
                                worst.alias("worst")), "topk-known")
 
-    def in_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of a ball of queries and one of vectors that may hold a product worth having."""
-        for batch in batches:
-            q, p = (
-                [np.frombuffer(c, np.float64) for c in batch.column(n).to_pylist()]
-                for n in ("centre", "middle")
-            )
-            s, r = batch.column("radius").to_numpy(), batch.column("reach").to_numpy()
-            dot = np.array([float(a @ b) for a, b in zip(q, p)])
-            a = np.array([np.linalg.norm(c) for c in q])
-            b = np.array([np.linalg.norm(c) for c in p])
-            bound = dot + a * r + b * s + r * s
-            slack = 1e-6 * (1 + np.abs(bound)) + 1e-12 * (a + s) * (b + r)
-            keep = bound + slack >= batch.column("worst").to_numpy()
-            yield batch.filter(pa.array(keep)).select(["dim", "cell", "part", "group"])
-
-    # Each group of the stated queries against the list of blocks, ball by ball.
-    balls = known.select("dim", F.col("cell").alias("home"), "group", "centre", "radius", "worst")
-    pairs = balls.repartition(partitions(spark), "group").join(blocks, "dim")
-    pairs = pairs.filter("home != cell").mapInArrow(
-        in_reach, "dim int, cell int, part bigint, group bigint"
-    )
+    pairs = _in_reach(known.select("dim", F.col("cell").alias("home"), "group", "centre", "radius", "worst"), cells)
+    pairs = pairs.join(blocks, ["dim", "cell"])
     rest = met_by(
         pairs.join(known.select("group", "ids", "v", "floor"), "group").select(
             "dim", "cell", "part", "group", "ids", "v", "floor"
@@ -304,3 +359,55 @@ def top_k(
     return ranked(first.unionByName(rest), ["group", "place"]).select(
         "query_id", "rank", "vec_id", "score"
     )
+
+
+def _in_reach(balls: DataFrame, cells: DataFrame) -> DataFrame:
+    """(dim, cell, group): the cells other than its own that may hold a product worth having for a
+    group. Groups go down the tree from the root, level by level, with what is left of it."""
+    spark = balls.sparkSession
+    below = saved(
+        cells.groupBy("dim", "parent").agg(
+            F.collect_list(F.struct("cell", "middle", "reach", (F.col("parts") > 0).alias("leaf"))).alias("cells")
+        ),
+        "topk-below",
+    )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, met, leaf = [], [], []
+            for row, (home, centre, s, worst, own) in enumerate(
+                zip(*(batch.column(c).to_pylist() for c in ("home", "centre", "radius", "worst", "cells")))
+            ):
+                q = np.frombuffer(centre, np.float64)
+                p = np.array([np.frombuffer(c["middle"], np.float64) for c in own])
+                r = np.array([c["reach"] for c in own])
+                a, b = np.linalg.norm(q), np.linalg.norm(p, axis=1)
+                bound = p @ q + a * r + b * s + r * s
+                slack = 1e-6 * (1 + np.abs(bound)) + 1e-12 * (a + s) * (b + r)
+                for i in np.flatnonzero(bound + slack >= worst):
+                    if own[i]["cell"] != home:
+                        at.append(row)
+                        met.append(own[i]["cell"])
+                        leaf.append(own[i]["leaf"])
+            kept = batch.select(ball).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array(met, pa.int64()), pa.array(leaf, pa.bool_())], names=[*ball, "cell", "leaf"]
+            )
+
+    ball = ["dim", "home", "group", "centre", "radius", "worst"]
+    schema = balls.select(*ball).withColumns({"cell": F.lit(0).cast("bigint"), "leaf": F.lit(True)}).schema
+    found: DataFrame | None = None
+    going = balls.select(*ball, F.lit(0).cast("bigint").alias("cell"))
+    salts = partitions(spark)
+    for _ in range(LEVELS):
+        # All groups meet the root and many the cells near it: those few go to several tasks.
+        salted = below.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1))))
+        asked = going.withColumn("salt", F.pmod("group", F.lit(salts))).withColumnRenamed("cell", "parent")
+        met = saved(asked.join(salted, ["dim", "parent", "salt"]).mapInArrow(meet, schema), "topk-met")
+        leaves = met.filter("leaf").select("dim", "cell", "group")
+        found = leaves if found is None else found.unionByName(leaves)
+        going = met.filter("not leaf").drop("leaf")
+        if going.isEmpty():
+            break
+        salts = max(1, salts // PIVOTS)
+    return found
