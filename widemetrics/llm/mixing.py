@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from widemetrics.llm.common import free_name, partitions, saved
+from widemetrics.llm.common import free_name, named, partitions, saved
 
 #: Up to so many sources their rates are sent to every task; beyond, they are joined.
 BROADCAST_SOURCES = 10_000
@@ -29,8 +31,16 @@ def target_rates(
     the source's share of the targets over its share of the bytes, so the
     expected volume stays that of the input. A source that is not in weights
     has weight 0 and goes; one without any text has rate 1, as it has no volume
-    to steer. A null source is a source like any other.
+    to steer. Where no source with text has a weight above 0, all such sources
+    go. Weights that are negative or no numbers raise ValueError, and so does an
+    alpha that takes sizes beyond the range of doubles. A null source is a
+    source like any other.
     """
+    if not math.isfinite(alpha):
+        raise ValueError(f"alpha is no number: {alpha}")
+    for name, weight in (weights or {}).items():
+        if not (math.isfinite(weight) and weight >= 0):
+            raise ValueError(f"the weight of {name} is {weight}")
     sizes = docs.groupBy(F.col(by).alias("source")).agg(
         F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0)).alias("size")
     )
@@ -45,7 +55,11 @@ def target_rates(
     parts = saved(sizes.withColumn("target", F.coalesce(target, F.lit(0.0))), "source-sizes")
     total = parts.agg(F.sum("size").alias("size"), F.sum("target").alias("target")).first()
     all_size, all_target = float(total["size"] or 0), float(total["target"] or 0)
-    rate = F.col("target") / F.lit(all_target) * F.lit(all_size) / F.col("size")
+    if weights is None and all_size and not 0 < all_target < math.inf:
+        raise ValueError(f"alpha {alpha} gives targets beyond what a double holds")
+    rate = F.lit(0.0)
+    if all_target > 0:
+        rate = F.col("target") / F.lit(all_target) * F.lit(all_size) / F.col("size")
     return parts.select(
         "source", "size", F.when(F.col("size") > 0, rate).otherwise(1.0).alias("rate")
     )
@@ -104,7 +118,7 @@ def replicate(
         drawn = F.broadcast(spark.createDataFrame(known, drawn.schema))
 
     doc_key = F.coalesce(F.col(f"row.{key}").cast("string"), F.lit(""))
-    joined = docs.select(F.struct(*docs.columns).alias("row")).join(
+    joined = docs.select(F.struct(*named(docs.columns)).alias("row")).join(
         drawn, F.col(f"row.{by}").eqNullSafe(F.col("source"))
     )
 

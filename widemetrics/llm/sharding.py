@@ -6,10 +6,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from widemetrics.llm.common import fields, free_name, partitions, text_of
+from widemetrics.llm.common import fields, free_name, named, partitions, saved, text_of
 
 #: Bytes of records a bucket should hold, a small part of a task's memory.
 BUCKET_BYTES = 16 << 20
@@ -55,7 +55,7 @@ def shuffled_shards(
         free_name(docs, n) for n in ("size", "shard", "slot", "grown_shard")
     )
     placed = docs.select(
-        F.struct(*docs.columns).alias("row"),
+        F.struct(*named(docs.columns)).alias("row"),
         (F.octet_length(text_of(text)) + 16).cast("bigint").alias("size"),
         shard_of(F.col(key), shards, seed).alias("shard"),
         shard_of(F.col(key), shards + 1, seed).alias("grown"),
@@ -73,10 +73,14 @@ def shuffled_shards(
     buckets = F.element_at(F.array(*[F.lit(n) for n in per_shard]), F.col("shard") + 1)
     placed = placed.withColumn("bucket", F.pmod(F.col("lot"), buckets).cast("int"))
 
-    counts: dict[int, list[int]] = {s: [0] * n for s, n in enumerate(per_shard)}
-    for r in placed.groupBy("shard", "bucket").count().collect():
-        counts[r["shard"]][r["bucket"]] = r["count"]
-    begins = {s: np.concatenate([[0], np.cumsum(c)]).tolist() for s, c in counts.items()}
+    # Where each bucket's slots begin: as many rows as there are buckets, which stay in a table.
+    earlier = Window.partitionBy("shard").orderBy("bucket")
+    begins = saved(
+        placed.groupBy("shard", "bucket")
+        .count()
+        .select("shard", "bucket", (F.sum("count").over(earlier) - F.col("count")).alias("begin")),
+        "shard-begins",
+    )
 
     names = docs.columns
     schema = fields(
@@ -93,15 +97,19 @@ def shuffled_shards(
         group = group.take(pa.array(order))
         rows = pa.concat_tables([group]).combine_chunks().column("row").combine_chunks()
         rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
-        slots = pa.array(np.arange(group.num_rows, dtype=np.int64) + begins[s][b])
+        begin = group.column("begin")[0].as_py() if group.num_rows else 0
+        slots = pa.array(np.arange(group.num_rows, dtype=np.int64) + begin)
         return pa.table(
             [*rows.flatten(), group.column("size"), group.column("shard"), slots,
              group.column("grown")],
             names=[*names, size, shard, slot, grown],
         )
 
-    spread = placed.repartition(max(partitions(docs.sparkSession), 1), "shard", "bucket")
-    return spread.groupBy("shard", "bucket").applyInArrow(fisher_yates, schema)
+    # As many tasks as there are buckets of bytes, whatever the session's number of partitions.
+    n = max(partitions(docs.sparkSession), sum(per_shard))
+    spread = placed.repartition(n, "shard", "bucket")
+    known = begins.repartition(n, "shard", "bucket").hint("merge")
+    return spread.join(known, ["shard", "bucket"]).groupBy("shard", "bucket").applyInArrow(fisher_yates, schema)
 
 
 def write_shards(sharded: DataFrame, path: str, shard: str = "shard", slot: str = "slot") -> None:
