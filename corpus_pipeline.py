@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from widemetrics.llm import dedup, jaccard, langid, mixing, packing
-from widemetrics.llm.common import prepare, saved, table
+from widemetrics.llm.common import named, prepare, saved, table
 from widemetrics.llm.queries import tokenizer_path
 
 #: Word n-grams and similarity of near duplicates.
@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.identified(docs, langid.fit(docs))
     lang = F.coalesce("lang", found.columns[len(names)]).alias("lang")
     kept = found.filter(~F.col(found.columns[-1]))
-    return kept.select(*[lang if c == "lang" else F.col(c) for c in names])
+    return kept.select(*[lang if c == "lang" else x for c, x in zip(names, named(names))])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target says, in random order."""
     prepare(spark)
-    return mixing.mix(docs, alpha=ALPHA, seed=SEED).select(*docs.columns)
+    return mixing.mix(docs, alpha=ALPHA, seed=SEED).select(*named(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

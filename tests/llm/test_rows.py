@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given
@@ -12,6 +13,7 @@ from llm.conftest import odd_rows, prose
 from pyspark.sql import functions as F
 
 from widemetrics.llm import covertree, langid, mixing, packing, pii, quality, sharding, tokens, topk
+from widemetrics.llm import queries as corpus
 from widemetrics.llm.queries import tokenizer_path
 
 KEY = b"a test key"
@@ -394,6 +396,33 @@ def test_large_rates_and_joined_rates(spark, monkeypatch):
     assert mixing.replicate(docs, rates, seed=2).count() == n * 60
 
 
+def test_weights_that_leave_nothing_and_weights_that_are_none(spark, odd, empty):
+    texts = odd.filter("text is not null and text <> ''")
+    for weights in ({}, {"nowhere": 2.0}, {"s0": 0.0, "s1": 0.0, "s2": 0.0, None: 0.0}):
+        assert mixing.mix(texts, weights).count() == 0
+        assert mixing.mix(empty, weights).count() == 0
+    for weights in ({"s0": -1.0}, {"s0": math.nan}, {None: math.inf}):
+        with pytest.raises(ValueError, match="weight"):
+            mixing.mix(odd, weights)
+    for alpha in (math.nan, 1e6, -1e6):
+        with pytest.raises(ValueError, match="alpha"):
+            mixing.mix(odd, alpha=alpha)
+
+
+def test_a_source_of_rate_1000_as_in_sql(spark, tmp_path):
+    rows = [(0, "0123456789", "tiny", "l", 10), (1, "x", None, "l", 1), (2, None, "bare", "l", 0)]
+    rows += [(i, "y" * 100_000, "large", "l", 100_000) for i in range(3, 103)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert 900 < {r["source"]: r["rate"] for r in mixing.target_rates(docs).collect()}["tiny"] < 1100
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"select doc_id, copy, n_copies, shuffle_key from ({corpus.OP3_SQL})").fetchall()
+    found = corpus.op3_poisson_mixing(spark, str(tmp_path))
+    got = [tuple(r) for r in found.select("doc_id", "copy", "n_copies", "shuffle_key").collect()]
+    assert sorted(got) == sorted(want) and len(got) > 900
+
+
 # Shards
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,16 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def named(names: Iterable[str]) -> list[Column]:
+    """The columns of these names, which may hold points."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1 and so on, as Arrow batches cannot be asked for with points in names."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

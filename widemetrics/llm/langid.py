@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from widemetrics.llm.common import free_name, saved
+from widemetrics.llm.common import by_place, free_name, named, saved
 
 #: Hashed n-grams of one to three letters, words padded with a blank at each end.
 DIMS = 1 << 13
@@ -249,9 +249,9 @@ def identified(
     behind. Texts are read whole, where they are, without a shuffle.
     """
     names = docs.columns if keep is None else keep
-    kept = docs.select(*names)
+    kept = docs.select(*named(names))
     out = [free_name(kept, n) for n in ("lang_pred", "score", "rejected")]
-    read = docs.select(*names, F.col(text).cast("string").alias("__text__"))
+    read = by_place(docs.select(*named(names), F.col(text).cast("string").alias("__text__")))
     schema = kept.withColumns(
         {
             out[0]: F.lit("").cast("string"),

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from widemetrics.llm.common import fields, free_name
+from widemetrics.llm.common import fields, free_name, named
 from widemetrics.llm.tokens import encoder
 
 #: Tokens waiting for a place in a task before bins are filled from them.
@@ -178,7 +178,7 @@ def packed(
     """
     if min(limits.tokens, limits.segments, limits.loss_tokens) < 1:
         raise ValueError("each limit is to be 1 at least")
-    kept = examples.select(*keep)
+    kept = examples.select(*named(keep))
     new = [
         ("start", "bigint"), ("length", "bigint"), ("ids", "binary"), ("example_tokens", "bigint"),
         ("sequence_id", "bigint"), ("offset", "bigint"), ("loss_tokens", "bigint"),
@@ -187,7 +187,7 @@ def packed(
     schema = fields(kept, *new)
     wanted = [F.col(c) if isinstance(c, str) else c for c in read]
     source = examples.select(
-        F.struct(*keep).alias("kept"), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(wanted)]).alias("read")
+        F.struct(*named(keep)).alias("kept"), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(wanted)]).alias("read")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from widemetrics.llm.common import fields, free_name
+from widemetrics.llm.common import by_place, fields, free_name
 
 ROUNDS = 10
 
@@ -361,4 +361,4 @@ def pseudonymised(
                 [*columns, pa.array(found, span_type)], names=[*names, spans]
             )
 
-    return docs.mapInArrow(run, schema)
+    return by_place(docs).mapInArrow(run, schema)

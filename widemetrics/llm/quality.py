@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from widemetrics.llm.common import free_name, saved
+from widemetrics.llm.common import by_place, free_name, named, saved
 
 #: Words of a passage; the last of a text (or of a slice of a long one) may be shorter.
 PASSAGE_WORDS = 64
@@ -370,9 +370,9 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     all by default; a clashing name gets a _ behind.
     """
     names = docs.columns if keep is None else keep
-    kept = docs.select(*names)
+    kept = docs.select(*named(names))
     out = free_name(kept, "quality_score")
-    read = docs.select(*names, F.col(text).cast("string").alias("__text__"))
+    read = by_place(docs.select(*named(names), F.col(text).cast("string").alias("__text__")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

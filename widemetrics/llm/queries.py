@@ -80,18 +80,27 @@ with sizes as (
   select source, case when size > 0
     then target / sum(target) over () * sum(size) over () / size else 1.0 end as rate
   from targets
+), parts as (
+  select source, greatest(1, ceil(rate / 200))::bigint as parts, rate / greatest(1, ceil(rate / 200)) as rate
+  from rates
 ), steps as (
-  select r.source, r.rate, k.k, exp(-r.rate + k.k * ln(r.rate) - lgamma(k.k + 1.0)) as p
-  from rates r, lateral (select unnest(range(0, 200)) as k) k
+  select r.source, r.parts, k.k,
+    case when r.rate > 0 then exp(-r.rate + k.k * ln(r.rate) - lgamma(k.k + 1.0))
+      else (k.k = 0)::int::double end as p
+  from parts r, lateral (select unnest(range(0, ceil(r.rate + 12 * sqrt(r.rate) + 25)::bigint)) as k) k
 ), cumulative as (
-  select source, k, sum(p) over (partition by source order by k) as c from steps
+  select source, parts, k, sum(p) over (partition by source order by k) as c from steps
 ), inverse as (
-  select source, list(c order by k) as cdf from cumulative group by source
-), drawn as (
-  select d.*, list_count(list_filter(i.cdf, lambda c: c <= (
-    (('0x' || substr(md5('7|' || coalesce(d.doc_id::varchar, '') || '|0'), 1, 13))::bigint)::double
-      + 0.5) / 4503599627370496.0))::bigint as n_copies
+  select source, parts, list(c order by k) as cdf from cumulative group by source, parts
+), uniform as (
+  select d.*, i.cdf, list_transform(range(0, i.parts), lambda part:
+    (('0x' || substr(md5('7|' || coalesce(d.doc_id::varchar, '') || '|' || part::varchar), 1, 13))::bigint::double
+      + 0.5) / 4503599627370496.0) as us
   from documents d join inverse i on d.source is not distinct from i.source
+), drawn as (
+  select * exclude (cdf, us), list_sum(list_transform(us, lambda u:
+    list_count(list_filter(cdf, lambda c: c <= u))))::bigint as n_copies
+  from uniform
 ), copies as (
   select *, unnest(range(0, n_copies)) as copy from drawn
 )

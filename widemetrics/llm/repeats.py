@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from widemetrics.llm import exchange, words
-from widemetrics.llm.common import Blocks, partitions, row_key, saved
+from widemetrics.llm.common import Blocks, named, partitions, row_key, saved
 
 #: The second, independent hash of a window.
 _CHECK = 0x5851F42D4C957F2D
@@ -329,7 +329,7 @@ def kept_text(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str
     """
     names = docs.columns
     spans = found.filter("n_removed > 0").select("row_key", "removed").dropDuplicates(["row_key"])
-    joined = docs.select(F.struct(*names).alias("row"), row_key(key, text).alias("row_key")).join(
+    joined = docs.select(F.struct(*named(names)).alias("row"), row_key(key, text).alias("row_key")).join(
         spans, "row_key", "left"
     )
     split = F.filter(F.split(F.col(f"row.{text}"), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
@@ -338,7 +338,7 @@ def kept_text(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str
         lambda w, i: ~F.exists("removed", lambda s: (s["start"] <= i) & (i < s["end"])),
     )
     new = F.when(F.col("removed").isNull(), F.col(f"row.{text}")).otherwise(F.array_join(stays, " "))
-    return joined.select(*[new.alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in names])
+    return joined.select(*[new.alias(c) if c == text else F.col("row")[c].alias(c) for c in names])
 
 
 SPANS = "array<struct<start: int, end: int>>"
