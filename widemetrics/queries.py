@@ -6,13 +6,14 @@ engine can state the same result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from widemetrics.functions import digest, seh, statset
+from widemetrics.functions import digest, seh, statset, wire
 from widemetrics.functions.ident import clean_id
 from widemetrics.functions.sqlnames import register_functions
 from widemetrics.functions.timefn import nanos_to_ts, time_bucket
@@ -22,7 +23,7 @@ from widemetrics.plans import panels
 from widemetrics.session import shared_dir
 from widemetrics.sinks import delimited, otlp
 from widemetrics.sinks.store import MetricStore, daily_copy
-from widemetrics.sources import datums, exposition
+from widemetrics.sources import datums, exposition, requests
 from widemetrics.sources.datums import dimension as dim
 from widemetrics.sources.datums import measurement as mea
 from widemetrics.streaming import pipelines
@@ -207,6 +208,51 @@ def request_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "request_wire",
+    f"""select 'event_value' as metric, epoch_us(ts) * 1000 as unix_nanos, event_type as source,
+               user_id, value as reading from events
+        union all
+        select 'event_k', epoch_us(ts) * 1000, event_type, user_id, cast({SQL_K} as double) from events""",
+)
+def request_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests above in their binary form, decoded; of their keys only those asked for."""
+    events = table(spark, sf_dir, "events")
+    given = events.select(
+        "event_type", "user_id", "value", k_of_props().alias("k"), nanos("ts").cast("bigint").alias("nanos")
+    )
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                metrics = [
+                    {
+                        "metric": name,
+                        "unix_nanos": r["nanos"],
+                        "dimensions": {"user_id": {"number": r["user_id"]}, "unused": {"string": "x"}},
+                        "measurements": {"reading": {member: value}},
+                    }
+                    for name, member, value in (("event_value", "f64", r["value"]), ("event_k", "i64", r["k"]))
+                ]
+                shared = {"source": {"string": r["event_type"]}}
+                request = {"shared_dimensions": shared, "metrics": metrics}
+                out.append(wire.delimited(wire.encode(request, requests.REQUEST)))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["content"])
+
+    folder = shared_dir(spark, "request-wire")
+    given.mapInArrow(sent, "content binary").write.parquet(folder)
+    keys = ["source", "user_id", "reading"]
+    rows = requests.decode_requests(spark.read.parquet(folder), keys=keys).where("malformed is null")
+    return rows.select(
+        "metric",
+        F.col("unix_nanos").cast("bigint").alias("unix_nanos"),
+        dimension_col("source").alias("source"),
+        dimension_col("user_id", "bigint").alias("user_id"),
+        measurement_col("reading", "double").alias("reading"),
+    )
+
+
 @query(
     "shared_dims",
     """select event_type as metric, user_id, upper(event_type) as event_type,
@@ -1343,6 +1389,15 @@ def stream_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_events(MetricStore(spark, f"{folder}/tables"))
 
 
+@query("otlp_wire", SQL_GAUGES)
+def otlp_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes in the binary form, written and decoded."""
+    folder = shared_dir(spark, "otlp-wire")
+    metrics = otlp.to_otlp(event_datums(table(spark, sf_dir, "events")))
+    otlp.otlp_wire(metrics).write.parquet(folder)
+    return gauge_points(otlp.request_metrics(otlp.parse_wire(spark.read.parquet(folder))))
+
+
 @query("stream_otlp", SQL_GAUGES)
 def stream_otlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "stream-otlp")
@@ -1407,25 +1462,33 @@ def stream_rollup_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fan_out",
-    f"""select 'table' as sink, 'event_log' as name, ts as time, value from events
-        union all select 'otlp', 'Event-Log_value', ts, value from events""",
+    f"""select 'table' as sink, 'event_log' as name, ts as time, event_type, user_id, {SQL_K} as k, value from events
+        union all select 'otlp', 'Event-Log_value', ts, event_type, user_id, null, value from events
+        union all select 'otlp', 'Event-Log_k', ts, event_type, user_id, {SQL_K}, null from events""",
 )
 def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One stream into tables and into envelopes."""
+    """One stream into tables and into envelopes: every column of the one, every gauge of the other."""
     folder = shared_dir(spark, "fan-out")
     stream = event_log(events_stream(spark, sf_dir))
     for run in pipelines.fan_out(stream, f"{folder}/tables", f"{folder}/otlp", f"{folder}/progress", None):
         run.awaitTermination()
-    points = gauge_points(otlp.request_metrics(otlp.read_otlp(spark, f"{folder}/otlp")))
-    out = points.where("as_double is not null").select(
-        F.lit("otlp").alias("sink"), "name", ntz(nanos_to_ts("time_unix_nano")).alias("time"),
-        F.col("as_double").alias("value"),
+    metrics = otlp.request_metrics(otlp.read_otlp(spark, f"{folder}/otlp"))
+    points = metrics.select("name", F.explode("gauge.data_points").alias("p"))
+
+    def attribute(name: str, member: str) -> Column:
+        return F.get(F.filter("p.attributes", lambda a: a["key"] == name), 0)["value"][member].alias(name)
+
+    out = points.select(
+        F.lit("otlp").alias("sink"), "name", ntz(nanos_to_ts("p.time_unix_nano")).alias("time"),
+        attribute("event_type", "string_value"), attribute("user_id", "int_value"),
+        F.col("p.as_int").alias("k"), F.col("p.as_double").alias("value"),
     )
     store = MetricStore(spark, f"{folder}/tables")
     for name in sorted(store.schemas()):
         rows = store.read(name).select(
-            F.lit("table").alias("sink"), F.lit(name).alias("name"), ntz("time").alias("time"), "value"
-        )
+            F.lit("table").alias("sink"), F.lit(name).alias("name"), ntz("time").alias("time"),
+            "event_type", "user_id", "k", "value",
+        )
         out = out.unionByName(rows)
     return out
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from widemetrics.functions import digest
+from widemetrics.functions import digest, wire
+from widemetrics.functions.wire import message
 from widemetrics.schema import MEASUREMENT_MEMBERS
 from widemetrics.sources.datums import wrap_u64
 
@@ -45,6 +48,44 @@ DELTA_TEMPORALITY = 1
 LIBRARY_VERSION = "42"
 DIGEST_QUANTILES = (0.0, 0.5, 0.9, 0.99, 1.0)
 
+# Numbers and kinds of the fields in the binary form.
+_ANY = message(
+    string_value=(1, "string"), bool_value=(2, "bool"), int_value=(3, "int64"), double_value=(4, "double")
+)
+_TAIL = {"start_time_unix_nano": (2, "fixed64"), "time_unix_nano": (3, "fixed64")}
+
+
+def _attributes_at(number: int) -> tuple:
+    return number, message(key=(1, "string"), value=(2, _ANY)), "repeated"
+
+
+_NUMBER_POINT = message(**_TAIL, as_double=(4, "double"), as_int=(6, "sfixed64"), attributes=_attributes_at(7))
+_SUMMARY_POINT = message(
+    **_TAIL, count=(4, "fixed64"), sum=(5, "double"),
+    quantile_values=(6, message(quantile=(1, "double"), value=(2, "double")), "repeated"),
+    attributes=_attributes_at(7),
+)
+_HISTOGRAM_POINT = message(
+    **_TAIL, count=(4, "fixed64"), sum=(5, "double"), bucket_counts=(6, "fixed64", "repeated"),
+    explicit_bounds=(7, "double", "repeated"), attributes=_attributes_at(9),
+)
+METRIC = message(
+    name=(1, "string"), description=(2, "string"), unit=(3, "string"),
+    gauge=(5, message(data_points=(1, _NUMBER_POINT, "repeated"))),
+    histogram=(
+        9, message(data_points=(1, _HISTOGRAM_POINT, "repeated"), aggregation_temporality=(2, "int32"))
+    ),
+    summary=(11, message(data_points=(1, _SUMMARY_POINT, "repeated"))),
+)
+_LIBRARY_METRICS = message(
+    instrumentation_library=(1, message(name=(1, "string"), version=(2, "string"))),
+    metrics=(2, METRIC, "repeated"), schema_url=(3, "string"),
+)
+_RESOURCE_METRICS = message(
+    instrumentation_library_metrics=(2, _LIBRARY_METRICS, "repeated"), schema_url=(3, "string")
+)
+REQUEST = message(resource_metrics=(1, _RESOURCE_METRICS, "repeated"))
+
 DESCRIPTION = "wide metrics compatibility conversion"
 LIBRARY_NAME = "widemetrics"
 
@@ -173,19 +214,30 @@ def to_otlp(df: DataFrame, strict: bool = True, description: str = DESCRIPTION)
     )
 
 
+def standard_ddl(ddl: str) -> str:
+    """A schema with the names of the standard's JSON: camel case, whole numbers of 64 bits as text."""
+    camel = re.sub(r"(\w)_(\w)", lambda m: m.group(1) + m.group(2).upper(), ddl)
+    return re.sub(r"decimal\(20,0\)|bigint", "string", camel)
+
+
 def otlp_request(
-    metrics: DataFrame, max_metrics: int = 5000, library: str = LIBRARY_NAME
+    metrics: DataFrame, max_metrics: int = 5000, library: str = LIBRARY_NAME, standard: bool = False
 ) -> DataFrame:
     """JSON envelopes of at most ``max_metrics`` metrics each: one column, ``request``.
 
     Every metric is rendered by Spark; a task then only joins the texts of its
     Arrow batches. Nothing is shuffled and no row holds a whole batch of datums.
+    ``standard`` gives names in camel case and 64-bit numbers as text, as the
+    format's JSON has them.
     """
     opening = (
         '{"resource_metrics":[{"schema_url":"","instrumentation_library_metrics":['
         f'{{"instrumentation_library":{{"name":{json.dumps(library)},"version":"{LIBRARY_VERSION}"}},'
         '"schema_url":"","metrics":['
     )
+    if standard:
+        for name in ("resource_metrics", "instrumentation_library_metrics", "instrumentation_library", "schema_url"):
+            opening = opening.replace(f'"{name}"', f'"{standard_ddl(name)}"')
     closing = "]}]}]}"
 
     def envelopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +250,9 @@ def otlp_request(
             whole = pc.binary_join_element_wise(opening, joined, closing, "")
             yield pa.RecordBatch.from_arrays([whole], ["request"])
 
-    texts = metrics.select(F.to_json(F.struct("*")).alias("metric"))
+    whole = F.struct("*")
+    whole = whole.cast(f"struct<{standard_ddl(METRIC_DDL)}>") if standard else whole
+    texts = metrics.select(F.to_json(whole).alias("metric"))
     return texts.mapInArrow(envelopes, "request string")
 
 
@@ -211,9 +265,48 @@ def request_metrics(requests: DataFrame) -> DataFrame:
     )
 
 
-def parse_requests(requests: DataFrame) -> DataFrame:
-    """Envelopes in JSON as nested columns."""
-    return requests.select(F.inline(F.array(F.from_json("request", REQUEST_DDL))))
+def parse_requests(requests: DataFrame, standard: bool = False) -> DataFrame:
+    """Envelopes in JSON as nested columns; ``standard`` as for otlp_request."""
+    if not standard:
+        return requests.select(F.inline(F.array(F.from_json("request", REQUEST_DDL))))
+    nested = requests.select(F.inline(F.array(F.from_json("request", standard_ddl(REQUEST_DDL)))))
+    kind = requests.sparkSession.createDataFrame([], REQUEST_DDL).schema["resource_metrics"].dataType
+    return nested.select(F.col("resourceMetrics").cast(kind).alias("resource_metrics"))
+
+
+def otlp_wire(metrics: DataFrame, max_metrics: int = 5000, library: str = LIBRARY_NAME) -> DataFrame:
+    """The same envelopes in the binary form that collectors take: one column, ``request``.
+
+    wire.delimited() puts their lengths ahead where several are to share a file.
+    """
+    named = wire.encode(
+        {"instrumentation_library": {"name": library, "version": LIBRARY_VERSION}}, _LIBRARY_METRICS
+    )
+
+    def within(number: int, body: bytes) -> bytes:
+        return wire.varint(number << 3 | 2) + wire.delimited(body)
+
+    def envelopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [within(2, wire.encode(r, METRIC)) for r in batch.to_pylist()]
+            parts = [b"".join(rows[i : i + max_metrics]) for i in range(0, len(rows), max_metrics)]
+            whole = [within(1, within(2, named + part)) for part in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(whole, pa.binary())], ["request"])
+
+    return metrics.mapInArrow(envelopes, "request binary")
+
+
+def parse_wire(requests: DataFrame) -> DataFrame:
+    """Envelopes in the binary form as nested columns."""
+    schema = to_arrow_schema(requests.sparkSession.createDataFrame([], REQUEST_DDL).schema)
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [wire.decode(data, REQUEST) for data in batch.column(0).to_pylist()]
+            column = pa.array([r["resource_metrics"] for r in rows], schema.field(0).type)
+            yield pa.RecordBatch.from_arrays([column], schema=schema)
+
+    return requests.select("request").mapInArrow(decoded, REQUEST_DDL)
 
 
 def write_otlp(requests: DataFrame, path: str) -> None:

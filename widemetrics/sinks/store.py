@@ -332,6 +332,21 @@ class MetricStore:
             rows = rows.where(F.col("time") <= _moment(hi))
         return rows.select("time", *[c.name for c in columns], *["chunk"] * layout)
 
+    def latest(self, metric: str) -> datetime | None:
+        """The newest time in a metric's table; None if it has no row.
+
+        Only the newest chunk's files are opened, and of those the times alone.
+        """
+        table = clean_name(self.spark, metric)
+        if table not in self.schemas():
+            raise KeyError(f"no table {table}")
+        for path, _, _ in sorted(self._chunks(table), key=lambda c: -c[2]):
+            # A chunk without a row is one that a writer is at, or left at a fault.
+            newest = self.spark.read.schema("time timestamp").parquet(path).agg(F.max("time")).first()[0]
+            if newest is not None:
+                return newest
+        return None
+
     def _schema(self, ddl: str) -> StructType:
         return self.spark.createDataFrame([], ddl).schema
 
