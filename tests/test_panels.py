@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from widemetrics.functions import statset
+from widemetrics.functions import digest, statset
 from widemetrics.functions.sqlnames import register_functions
-from widemetrics.operators import histograms
+from widemetrics.operators import digests, histograms
 from widemetrics.plans import panels
 
 
@@ -86,3 +86,17 @@ def test_panel_aggregates_before_it_shuffles(spark, events):
     text = plan(panels.hist_panel(events, "4 hours", "value", ["event_type"], time="ts"))
     assert "partial_count" in text and "SortAggregate" not in text
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in text
+
+
+def test_digests_and_histograms_in_sql(spark):
+    register_functions(spark)
+    df = spark.createDataFrame([(g, float(v)) for g in "ab" for v in range(1, 40 if g == "a" else 3)], "g string, v double")
+    found = digests.accumulate(df, ["g"], "v", "d").join(histograms.accumulate(df, ["g"], "v", "h"), "g")
+    found.createOrReplaceTempView("found")
+    for q in (0.0, 0.3, 0.5, 0.99, 1.0):
+        for r in spark.sql(f"select g, d, digest_quantile(d, {q}D) as q, digest_count(d) as n from found").collect():
+            want = found.where(F.col("g") == r["g"]).select(digest.quantile("d", q)).first()[0]
+            assert (r["q"], r["n"]) == (want, r["d"]["count"])
+    texts = {r[0]: r[1] for r in spark.sql("select g, histogram_json(h) from found").collect()}
+    assert texts["b"] == '{"1":1,"2":1}'
+    assert spark.sql("select histogram_json(map(1.5D, 2L, 20D, 1L))").first()[0] == '{"1.5":2,"20":1}'

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from samples import DATUM, datum, frame
 
 from widemetrics.functions import wire
+from widemetrics.operators.wide import ColumnSpec, dimension_col, measurement_col
 from widemetrics.session import shared_dir
 from widemetrics.sinks import otlp
 from widemetrics.sources import requests
-from widemetrics.sources.datums import parse_requests
+from widemetrics.sources.datums import parse_request_columns, parse_requests
 
 NANOS = 1704067200 * 10**9
 
@@ -82,6 +83,24 @@ def test_bytes_give_the_rows_of_the_json(spark):
     assert got.where("malformed is null").count() == 2
 
 
+def test_chosen_columns_equal_those_of_whole_datums(spark):
+    _, text = sample_request()
+    df = spark.createDataFrame([(text,), ("{",), ('{"shared_dimensions":{},"metrics":[]}',)], "value string")
+    kinds = {
+        "az": ("dimension", "string"), "n": ("dimension", "bigint"), "ok": ("dimension", "boolean"),
+        "absent": ("dimension", "string"), "a": ("measurement", "bigint"), "d": ("measurement", "double"),
+        "e": ("measurement", "statistic_set"), "f": ("measurement", "histogram"), "g": ("measurement", "tdigest"),
+        "unset": ("measurement", "double"),
+    }
+    specs = [ColumnSpec(k, kind, t, ((kind, k),)) for k, (kind, t) in kinds.items()]
+    got = parse_request_columns(df, specs)
+    col = {"dimension": dimension_col, "measurement": measurement_col}
+    want = parse_requests(df).select(
+        "metric", "unix_nanos", *[col[kind](k, t).alias(k) for k, (kind, t) in kinds.items()]
+    )
+    assert rows_of(got) == rows_of(want) and got.columns == want.columns
+
+
 def test_own_encoder_equals_the_hand_made_bytes():
     data, _ = sample_request()
     values = wire.decode(data, requests.REQUEST)

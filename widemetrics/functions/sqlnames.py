@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from widemetrics.schema import STATSET_DDL
+from widemetrics.schema import STATSET_DDL, TDIGEST_DDL
 
 _MAP = "map<double,bigint>"
 
@@ -18,6 +18,28 @@ case when v is null then null
   else coalesce(ceil(v / {_DECADE} * 2) / 2 * {_DECADE}, v) end
 """
 
+_MIDDLE = "a.seen + c.weight / 2D"
+
+# Straight lines between the middles of centroids, from the least number to the largest.
+_QUANTILE = f"""
+case when d.count > 0 then aggregate(d.centroids,
+  named_struct('seen', 0L, 'left_rank', 0D, 'left_mean', d.min, 'found', cast(null as double)),
+  (a, c) -> named_struct('seen', a.seen + c.weight, 'left_rank', {_MIDDLE}, 'left_mean', c.mean,
+    'found', coalesce(a.found, case when q * d.count <= {_MIDDLE} then a.left_mean + (c.mean - a.left_mean) *
+      case when {_MIDDLE} <= a.left_rank then 1D
+        else (q * d.count - a.left_rank) / ({_MIDDLE} - a.left_rank) end end)),
+  a -> coalesce(a.found, a.left_mean + (d.max - a.left_mean) *
+    case when a.seen <= a.left_rank then 1D else (q * d.count - a.left_rank) / (a.seen - a.left_rank) end))
+end
+"""
+
+# Bounds in order; those above nine are whole.
+_JSON = """
+concat('{', array_join(transform(array_sort(map_entries(h)), e -> concat('"', case when e.key = floor(e.key)
+  and abs(e.key) < 1E18D then cast(cast(e.key as bigint) as string) else cast(e.key as string) end, '":',
+  cast(e.value as string))), ','), '}')
+"""
+
 #: name, parameters, result and body; the sets' functions return 0 for an empty average.
 SCALARS = [
     ("statistic_set_min", f"s {STATSET_DDL}", "double", "s.minimum"),
@@ -43,6 +65,9 @@ SCALARS = [
         "map_filter(map_zip_with(l, r, (k, x, y) -> coalesce(x, 0L) - coalesce(y, 0L)), (k, n) -> n <> 0)",
     ),
     ("histogram_count", f"h {_MAP}", "bigint", "aggregate(map_values(h), 0L, (a, n) -> a + n)"),
+    ("histogram_json", f"h {_MAP}", "string", _JSON),
+    ("digest_quantile", f"d {TDIGEST_DDL}, q double", "double", _QUANTILE),
+    ("digest_count", f"d {TDIGEST_DDL}", "bigint", "d.count"),
 ]
 
 TABLES = [
@@ -54,7 +79,8 @@ def register_functions(spark: SparkSession) -> list[str]:
     """Create temporary SQL functions for statistic sets and histograms; gives their names.
 
     statistic_set_min, _max, _sum, _count and _avg take a statistic set;
-    histogram_combine, histogram_subtract and histogram_count histograms.
+    histogram_combine, histogram_subtract, histogram_count and histogram_json
+    histograms; digest_quantile and digest_count digests without ranges.
     seh_bucket takes a number, and buckets, a table function, a histogram.
     A statistic set of numbers is statistic_set(min(v), max(v), sum(v),
     count(v)), and of sets the same with sums of sums and counts: aggregates

@@ -67,6 +67,25 @@ def _is_whole(df: DataFrame, name: str) -> bool:
     return df.schema[name].dataType.keyType.simpleString() == "bigint"
 
 
+def _centroids(cells: DataFrame, own: Sequence[str], of: Sequence[int]) -> DataFrame:
+    """Cells with those of digest columns put together into centroids."""
+    by_cell = Window.partitionBy(*own).orderBy("cell")
+    upto = F.sum("n").over(by_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    whole = F.sum("n").over(Window.partitionBy(*own))
+    bucket = digests.scale_bucket(upto - F.col("n") / 2, whole).cast("double")
+    is_digest = F.col("column").isin(*of)
+    placed = cells.select("*", F.when(is_digest, bucket).otherwise(F.col("cell")).alias("kb"))
+    # By the same hash of keys and column.
+    return placed.groupBy(*own, "kb", "bound").agg(
+        F.sum("n").cast("bigint").alias("weight"),
+        F.sum("total").alias("total"),
+        (F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        statset.merge("set").alias("set"),
+    )
+
+
 def merge(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """One row per key with all its stored values merged: histograms, statistic sets, digests.
 
@@ -80,6 +99,9 @@ def merge(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = No
     """
     kinds = mergeable(df)
     names = list(kinds) if columns is None else list(columns)
+    if all(kinds[name] == "statistic_set" for name in names):
+        # Sets are merged as they are.
+        return df.groupBy(*keys).agg(*[statset.merge(name).alias(name) for name in names])
     arrays = [_parts(df, i, name, kinds[name]) for i, name in enumerate(names)]
     each = df.select(*keys, F.inline(F.concat(F.array(_part(-1)), *arrays)))
     own = [*keys, "column"]
@@ -90,21 +112,10 @@ def merge(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = No
         F.max("high").alias("high"),
         statset.merge("set").alias("set"),
     )
-    is_digest = F.col("column").isin(*[i for i, name in enumerate(names) if kinds[name] == "digest"])
-    by_cell = Window.partitionBy(*own).orderBy("cell")
-    upto = F.sum("n").over(by_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    whole = F.sum("n").over(Window.partitionBy(*own))
-    bucket = digests.scale_bucket(upto - F.col("n") / 2, whole).cast("double")
-    placed = cells.select("*", F.when(is_digest, bucket).otherwise(F.col("cell")).alias("kb"))
-    # By the same hash of keys and column.
-    merged = placed.groupBy(*own, "kb", "bound").agg(
-        F.sum("n").cast("bigint").alias("weight"),
-        F.sum("total").alias("total"),
-        (F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-        statset.merge("set").alias("set"),
-    )
+    if "digest" in map(kinds.get, names):
+        merged = _centroids(cells, own, [i for i, name in enumerate(names) if kinds[name] == "digest"])
+    else:
+        merged = cells.withColumnsRenamed({"cell": "kb", "n": "weight"})
     results = []
     for i, name in enumerate(names):
         mine = F.col("column") == i

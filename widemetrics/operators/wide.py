@@ -242,6 +242,11 @@ def _typed(value: Column, kind: str, type_name: str) -> tuple[Column, Column]:
     return result, F.coalesce(given & result.isNull(), F.lit(False))
 
 
+def typed(value: Column, kind: str, type_name: str) -> Column:
+    """A oneof as a column's type, NULL where it does not read as that."""
+    return _typed(value, kind, type_name)[0]
+
+
 def dimension_col(name: str, type_name: str = "string", col: str = "dimensions") -> Column:
     """A dimension as a typed column; absent, unset and empty are NULL."""
     return _typed(F.element_at(col, F.lit(name)), "dimension", type_name)[0]

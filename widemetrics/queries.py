@@ -198,14 +198,13 @@ def request_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(sent, ","),
         F.lit("]}"),
     )
-    rows = datums.parse_requests(events.select(request.alias("value")))
-    return rows.select(
-        "metric",
-        F.col("unix_nanos").cast("bigint").alias("unix_nanos"),
-        dimension_col("source").alias("source"),
-        dimension_col("user_id", "bigint").alias("user_id"),
-        measurement_col("reading", "double").alias("reading"),
-    )
+    columns = [
+        ColumnSpec("source", "dimension", "string", (("dimension", "source"),)),
+        ColumnSpec("user_id", "dimension", "bigint", (("dimension", "user_id"),)),
+        ColumnSpec("reading", "measurement", "double", (("measurement", "reading"),)),
+    ]
+    rows = datums.parse_request_columns(events.select(request.alias("value")), columns)
+    return rows.withColumn("unix_nanos", F.col("unix_nanos").cast("bigint"))
 
 
 @query(

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from widemetrics.operators import wide
+from widemetrics.operators.wide import ColumnSpec
 from widemetrics.schema import DIMENSION_DDL, DIMENSION_MEMBERS, MEASUREMENT_MEMBERS, STATSET_DDL
 
 # As sent: every oneof sits in a "value" wrapper, map keys are strings and
@@ -220,3 +222,27 @@ def read_requests(df: DataFrame) -> DataFrame:
 def parse_requests(df: DataFrame, col: str = "value") -> DataFrame:
     """Datums of a frame that holds one JSON request per row."""
     return read_requests(df.select(_decoded(F.from_json(col, WIRE_REQUEST))))
+
+
+def parse_request_columns(df: DataFrame, columns: Sequence[ColumnSpec], col: str = "value") -> DataFrame:
+    """(metric, unix_nanos, columns..) of the datums in JSON requests, one request per row.
+
+    The maps stay in their wire form and only the values that the columns ask
+    for are converted, where parse_requests makes every key's. A value that does
+    not read as its column's type is NULL.
+    """
+    requests = df.select(_decoded(F.from_json(col, WIRE_REQUEST)))
+    each = requests.select("shared_dimensions", F.inline("metrics"))
+
+    def value(kind: str, key: str) -> Column:
+        if kind == "measurement":
+            return _measurement(F.element_at("measurements", F.lit(key))["value"])
+        shared = F.element_at("shared_dimensions", F.lit(key))
+        given = F.map_contains_key("shared_dimensions", key)
+        return F.when(given, shared).otherwise(F.element_at("dimensions", F.lit(key)))["value"]
+
+    found = []
+    for spec in columns:
+        readings = [wide.typed(value(kind, key), kind, spec.type) for kind, key in spec.sources]
+        found.append(F.coalesce(*readings).cast(spec.spark_type).alias(spec.name))
+    return each.select("metric", "unix_nanos", *found)
