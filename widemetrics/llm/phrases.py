@@ -28,7 +28,7 @@ _WORD = re.compile(rb"[^\x20\x09]+")
 _BLANK = re.compile(rb"[\x20\x09]")
 
 #: Words of a block, of which the task's phrases are counted together.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
 
 #: Bytes of a piece that are cut into words at a time.
 SLICE = 1 << 20
