@@ -4,14 +4,17 @@ import base64
 import json
 import random
 import struct
+import time
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from samples import DATUM, datum, frame
 
-from widemetrics.functions import wire
+from widemetrics.functions import wire, wirecolumns
 from widemetrics.operators.wide import ColumnSpec, dimension_col, measurement_col
-from widemetrics.session import shared_dir
+from widemetrics.session import Folder, shared_dir
 from widemetrics.sinks import otlp
 from widemetrics.sources import requests
 from widemetrics.sources.datums import parse_request_columns, parse_requests
@@ -172,3 +175,140 @@ def test_envelopes_in_binary_and_standard_json_hold_the_metrics(spark):
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 2**32, 2**63, 2**64 - 1])
 def test_varints(n):
     assert wire.read_varint(wire.varint(n) + b"x", 0) == (n, len(wire.varint(n)))
+
+
+def some_value(rng, kind, size):
+    if isinstance(kind, wire.Message):
+        return some_values(rng, kind, size)
+    return {
+        "string": lambda: "".join(rng.choices("aé𝄞 \0", k=rng.choice([0, 1, 5, 200]))),
+        "bool": lambda: rng.random() < 0.5,
+        "double": lambda: rng.choice([0.0, -0.0, 1e-310, -1.5, float("inf"), 1e308]),
+        "fixed64": lambda: rng.choice([0, 1, 2**63, 2**64 - 1]),
+        "sfixed64": lambda: rng.choice([0, -1, 2**63 - 1, -(2**63)]),
+        "int32": lambda: rng.choice([0, 1, 127, 128, -1, 2**31 - 1, -(2**31)]),
+        "int64": lambda: rng.choice([0, -1, 300, 2**63 - 1, -(2**63)]),
+    }[kind]()
+
+
+def some_values(rng, of, size=3):
+    out = {}
+    for f in of.fields.values():
+        if f.repeated:
+            out[f.name] = [some_value(rng, f.kind, size) for _ in range(rng.choice([0, 0, 1, size]))]
+        else:
+            out[f.name] = some_value(rng, f.kind, size) if rng.random() < 0.6 else None
+    return out
+
+
+def arrow_type(of):
+    plain = {"string": pa.string(), "bool": pa.bool_(), "double": pa.float64(), "fixed64": pa.decimal128(20, 0),
+             "sfixed64": pa.int64(), "int32": pa.int32(), "int64": pa.int64()}
+
+    def one(f):
+        kind = arrow_type(f.kind) if isinstance(f.kind, wire.Message) else plain[f.kind]
+        return pa.list_(kind) if f.repeated else kind
+
+    return pa.struct([(f.name, one(f)) for f in of.fields.values()])
+
+
+@pytest.mark.parametrize("seed,n,size", [(1, 300, 3), (2, 5, 90), (3, 1, 1), (4, 0, 1), (5, 64, 40)])
+def test_columns_are_encoded_and_decoded_as_single_messages_are(seed, n, size):
+    rng = random.Random(seed)
+    kind = arrow_type(otlp.METRIC)
+    rows = [some_values(rng, otlp.METRIC, size) for _ in range(n)]
+    column = pa.array([None, *rows, {}, None], kind)
+    bytes_of = wirecolumns.encode_column(column, otlp.METRIC).to_pylist()
+    assert bytes_of == [None if r is None else wire.encode(r, otlp.METRIC) for r in column.to_pylist()]
+    # Slices begin and end within the buffers of the whole.
+    for part in (column.slice(1, n), column.slice(n // 2, 2)):
+        want = [None if r is None else wire.encode(r, otlp.METRIC) for r in part.to_pylist()]
+        assert wirecolumns.encode_column(part, otlp.METRIC).to_pylist() == want
+    sent = pa.array([b for b in bytes_of if b is not None], pa.binary())
+    want = pa.array([wire.decode(b, otlp.METRIC) for b in sent.to_pylist()], kind)
+    assert wirecolumns.decode_column(sent, otlp.METRIC, kind).equals(want)
+    assert wirecolumns.decode_column(sent.slice(1), otlp.METRIC, kind).equals(want.slice(1))
+    cut = list(wirecolumns.pieces(sent, 200))
+    assert pa.chunked_array(cut, pa.binary()).combine_chunks().equals(sent) if cut else not len(sent)
+
+
+def test_columns_of_any_bytes_are_what_single_messages_are():
+    """Each message by itself, and among so many that they are read field by field."""
+    rng = random.Random(7)
+    kind = arrow_type(otlp.METRIC)
+    good = [wire.encode(some_values(rng, otlp.METRIC), otlp.METRIC) for _ in range(60)]
+    # Fields sent again, unknown ones, and lists of numbers that are not packed, or partly.
+    doubled = b"".join(good[:5]) + put(99, 2, b"unknown") + put(98, 0, 2**63) + put(97, 5, b"1234")
+    one = struct.pack("<d", 2.5)
+    loose = put(9, 2, put(1, 2, put(7, 1, one) + put(7, 2, one + one) + put(6, 1, b"8" * 8) + put(7, 1, one)))
+    refused = 0
+    for _ in range(1500):
+        changed = bytearray(rng.choice([*good, doubled, loose]))
+        for _ in range(rng.randint(0, 3)):
+            if changed:
+                changed[rng.randrange(len(changed))] = rng.choice([0x80, 0xFF, rng.randrange(256)])
+        changed = bytes(changed[: rng.choice([len(changed), rng.randint(0, len(changed))])])
+        try:
+            want = pa.array([wire.decode(changed, otlp.METRIC)], kind)
+        except (ValueError, OverflowError):
+            want, refused = None, refused + 1
+        for many in ([changed], [*good, changed, *good]):
+            sent = pa.array(many, pa.binary())
+            if want is None:
+                with pytest.raises(ValueError):
+                    wirecolumns.decode_column(sent, otlp.METRIC, kind)
+            else:
+                at = many.index(changed)
+                got = wirecolumns.decode_column(sent, otlp.METRIC, kind).slice(at, 1)
+                assert repr(got.to_pylist()) == repr(want.to_pylist())
+    assert 100 < refused < 1400
+
+
+def test_columns_take_less_than_half_the_time_of_single_messages():
+    rng = random.Random(8)
+    some = [some_values(rng, otlp.METRIC) for _ in range(100)]
+    rows = pa.array(some * 40, arrow_type(otlp.METRIC))
+
+    def single():
+        sent = pa.array([wire.encode(r, otlp.METRIC) for r in rows.to_pylist()])
+        return pa.array([wire.decode(b, otlp.METRIC) for b in sent.to_pylist()], rows.type)
+
+    def columns():
+        return wirecolumns.decode_column(wirecolumns.encode_column(rows, otlp.METRIC), otlp.METRIC, rows.type)
+
+    def seconds(work):
+        began = time.process_time()
+        work()
+        return time.process_time() - began
+
+    assert columns().slice(0, 100).to_pylist() == single().slice(0, 100).to_pylist()
+    assert min(seconds(columns) for _ in range(3)) < min(seconds(single) for _ in range(2)) / 2
+
+
+def test_metrics_go_to_python_with_the_points_of_all_kinds_in_one_list(spark):
+    sent = otlp.otlp_wire(otlp.to_otlp(frame(spark, DATUM)))
+    handed = sent._jdf.queryExecution().analyzed().children().head().schema().treeString()
+    assert handed.count("attributes: array") == 1
+
+
+def test_metrics_of_other_shapes_are_sent_with_the_fields_they_have(spark):
+    metrics = otlp.to_otlp(frame(spark, DATUM))
+    some = metrics.select("gauge", "name", F.lit(3).alias("other")).where("gauge is not null")
+    got = otlp.request_metrics(otlp.parse_wire(otlp.otlp_wire(some)))
+    assert rows_of(got.select("gauge", "name")) == rows_of(some.select("gauge", "name"))
+    assert got.where("unit is not null or summary is not null").count() == 0
+    empty = metrics.withColumn("gauge", F.col("gauge").withField("data_points", F.filter("gauge.data_points", lambda _: F.lit(False))))
+    back = otlp.request_metrics(otlp.parse_wire(otlp.otlp_wire(empty)))
+    assert rows_of(back) == rows_of(empty) and empty.where("size(gauge.data_points) = 0").count()
+
+
+def test_written_envelopes_lie_in_row_groups_that_a_task_can_hold(spark):
+    rng = random.Random(9)
+    rows = [(bytearray(rng.randbytes(1 << 20)),) for _ in range(24)]
+    folder = shared_dir(spark, "wire-groups")
+    otlp.write_wire(spark.createDataFrame(rows, "request binary").coalesce(1), folder)
+    (name,) = Folder(spark, folder).glob("*.parquet")
+    file = pq.ParquetFile(name.removeprefix("file:"))
+    sizes = [file.metadata.row_group(i).total_byte_size for i in range(file.num_row_groups)]
+    assert len(sizes) >= 3 and max(sizes) < 10 << 20
+    assert rows_of(spark.read.parquet(folder)) == rows_of(spark.createDataFrame(rows, "request binary"))

@@ -1393,7 +1393,7 @@ def otlp_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Envelopes in the binary form, written and decoded."""
     folder = shared_dir(spark, "otlp-wire")
     metrics = otlp.to_otlp(event_datums(table(spark, sf_dir, "events")))
-    otlp.otlp_wire(metrics).write.parquet(folder)
+    otlp.write_wire(otlp.otlp_wire(metrics), folder)
     return gauge_points(otlp.request_metrics(otlp.parse_wire(spark.read.parquet(folder))))
 
 

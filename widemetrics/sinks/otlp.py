@@ -6,13 +6,14 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from widemetrics.functions import digest, wire
+from widemetrics.functions import digest, wire, wirecolumns
 from widemetrics.functions.wire import message
 from widemetrics.schema import MEASUREMENT_MEMBERS
 from widemetrics.sources.datums import wrap_u64
@@ -48,6 +49,9 @@ DELTA_TEMPORALITY = 1
 LIBRARY_VERSION = "42"
 DIGEST_QUANTILES = (0.0, 0.5, 0.9, 0.99, 1.0)
 
+# Bytes of envelopes that are decoded together.
+_AT_ONCE = 4 << 20
+
 # Numbers and kinds of the fields in the binary form.
 _ANY = message(
     string_value=(1, "string"), bool_value=(2, "bool"), int_value=(3, "int64"), double_value=(4, "double")
@@ -274,6 +278,68 @@ def parse_requests(requests: DataFrame, standard: bool = False) -> DataFrame:
     return nested.select(F.col("resourceMetrics").cast(kind).alias("resource_metrics"))
 
 
+_KINDS = ("gauge", "summary", "histogram")
+# Fields of the points of some kinds only.
+_OWN = {
+    "as_int": "bigint", "as_double": "double", "count": "decimal(20,0)", "sum": "double",
+    "quantile_values": "array<struct<quantile:double,value:double>>",
+    "bucket_counts": "array<bigint>", "explicit_bounds": "array<double>",
+}
+
+
+def _merged(metrics: DataFrame) -> DataFrame:
+    """Metrics for the way to Python: points of all kinds in one list, and of each kind how many.
+
+    What rows cost on that way grows with their nested columns, and a list that is null
+    costs a look at all rows before it; three kinds, of which a metric has one, cost most.
+    """
+
+    def points(kind: str) -> Column:
+        own = metrics.select(f"{kind}.data_points").schema[0].dataType.elementType.names
+
+        def one(p: Column) -> Column:
+            common = [
+                F.coalesce(p["attributes"], F.array().cast(ATTRIBUTES_DDL)).alias("attributes"),
+                p["start_time_unix_nano"].alias("start_time_unix_nano"),
+                p["time_unix_nano"].alias("time_unix_nano"),
+            ]
+            for name, ddl in _OWN.items():
+                value = p[name] if name in own else F.lit(None).cast(ddl)
+                if ddl.startswith("array"):
+                    value = F.coalesce(value, F.array().cast(ddl))
+                common.append(value.alias(name))
+            return F.when(p.isNotNull(), F.struct(*common))
+
+        return F.transform(F.col(kind)["data_points"], one)
+
+    def number(kind: str) -> Column:
+        size = F.coalesce(F.size(F.col(kind)["data_points"]), F.lit(0))
+        return F.when(F.col(kind).isNotNull(), F.greatest(size, F.lit(0))).alias(kind)
+
+    return metrics.select(
+        "name", "description", "unit", *[number(k) for k in _KINDS],
+        F.col("histogram")["aggregation_temporality"].alias("aggregation_temporality"),
+        F.flatten(F.array_compact(F.array(*[points(k) for k in _KINDS]))).alias("points"),
+    )
+
+
+def _apart(batch: pa.RecordBatch) -> pa.StructArray:
+    """Merged metrics as they were."""
+    points = batch["points"].flatten()
+    counts = [batch[k].fill_null(0).to_numpy(zero_copy_only=False) for k in _KINDS]
+    kinds = np.repeat(np.tile(np.arange(len(_KINDS)), batch.num_rows), np.stack(counts, 1).ravel())
+    names = ["name", "description", "unit"]
+    columns = [batch[n] for n in names]
+    for i, kind in enumerate(_KINDS):
+        own = points if (kinds == i).all() else points.filter(pa.array(kinds == i))
+        lists = pa.LargeListArray.from_arrays(pa.array(wirecolumns.offsets_of(counts[i])), own)
+        parts = {"data_points": lists}
+        if kind == "histogram":
+            parts = {"aggregation_temporality": batch["aggregation_temporality"]} | parts
+        columns.append(pa.StructArray.from_arrays(list(parts.values()), list(parts), mask=batch[kind].is_null()))
+    return pa.StructArray.from_arrays(columns, [*names, *_KINDS])
+
+
 def otlp_wire(metrics: DataFrame, max_metrics: int = 5000, library: str = LIBRARY_NAME) -> DataFrame:
     """The same envelopes in the binary form that collectors take: one column, ``request``.
 
@@ -282,18 +348,23 @@ def otlp_wire(metrics: DataFrame, max_metrics: int = 5000, library: str = LIBRAR
     named = wire.encode(
         {"instrumentation_library": {"name": library, "version": LIBRARY_VERSION}}, _LIBRARY_METRICS
     )
+    # Metrics of any other shape go as they are, with the fields they have.
+    usual = sorted(metrics.dtypes) == sorted(metrics.sparkSession.createDataFrame([], METRIC_DDL).dtypes)
 
     def within(number: int, body: bytes) -> bytes:
         return wire.varint(number << 3 | 2) + wire.delimited(body)
 
     def envelopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [within(2, wire.encode(r, METRIC)) for r in batch.to_pylist()]
-            parts = [b"".join(rows[i : i + max_metrics]) for i in range(0, len(rows), max_metrics)]
-            whole = [within(1, within(2, named + part)) for part in parts]
+            rows = _apart(batch) if usual else batch.to_struct_array()
+            places, data = wirecolumns.cut_points(wirecolumns.encode_list(rows, METRIC, 2))
+            parts = places[[*range(0, len(rows), max_metrics), len(rows)]].tolist()
+            whole = [
+                within(1, within(2, named + data[i:j].to_pybytes())) for i, j in zip(parts, parts[1:])
+            ]
             yield pa.RecordBatch.from_arrays([pa.array(whole, pa.binary())], ["request"])
 
-    return metrics.mapInArrow(envelopes, "request binary")
+    return (_merged(metrics) if usual else metrics).mapInArrow(envelopes, "request binary")
 
 
 def parse_wire(requests: DataFrame) -> DataFrame:
@@ -302,13 +373,24 @@ def parse_wire(requests: DataFrame) -> DataFrame:
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [wire.decode(data, REQUEST) for data in batch.column(0).to_pylist()]
-            column = pa.array([r["resource_metrics"] for r in rows], schema.field(0).type)
-            yield pa.RecordBatch.from_arrays([column], schema=schema)
+            for some in wirecolumns.pieces(batch.column(0), _AT_ONCE):
+                rows = wirecolumns.decode_column(some, REQUEST, pa.struct(schema))
+                yield pa.RecordBatch.from_arrays(rows.flatten(), schema=schema)
 
     return requests.select("request").mapInArrow(decoded, REQUEST_DDL)
 
 
+def write_wire(requests: DataFrame, path: str) -> None:
+    """Binary envelopes as Parquet files, in row groups of a few megabytes once compressed.
+
+    A reader holds up to 4,096 rows of a row group at a time, so all of it, as envelopes are
+    large. For the same reason sizes are looked at after a few rows instead of a hundred.
+    """
+    sizes = {"parquet.block.size": 4 << 20, "parquet.page.size": 1 << 20}
+    checks = {f"parquet.{of}.size.row.check.min": 4 for of in ("block", "page")}
+    requests.write.options(**sizes, **checks).parquet(path)
+
+
 def write_otlp(requests: DataFrame, path: str) -> None:
     """Envelopes as JSON files, one envelope to a line."""
     requests.write.mode("append").text(path)
