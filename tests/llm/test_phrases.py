@@ -1,10 +1,13 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from widemetrics.llm import phrases
+from widemetrics.llm import exchange, phrases
 from widemetrics.llm.phrases import collocations, in_lockstep, runs
 
 
@@ -115,3 +118,74 @@ def test_counts_beyond_64_bits_when_multiplied_and_an_empty_table(spark, empty):
     docs = spark.createDataFrame([("l", "a b " * 40)], "lang string, text string")
     found = collocations(docs, 30, scale=10**9, top=1).first()
     assert (found["phrase"], found["score"]) == ("a b a b", 10**9 * 39 // (40 + 40))
+
+
+def test_a_block_holds_all_languages_together(spark):
+    """Each block sends a message to each owner, so a block a language would multiply them."""
+    rows = [(f"l{i % 40}", "a b c. " * 5) for i in range(200)]
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    blocks = phrases_blocks(docs)
+    assert len({r["block"] for r in blocks}) == 1
+    assert sum(sum(r["n"]) for r in blocks) == 200 * 15
+
+
+def phrases_blocks(docs):
+    kinds = "lang array<string>, words array<binary>, codes array<binary>, context array<binary>, n array<bigint>"
+    return docs.mapInArrow(phrases._blocks(4), f"block bigint, {kinds}").collect()
+
+
+def test_blocks_ask_many_owners_level_by_level(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(phrases, "OWNED_PAIRS", 4)
+    monkeypatch.setattr(phrases, "SLICE", 150)
+    rng = random.Random(5)
+    rows = []
+    for i in range(150):
+        words = rng.choices("abcdefgh", weights=range(8, 0, -1), k=rng.randint(0, 200))
+        rows.append((rng.choice(["x", "y", "z", None]), "".join(w + rng.choice([" "] * 8 + [". ", ",\n"]) for w in words)))
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    for longest, least in ((4, 30), (5, 4)):
+        want = plain(rows, least, longest, top=10**6)
+        assert want and got(collocations(docs, least, longest, top=10**6)) == want
+
+
+def test_rare_phrases_of_frequent_pairs_are_not_sent(monkeypatch):
+    """Of three words only phrases that are frequent leave the blocks, not all whose pairs are."""
+    monkeypatch.setattr(phrases, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(12)], k=60)) + "." for _ in range(200)]
+    docs = pa.record_batch([pa.array(["l"] * 200), pa.array(texts)], ["lang", "text"])
+    blocks = list(phrases._blocks(4)(iter([docs])))
+    block = pa.Table.from_batches(blocks)
+
+    def answers(asked, level):
+        owners = asked["owner"].unique().to_pylist()
+        each = [asked.filter(pa.compute.equal(asked["owner"], o)) for o in owners]
+        return pa.concat_tables(map(phrases._often(30, level), each))
+
+    told = answers(pa.Table.from_batches(phrases._ask(2, 30)(iter(blocks))), 2)
+    told = pa.concat_tables([told, answers(phrases._ask_longer(2, 30, 3)(block, told), 3)])
+    sent = phrases._count(2, 4)(block, told).column("phrase").to_pylist()
+    assert len(sent) == 12 + 144 and {len(p.split(" ")) for p in sent} == {1, 2}
+
+
+@pytest.mark.parametrize("least", [0, 1, 3, 300])
+@pytest.mark.parametrize("bits", [0, 3, 11])
+def test_owners_hear_counts_of_whole_columns(least, bits):
+    rng = np.random.default_rng(2)
+    known = np.unique(rng.integers(0, 1 << 63, 900, np.uint64) * np.uint64(2))
+    sums, sent = Counter(), []
+    for block in range(40):
+        own = np.sort(rng.choice(known, rng.integers(0, 300), replace=False))
+        times = rng.integers(0, 400 if least > 255 else 3, len(own))
+        sent.append((own, exchange.counted(block, own, times, bits, least)))
+        for h, t in zip(own.tolist(), times.tolist()):
+            sums[h] += t
+    told = pa.concat_tables(m for _, m in sent)
+    answers = pa.concat_tables(
+        exchange.often(told.filter(pa.compute.equal(told["owner"], o)), least, 2)
+        for o in reversed(told["owner"].unique().to_pylist())
+    )
+    for block, (own, _) in enumerate(sent):
+        heard = exchange.heard(own, answers.filter(pa.compute.equal(answers["block"], block)), bits)
+        assert heard.tolist() == [sums[h] >= least for h in own.tolist()]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from widemetrics.llm import golomb
 
@@ -26,9 +27,9 @@ _MESSAGE = pa.schema(
 OWNED = 1 << 18
 
 
-def owner_bits(hashes: int, partitions: int) -> int:
-    """How many first bits of a hash name its owner: owners enough for OWNED hashes each."""
-    return (max(partitions, hashes // OWNED) - 1).bit_length()
+def owner_bits(hashes: int, partitions: int, owned: int = OWNED) -> int:
+    """How many first bits of a hash name its owner: owners enough for `owned` hashes each."""
+    return (max(partitions, hashes // owned) - 1).bit_length()
 
 
 def by_owner(hashes: np.ndarray, bits: int) -> list[tuple[int, slice]]:
@@ -165,3 +166,89 @@ def bits_of(hashes: np.ndarray, answers: pa.Table, bits: int, level: int = 0) ->
         n = own.stop - own.start
         out[own] = np.unpackbits(np.frombuffer(told[owner], np.uint8))[:n]
     return out
+
+
+#: What messages by whole columns hold: for each hash 32 bits after those that name its owner, and
+#: how often the block has it.
+COUNTED = "owner bigint, block bigint, hashes binary, times binary"
+
+
+def _cut(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Bytes cut into values of these lengths, without a step for each."""
+    ends = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=ends[1:])
+    return pa.Array.from_buffers(
+        pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data)]
+    )
+
+
+def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _owners(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The owners of sorted hashes, ascending, and how many each has."""
+    owners = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+    begins = np.flatnonzero(np.diff(owners, prepend=-1))
+    return owners[begins], np.diff(begins, append=len(owners))
+
+
+def _in_bytes(lengths: np.ndarray) -> np.ndarray:
+    """Where each bit lies if every run of so many begins with a byte of its own."""
+    whole = (lengths + 7) // 8 * 8
+    shift = np.cumsum(whole - lengths) - (whole - lengths)
+    return np.arange(lengths.sum()) + np.repeat(shift, lengths)
+
+
+def _times_kind(least: int) -> str:
+    return "<u1" if least < 256 else "<u4"
+
+
+def counted(block: int, hashes: np.ndarray, times: np.ndarray, bits: int, least: int) -> pa.Table:
+    """What a block sends to ask which of its sorted hashes all blocks have `least` times.
+
+    All messages are made together: a block has one for each owner, so their number grows with
+    the square of the input. Hashes that differ may be sent as equal, a few in 10,000 if an owner
+    has a million: the answer is yes to all that are frequent, and to some that are not.
+    """
+    owners, sizes = _owners(hashes, bits)
+    low = ((hashes << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
+    # a sum reaches `least` with the counts cut there if it does so with all
+    own = np.minimum(times, max(least, 0)).astype(_times_kind(least))
+    return pa.table(
+        {
+            "owner": pa.array(owners, pa.int64()),
+            "block": pa.array(np.full(len(owners), block), pa.int64()),
+            "hashes": _cut(low.view(np.uint8), sizes * low.itemsize),
+            "times": _cut(own.view(np.uint8), sizes * own.itemsize),
+        }
+    )
+
+
+def often(received: pa.Table, least: int, level: int) -> pa.Table:
+    """For each hash a block sent by counted(): whether all blocks together have it so often."""
+    sizes = pc.binary_length(received.column("hashes")).to_numpy().astype(np.int64) // 4
+    hashes = _joined(received.column("hashes"), "<u4")
+    times = _joined(received.column("times"), _times_kind(least))
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    first = np.ones(len(hashes), bool)
+    first[1:] = hashes[1:] != hashes[:-1]
+    sums = np.add.reduceat(times[order], np.flatnonzero(first), dtype=np.int64)
+    bits = np.zeros(((sizes + 7) // 8 * 8).sum(), bool)
+    bits[_in_bytes(sizes)[order]] = (sums >= least)[np.cumsum(first) - 1]
+    return pa.table(
+        {
+            "owner": received.column("owner"),
+            "block": received.column("block"),
+            "level": pa.array(np.full(len(sizes), level), pa.int32()),
+            "bitmap": _cut(np.packbits(bits), (sizes + 7) // 8),
+        }
+    )
+
+
+def heard(hashes: np.ndarray, answers: pa.Table, bits: int) -> np.ndarray:
+    """The answers of often() for the sorted hashes that a block sent."""
+    _, sizes = _owners(hashes, bits)
+    bitmaps = answers.sort_by("owner").column("bitmap")
+    return np.unpackbits(_joined(bitmaps, "u1"))[_in_bytes(sizes)].astype(bool)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from widemetrics.llm import exchange
@@ -30,14 +31,21 @@ _BLANK = re.compile(rb"[\x20\x09]")
 #: Words of a block, of which the task's phrases are counted together.
 BLOCK_WORDS = 1 << 20
 
+#: Hashes of pairs an owner is to hold, about. A block has a message for each owner.
+OWNED_PAIRS = 1 << 20
+
+#: Phrases of a batch that leaves Python.
+BATCH_PHRASES = 1 << 16
+
 #: Bytes of a piece that are cut into words at a time.
 SLICE = 1 << 20
 
 #: Counted phrases that one task walks through.
 STREAM_ROWS = 1 << 17
 
-#: The code of the end of a piece.
+#: The code of the end of a piece, and its mark among words: a byte that no text in UTF-8 has.
 _END = 0
+_MARK = b"\xff"
 
 
 class _Coded:
@@ -46,11 +54,22 @@ class _Coded:
     def __init__(self) -> None:
         self.numbers: dict[bytes, int] = defaultdict()
         self.numbers.default_factory = self.numbers.__len__
-        self.numbers[b""] = _END
+        self.numbers[_MARK] = _END
         self.codes: list[int] = []
         self.context: list[int] = []
         self.n = 0
 
+    def add_whole(self, data: bytes) -> int:
+        """All pieces of a text; gives the number of words."""
+        data = data.rstrip(b"\n").replace(b"\n\n", b"\n")
+        words = data.replace(b"\n", b" " + _MARK + b" ").split()
+        n = len(words) - data.count(b"\n")
+        if n:
+            self.codes.extend(map(self.numbers.__getitem__, words))
+            self.codes.append(_END)
+            self.n += n
+        return n
+
     def add(self, words: list[bytes], context: list[bytes]) -> None:
         """A run of words; those of context follow, but no phrase that begins there counts."""
         self.codes.extend(map(self.numbers.__getitem__, words))
@@ -62,10 +81,18 @@ class _Coded:
         self.codes.append(_END)
 
 
+def _lowered(text: str | None) -> bytes:
+    """A text with A-Z lower-cased and a line for each piece."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().translate(_PIECES)
+
+
 def runs(text: str | None, context: int) -> Iterator[tuple[list[bytes], list[bytes]]]:
     """The words of each piece of a text with A-Z lower-cased; a very long piece in several runs,
     each with the words that follow it."""
-    data = (text or "").encode("utf-8", "surrogatepass").lower().translate(_PIECES)
+    return _runs(_lowered(text), context)
+
+
+def _runs(data: bytes, context: int) -> Iterator[tuple[list[bytes], list[bytes]]]:
     at = 0
     while at < len(data):
         end = data.find(b"\n", at)
@@ -84,7 +111,8 @@ def runs(text: str | None, context: int) -> Iterator[tuple[list[bytes], list[byt
 
 
 def _blocks(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Documents to blocks (block, lang, words, codes, context, n) of numbered words."""
+    """Documents to blocks (block, lang, words, codes, context, n) of numbered words, all but the
+    first with a value for each language in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -92,19 +120,17 @@ def _blocks(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
         def passed_on() -> Iterator[pa.RecordBatch]:
             nonlocal number
-            for lang, own in held.items():
-                if len(own.numbers) == 1:
-                    continue
-                number += 1
+            number += 1
+            filled = {lang: own for lang, own in held.items() if len(own.numbers) > 1}
+            if filled:
+                rows = [
+                    (lang, b"\n".join(own.numbers), np.array(own.codes, "<i4").tobytes(),
+                     np.array(own.context, "<i4").tobytes(), own.n)
+                    for lang, own in filled.items()
+                ]
+                kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number], pa.int64()),
-                        pa.array([lang], pa.string()),
-                        pa.array([b"\n".join(own.numbers)], pa.binary()),
-                        pa.array([np.array(own.codes, "<i4").tobytes()], pa.binary()),
-                        pa.array([np.array(own.context, "<i4").tobytes()], pa.binary()),
-                        pa.array([own.n], pa.int64()),
-                    ],
+                    [pa.array([number], pa.int64()), *(pa.array([c], pa.list_(t)) for c, t in zip(zip(*rows), kinds))],
                     names=["block", "lang", "words", "codes", "context", "n"],
                 )
             held.clear()
@@ -112,7 +138,16 @@ def _blocks(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         words = 0
         for batch in batches:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for run_words, after in runs(text, longest - 1):
+                data = _lowered(text)
+                if len(data) <= SLICE:
+                    if lang not in held:
+                        held[lang] = _Coded()
+                    words += held[lang].add_whole(data)
+                    if words >= BLOCK_WORDS:
+                        yield from passed_on()
+                        words = 0
+                    continue
+                for run_words, after in _runs(data, longest - 1):
                     if lang not in held:
                         held[lang] = _Coded()
                     held[lang].add(run_words, after)
@@ -126,125 +161,160 @@ def _blocks(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 class _Grams:
-    """The phrases of a block, level by level."""
+    """The words of a block, of all its languages, by numbers."""
 
-    def __init__(self, group: pa.Table):
+    def __init__(self, group: pa.Table | pa.RecordBatch):
         self.block = group.column("block")[0].as_py()
-        self.lang = group.column("lang")[0].as_py()
-        self.words = group.column("words")[0].as_py().split(b"\n")
-        self.codes = np.frombuffer(group.column("codes")[0].as_py(), "<i4").astype(np.int64)
+        self.langs = group.column("lang")[0].as_py()
+        self.words = [b""]
+        sizes, codes, context, length = [1], [], [], 0
+        for words, own, after in zip(*(group.column(c)[0].as_py() for c in ("words", "codes", "context"))):
+            found, own = words.split(b"\n"), np.frombuffer(own, "<i4")
+            codes.append(np.where(own == _END, _END, own + np.int32(len(self.words) - 1)))
+            context.append(np.frombuffer(after, "<i4") + length)
+            length += len(own)
+            self.words += found[1:]
+            sizes.append(len(found) - 1)
+        self.codes = np.concatenate(codes)
         self.begins = self.codes != _END
-        self.begins[np.frombuffer(group.column("context")[0].as_py(), "<i4")] = False
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each place the number of its pair of words, or -1; the first and second word of
-        each pair."""
-        left, right = self.codes[:-1], self.codes[1:]
-        at = np.flatnonzero((left != _END) & (right != _END))
-        numbers = np.full(len(self.codes), -1, np.int64)
-        found, inverse = np.unique(left[at] * len(self.words) + right[at], return_inverse=True)
-        numbers[at] = inverse
-        return numbers, found // len(self.words), found % len(self.words)
-
-    def hashes(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """64 bits of the language and both words."""
-        seed = xxhash.xxh3_64_intdigest(self.lang.encode("utf-8", "surrogatepass"))
-        each = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.words], np.uint64)
-        return mixed(each[first] * np.uint64(0x9E3779B97F4A7C15) + mixed(each[second]))
-
-    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """numbers of the pairs by place, order of the pairs by hash, and in that order the
-        distinct hashes, their counts here, and which hash each pair has."""
-        numbers, first, second = self.pairs()
-        times = np.bincount(numbers[(numbers >= 0) & self.begins], minlength=len(first))
-        values = self.hashes(first, second)
-        found, inverse = np.unique(values, return_inverse=True)
-        return numbers, found, np.bincount(inverse, times, len(found)).astype(np.int64), inverse
-
-
-def _ask(bits: int) -> Callable[[pa.Table], pa.Table]:
-    def ask(group: pa.Table) -> pa.Table:
-        grams = _Grams(group)
-        _, found, times, _ = grams.asked()
-        return exchange.messages(grams.block, found, bits, checks=np.minimum(times, 0xFFFFFFFF))
+        self.begins[np.concatenate(context)] = False
+        #: The language of each word; that of the end of a piece does not matter.
+        self.lang = np.repeat(np.maximum(np.arange(len(sizes)) - 1, 0), sizes)
+
+    def levels(self, longest: int, answers: pa.Table | None, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length from 2 the places of phrases, and 64 bits of the language and the words
+        of each: those that answers say are frequent or, without answers for the length, all whose
+        first and last words but one are places of the length before."""
+        step = np.uint64(0x9E3779B97F4A7C15)
+        seeds = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in self.langs]
+        of = map(seeds.__getitem__, self.lang.tolist())
+        each = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words, of), np.uint64, len(self.words))
+        later = mixed(each)
+        going = self.codes != _END
+        at = np.flatnonzero(going[:-1])
+        values = each[self.codes[at]]
+        for length in range(2, longest + 1):
+            keep = going[at] & going[at + 1]
+            at = at[keep]
+            values = mixed(values[keep] * step + later[self.codes[at + length - 1]])
+            told = answers and answers.filter(pc.equal(answers.column("level"), length))
+            if told:
+                own, first = _numbered(values)
+                frequent = exchange.heard(values[first], told, bits)[own]
+                at, values = at[frequent], values[frequent]
+            yield length, at, values
+            going[:] = False
+            going[at] = True
+
+    def asked(self, level: int, answers: pa.Table | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes of phrases of so many words, sorted, and how many of each begin here."""
+        for _, at, values in self.levels(level, answers, bits):
+            pass
+        found, times = np.unique(values, return_counts=True)
+        np.subtract.at(times, np.searchsorted(found, values[~self.begins[at]]), 1)
+        return found, times
+
+
+def _ask(bits: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks ask for their pairs of words."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                grams = _Grams(batch.slice(i, 1))
+                yield from exchange.counted(grams.block, *grams.asked(2, None, bits), bits, least).to_batches()
 
     return ask
 
 
-def _often(least: int) -> Callable[[pa.Table], pa.Table]:
-    """For each hash a block sent: whether all blocks together have it at least so often."""
+def _ask_longer(bits: int, least: int, level: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Blocks ask for their phrases of so many words whose shorter ones are frequent."""
 
+    def ask(group: pa.Table, answers: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return exchange.counted(0, np.empty(0, np.uint64), np.empty(0, np.int64), bits, least)
+        grams = _Grams(group)
+        return exchange.counted(grams.block, *grams.asked(level, answers, bits), bits, least)
+
+    return ask
+
+
+def _often(least: int, level: int) -> Callable[[pa.Table], pa.Table]:
     def answer(received: pa.Table) -> pa.Table:
-        sent = exchange.lists(received)
-        times = np.frombuffer(b"".join(received.column("checks").to_pylist()), "<u4").astype(np.int64)
-        found, inverse = np.unique(np.concatenate(sent), return_inverse=True)
-        sums = np.zeros(len(found), np.int64)
-        np.add.at(sums, inverse, times)
-        enough = np.split((sums >= least)[inverse], np.cumsum([len(x) for x in sent])[:-1])
-        return pa.table(
-            {
-                **{c: received.column(c) for c in ("owner", "block", "level")},
-                "bitmap": pa.array([np.packbits(b).tobytes() for b in enough], pa.binary()),
-            }
-        )
+        return exchange.often(received, least, level)
 
     return answer
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key its number among the distinct ones in order, and a place of each of those."""
+    order = np.argsort(keys)
+    new = np.diff(keys[order], prepend=keys[order[:1]]) != 0
+    new[:1] = True
+    numbers = np.empty(len(keys), np.int64)
+    numbers[order] = np.cumsum(new) - 1
+    return numbers, order[new]
+
+
 def _count(bits: int, longest: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """A block's phrases and how often they begin there: all words, and longer phrases as far as
-    each pair of neighbours in them is frequent."""
+    """A block's phrases and how often they begin there: all words, those longer phrases that are
+    frequent, and the longest ones as far as both shorter by a word are."""
 
     def count(group: pa.Table, answers: pa.Table) -> pa.Table:
         schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
         if not group.num_rows:
             return schema.empty_table()
         grams = _Grams(group)
-        numbers, found, _, inverse = grams.asked()
-        frequent = exchange.bits_of(found, answers, bits)[inverse]
-        going = np.zeros(len(numbers), bool)
-        paired = numbers >= 0
-        going[paired] = frequent[numbers[paired]]
-        words = pa.array(grams.words, pa.binary()).cast(pa.string())
-
-        at = np.flatnonzero(grams.begins)
-        number, first, times = np.unique(grams.codes[at], return_index=True, return_counts=True)
-        phrases, counts = [words.take(pa.array(number))], [times]
-        # level by level: the number of the phrase that begins at each place, and a place of it
-        at = np.flatnonzero(going)
-        own = grams.codes[at]
-        for length in range(2, longest + 1):
-            if not len(at):
-                break
-            key = own * len(grams.words) + grams.codes[at + length - 1]
-            _, first, own = np.unique(key, return_index=True, return_inverse=True)
+        codes = grams.codes
+        words, langs = pa.array(grams.words, pa.binary()).cast(pa.string()), pa.array(grams.langs, pa.string())
+        batches: list[pa.RecordBatch] = []
+
+        def counted(code: np.ndarray, text: pa.Array, times: np.ndarray) -> None:
+            """Phrases by their first words' codes."""
+            lang = langs.take(pa.array(grams.lang[code]))
+            table = pa.table([lang, text, pa.array(times, pa.int64())], schema=schema)
+            batches.extend(table.to_batches(max_chunksize=BATCH_PHRASES))
+
+        times = np.bincount(codes[grams.begins], minlength=len(grams.words))
+        code = np.flatnonzero(times)
+        counted(code, words.take(pa.array(code)), times[code])
+        # level by level, by the words: the number of the phrase that begins at each place
+        numbers = codes.astype(np.int64)
+        for length, at, _ in grams.levels(longest, answers, bits):
+            own, first = _numbered(numbers[at] * len(grams.words) + codes[at + length - 1])
+            numbers[at] = own
             times = np.bincount(own[grams.begins[at]], minlength=len(first))
-            place = at[first]
-            text = words.take(pa.array(grams.codes[place]))
+            place = at[first[times > 0]]
+            text = words.take(pa.array(codes[place]))
             for k in range(1, length):
-                text = pc.binary_join_element_wise(text, words.take(pa.array(grams.codes[place + k])), " ")
-            phrases.append(text.filter(pa.array(times > 0)))
-            counts.append(times[times > 0])
-            longer = going[np.minimum(at + length - 1, len(going) - 1)]
-            at, own = at[longer], own[longer]
-        n = sum(len(c) for c in counts)
-        return pa.table(
-            [pa.array([grams.lang] * n, pa.string()), pa.concat_arrays(phrases),
-             pa.array(np.concatenate(counts), pa.int64())],
-            schema=schema,
-        )
+                text = pc.binary_join_element_wise(text, words.take(pa.array(codes[place + k])), " ")
+            counted(codes[place], text, times[times > 0])
+        return pa.Table.from_batches(batches, schema)
 
     return count
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, most: str) -> Iterator[None]:
+    """Arrow batches end at so many bytes meanwhile: a task's blocks go to Python one by one."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def phrase_counts(docs: DataFrame, least: int, longest: int, lang: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of the phrases of up to `longest` words that occur at least `least` times
     in their language, and (lang, n) of all languages with words.
 
     Blocks first learn from the owners of hash ranges which pairs of words are
-    frequent in all blocks together. Longer phrases are counted only where each
-    pair in them is, as no other can be frequent; those counts are exact, by the
-    words themselves.
+    frequent in all blocks together, and of the phrases made of such pairs which
+    are frequent, up to one word less than the longest. Only those are counted,
+    and longest ones whose shorter parts are among them, as no other can be
+    frequent; those counts are exact, by the words themselves.
     """
     spark = docs.sparkSession
     read = docs.select(
@@ -253,21 +323,34 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, lang: str, text: st
     )
     blocks = saved(
         read.mapInArrow(
-            _blocks(longest), "block bigint, lang string, words binary, codes binary, context binary, n bigint"
+            _blocks(longest),
+            "block bigint, lang array<string>, words array<binary>, codes array<binary>, "
+            "context array<binary>, n array<bigint>",
         ),
         "phrase-blocks",
     )
-    total = blocks.agg(F.sum(F.octet_length("codes"))).first()[0] or 0
-    bits = exchange.owner_bits(total // 8, partitions(spark))
-    answers = (
-        blocks.groupBy("block").applyInArrow(_ask(bits), exchange.MESSAGE)
-        .groupBy("owner").applyInArrow(_often(least), exchange.ANSWER)
-    )
-    found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    sizes = blocks.select(F.explode(F.arrays_zip("lang", "n")).alias("own")).groupBy("own.lang").agg(
+        F.sum("own.n").alias("n")
+    )
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    bits = exchange.owner_bits(total // 2, partitions(spark), OWNED_PAIRS)
+    coded = blocks.select("block", "lang", "words", "codes", "context")
+    asking = coded.mapInArrow(_ask(bits, least), exchange.COUNTED)
+    # saved, as blocks that ask do not go through a shuffle until then
+    with _batches_of(spark, "4m"):
+        answers = saved(asking.groupBy("owner").applyInArrow(_often(least, 2), exchange.ANSWER), "phrase-answers")
+    by_block = coded.groupBy("block")
+    for level in range(3, longest):
+        asking = by_block.cogroup(answers.groupBy("block")).applyInArrow(
+            _ask_longer(bits, least, level), exchange.COUNTED
+        )
+        told = asking.groupBy("owner").applyInArrow(_often(least, level), exchange.ANSWER)
+        answers = answers.unionByName(told)
+    found = by_block.cogroup(answers.groupBy("block")).applyInArrow(
         _count(bits, longest), "lang string, phrase string, n bigint"
     )
     counts = found.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    return saved(counts, "phrase-counts"), blocks.groupBy("lang").agg(F.sum("n").alias("n"))
+    return saved(counts, "phrase-counts"), sizes
 
 
 _WALKED = (
